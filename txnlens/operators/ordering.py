@@ -22,10 +22,32 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
                 total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add ``rank_col`` = 0-based position in ``order_cols`` order (which must
     be a total order, e.g. end with a unique id); optionally ``total_col`` =
-    the row count."""
+    the row count.
+
+    The rank is computed on the projection of ``order_cols`` alone, so the
+    per-partition counts and the per-row offsets read one shared range
+    exchange (identical subplans are reused); two separately sampled range
+    exchanges over a shuffled input could disagree on their bounds. The ranks
+    are then joined back on the order columns."""
+    ranks = rank_table(df, order_cols, rank_col, total_col, num_partitions)
+    return df.join(ranks, on=list(order_cols), how="inner")
+
+
+def rank_table(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
+               total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """``(order_cols..., rank_col[, total_col])`` for every row of ``df``."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = (df.repartitionByRange(n, *order_cols)
+    # Both consumers (per-partition counts, per-row offsets) must read ONE
+    # range exchange: two separately sampled exchanges over a shuffled input
+    # may pick different bounds. The explicit null filter keeps the two
+    # subplans identical (the join would otherwise push inferred filters into
+    # one of them only), so the exchange is reused; a test asserts the reuse.
+    keys = df.select(*order_cols)
+    for c in order_cols:
+        keys = keys.where(F.col(c).isNotNull())
+    ranked = (keys
+              .repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_rp", F.shiftright("_mid", _PART_SHIFT)))
@@ -38,11 +60,10 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
     if total_col:
         cols.append(F.sum("_rn").over(Window.partitionBy()).alias(total_col))
     offsets = counts.select(*cols)
-    out = (ranked.join(F.broadcast(offsets), on="_rp", how="inner")
-           .withColumn(rank_col, F.col("_off") + F.col("_mid")
-                       - F.shiftleft(F.col("_rp"), _PART_SHIFT))
-           .drop("_mid", "_rp", "_off"))
-    return out
+    return (ranked.join(F.broadcast(offsets), on="_rp", how="inner")
+            .withColumn(rank_col, F.col("_off") + F.col("_mid")
+                        - F.shiftleft(F.col("_rp"), _PART_SHIFT))
+            .drop("_mid", "_rp", "_off"))
 
 
 def time_split(df: DataFrame, ts: str = "ts_sec", key: str = "txn_id",
@@ -66,3 +87,23 @@ def time_split(df: DataFrame, ts: str = "ts_sec", key: str = "txn_id",
 def split_sizes(n: int, val_frac: float = 0.1, test_frac: float = 0.1) -> tuple[int, int]:
     """(train_end, val_end) for ``n`` rows, same arithmetic as ``time_split``."""
     return int(n * (1.0 - val_frac - test_frac)), int(n * (1.0 - test_frac))
+
+
+def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
+                prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``order_cols`` order (a
+    total order) across the whole table. Range partitions compute local running
+    sums; their totals (one row per partition) give the offsets, broadcast."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order_cols).withColumn("_rp", F.spark_partition_id())
+    w = Window.partitionBy("_rp").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = r.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in value_cols])
+    totals = r.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    prev = Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_rp", *[F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0))
+                                     .alias(f"_o_{c}") for c in value_cols])
+    out = local.join(F.broadcast(offsets), on="_rp", how="inner")
+    for c in value_cols:
+        out = out.withColumn(prefix + c, F.col(f"_l_{c}") + F.col(f"_o_{c}"))
+    return out.drop("_rp", *[f"_l_{c}" for c in value_cols], *[f"_o_{c}" for c in value_cols])
