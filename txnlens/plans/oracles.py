@@ -80,3 +80,102 @@ SELECT train_split, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS n_fraud,
        round(avg(greatest(least(amt_zscore, 10.0), -10.0)), 6) AS mean_amt_zscore_clipped,
        round(max(card_tenure_days), 6) AS max_card_tenure_days
 FROM split GROUP BY train_split"""
+
+# --- more stand-in views ----------------------------------------------------
+
+ECOM = """ecom AS (
+  SELECT o.o_orderkey AS txn_id, o.o_custkey AS card_id, CAST(o.o_orderdate AS TIMESTAMP) AS ts,
+         epoch_us(o.o_orderdate) // 1000000 AS ts_sec, o.o_totalprice AS TransactionAmt,
+         substr(o.o_orderpriority, 3, 1) AS ProductCD, lower(c.c_mktsegment) AS card4,
+         CASE o.o_orderstatus WHEN 'F' THEN 'debit' WHEN 'O' THEN 'credit' END AS card6,
+         CASE o.o_custkey % 6 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'ProtonMail.com'
+              WHEN 2 THEN 'acme.com' WHEN 4 THEN 'yahoo.fr' WHEN 5 THEN 'Hotmail.com' END AS P_emaildomain,
+         CASE o.o_orderkey % 4 WHEN 0 THEN 'gmail.com' WHEN 2 THEN 'acme.com'
+              WHEN 3 THEN 'cuvox.de' END AS R_emaildomain,
+         CASE o.o_orderkey % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' END AS DeviceType,
+         CASE o.o_orderkey % 5 WHEN 0 THEN 'iOS' WHEN 1 THEN 'Windows' WHEN 2 THEN 'missing' END AS DeviceInfo,
+         CAST(CAST(floor(o.o_totalprice) AS BIGINT) % 997 - 100 AS DOUBLE) AS dist1, CAST(c.c_nationkey AS DOUBLE) AS addr1,
+         CAST(n.n_regionkey AS DOUBLE) AS addr2,
+         CAST(o.o_orderstatus = 'P' AS INTEGER) AS is_fraud,
+         hour(o.o_orderdate) AS hour_of_day, isodow(o.o_orderdate) - 1 AS day_of_week
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+       LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+GEO = """geo AS (
+  SELECT *, 25.25 + CAST((card_id * 7) % 23 AS DOUBLE) AS lat,
+         -119.5 + CAST((card_id * 11) % 50 AS DOUBLE) AS long,
+         25.25 + CAST((card_id * 7) % 23 AS DOUBLE) + CAST(txn_id % 21 - 10 AS DOUBLE) / 4.0 AS merch_lat,
+         -119.5 + CAST((card_id * 11) % 50 AS DOUBLE) + CAST((txn_id * 3) % 41 - 20 AS DOUBLE) / 2.0 AS merch_long,
+         DATE '1950-01-01' + CAST((card_id * 97) % 18000 AS INTEGER) AS dob
+  FROM feat)"""
+
+ACT = """act AS (
+  SELECT vec_id AS row_idx, embedding AS activation_vector,
+         ((vec_id * 37) % 101) / 100.0 AS fraud_score,
+         CAST(label = 0 AS INTEGER) AS label, label AS class_id
+  FROM embeddings)"""
+
+ANON_SQL = ("('protonmail.com','guerrillamail.com','yopmail.com','dispostable.com','mailnull.com',"
+            "'sharklasers.com','trashmail.com','tempr.email','cuvox.de','anonaddy.com',"
+            "'tutanota.com','cock.li')")
+FREE_SQL = ("('gmail.com','yahoo.com','hotmail.com','outlook.com','aol.com','live.com','icloud.com',"
+            "'me.com','msn.com','comcast.net','yahoo.fr','yahoo.co.uk','yahoo.de','yahoo.es',"
+            "'yahoo.co.jp','hotmail.co.uk','hotmail.fr','hotmail.de','att.net','verizon.net',"
+            "'sbcglobal.net','frontier.com')")
+
+
+def email_group_sql(col: str) -> str:
+    return (f"CASE WHEN {col} IS NULL THEN 'missing' WHEN lower({col}) IN {ANON_SQL} THEN 'anonymous' "
+            f"WHEN lower({col}) IN {FREE_SQL} THEN 'free' ELSE 'corporate' END")
+
+
+ORACLES["ecom_features"] = f"""
+WITH {ECOM}
+SELECT txn_id, card_id, ts_sec, hour_of_day, day_of_week, TransactionAmt,
+       {email_group_sql('P_emaildomain')} AS p_email_group,
+       {email_group_sql('R_emaildomain')} AS r_email_group,
+       CAST(CASE WHEN P_emaildomain IS NULL OR R_emaildomain IS NULL THEN -1.0
+            WHEN P_emaildomain = R_emaildomain THEN 1.0 ELSE 0.0 END AS DOUBLE) AS email_match,
+       'ieee-fraud-detection' AS dataset_source, is_fraud
+FROM ecom"""
+
+ORACLES["offset_timestamps"] = """
+SELECT o_orderkey AS txn_id,
+       epoch_us(TIMESTAMP '2017-11-30 00:00:00' + to_seconds(o_orderkey * 3607)) // 1000000 AS ts_sec,
+       hour(TIMESTAMP '2017-11-30 00:00:00' + to_seconds(o_orderkey * 3607)) AS hour_of_day,
+       isodow(TIMESTAMP '2017-11-30 00:00:00' + to_seconds(o_orderkey * 3607)) - 1 AS day_of_week
+FROM orders"""
+
+ORACLES["card_present_features"] = f"""
+WITH {TXN}, {causal_cte('txn')}, {GEO}
+SELECT txn_id,
+       round(2 * 6371.0 * asin(sqrt(least(
+         pow(sin((radians(merch_lat) - radians(lat)) / 2), 2)
+         + cos(radians(lat)) * cos(radians(merch_lat))
+           * pow(sin((radians(merch_long) - radians(long)) / 2), 2), 1.0))), 6) AS geo_distance_km,
+       date_diff('day', dob, CAST(ts AS DATE)) / 365.25 AS age_at_txn,
+       round(greatest(least(amt_zscore, 10.0), -10.0), 6) AS amt_zscore_clipped,
+       CAST(least(velocity_1h, 200) AS DOUBLE) AS velocity_1h_clipped,
+       round(1.0 / (1.0 + exp(-(amt / 50.0 - 1.0))), 6) AS amt_logistic
+FROM geo"""
+
+
+def score_bin_sql(col: str) -> str:
+    return (f"(CAST({col} >= 0.2 AS INTEGER) + CAST({col} >= 0.4 AS INTEGER) "
+            f"+ CAST({col} >= 0.6000000000000001 AS INTEGER) + CAST({col} >= 0.8 AS INTEGER))")
+
+
+ORACLES["score_bins"] = f"""
+WITH {ACT}
+SELECT row_idx, fraud_score, label, {score_bin_sql('fraud_score')} AS score_bin,
+       CAST(label AS VARCHAR) || '|' || CAST({score_bin_sql('fraud_score')} AS VARCHAR) AS cell
+FROM act"""
+
+ORACLES["text_checks"] = """
+SELECT doc_id,
+       length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AS non_blank,
+       (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) = 0
+        OR substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 1) IN ('-', '•', '*')) AS bullet_ok,
+       (text IS NULL OR lower(trim(text)) IN ('nan', 'none', 'missing', '__missing__', '')) AS is_missing,
+       lang
+FROM documents"""

@@ -74,3 +74,65 @@ def split_report(df: DataFrame) -> DataFrame:
 def q_split_report(spark, sf_dir):
     """Flagship: events -> causal features -> time split -> per-split report."""
     return split_report(time_split(causal_features(T.txn(spark, sf_dir))))
+
+
+# --- ingest and scalar features ------------------------------------------------
+
+from txnlens.functions import scalar as S  # noqa: E402
+from txnlens.functions import text as X  # noqa: E402
+
+
+def ecom_features(df: DataFrame) -> DataFrame:
+    """Email groups, email match and the source tag on e-commerce rows."""
+    return (df.withColumn("p_email_group", S.email_group("P_emaildomain"))
+            .withColumn("r_email_group", S.email_group("R_emaildomain"))
+            .withColumn("email_match", S.email_match("P_emaildomain", "R_emaildomain"))
+            .withColumn("dataset_source", F.lit("ieee-fraud-detection")))
+
+
+@query("ecom_features")
+def q_ecom_features(spark, sf_dir):
+    df = ecom_features(T.ecom(spark, sf_dir))
+    return df.select("txn_id", "card_id", "ts_sec", "hour_of_day", "day_of_week",
+                     "TransactionAmt", "p_email_group", "r_email_group", "email_match",
+                     "dataset_source", "is_fraud")
+
+
+@query("offset_timestamps")
+def q_offset_timestamps(spark, sf_dir):
+    """Reference epoch + offset seconds -> timestamp, hour, Monday-0 weekday."""
+    o = T.read_table(spark, sf_dir, "orders")
+    ts = S.offset_to_timestamp(F.col("o_orderkey") * 3607)
+    return o.select(F.col("o_orderkey").alias("txn_id"), F.unix_seconds(ts).alias("ts_sec"),
+                    S.hour_of_day(ts).alias("hour_of_day"), S.day_of_week(ts).alias("day_of_week"))
+
+
+def card_present_features(df: DataFrame) -> DataFrame:
+    return (df.withColumn("geo_distance_km",
+                          S.haversine_km("lat", "long", "merch_lat", "merch_long"))
+            .withColumn("age_at_txn", S.age_years("ts", "dob")))
+
+
+@query("card_present_features")
+def q_card_present_features(spark, sf_dir):
+    df = card_present_features(T.with_geo(causal_features(T.txn(spark, sf_dir))))
+    return df.select(
+        "txn_id", r6("geo_distance_km").alias("geo_distance_km"), "age_at_txn",
+        r6(S.clip_named("amt_zscore")).alias("amt_zscore_clipped"),
+        S.clip_named("velocity_1h").alias("velocity_1h_clipped"),
+        r6(S.logistic(F.col("amt") / 50.0 - 1.0)).alias("amt_logistic"))
+
+
+@query("score_bins")
+def q_score_bins(spark, sf_dir):
+    a = T.act(spark, sf_dir)
+    return a.select("row_idx", "fraud_score", "label", S.score_bin("fraud_score").alias("score_bin"),
+                    S.cell_key("label", "fraud_score").alias("cell"))
+
+
+@query("text_checks")
+def q_text_checks(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", (F.length(X.strip_ws("text")) > 0).alias("non_blank"),
+                    X.starts_with_bullet("text").alias("bullet_ok"),
+                    S.is_missing("text").alias("is_missing"), "lang")

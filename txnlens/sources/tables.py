@@ -94,7 +94,7 @@ def ecom(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(ok, 3) == 0, "desktop").when(F.pmod(ok, 3) == 1, "mobile").alias("DeviceType"),
         F.when(F.pmod(ok, 5) == 0, "iOS").when(F.pmod(ok, 5) == 1, "Windows")
          .when(F.pmod(ok, 5) == 2, "missing").alias("DeviceInfo"),
-        F.col("c_acctbal").cast("double").alias("dist1"),
+        (F.pmod(F.floor("o_totalprice"), F.lit(997)) - 100).cast("double").alias("dist1"),
         F.col("c_nationkey").cast("double").alias("addr1"),
         F.col("n_regionkey").cast("double").alias("addr2"),
         (F.col("o_orderstatus") == "P").cast("int").alias("is_fraud"))
@@ -124,3 +124,16 @@ def recon(spark: SparkSession, sf_dir: str) -> DataFrame:
                       lambda g, h: F.lit(0.8) * g.cast("double") + F.lit(0.2) * h.cast("double"))
     return j.select("row_idx", "activation_vector", pred.alias("pred_vector"),
                     "fraud_score", "label")
+
+
+def with_geo(df: DataFrame) -> DataFrame:
+    """Home / merchant coordinates and a birth date derived from the card and
+    transaction keys, for the card-present distance and age features."""
+    card, tid = F.col("card_id"), F.col("txn_id")
+    lat = F.lit(25.25) + F.pmod(card * 7, F.lit(23)).cast("double")
+    lon = F.lit(-119.5) + F.pmod(card * 11, F.lit(50)).cast("double")
+    return (df.withColumn("lat", lat).withColumn("long", lon)
+            .withColumn("merch_lat", lat + (F.pmod(tid, F.lit(21)) - 10).cast("double") / 4.0)
+            .withColumn("merch_long", lon + (F.pmod(tid * 3, F.lit(41)) - 20).cast("double") / 2.0)
+            .withColumn("dob", F.date_add(F.to_date(F.lit("1950-01-01")),
+                                          F.pmod(card * 97, F.lit(18000)).cast("int"))))
