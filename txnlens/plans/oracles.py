@@ -179,3 +179,143 @@ SELECT doc_id,
        (text IS NULL OR lower(trim(text)) IN ('nan', 'none', 'missing', '__missing__', '')) AS is_missing,
        lang
 FROM documents"""
+
+# --- rendering ------------------------------------------------------------------
+
+MISSING_SQL = "('nan', 'none', 'missing', '__missing__', '')"
+
+
+def present_s(c: str) -> str:
+    return f"({c} IS NOT NULL AND lower(trim({c})) NOT IN {MISSING_SQL})"
+
+
+def present_d(c: str) -> str:
+    return f"({c} IS NOT NULL AND NOT isnan({c}))"
+
+
+def hour_label_sql(h: str) -> str:
+    hh = f"(CAST(round_even(CAST({h} AS DOUBLE), 0) AS BIGINT) % 24)"
+    return (f"lpad(CAST({hh} AS VARCHAR), 2, '0') || ':xx (' || CASE WHEN {hh} < 6 THEN 'overnight' "
+            f"WHEN {hh} < 12 THEN 'morning' WHEN {hh} < 18 THEN 'afternoon' ELSE 'evening' END || ')'")
+
+
+def day_name_sql(d: str) -> str:
+    return ("['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"
+            f"[CAST(round_even(CAST({d} AS DOUBLE), 0) AS BIGINT) % 7 + 1]")
+
+
+def time_part_sql() -> str:
+    inner = (f"concat_ws(', ', CASE WHEN {present_d('hour_of_day')} THEN {hour_label_sql('hour_of_day')} END, "
+             f"CASE WHEN {present_d('day_of_week')} THEN {day_name_sql('day_of_week')} END)")
+    return f"CASE WHEN {inner} <> '' THEN 'Time: ' || {inner} END"
+
+
+def z_label_sql(z: str) -> str:
+    return (f"printf('z=%+.1f (%s)', {z}, CASE WHEN {z} > 4 THEN 'extremely high' WHEN {z} > 2 THEN 'high' "
+            f"WHEN {z} > 0.5 THEN 'above average' WHEN {z} < -2 THEN 'very low' "
+            f"WHEN {z} < -0.5 THEN 'below average' ELSE 'typical' END)")
+
+
+def tail_sql(tenure: str) -> str:
+    return ", ".join([
+        f"CASE WHEN {present_d('velocity_1h')} THEN printf('Card velocity: %d txn in past 1h', "
+        f"CAST(round_even(CAST(velocity_1h AS DOUBLE), 0) AS BIGINT)) END",
+        f"CASE WHEN {present_d('velocity_24h')} THEN printf('Card velocity: %d txn in past 24h', "
+        f"CAST(round_even(CAST(velocity_24h AS DOUBLE), 0) AS BIGINT)) END",
+        f"CASE WHEN {present_d('amt_zscore')} THEN 'Amount vs card history: ' || {z_label_sql('amt_zscore')} END",
+        f"CASE WHEN {present_d('card_tenure_days')} THEN {tenure} END",
+        f"CASE WHEN {present_d('fraud_score')} THEN printf('Model fraud score: %.3f', fraud_score) END",
+    ])
+
+
+TENURE_CP = ("CASE WHEN card_tenure_days < 1 THEN 'Card tenure: new card' "
+             "WHEN card_tenure_days < 30 THEN printf('Card tenure: %.0f days', card_tenure_days) "
+             "ELSE printf('Card tenure: %.0f days (%.1f months)', card_tenure_days, card_tenure_days / 30) END")
+TENURE_EC = ("CASE WHEN card_tenure_days < 1 THEN 'Card tenure: new card (first seen today)' "
+             "WHEN card_tenure_days < 7 THEN printf('Card tenure: %.0f day(s)', card_tenure_days) "
+             "WHEN card_tenure_days < 30 THEN printf('Card tenure: %.0f days (%.1f weeks)', card_tenure_days, card_tenure_days / 7) "
+             "ELSE printf('Card tenure: %.0f days (%.1f months)', card_tenure_days, card_tenure_days / 30) END")
+
+CAT_MAP_SQL = ("MAP {'gas_transport': 'gas station / transport', 'grocery_pos': 'grocery store (in-person)', "
+               "'grocery_net': 'grocery store (online)', 'home': 'home goods', 'entertainment': 'entertainment', "
+               "'food_dining': 'food & dining', 'personal_care': 'personal care', "
+               "'health_fitness': 'health & fitness', 'shopping_pos': 'retail shopping (in-person)', "
+               "'shopping_net': 'retail shopping (online)', 'misc_pos': 'misc retail (in-person)', "
+               "'misc_net': 'misc retail (online)', 'travel': 'travel', 'kids_pets': 'kids & pets'}")
+
+CP_CATEGORY = """CASE pmod_cat WHEN 0 THEN 'misc_net' WHEN 1 THEN 'grocery_pos' WHEN 2 THEN 'travel'
+                 WHEN 3 THEN 'kids_pets' WHEN 4 THEN 'gas_transport' ELSE category END"""
+
+RENDER_CP_SQL = f"""concat_ws('; ',
+    CASE WHEN {present_s('merchant')} THEN 'Merchant: ' || merchant ||
+           CASE WHEN {present_s('category')} THEN ' (' || coalesce({CAT_MAP_SQL}[category], category) || ')' ELSE '' END
+         WHEN {present_s('category')} THEN 'Category: ' || coalesce({CAT_MAP_SQL}[category], category) END,
+    CASE WHEN {present_d('amt')} THEN printf('Amount: $%.2f', amt) END,
+    {time_part_sql()},
+    CASE WHEN {present_d('age_at_txn')} THEN printf('Cardholder age: %.0f years', age_at_txn) END,
+    CASE WHEN {present_d('geo_distance_km')} THEN printf('Distance home→merchant: %.1f km (%s)', geo_distance_km,
+         CASE WHEN geo_distance_km < 5 THEN 'local' WHEN geo_distance_km < 50 THEN 'nearby'
+              WHEN geo_distance_km < 500 THEN 'regional' ELSE 'far/unusual' END) END,
+    {tail_sql(TENURE_CP)}) || '.'"""
+
+ORACLES["render_card_present"] = f"""
+WITH {TXN}, {causal_cte('txn')}, {GEO},
+cp AS (
+  SELECT txn_id, CASE WHEN txn_id % 7 = 3 THEN NULL ELSE merchant END AS merchant,
+         {CP_CATEGORY.replace('pmod_cat', '(txn_id % 9)')} AS category,
+         amt, hour_of_day, day_of_week, velocity_1h, velocity_24h, amt_zscore, card_tenure_days,
+         2 * 6371.0 * asin(sqrt(least(
+           pow(sin((radians(merch_lat) - radians(lat)) / 2), 2)
+           + cos(radians(lat)) * cos(radians(merch_lat))
+             * pow(sin((radians(merch_long) - radians(long)) / 2), 2), 1.0))) AS geo_distance_km,
+         date_diff('day', dob, CAST(ts AS DATE)) / 365.25 AS age_at_txn,
+         ((txn_id * 37) % 101) / 100.0 AS fraud_score
+  FROM geo)
+SELECT txn_id, {RENDER_CP_SQL} AS rendered FROM cp"""
+
+PROD_MAP_SQL = ("MAP {'W': 'web purchase', 'H': 'hotel/lodging', 'C': 'card-present', "
+                "'S': 'service/subscription', 'R': 'retail purchase'}")
+
+RENDER_EC_SQL = f"""concat_ws('; ',
+    CASE WHEN {present_s('ProductCD')} THEN 'Transaction type: ' ||
+         coalesce({PROD_MAP_SQL}[upper(ProductCD)], 'product code ' || ProductCD) END,
+    CASE WHEN {present_d('TransactionAmt')} THEN printf('Amount: $%.2f', TransactionAmt) END,
+    {time_part_sql()},
+    CASE WHEN concat_ws(' ', CASE WHEN {present_s('card4')} THEN card4 END,
+                             CASE WHEN {present_s('card6')} THEN card6 END) <> ''
+         THEN 'Card: ' || concat_ws(' ', CASE WHEN {present_s('card4')} THEN card4 END,
+                                         CASE WHEN {present_s('card6')} THEN card6 END) END,
+    CASE WHEN {present_s('P_emaildomain')} THEN 'Purchaser email: ' || P_emaildomain ||
+           CASE WHEN {present_s('p_email_group')} THEN ' [' || p_email_group || ']' ELSE '' END ||
+           CASE WHEN lower(P_emaildomain) IN {ANON_SQL} THEN ' (privacy/anonymous)' ELSE '' END
+         WHEN {present_s('p_email_group')} THEN 'Purchaser email: missing (group=' || p_email_group || ')' END,
+    CASE WHEN {present_s('R_emaildomain')} AND R_emaildomain IS DISTINCT FROM P_emaildomain
+         THEN 'Recipient email: ' || R_emaildomain END,
+    CASE WHEN {present_d('email_match')} AND email_match = 1.0 THEN 'Email match: purchaser and recipient domains match'
+         WHEN {present_d('email_match')} AND email_match = 0.0 THEN 'Email match: purchaser and recipient domains differ' END,
+    CASE WHEN concat_ws(' ', CASE WHEN {present_s('DeviceType')} THEN DeviceType END,
+                             CASE WHEN {present_s('DeviceInfo')} AND DeviceInfo NOT IN ('missing', '__missing__')
+                                  THEN '(' || DeviceInfo || ')' END) <> ''
+         THEN 'Device: ' || concat_ws(' ', CASE WHEN {present_s('DeviceType')} THEN DeviceType END,
+                             CASE WHEN {present_s('DeviceInfo')} AND DeviceInfo NOT IN ('missing', '__missing__')
+                                  THEN '(' || DeviceInfo || ')' END) END,
+    CASE WHEN geo_inner <> '' THEN 'Geography: ' || geo_inner END,
+    {tail_sql(TENURE_EC)}) || '.'"""
+
+ORACLES["render_ecom"] = f"""
+WITH {ECOM.replace('ecom AS', 'ecom0 AS')},
+ecom AS (SELECT txn_id, card_id, ts_sec, TransactionAmt AS amt, * EXCLUDE (txn_id, card_id, ts_sec) FROM ecom0),
+{causal_cte('ecom')},
+e2 AS (
+  SELECT *, {email_group_sql('P_emaildomain')} AS p_email_group,
+         CAST(CASE WHEN P_emaildomain IS NULL OR R_emaildomain IS NULL THEN -1.0
+              WHEN P_emaildomain = R_emaildomain THEN 1.0 ELSE 0.0 END AS DOUBLE) AS email_match,
+         concat_ws(', ',
+           CASE WHEN {present_d('addr2')} THEN CASE WHEN addr2 >= 0
+                THEN 'country code ' || CAST(CAST(trunc(addr2) AS BIGINT) AS VARCHAR)
+                ELSE CAST(addr2 AS VARCHAR) END END,
+           CASE WHEN {present_d('addr1')} THEN 'billing zip prefix ' || CAST(CAST(trunc(addr1) AS BIGINT) AS VARCHAR) END,
+           CASE WHEN {present_d('dist1')} AND dist1 > 0 THEN printf('address–card distance %.0f mi', dist1) END) AS geo_inner,
+         CAST(NULL AS DOUBLE) AS fraud_score
+  FROM feat)
+SELECT txn_id, {RENDER_EC_SQL} AS rendered FROM e2"""

@@ -136,3 +136,37 @@ def q_text_checks(spark, sf_dir):
     return d.select("doc_id", (F.length(X.strip_ws("text")) > 0).alias("non_blank"),
                     X.starts_with_bullet("text").alias("bullet_ok"),
                     S.is_missing("text").alias("is_missing"), "lang")
+
+
+# --- rendering ---------------------------------------------------------------------
+
+from txnlens.functions import render as R  # noqa: E402
+
+_CP_CATS = ["misc_net", "grocery_pos", "travel", "kids_pets", "gas_transport"]
+
+
+@query("render_card_present")
+def q_render_card_present(spark, sf_dir):
+    """Card-present rows rendered as English. A few merchants are blanked and
+    a few categories mapped onto the category table so every branch runs."""
+    df = card_present_features(T.with_geo(causal_features(T.txn(spark, sf_dir))))
+    k9 = F.pmod(F.col("txn_id"), F.lit(9))
+    cat = F.col("category")
+    for i, name in reversed(list(enumerate(_CP_CATS))):
+        cat = F.when(k9 == i, F.lit(name)).otherwise(cat)
+    df = (df.withColumn("merchant", F.when(F.pmod(F.col("txn_id"), F.lit(7)) == 3, F.lit(None))
+                        .otherwise(F.col("merchant")))
+          .withColumn("category", cat)
+          .withColumn("fraud_score", F.pmod(F.col("txn_id") * 37, F.lit(101)) / F.lit(100.0))
+          .select("txn_id", "merchant", "category", "amt", "hour_of_day", "day_of_week",
+                  "velocity_1h", "velocity_24h", "amt_zscore", "card_tenure_days",
+                  "geo_distance_km", "age_at_txn", "fraud_score"))
+    return df.select("txn_id", R.render(df, "sparkov").alias("rendered"))
+
+
+@query("render_ecom")
+def q_render_ecom(spark, sf_dir):
+    """E-commerce rows (orders joined to their customer) rendered as English."""
+    e = T.ecom(spark, sf_dir).withColumn("amt", F.col("TransactionAmt"))
+    df = ecom_features(causal_features(e))
+    return df.select("txn_id", R.render(df, "ieee-fraud-detection").alias("rendered"))
