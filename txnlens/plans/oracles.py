@@ -319,3 +319,98 @@ e2 AS (
          CAST(NULL AS DOUBLE) AS fraud_score
   FROM feat)
 SELECT txn_id, {RENDER_EC_SQL} AS rendered FROM e2"""
+
+# --- vectors and metrics -----------------------------------------------------------
+
+RECON = """recon AS (
+  SELECT a.row_idx, CAST(a.activation_vector AS DOUBLE[]) AS g,
+         list_transform(range(1, len(a.activation_vector) + 1),
+           lambda i: 0.8 * CAST(a.activation_vector[i] AS DOUBLE)
+                   + 0.2 * CAST(coalesce(b.activation_vector, a.activation_vector)[i] AS DOUBLE)) AS p,
+         a.fraud_score, a.label
+  FROM act a LEFT JOIN act b ON b.row_idx = a.row_idx + 1)"""
+
+
+def _norm(v: str) -> str:
+    return f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+
+
+def _to_metric(v: str, d: str) -> str:
+    return f"list_transform({v}, lambda x: x / ({_norm(v)} + 1e-8) * sqrt({d}))"
+
+
+NRM = f"""nrm AS (
+  SELECT row_idx, label, fraud_score, len(g) AS d,
+         {_to_metric('g', 'len(g)')} AS gn, {_to_metric('p', 'len(g)')} AS pn,
+         list_sum(list_transform(range(1, len(g) + 1), lambda i: g[i] * p[i]))
+           / greatest({_norm('g')} * {_norm('p')}, 1e-8) AS cos
+  FROM recon)"""
+
+ROWMSE = """rowmse AS (
+  SELECT *, list_sum(list_transform(range(1, d + 1), lambda i: (pn[i] - gn[i]) * (pn[i] - gn[i]))) / d AS mse
+  FROM nrm)"""
+
+
+def fve_sql(group: str | None) -> str:
+    """FVE by its two-pass definition: mean over rows and dims of the squared
+    error over the same for the deviation from the per-dim mean."""
+    g = group or "'all'"
+    return f"""dims AS (
+  SELECT {g} AS slice, row_idx, unnest(range(1, d + 1)) AS i, unnest(gn) AS gv, unnest(pn) AS pv FROM nrm),
+mu AS (SELECT slice, i, avg(gv) AS m FROM dims GROUP BY slice, i),
+agg AS (
+  SELECT d.slice, count(DISTINCT d.row_idx) AS n, avg((d.pv - d.gv) * (d.pv - d.gv)) AS num,
+         avg((d.gv - mu.m) * (d.gv - mu.m)) AS den
+  FROM dims d JOIN mu ON d.slice = mu.slice AND d.i = mu.i GROUP BY d.slice)"""
+
+
+ORACLES["vector_norms"] = f"""
+WITH {ACT}
+SELECT row_idx, round({_norm('CAST(activation_vector AS DOUBLE[])')}, 6) AS l2_norm,
+       list_transform(CAST(activation_vector AS DOUBLE[]),
+         lambda x: round(x / greatest({_norm('CAST(activation_vector AS DOUBLE[])')}, 1e-8), 6)) AS activation_vector_normed
+FROM act"""
+
+ORACLES["vector_mean"] = f"""
+WITH {ACT},
+dims AS (SELECT class_id, unnest(range(1, len(activation_vector) + 1)) AS i,
+                unnest(CAST(activation_vector AS DOUBLE[])) AS v FROM act),
+m AS (SELECT class_id, i, avg(v) AS mv FROM dims GROUP BY class_id, i),
+c AS (SELECT class_id, count(*) AS n FROM act GROUP BY class_id)
+SELECT m.class_id, c.n, list(round(mv, 6) ORDER BY i) AS mean_vector
+FROM m JOIN c USING (class_id) GROUP BY m.class_id, c.n"""
+
+ORACLES["fve_by_label"] = f"""
+WITH {ACT}, {RECON}, {NRM}, {ROWMSE},
+{fve_sql('CAST(label AS VARCHAR)')}
+SELECT slice, n, round(num, 6) AS mse_nrm,
+       round(CASE WHEN den <> 0 THEN 1 - num / den END, 6) AS fve_nrm
+FROM agg
+UNION ALL
+SELECT 'all', count(*), round(avg(mse), 6), NULL FROM rowmse"""
+
+ORACLES["cosine_summary"] = f"""
+WITH {ACT}, {RECON}, {NRM}
+SELECT count(*) AS n, round(avg(cos), 6) AS cos_mean,
+       round(quantile_disc(cos, 0.5), 6) AS cos_median,
+       round(quantile_cont(cos, 0.1), 6) AS cos_p10, round(quantile_cont(cos, 0.9), 6) AS cos_p90
+FROM nrm"""
+
+SCORED = """scored AS (
+  SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS score, l.quality AS label, l.toxic
+  FROM documents d JOIN labels l USING (doc_id))"""
+
+ORACLES["auc_ap"] = f"""
+WITH {SCORED},
+pairs AS (
+  SELECT sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END) AS u
+  FROM scored p JOIN scored q ON p.label = 1 AND q.label = 0),
+cnt AS (SELECT sum(label) AS np, count(*) - sum(label) AS nn FROM scored),
+thr AS (
+  SELECT s.score, sum(CASE WHEN t.label = 1 THEN 1 ELSE 0 END) AS tp, count(*) AS k,
+         (SELECT count(*) FROM scored z WHERE z.score = s.score AND z.label = 1) AS pos_here
+  FROM (SELECT DISTINCT score FROM scored) s JOIN scored t ON t.score >= s.score GROUP BY s.score)
+SELECT round(pairs.u / (cnt.np * cnt.nn), 6) AS auc_roc,
+       round((SELECT sum(pos_here * tp / k) FROM thr) / cnt.np, 6) AS average_precision,
+       CAST(cnt.np AS DOUBLE) AS n_pos, CAST(cnt.nn AS DOUBLE) AS n_neg
+FROM pairs, cnt"""

@@ -170,3 +170,61 @@ def q_render_ecom(spark, sf_dir):
     e = T.ecom(spark, sf_dir).withColumn("amt", F.col("TransactionAmt"))
     df = ecom_features(causal_features(e))
     return df.select("txn_id", R.render(df, "ieee-fraud-detection").alias("rendered"))
+
+
+# --- vectors and metrics ----------------------------------------------------------
+
+from txnlens.functions import vectors as V  # noqa: E402
+from txnlens.operators import metrics as M  # noqa: E402
+
+
+def _round_vec(c) -> F.Column:
+    return F.transform(c, lambda x: F.round(x.cast("double"), 6))
+
+
+@query("vector_norms")
+def q_vector_norms(spark, sf_dir):
+    a = T.act(spark, sf_dir)
+    return a.select("row_idx", r6(V.vec_norm("activation_vector")).alias("l2_norm"),
+                    _round_vec(V.unit_stored("activation_vector")).alias("activation_vector_normed"))
+
+
+@query("vector_mean")
+def q_vector_mean(spark, sf_dir):
+    m = M.vector_mean(T.act(spark, sf_dir), "activation_vector", by=["class_id"])
+    return m.select("class_id", "n", _round_vec(F.col("mean_vector")).alias("mean_vector"))
+
+
+@query("fve_by_label")
+def q_fve_by_label(spark, sf_dir):
+    """FVE / MSE per label slice and MSE overall (FVE null on the overall
+    line to keep one output shape)."""
+    r = T.recon(spark, sf_dir).withColumn("slice", F.col("label").cast("string"))
+    per = M.fve(r, "pred_vector", "activation_vector", by=["slice"])
+    overall = M.mse_nrm(r, "pred_vector", "activation_vector").select(
+        F.lit("all").alias("slice"), "n", "mse_nrm", F.lit(None).cast("double").alias("fve_nrm"))
+    return per.unionByName(overall).select("slice", "n", r6("mse_nrm").alias("mse_nrm"),
+                                           r6("fve_nrm").alias("fve_nrm"))
+
+
+@query("cosine_summary")
+def q_cosine_summary(spark, sf_dir):
+    s = M.cosine_summary(T.recon(spark, sf_dir), "pred_vector", "activation_vector", key="row_idx")
+    return s.select("n", *[r6(c).alias(c) for c in ["cos_mean", "cos_median", "cos_p10", "cos_p90"]])
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    d = T.read_table(spark, sf_dir, "documents")
+    lab = T.read_table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("score"),
+                                        F.col("quality").alias("label"), "toxic")
+
+
+@query("auc_ap")
+def q_auc_ap(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    auc = M.auc_roc(s, "score", "label")
+    ap = M.average_precision(s, "score", "label")
+    return M.merge_rows(auc, ap).select(r6("auc_roc").alias("auc_roc"),
+                                        r6("average_precision").alias("average_precision"),
+                                        "n_pos", "n_neg")
