@@ -414,3 +414,53 @@ SELECT round(pairs.u / (cnt.np * cnt.nn), 6) AS auc_roc,
        round((SELECT sum(pos_here * tp / k) FROM thr) / cnt.np, 6) AS average_precision,
        CAST(cnt.np AS DOUBLE) AS n_pos, CAST(cnt.nn AS DOUBLE) AS n_neg
 FROM pairs, cnt"""
+
+# --- sampling -------------------------------------------------------------------
+
+
+def md5_order(seed: int, key: str) -> str:
+    return f"md5('{seed}:' || CAST({key} AS VARCHAR)), {key}"
+
+
+ORACLES["exact_sample"] = f"""
+WITH {ACT}
+SELECT row_idx, fraud_score, label FROM act ORDER BY {md5_order(7, 'row_idx')} LIMIT 50"""
+
+ORACLES["head_rows"] = """
+SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 20"""
+
+CELLS = f"""cells AS (
+  SELECT *, CAST(label AS VARCHAR) || '|' || CAST({score_bin_sql('fraud_score')} AS VARCHAR) AS cell FROM act),
+smp AS (SELECT * FROM cells WHERE fraud_score >= 0.5 OR row_idx % 5 = 0),
+nat AS (SELECT cell, count(*) AS n_population, count(*) / sum(count(*)) OVER () AS p_nat FROM cells GROUP BY cell),
+ps AS (SELECT cell, count(*) AS n_sample, count(*) / sum(count(*)) OVER () AS p_smp FROM smp GROUP BY cell),
+w AS (
+  SELECT ps.cell, coalesce(nat.n_population, 0) AS n_population, ps.n_sample,
+         coalesce(nat.p_nat, 0) / ps.p_smp AS raw FROM ps LEFT JOIN nat USING (cell)),
+wn AS (SELECT cell, n_population, n_sample,
+              raw / (sum(raw * n_sample) OVER () / sum(n_sample) OVER ()) AS weight FROM w)"""
+
+ORACLES["importance_weights"] = f"""
+WITH {ACT}, {CELLS}
+SELECT cell, n_population, n_sample, round(weight, 6) AS weight FROM wn"""
+
+ORACLES["weighted_metric"] = f"""
+WITH {ACT}, {CELLS}
+SELECT label, count(*) AS n, round(sum(weight * fraud_score) / sum(weight), 6) AS wmean_fraud_score,
+       round(avg(fraud_score), 6) AS mean_fraud_score
+FROM smp JOIN wn USING (cell) GROUP BY label"""
+
+ORACLES["holdout_carve"] = f"""
+WITH {ACT}
+SELECT row_idx, CASE WHEN row_number() OVER (ORDER BY {md5_order(5, 'row_idx')}) <= 100
+                     THEN 'holdout' ELSE 'pool' END AS part
+FROM act"""
+
+ORACLES["derangement"] = f"""
+WITH {ACT},
+r AS (SELECT row_idx, row_number() OVER (ORDER BY {md5_order(11, 'row_idx')}) - 1 AS rk,
+             count(*) OVER () AS n FROM act)
+SELECT a.row_idx, b.row_idx AS partner, a.n AS n_rows FROM r a JOIN r b ON b.rk = (a.rk + 1) % a.n"""
+
+ORACLES["rollout_expand"] = """
+SELECT conv_id, turn, unnest(range(0, 4)) AS rollout_id FROM conversations WHERE role = 'user'"""

@@ -228,3 +228,77 @@ def q_auc_ap(spark, sf_dir):
     return M.merge_rows(auc, ap).select(r6("auc_roc").alias("auc_roc"),
                                         r6("average_precision").alias("average_precision"),
                                         "n_pos", "n_neg")
+
+
+# --- sampling ------------------------------------------------------------------
+
+from txnlens.operators import sampling as SM  # noqa: E402
+
+
+@query("exact_sample")
+def q_exact_sample(spark, sf_dir):
+    return SM.exact_sample(T.act(spark, sf_dir), "row_idx", 50, seed=7).select(
+        "row_idx", "fraud_score", "label")
+
+
+@query("head_rows")
+def q_head_rows(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "documents")
+    return SM.head(d, "doc_id", 20).select("doc_id", "lang", "n_chars")
+
+
+def biased_sample(a: DataFrame) -> DataFrame:
+    """Rows that survived a score-biased selection (stand-in for the rows whose
+    summaries were generated)."""
+    return a.where((F.col("fraud_score") >= 0.5) | (F.pmod(F.col("row_idx"), F.lit(5)) == 0))
+
+
+@query("importance_weights")
+def q_importance_weights(spark, sf_dir):
+    a = T.act(spark, sf_dir).withColumn("cell", S.cell_key("label", "fraud_score"))
+    w = SM.importance_weights(biased_sample(a), a, "cell")
+    return w.select("cell", "n_population", "n_sample", r6("weight").alias("weight"))
+
+
+@query("weighted_metric")
+def q_weighted_metric(spark, sf_dir):
+    """Per-label mean score of the biased sample, raw and reweighted back to
+    the population with the importance weights."""
+    a = T.act(spark, sf_dir).withColumn("cell", S.cell_key("label", "fraud_score"))
+    smp = biased_sample(a)
+    w = SM.importance_weights(smp, a, "cell").select("cell", "weight")
+    j = smp.join(F.broadcast(w), "cell")
+    m = M.weighted_mean(j, "fraud_score", "weight", by=["label"])
+    return m.select("label", "n", r6("wmean_fraud_score").alias("wmean_fraud_score"),
+                    r6("mean_fraud_score").alias("mean_fraud_score"))
+
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf_dir):
+    s = SM.stratified_sample(T.act(spark, sf_dir), "row_idx", n=100, natural_frac=0.2, seed=3)
+    return s.select("row_idx", "label", "fraud_score", r6("sample_weight").alias("sample_weight"))
+
+
+@query("class_fraction_resample")
+def q_class_fraction_resample(spark, sf_dir):
+    s = SM.class_fraction_resample(T.act(spark, sf_dir), "row_idx", n=200, fraction=0.3,
+                                   seed=5, label="label")
+    return s.select("row_idx", "draw", "label")
+
+
+@query("holdout_carve")
+def q_holdout_carve(spark, sf_dir):
+    pool, hold = SM.carve_holdout(T.act(spark, sf_dir), "row_idx", 100, seed=5)
+    return (hold.select("row_idx", F.lit("holdout").alias("part"))
+            .unionByName(pool.select("row_idx", F.lit("pool").alias("part"))))
+
+
+@query("derangement")
+def q_derangement(spark, sf_dir):
+    return SM.derange(T.act(spark, sf_dir), "row_idx", seed=11)
+
+
+@query("rollout_expand")
+def q_rollout_expand(spark, sf_dir):
+    c = T.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return SM.expand(c, 4).select("conv_id", "turn", "rollout_id")
