@@ -464,3 +464,82 @@ SELECT a.row_idx, b.row_idx AS partner, a.n AS n_rows FROM r a JOIN r b ON b.rk
 
 ORACLES["rollout_expand"] = """
 SELECT conv_id, turn, unnest(range(0, 4)) AS rollout_id FROM conversations WHERE role = 'user'"""
+
+# --- preprocessing -------------------------------------------------------------
+
+PREP = f"""{TXN}, {causal_cte('txn')}, {split_cte('feat')},
+prep AS (SELECT * EXCLUDE (amt), CASE WHEN txn_id % 50 = 0 THEN NULL ELSE amt END AS amt,
+                'd' || CAST((txn_id * 13) % 997 AS VARCHAR) AS device FROM split),
+train AS (SELECT * FROM prep WHERE train_split = 'train'),
+longc AS (
+  SELECT 'merchant' AS col, coalesce(merchant, '__missing__') AS value FROM train
+  UNION ALL SELECT 'category', coalesce(category, '__missing__') FROM train
+  UNION ALL SELECT 'device', coalesce(device, '__missing__') FROM train),
+cnt AS (SELECT col, value, count(*) AS n FROM longc GROUP BY col, value),
+nu AS (SELECT col, count(*) AS n_unique FROM cnt GROUP BY col),
+rk AS (SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS r FROM cnt),
+top AS (SELECT rk.col, rk.value FROM rk JOIN nu USING (col) WHERE nu.n_unique <= 200 OR rk.r <= 200),
+voc0 AS (
+  SELECT col, value FROM top
+  UNION SELECT col, '__rare__' FROM nu WHERE n_unique > 200
+  UNION SELECT col, s FROM nu, (VALUES ('__missing__'), ('__unknown__'), ('__rare__')) t(s)),
+voc AS (SELECT col, value, CAST(row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS INTEGER) AS id FROM voc0),
+clipped AS (
+  SELECT *, greatest(least(amt_zscore, 10.0), -10.0) AS c_amt_zscore,
+         CAST(greatest(least(velocity_1h, 200), 0) AS DOUBLE) AS c_velocity_1h,
+         CAST(greatest(least(velocity_24h, 1000), 0) AS DOUBLE) AS c_velocity_24h FROM prep),
+longn AS (
+  SELECT 'amt' AS col, CAST(amt AS DOUBLE) AS x FROM clipped WHERE train_split = 'train'
+  UNION ALL SELECT 'hour_of_day', CAST(hour_of_day AS DOUBLE) FROM clipped WHERE train_split = 'train'
+  UNION ALL SELECT 'day_of_week', CAST(day_of_week AS DOUBLE) FROM clipped WHERE train_split = 'train'
+  UNION ALL SELECT 'amt_zscore', c_amt_zscore FROM clipped WHERE train_split = 'train'
+  UNION ALL SELECT 'velocity_1h', c_velocity_1h FROM clipped WHERE train_split = 'train'
+  UNION ALL SELECT 'velocity_24h', c_velocity_24h FROM clipped WHERE train_split = 'train'
+  UNION ALL SELECT 'card_tenure_days', card_tenure_days FROM clipped WHERE train_split = 'train'),
+med AS (SELECT col, quantile_cont(x, 0.5) AS median FROM longn GROUP BY col),
+st AS (SELECT l.col, avg(coalesce(l.x, m.median)) AS mean, stddev_pop(coalesce(l.x, m.median)) AS std
+       FROM longn l JOIN med m USING (col) GROUP BY l.col),
+stats AS (SELECT col, median, mean, std, CASE WHEN std = 0 OR std IS NULL THEN 1.0 ELSE std END AS scale
+          FROM med JOIN st USING (col))"""
+
+ORACLES["preprocess_vocab"] = f"""
+WITH {PREP}
+SELECT col, value, id FROM voc"""
+
+ORACLES["preprocess_num_stats"] = f"""
+WITH {PREP}
+SELECT col, round(median, 6) AS median, round(mean, 6) AS mean, round(std, 6) AS std,
+       round(scale, 6) AS scale FROM stats"""
+
+
+def _cat_id(c: str) -> str:
+    mapped = (f"CASE WHEN (SELECT n_unique FROM nu WHERE col = '{c}') > 200 "
+              f"AND coalesce({c}, '__missing__') NOT IN (SELECT value FROM top WHERE col = '{c}') "
+              f"THEN '__rare__' ELSE coalesce({c}, '__missing__') END")
+    return (f"coalesce((SELECT id FROM voc WHERE col = '{c}' AND value = {mapped}), "
+            f"(SELECT id FROM voc WHERE col = '{c}' AND value = '__unknown__')) AS {c}_id")
+
+
+def _scaled(c: str, expr: str) -> str:
+    s = f"(SELECT {{}} FROM stats WHERE col = '{c}')"
+    filled = f"coalesce({expr}, {s.format('median')})"
+    centred = f"CAST(CAST(CAST({filled} AS FLOAT) AS DOUBLE) - {s.format('mean')} AS FLOAT)"
+    return f"round(CAST(CAST({centred} AS DOUBLE) / {s.format('scale')} AS FLOAT), 6) AS {c}_scaled"
+
+
+ORACLES["preprocess_apply"] = f"""
+WITH {PREP}
+SELECT txn_id, train_split, {_cat_id('merchant')}, {_cat_id('category')}, {_cat_id('device')},
+       {_scaled('amt', 'CAST(amt AS DOUBLE)')}, {_scaled('hour_of_day', 'CAST(hour_of_day AS DOUBLE)')},
+       {_scaled('day_of_week', 'CAST(day_of_week AS DOUBLE)')}, {_scaled('amt_zscore', 'c_amt_zscore')},
+       {_scaled('velocity_1h', 'c_velocity_1h')}, {_scaled('velocity_24h', 'c_velocity_24h')},
+       {_scaled('card_tenure_days', 'card_tenure_days')}
+FROM clipped"""
+
+ORACLES["positive_weight"] = f"""
+WITH {PREP}
+SELECT CAST(sum(CASE WHEN is_fraud = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg,
+       CAST(sum(CASE WHEN is_fraud = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos,
+       round(sum(CASE WHEN is_fraud = 0 THEN 1 ELSE 0 END)
+             / greatest(1, sum(CASE WHEN is_fraud = 1 THEN 1 ELSE 0 END)), 6) AS pos_weight
+FROM train"""

@@ -302,3 +302,58 @@ def q_derangement(spark, sf_dir):
 def q_rollout_expand(spark, sf_dir):
     c = T.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     return SM.expand(c, 4).select("conv_id", "turn", "rollout_id")
+
+
+# --- preprocessing -------------------------------------------------------------------
+
+from txnlens.operators import preprocess as P  # noqa: E402
+
+PREP_CATS = ["merchant", "category", "device"]
+PREP_NUMS = ["amt", "hour_of_day", "day_of_week", "amt_zscore", "velocity_1h",
+             "velocity_24h", "card_tenure_days"]
+
+
+def prep_input(spark, sf_dir) -> DataFrame:
+    """Causal-feature table with a time split, a ~1000-value device column
+    (exceeds the vocabulary cap) and some missing amounts."""
+    df = time_split(causal_features(T.txn(spark, sf_dir)))
+    return (df.withColumn("device", F.concat(F.lit("d"),
+                                             F.pmod(F.col("txn_id") * 13, F.lit(997)).cast("string")))
+            .withColumn("amt", F.when(F.pmod(F.col("txn_id"), F.lit(50)) == 0, F.lit(None))
+                        .otherwise(F.col("amt"))))
+
+
+def _fit(spark, sf_dir):
+    df = prep_input(spark, sf_dir)
+    vocab, stats = P.fit_preprocessor(df.where(F.col("train_split") == "train"),
+                                      PREP_CATS, PREP_NUMS)
+    return df, vocab, stats
+
+
+@query("preprocess_vocab")
+def q_preprocess_vocab(spark, sf_dir):
+    _, vocab, _ = _fit(spark, sf_dir)
+    return vocab.select("col", "value", "id")
+
+
+@query("preprocess_num_stats")
+def q_preprocess_num_stats(spark, sf_dir):
+    _, _, stats = _fit(spark, sf_dir)
+    return stats.select("col", *[r6(c).alias(c) for c in ["median", "mean", "std", "scale"]])
+
+
+@query("preprocess_apply")
+def q_preprocess_apply(spark, sf_dir):
+    df, vocab, stats = _fit(spark, sf_dir)
+    out = P.apply_preprocessor(df, vocab, stats)
+    return out.select("txn_id", "train_split", *[c + "_id" for c in PREP_CATS],
+                      *[r6(c + "_scaled").alias(c + "_scaled") for c in PREP_NUMS])
+
+
+@query("positive_weight")
+def q_positive_weight(spark, sf_dir):
+    df = prep_input(spark, sf_dir).where(F.col("train_split") == "train")
+    from txnlens.operators.balance import positive_weight
+    return positive_weight(df, "is_fraud").select(
+        F.col("n_neg").cast("bigint").alias("n_neg"), F.col("n_pos").cast("bigint").alias("n_pos"),
+        r6("pos_weight").alias("pos_weight"))
