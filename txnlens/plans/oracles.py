@@ -543,3 +543,107 @@ SELECT CAST(sum(CASE WHEN is_fraud = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg,
        round(sum(CASE WHEN is_fraud = 0 THEN 1 ELSE 0 END)
              / greatest(1, sum(CASE WHEN is_fraud = 1 THEN 1 ELSE 0 END)), 6) AS pos_weight
 FROM train"""
+
+# --- journal, text, rollouts ----------------------------------------------------
+
+ORACLES["latest_by_key"] = """
+SELECT conv_id, turn, role, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
+WHERE r = 1"""
+
+JOURNAL = """jr AS (
+  SELECT doc_id AS row_idx, text AS summary, 0 AS seq FROM documents
+  UNION ALL SELECT doc_id, text || ' (rerun)', 1 FROM documents WHERE doc_id % 10 = 0),
+latest AS (SELECT row_idx, summary FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY seq DESC) AS r FROM jr) WHERE r = 1),
+nb AS (SELECT * FROM latest WHERE length(regexp_replace(summary, '^\\s+|\\s+$', '', 'g')) > 0)"""
+
+ORACLES["journal_pairs"] = f"""
+WITH {ACT}, {JOURNAL}
+SELECT nb.row_idx, act.activation_vector IS NOT NULL AS has_vector, act.label, act.fraud_score,
+       length(nb.summary) AS summary_chars, md5(nb.summary) AS summary_md5
+FROM nb LEFT JOIN act USING (row_idx)"""
+
+ORACLES["pending_work"] = f"""
+WITH {ACT},
+smp AS (SELECT row_idx FROM act ORDER BY {md5_order(9, 'row_idx')} LIMIT 300),
+done AS (SELECT doc_id AS row_idx FROM documents
+         WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AND doc_id % 3 <> 0)
+SELECT row_idx FROM smp WHERE row_idx NOT IN (SELECT row_idx FROM done)"""
+
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+EXPL = f"""ex0 AS (
+  SELECT conv_id, turn, {STRIP.format(x='text')} AS s FROM conversations WHERE role = 'assistant'),
+ex1 AS (
+  SELECT conv_id, turn,
+         CASE WHEN starts_with(s, '<explanation>') THEN s
+              ELSE '<explanation>' || chr(10) || s || chr(10) || '</explanation>' END AS wrapped
+  FROM ex0),
+ex AS (
+  SELECT conv_id, turn, wrapped,
+         CASE WHEN turn % 3 = 0 THEN regexp_replace(wrapped, '\\n</explanation>$', '') ELSE wrapped END AS raw
+  FROM ex1),
+px AS (
+  SELECT *, CASE
+      WHEN regexp_matches(raw, '(?s)<explanation>\\s*(.*?)\\s*</explanation>')
+        THEN regexp_extract(raw, '(?s)<explanation>\\s*(.*?)\\s*</explanation>', 1)
+      WHEN strpos(raw, '<explanation>') > 0
+        THEN {STRIP.format(x="substr(raw, strpos(raw, '<explanation>') + 13)")}
+      ELSE {STRIP.format(x='raw')} END AS parsed,
+      strpos(raw, '</explanation>') > 0 AS has_close_tag
+  FROM ex)"""
+
+ORACLES["explanations"] = f"""
+WITH {EXPL}
+SELECT conv_id, turn, wrapped, parsed, has_close_tag FROM px"""
+
+ORACLES["text_stats"] = f"""
+WITH {EXPL}
+SELECT count(*) AS n, round(avg(length(parsed)), 6) AS mean_explanation_chars,
+       round(100.0 * avg(CASE WHEN has_close_tag THEN 0.0 ELSE 1.0 END), 6) AS pct_missing_close_tag
+FROM px"""
+
+TOKSET = "list_distinct(list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> ''))"
+
+ORACLES["token_jaccard"] = f"""
+WITH p AS (
+  SELECT a.conv_id, a.turn, {TOKSET.format(x='a.text')} AS ta, {TOKSET.format(x='b.text')} AS tb
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 1.0
+                                 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0
+                                 ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END, 6) AS jaccard
+FROM p"""
+
+ORACLES["cache_keys"] = """
+SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR) || ':m'), 1, 16) AS cache_key FROM documents"""
+
+ROLL = """ro0 AS (
+  SELECT conv_id AS group_id, turn AS rollout_id, conv_id % 5 AS step,
+         CAST(-(length(text) % 97) AS DOUBLE) / 97.0 AS reward,
+         list_transform(string_split(text, ' '), lambda w: CAST(length(w) % 10 AS INTEGER)) AS ids
+  FROM conversations),
+ro AS (
+  SELECT *, list_position(ids, 9) AS pos FROM ro0),
+ro2 AS (
+  SELECT *, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN pos IS NULL OR i <= pos THEN 1 ELSE 0 END) AS mask
+  FROM ro),
+ro3 AS (
+  SELECT *, list_sum(mask) AS completion_len,
+         list_sum(list_transform(range(1, len(ids) + 1), lambda i:
+           (exp((-0.12 * ids[i] + 0.01) - (-0.1 * ids[i])) - ((-0.12 * ids[i] + 0.01) - (-0.1 * ids[i])) - 1.0) * mask[i]))
+           / greatest(1.0, list_sum(mask)) AS kl
+  FROM ro2)"""
+
+ORACLES["rollout_advantage"] = f"""
+WITH {ROLL}
+SELECT group_id, rollout_id, round(reward, 6) AS reward,
+       round(CASE WHEN stddev_samp(reward) OVER g IS NOT NULL
+             THEN (reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-4) END, 6) AS advantage
+FROM ro0 WINDOW g AS (PARTITION BY group_id)"""
+
+ORACLES["rollout_report"] = f"""
+WITH {ROLL}
+SELECT step, count(*) AS n, round(avg(reward), 6) AS mean_reward, round(avg(-reward), 6) AS mean_mse,
+       round(avg(completion_len), 6) AS mean_completion_len, round(avg(kl), 6) AS mean_kl
+FROM ro3 GROUP BY step"""

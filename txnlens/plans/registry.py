@@ -357,3 +357,117 @@ def q_positive_weight(spark, sf_dir):
     return positive_weight(df, "is_fraud").select(
         F.col("n_neg").cast("bigint").alias("n_neg"), F.col("n_pos").cast("bigint").alias("n_pos"),
         r6("pos_weight").alias("pos_weight"))
+
+
+# --- journal, text, rollouts -------------------------------------------------------
+
+from txnlens.operators import journal as J  # noqa: E402
+from txnlens.operators import rollouts as RO  # noqa: E402
+
+
+@query("latest_by_key")
+def q_latest_by_key(spark, sf_dir):
+    c = T.read_table(spark, sf_dir, "conversations")
+    return J.latest_by_key(c, "conv_id", "turn").select("conv_id", "turn", "role", "text")
+
+
+def journal_records(spark, sf_dir) -> DataFrame:
+    """Journal of summaries keyed by row: every document is a record, and every
+    tenth document was re-run later (seq 1) with a new text."""
+    d = T.read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_idx"), F.col("text").alias("summary"), F.lit(0).alias("seq"))
+    rerun = (d.where(F.pmod(F.col("row_idx"), F.lit(10)) == 0)
+             .select("row_idx", F.concat("summary", F.lit(" (rerun)")).alias("summary"),
+                     F.lit(1).alias("seq")))
+    return d.unionByName(rerun)
+
+
+@query("journal_pairs")
+def q_journal_pairs(spark, sf_dir):
+    """Latest non-blank summary per row joined to its vector (null when the
+    row has none)."""
+    jr = J.non_blank(J.latest_by_key(journal_records(spark, sf_dir), "row_idx", "seq"), "summary")
+    pairs = J.attach_vectors(jr, T.act(spark, sf_dir), "row_idx")
+    return pairs.select("row_idx", F.col("activation_vector").isNotNull().alias("has_vector"),
+                        "label", "fraud_score", F.length("summary").alias("summary_chars"),
+                        F.md5("summary").alias("summary_md5"))
+
+
+@query("pending_work")
+def q_pending_work(spark, sf_dir):
+    smp = SM.exact_sample(T.act(spark, sf_dir), "row_idx", 300, seed=9)
+    done = J.non_blank(journal_records(spark, sf_dir), "summary").where(
+        F.pmod(F.col("row_idx"), F.lit(3)) != 0)
+    return J.pending(smp, done, "row_idx").select("row_idx")
+
+
+def explanations(spark, sf_dir) -> DataFrame:
+    """Assistant turns wrapped in explanation tags; every third one lost its
+    close tag (a truncated generation)."""
+    c = T.read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    wrapped = X.wrap_explanation("text")
+    raw = F.when(F.pmod(F.col("turn"), F.lit(3)) == 0,
+                 F.regexp_replace(wrapped, "\n</explanation>$", "")).otherwise(wrapped)
+    return c.select("conv_id", "turn", wrapped.alias("wrapped"), raw.alias("raw"))
+
+
+@query("explanations")
+def q_explanations(spark, sf_dir):
+    e = explanations(spark, sf_dir)
+    return e.select("conv_id", "turn", "wrapped", X.parse_explanation("raw").alias("parsed"),
+                    X.has_close_tag("raw").alias("has_close_tag"))
+
+
+@query("text_stats")
+def q_text_stats(spark, sf_dir):
+    e = explanations(spark, sf_dir).withColumn("parsed", X.parse_explanation("raw"))
+    return e.agg(F.count(F.lit(1)).alias("n"),
+                 r6(F.avg(F.length("parsed"))).alias("mean_explanation_chars"),
+                 r6(F.lit(100.0) * F.avg(F.when(X.has_close_tag("raw"), 0.0).otherwise(1.0)))
+                 .alias("pct_missing_close_tag"))
+
+
+@query("token_jaccard")
+def q_token_jaccard(spark, sf_dir):
+    c = T.read_table(spark, sf_dir, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    j = c.join(nxt, ["conv_id", "turn"])
+    return j.select("conv_id", "turn", r6(X.token_jaccard("text", "next_text")).alias("jaccard"))
+
+
+@query("cache_keys")
+def q_cache_keys(spark, sf_dir):
+    d = T.read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.cache_key("doc_id", "m").alias("cache_key"))
+
+
+EOS_ID = 9
+
+
+def rollouts(spark, sf_dir) -> DataFrame:
+    """Rollouts: prompt group = conversation, rollout = turn; token ids and
+    log-probs derived from the words of the text; reward from its length."""
+    c = T.read_table(spark, sf_dir, "conversations")
+    ids = F.transform(F.split("text", " "), lambda w: F.pmod(F.length(w), F.lit(10)).cast("int"))
+    return c.select(
+        F.col("conv_id").alias("group_id"), F.col("turn").alias("rollout_id"),
+        F.pmod(F.col("conv_id"), F.lit(5)).alias("step"),
+        ((-F.pmod(F.length("text"), F.lit(97))).cast("double") / 97.0).alias("reward"),
+        ids.alias("token_ids"),
+        F.transform(ids, lambda x: F.lit(-0.1) * x).alias("logp_policy"),
+        F.transform(ids, lambda x: F.lit(-0.12) * x + F.lit(0.01)).alias("logp_ref"))
+
+
+@query("rollout_advantage")
+def q_rollout_advantage(spark, sf_dir):
+    r = RO.group_advantage(rollouts(spark, sf_dir), "group_id", "reward")
+    return r.select("group_id", "rollout_id", r6("reward").alias("reward"),
+                    r6("advantage").alias("advantage"))
+
+
+@query("rollout_report")
+def q_rollout_report(spark, sf_dir):
+    r = RO.with_token_stats(rollouts(spark, sf_dir), "token_ids", "logp_policy", "logp_ref", EOS_ID)
+    rep = RO.step_report(r)
+    return rep.select("step", "n", *[r6(c).alias(c) for c in
+                                     ["mean_reward", "mean_mse", "mean_completion_len", "mean_kl"]])
