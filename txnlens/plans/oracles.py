@@ -647,3 +647,124 @@ WITH {ROLL}
 SELECT step, count(*) AS n, round(avg(reward), 6) AS mean_reward, round(avg(-reward), 6) AS mean_mse,
        round(avg(completion_len), 6) AS mean_completion_len, round(avg(kl), 6) AS mean_kl
 FROM ro3 GROUP BY step"""
+
+# --- controls and geometry -----------------------------------------------------
+
+RT = f"""{ACT}, {RECON},
+rt AS (
+  SELECT r.*, CASE WHEN starts_with(s, '<explanation>') THEN s
+                   ELSE '<explanation>' || chr(10) || s || chr(10) || '</explanation>' END AS wrapped
+  FROM recon r LEFT JOIN (SELECT doc_id AS row_idx, {STRIP.format(x="coalesce(text, '')")} AS s FROM documents) d
+       USING (row_idx)),
+rt2 AS (SELECT *, CASE WHEN row_idx % 4 = 0 THEN regexp_replace(wrapped, '\\n</explanation>$', '') ELSE wrapped END AS raw FROM rt),
+rt3 AS (SELECT *, CASE
+      WHEN regexp_matches(raw, '(?s)<explanation>\\s*(.*?)\\s*</explanation>')
+        THEN regexp_extract(raw, '(?s)<explanation>\\s*(.*?)\\s*</explanation>', 1)
+      WHEN strpos(raw, '<explanation>') > 0
+        THEN {STRIP.format(x="substr(raw, strpos(raw, '<explanation>') + 13)")}
+      ELSE {STRIP.format(x='raw')} END AS parsed FROM rt2)"""
+
+
+def fve_long(src: str) -> str:
+    """FVE / MSE / cosine per condition of a long (condition, row_idx, g, p)
+    table, by definition."""
+    return f"""ln AS (
+  SELECT condition, row_idx, len(g) AS d, {_to_metric('g', 'len(g)')} AS gn, {_to_metric('p', 'len(g)')} AS pn,
+         list_sum(list_transform(range(1, len(g) + 1), lambda i: g[i] * p[i]))
+           / greatest({_norm('g')} * {_norm('p')}, 1e-8) AS cos
+  FROM {src}),
+ldims AS (SELECT condition, row_idx, unnest(range(1, d + 1)) AS i, unnest(gn) AS gv, unnest(pn) AS pv FROM ln),
+lmu AS (SELECT condition, i, avg(gv) AS m FROM ldims GROUP BY condition, i),
+lagg AS (
+  SELECT d.condition, avg((d.pv - d.gv) * (d.pv - d.gv)) AS num, avg((d.gv - lmu.m) * (d.gv - lmu.m)) AS den
+  FROM ldims d JOIN lmu ON d.condition = lmu.condition AND d.i = lmu.i GROUP BY d.condition),
+lcos AS (SELECT condition, count(*) AS n, avg(cos) AS cos_mean, quantile_disc(cos, 0.5) AS cos_median,
+                quantile_cont(cos, 0.1) AS cos_p10, quantile_cont(cos, 0.9) AS cos_p90 FROM ln GROUP BY condition),
+lres AS (SELECT lcos.*, lagg.num AS mse_nrm, CASE WHEN lagg.den <> 0 THEN 1 - lagg.num / lagg.den END AS fve_nrm
+         FROM lcos JOIN lagg USING (condition))"""
+
+
+ORACLES["roundtrip_report"] = f"""
+WITH {RT},
+lsrc AS (SELECT 'all' AS condition, row_idx, g, p FROM rt3
+         UNION ALL SELECT 'fraud', row_idx, g, p FROM rt3 WHERE label = 1),
+{fve_long('lsrc')},
+t AS (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS n_fraud, avg(length(parsed)) AS mean_explanation_chars,
+             100.0 * avg(CASE WHEN strpos(raw, '</explanation>') > 0 THEN 0.0 ELSE 1.0 END) AS pct_missing_close_tag
+      FROM rt3)
+SELECT t.n, t.n_fraud, round(a.fve_nrm, 6) AS fve_nrm, round(a.mse_nrm, 6) AS mse_nrm,
+       round(a.cos_mean, 6) AS cos_mean, round(a.cos_median, 6) AS cos_median,
+       round(a.cos_p10, 6) AS cos_p10, round(a.cos_p90, 6) AS cos_p90,
+       round(CASE WHEN f.n > 10 THEN f.fve_nrm END, 6) AS fve_fraud_slice,
+       round(t.mean_explanation_chars, 6) AS mean_explanation_chars,
+       round(t.pct_missing_close_tag, 6) AS pct_missing_close_tag
+FROM t, (SELECT * FROM lres WHERE condition = 'all') a LEFT JOIN (SELECT * FROM lres WHERE condition = 'fraud') f ON true"""
+
+SWAP = f"""{RT},
+der AS (SELECT a.row_idx, b.row_idx AS partner FROM
+  (SELECT row_idx, row_number() OVER (ORDER BY {md5_order(0, 'row_idx')}) - 1 AS rk, count(*) OVER () AS n FROM act) a
+  JOIN (SELECT row_idx, row_number() OVER (ORDER BY {md5_order(0, 'row_idx')}) - 1 AS rk FROM act) b
+  ON b.rk = (a.rk + 1) % a.n),
+base AS (SELECT r.row_idx, r.g, r.p, s.p AS sp, r.parsed AS t, s.parsed AS st
+         FROM rt3 r JOIN der USING (row_idx) JOIN rt3 s ON s.row_idx = der.partner),
+mu AS (SELECT list(m ORDER BY i) AS mu FROM (
+  SELECT i, avg(gv / greatest(nrm, 1e-12)) AS m FROM (
+    SELECT unnest(range(1, len(g) + 1)) AS i, unnest(g) AS gv, {_norm('g')} AS nrm FROM rt3) GROUP BY i)),
+lsrc AS (SELECT 'real' AS condition, row_idx, g, p FROM base
+         UNION ALL SELECT 'swap', row_idx, g, sp FROM base
+         UNION ALL SELECT 'floor', row_idx, g, mu FROM base, mu),
+{fve_long('lsrc')}"""
+
+ORACLES["swap_control_metrics"] = f"""
+WITH {SWAP}
+SELECT condition, n, round(fve_nrm, 6) AS fve_nrm, round(mse_nrm, 6) AS mse_nrm,
+       round(cos_mean, 6) AS cos_mean, round(cos_median, 6) AS cos_median FROM lres"""
+
+ORACLES["swap_control_verdict"] = f"""
+WITH {SWAP},
+jac AS (SELECT CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 1.0 WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0
+                    ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END AS j
+        FROM (SELECT {TOKSET.format(x='t')} AS ta, {TOKSET.format(x='st')} AS tb FROM base)),
+v AS (SELECT max(fve_nrm) FILTER (WHERE condition = 'real') AS r,
+             max(fve_nrm) FILTER (WHERE condition = 'swap') AS s,
+             max(fve_nrm) FILTER (WHERE condition = 'floor') AS f FROM lres)
+SELECT round(r, 6) AS real_fve, round(s, 6) AS swap_fve, round(f, 6) AS floor_fve,
+       round(r - s, 6) AS gap_real_minus_swap_fve, round(s - f, 6) AS gap_swap_minus_floor_fve,
+       round((SELECT avg(j) FROM jac), 6) AS jaccard_mean,
+       round((SELECT quantile_cont(j, 0.5) FROM jac), 6) AS jaccard_median,
+       CASE WHEN s - f <= 0.05 AND r - s >= 0.15 THEN 'PASS' WHEN r - s < 0.05 THEN 'FAIL'
+            ELSE 'AMBIGUOUS' END AS verdict
+FROM v"""
+
+ORACLES["pairwise_geometry"] = f"""
+WITH {ACT}, {RECON},
+u AS (SELECT row_idx, list_transform(g, lambda x: x / ({_norm('g')} + 1e-12)) AS a,
+             list_transform(p, lambda x: x / ({_norm('p')} + 1e-12)) AS b FROM recon),
+pr AS (SELECT list_sum(list_transform(range(1, len(x.a) + 1), lambda i: x.a[i] * y.a[i])) AS ci,
+              list_sum(list_transform(range(1, len(x.b) + 1), lambda i: x.b[i] * y.b[i])) AS co
+       FROM u x JOIN u y ON x.row_idx < y.row_idx)
+SELECT count(*) AS n_pairs, round(avg(ci), 6) AS in_mean, round(stddev_pop(ci), 6) AS in_std,
+       round(avg(co), 6) AS out_mean, round(stddev_pop(co), 6) AS out_std, round(corr(ci, co), 6) AS pearson_r
+FROM pr"""
+
+ORACLES["embedding_space"] = f"""
+WITH {ACT}, {RECON},
+nr AS (SELECT {_norm('g')} AS nrm FROM recon),
+md AS (SELECT list(m ORDER BY i) AS m FROM (
+  SELECT i, avg(v) AS m FROM (SELECT unnest(range(1, len(g) + 1)) AS i, unnest(g) AS v FROM recon) GROUP BY i)),
+mdn AS (SELECT list_transform(m, lambda x: x / ({_norm('m')} + 1e-12)) AS mn FROM md),
+cm AS (SELECT list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] / ({_norm('p')} + 1e-12) * mn[i])) AS c
+       FROM recon, mdn),
+un AS (SELECT row_idx, list_transform(p, lambda x: x / ({_norm('p')} + 1e-12)) AS up,
+              list_transform(g, lambda x: x / ({_norm('g')} + 1e-12)) AS ug FROM recon),
+cr AS (SELECT avg(list_sum(list_transform(range(1, len(a.up) + 1), lambda i: a.up[i] * b.ug[i]))) AS c
+       FROM un a, un b)
+SELECT round((SELECT avg(nrm) FROM nr), 6) AS norm_mean, round((SELECT stddev_samp(nrm) FROM nr), 6) AS norm_std,
+       round((SELECT quantile_disc(nrm, 0.5) FROM nr), 6) AS norm_median,
+       round((SELECT quantile_cont(nrm, 0.05) FROM nr), 6) AS norm_p5,
+       round((SELECT quantile_cont(nrm, 0.95) FROM nr), 6) AS norm_p95,
+       round((SELECT avg(c) FROM cm), 6) AS cos_mean_dir_mean,
+       round((SELECT quantile_cont(c, 0.5) FROM cm), 6) AS cos_mean_dir_median,
+       round((SELECT quantile_cont(c, 0.05) FROM cm), 6) AS cos_mean_dir_p5,
+       round((SELECT quantile_cont(c, 0.95) FROM cm), 6) AS cos_mean_dir_p95,
+       round((SELECT c FROM cr), 6) AS cos_random_mean"""

@@ -471,3 +471,133 @@ def q_rollout_report(spark, sf_dir):
     rep = RO.step_report(r)
     return rep.select("step", "n", *[r6(c).alias(c) for c in
                                      ["mean_reward", "mean_mse", "mean_completion_len", "mean_kl"]])
+
+
+# --- controls and geometry -------------------------------------------------------------
+
+from txnlens.operators import controls as C  # noqa: E402
+from txnlens.operators import geometry as G  # noqa: E402
+
+
+def roundtrip_input(spark, sf_dir) -> DataFrame:
+    """Gold / reconstructed vectors with the generated text of each row (the
+    document with the same id, wrapped; every fourth lost its close tag)."""
+    r = T.recon(spark, sf_dir)
+    d = T.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    j = r.join(d, "row_idx", "left")
+    wrapped = X.wrap_explanation(F.coalesce(F.col("text"), F.lit("")))
+    raw = F.when(F.pmod(F.col("row_idx"), F.lit(4)) == 0,
+                 F.regexp_replace(wrapped, "\n</explanation>$", "")).otherwise(wrapped)
+    return j.withColumn("raw", raw).withColumn("parsed", X.parse_explanation("raw"))
+
+
+@query("roundtrip_report")
+def q_roundtrip_report(spark, sf_dir):
+    rep = C.roundtrip_report(roundtrip_input(spark, sf_dir), "row_idx", "activation_vector",
+                             "pred_vector", "label", "raw", "parsed")
+    cols = ["fve_nrm", "mse_nrm", "cos_mean", "cos_median", "cos_p10", "cos_p90",
+            "fve_fraud_slice", "mean_explanation_chars", "pct_missing_close_tag"]
+    return rep.select("n", F.col("n_fraud").cast("bigint").alias("n_fraud"),
+                      *[r6(c).alias(c) for c in cols])
+
+
+def _swap(spark, sf_dir):
+    df = roundtrip_input(spark, sf_dir)
+    return C.swap_control(df, "row_idx", "activation_vector", "pred_vector", text="parsed", seed=0)
+
+
+@query("swap_control_metrics")
+def q_swap_control_metrics(spark, sf_dir):
+    per, _ = _swap(spark, sf_dir)
+    return per.select("condition", "n", *[r6(c).alias(c) for c in
+                                          ["fve_nrm", "mse_nrm", "cos_mean", "cos_median"]])
+
+
+@query("swap_control_verdict")
+def q_swap_control_verdict(spark, sf_dir):
+    _, v = _swap(spark, sf_dir)
+    cols = ["real_fve", "swap_fve", "floor_fve", "gap_real_minus_swap_fve",
+            "gap_swap_minus_floor_fve", "jaccard_mean", "jaccard_median"]
+    return v.select(*[r6(c).alias(c) for c in cols], "verdict")
+
+
+@query("pairwise_geometry")
+def q_pairwise_geometry(spark, sf_dir):
+    """Pair-cosine mean / std before and after reconstruction and their
+    Pearson r over all i<j pairs, from moment matrices (no pairs built)."""
+    rep = G.pairwise_report(T.recon(spark, sf_dir), "activation_vector", "pred_vector")
+    row = [(int(rep["n_pairs"]),) + tuple(round(float(rep[k]), 6) for k in
+                                         ["in_mean", "in_std", "out_mean", "out_std", "pearson_r"])]
+    return spark.createDataFrame(row, "n_pairs long, in_mean double, in_std double, "
+                                      "out_mean double, out_std double, pearson_r double")
+
+
+def _spectrum_df(spark, rows: list[tuple[str, dict]]) -> DataFrame:
+    return spark.createDataFrame(
+        [(name, r["rows"], r["dims"], r["n_components_90"], r["n_components_99"],
+          float(r["effective_rank"]), r["singular_values_top20"], r["singular_values_tail5"])
+         for name, r in rows],
+        "matrix string, rows long, dims long, n_components_90 int, n_components_99 int, "
+        "effective_rank double, singular_values_top20 array<double>, singular_values_tail5 array<double>")
+
+
+@query("effective_rank")
+def q_effective_rank(spark, sf_dir):
+    r = T.recon(spark, sf_dir)
+    return _spectrum_df(spark, [("gold", G.effective_rank(r, "activation_vector")),
+                                ("reconstructed", G.effective_rank(r, "pred_vector"))])
+
+
+@query("pca_spectrum")
+def q_pca_spectrum(spark, sf_dir):
+    rep = G.pca_spectrum(T.act(spark, sf_dir), "activation_vector", k=50)
+    return spark.createDataFrame(
+        [(rep["n_components"], rep["components_90pct"], rep["components_95pct"],
+          rep["components_99pct"], rep["low_rank_note"], rep["explained_variance_ratio"])],
+        "n_components int, components_90pct int, components_95pct int, components_99pct int, "
+        "low_rank_note boolean, explained_variance_ratio array<double>")
+
+
+@query("projection_geometry")
+def q_projection_geometry(spark, sf_dir):
+    """Affine projection onto the top-16 principal directions, held at norm
+    10: geometry kept (pair cosines, Pearson), output rank and norm check."""
+    a = T.act(spark, sf_dir)
+    w = G.pca_components(a, "activation_vector", 16)
+    p = G.project(a, "activation_vector", w, None, 10.0)
+    rep = G.pairwise_report(p, "activation_vector", "projected")
+    er = G.effective_rank(p, "projected")
+    nc = G.norm_check(p, "projected").first()
+    return spark.createDataFrame(
+        [(int(rep["n_pairs"]), float(rep["in_mean"]), float(rep["out_mean"]),
+          float(rep["pearson_r"]), float(er["effective_rank"]), int(er["n_components_90"]),
+          float(nc["norm_mean"]), float(nc["norm_std"]))],
+        "n_pairs long, in_mean double, out_mean double, pearson_r double, "
+        "out_effective_rank double, out_components_90 int, norm_mean double, norm_std double")
+
+
+@query("embedding_space")
+def q_embedding_space(spark, sf_dir):
+    """Reconstructed vectors against the table of gold vectors: gold norm
+    statistics, cosine to the gold mean direction, mean cosine to gold rows."""
+    r = T.recon(spark, sf_dir)
+    e = r.select(V.vec_norm("activation_vector").alias("nrm"), "row_idx")
+    nstats = M.merge_rows(
+        e.agg(F.avg("nrm").alias("norm_mean"), F.stddev_samp("nrm").alias("norm_std")),
+        M.exact_quantiles(e, "nrm", {"norm_p5": 0.05, "norm_p95": 0.95},
+                          lower={"norm_median": 0.5}, key="row_idx"))
+    mdir = M.vector_mean(r, "activation_vector").first()["mean_vector"]
+    mnorm = sum(x * x for x in mdir) ** 0.5 + 1e-12
+    mcol = F.array(*[F.lit(x / mnorm) for x in mdir])
+    cos_m = r.select("row_idx", V.vec_dot(V.unit_geometry("pred_vector"), mcol).alias("c"))
+    cstats = M.merge_rows(cos_m.agg(F.avg("c").alias("cos_mean_dir_mean")),
+                          M.exact_quantiles(cos_m, "c", {"cos_mean_dir_median": 0.5,
+                                                         "cos_mean_dir_p5": 0.05,
+                                                         "cos_mean_dir_p95": 0.95}, key="row_idx"))
+    su = M.vector_mean(r.select(V.unit_geometry("pred_vector").alias("u")), "u").first()["mean_vector"]
+    se = M.vector_mean(r.select(V.unit_geometry("activation_vector").alias("u")), "u").first()["mean_vector"]
+    cos_rand = float(sum(a * b for a, b in zip(su, se)))
+    out = M.merge_rows(nstats, cstats).withColumn("cos_random_mean", F.lit(cos_rand))
+    cols = ["norm_mean", "norm_std", "norm_median", "norm_p5", "norm_p95", "cos_mean_dir_mean",
+            "cos_mean_dir_median", "cos_mean_dir_p5", "cos_mean_dir_p95", "cos_random_mean"]
+    return out.select(*[r6(c).alias(c) for c in cols])
