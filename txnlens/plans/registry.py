@@ -317,10 +317,12 @@ def prep_input(spark, sf_dir) -> DataFrame:
     """Causal-feature table with a time split, a ~1000-value device column
     (exceeds the vocabulary cap) and some missing amounts."""
     df = time_split(causal_features(T.txn(spark, sf_dir)))
+    # The table feeds the fit (two parameter tables) and the apply: cut its
+    # lineage once in the shared checkpoint folder.
     return (df.withColumn("device", F.concat(F.lit("d"),
                                              F.pmod(F.col("txn_id") * 13, F.lit(997)).cast("string")))
             .withColumn("amt", F.when(F.pmod(F.col("txn_id"), F.lit(50)) == 0, F.lit(None))
-                        .otherwise(F.col("amt"))))
+                        .otherwise(F.col("amt")))).checkpoint()
 
 
 def _fit(spark, sf_dir):
@@ -601,3 +603,87 @@ def q_embedding_space(spark, sf_dir):
     cols = ["norm_mean", "norm_std", "norm_median", "norm_p5", "norm_p95", "cos_mean_dir_mean",
             "cos_mean_dir_median", "cos_mean_dir_p5", "cos_mean_dir_p95", "cos_random_mean"]
     return out.select(*[r6(c).alias(c) for c in cols])
+
+
+# --- models ---------------------------------------------------------------------------
+
+from txnlens.operators import models as MD  # noqa: E402
+
+# The category column is the fraud label's source in the stand-in, so the
+# classifier uses the other features.
+CLF_CATS = ["merchant", "device"]
+
+
+def _prepared(spark, sf_dir):
+    df, vocab, stats = _fit(spark, sf_dir)
+    return P.apply_preprocessor(df, vocab, stats).checkpoint()
+
+
+@query("classifier_eval")
+def q_classifier_eval(spark, sf_dir):
+    x = _prepared(spark, sf_dir)
+    rep = MD.train_classifier(x, [c + "_id" for c in CLF_CATS], [c + "_scaled" for c in PREP_NUMS])
+    return spark.createDataFrame(
+        [(float(rep["reg_param"]), rep["val_auc"], rep["test_auc"], rep["test_ap"],
+          rep["pos_weight"], rep["auc_bar"], rep["meets_bar"])],
+        "reg_param double, val_auc double, test_auc double, test_ap double, pos_weight double, "
+        "auc_bar double, meets_bar boolean")
+
+
+@query("attribution_prompts")
+def q_attribution_prompts(spark, sf_dir):
+    """Score rows with the classifier, attribute the logit to the scaled
+    numerics (coef * x), list the top 8 and build the generation prompt."""
+    from pyspark.ml.functions import vector_to_array
+    x = _prepared(spark, sf_dir)
+    cat_ids, nums = [c + "_id" for c in CLF_CATS], [c + "_scaled" for c in PREP_NUMS]
+    rep = MD.train_classifier(x, cat_ids, nums, reg_grid=(0.01,))
+    coef = rep["coefficients"][-len(nums):]
+    model = rep["model"]
+    scored_df = model.transform(MD._assemble(x, cat_ids, nums)).withColumn(
+        "fraud_score", vector_to_array("probability")[1])
+    # Attribution of the logit to each scaled numeric, named after the feature.
+    attr = MD.linear_attributions(scored_df.select(
+        "*", *[F.col(c + "_scaled").alias(c + "_x") for c in PREP_NUMS]),
+        {c + "_x": w for c, w in zip(PREP_NUMS, coef)}, suffix="")
+    for c in PREP_NUMS:
+        attr = attr.withColumnRenamed(c + "_x", c + "_attr")
+    text = R.top_attributions(attr, PREP_NUMS, k=8)
+    rendered = R.render(attr, "sparkov")
+    return attr.select("txn_id", r6("fraud_score").alias("fraud_score"), text.alias("attributions"),
+                       R.prompt_text(F.col("fraud_score"), rendered, text).alias("prompt"))
+
+
+@query("logistic_probe")
+def q_logistic_probe(spark, sf_dir):
+    rep = MD.logistic_probe(T.act(spark, sf_dir), "activation_vector", "label", "row_idx", seed=0)
+    return spark.createDataFrame([(rep["probe_auc_roc"], rep["n_probe_samples"], rep["n_train"])],
+                                 "probe_auc_roc double, n_probe_samples long, n_train long")
+
+
+def mlp_weight_table(spark, sizes: list[int], seed: int = 0) -> DataFrame:
+    """Seeded weight table ``(layer, row, w, b)`` standing in for a trained
+    checkpoint: N(0, 1/fan_in) weights, zero biases."""
+    parts = []
+    for k, (d_in, d_out) in enumerate(zip(sizes[:-1], sizes[1:])):
+        cols = [F.randn(seed * 1000 + k * 97 + j) / F.lit(d_in ** 0.5) for j in range(d_in)]
+        parts.append(spark.range(d_out).select(F.lit(k).alias("layer"), F.col("id").cast("int").alias("row"),
+                                               F.array(*cols).alias("w"), F.lit(0.0).alias("b")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("mlp_scores")
+def q_mlp_scores(spark, sf_dir):
+    """Forward pass of a 7 -> 32 -> 16 -> 1 GELU network over every
+    preprocessed row, keeping the 16-d hidden layer as the activation vector."""
+    x = _prepared(spark, sf_dir)
+    inp = x.select("txn_id", F.array(*[F.col(c + "_scaled").cast("double") for c in PREP_NUMS])
+                   .alias("inputs"))
+    ws = MD.weights_from_table(mlp_weight_table(spark, [len(PREP_NUMS), 32, 16, 1]))
+    out = MD.mlp_forward(inp, "inputs", ws, capture=1, key="txn_id")
+    return out.select("txn_id", r6("fraud_score").alias("fraud_score"),
+                      F.size("activation_vector").alias("dim"),
+                      r6(V.vec_norm("activation_vector")).alias("activation_norm"))
