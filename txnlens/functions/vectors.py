@@ -25,6 +25,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``fn``. A row-level value
+    referenced inside a ``transform`` lambda would otherwise be recomputed for
+    every element (O(d^2) for a norm)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def as_double(v) -> Column:
     return F.transform(_c(v), lambda x: x.cast("double"))
 
@@ -62,18 +69,18 @@ def metric_scale(v) -> Column:
 def normalize_to(v, scale=None, eps: float = METRIC_EPS) -> Column:
     scale = metric_scale(v) if scale is None else (
         scale if isinstance(scale, Column) else F.lit(float(scale)))
-    n = vec_norm(v)
-    return F.transform(_c(v), lambda x: x.cast("double") / (n + F.lit(eps)) * scale)
+    return let(vec_norm(v) + F.lit(eps),
+               lambda n: F.transform(_c(v), lambda x: x.cast("double") / n * scale))
 
 
 def unit_stored(v) -> Column:
-    n = F.greatest(vec_norm(v), F.lit(STORE_EPS))
-    return F.transform(_c(v), lambda x: x.cast("double") / n)
+    return let(F.greatest(vec_norm(v), F.lit(STORE_EPS)),
+               lambda n: F.transform(_c(v), lambda x: x.cast("double") / n))
 
 
 def unit_geometry(v) -> Column:
-    n = vec_norm(v) + F.lit(GEOMETRY_EPS)
-    return F.transform(_c(v), lambda x: x.cast("double") / n)
+    return let(vec_norm(v) + F.lit(GEOMETRY_EPS),
+               lambda n: F.transform(_c(v), lambda x: x.cast("double") / n))
 
 
 def cosine(a, b) -> Column:
@@ -89,8 +96,9 @@ def row_mse_nrm(pred, gold) -> Column:
 
 def completion_mask(ids, eos: int) -> Column:
     """1 up to and including the first EOS, 0 after; all 1 without an EOS."""
-    pos = F.array_position(_c(ids), F.lit(eos))
-    return F.transform(_c(ids), lambda x, i: F.when((pos == 0) | (i < pos), 1).otherwise(0))
+    return let(F.array_position(_c(ids), F.lit(eos)),
+               lambda pos: F.transform(_c(ids), lambda x, i: F.when((pos == 0) | (i < pos), 1)
+                                       .otherwise(0)))
 
 
 def masked_mean(x, mask) -> Column:

@@ -36,8 +36,8 @@ def verdict(real_fve: Column, swap_fve: Column, floor_fve: Column) -> Column:
 
 def mean_unit_vector(df: DataFrame, gold: str) -> list[float]:
     """Mean of ``x / max(|x|, 1e-12)``: d numbers (a proven size bound)."""
-    n = F.greatest(V.vec_norm(gold), F.lit(FLOOR_EPS))
-    u = df.select(F.transform(gold, lambda x: x.cast("double") / n).alias("_u"))
+    u = df.select(V.let(F.greatest(V.vec_norm(gold), F.lit(FLOOR_EPS)),
+                        lambda n: F.transform(gold, lambda x: x.cast("double") / n)).alias("_u"))
     return [float(x) for x in M.vector_mean(u, "_u").first()["mean_vector"]]
 
 
@@ -62,9 +62,9 @@ def swap_table(df: DataFrame, key: str, gold: str, pred: str, text: str | None,
     return long, None
 
 
-def condition_metrics(long: DataFrame, key: str, gold: str) -> DataFrame:
+def condition_metrics(long: DataFrame, key: str, gold: str, dim: int | None = None) -> DataFrame:
     """Per condition: n, fve_nrm, mse_nrm, cos mean, cos (lower) median."""
-    f = M.fve(long, "pred", gold, by=["condition"])
+    f = M.fve(long, "pred", gold, by=["condition"], dim=dim)
     c = M.cosine_summary(long, "pred", gold, by=["condition"], key=key)
     return f.join(c.drop("n"), "condition").select(
         "condition", "n", "fve_nrm", "mse_nrm", "cos_mean", "cos_median")
@@ -74,7 +74,13 @@ def swap_control(df: DataFrame, key: str, gold: str, pred: str, text: str | None
                  seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(per-condition metrics, one-row verdict with gaps and text Jaccard)."""
     long, jac = swap_table(df, key, gold, pred, text, seed)
-    per = condition_metrics(long, key, gold)
+    # Several aggregations read the long table and the Jaccard column: cut the
+    # derangement / join lineage once (reliable checkpoint, shared folder).
+    dim = M.vector_dim(df, gold)
+    long = long.checkpoint()
+    if jac is not None:
+        jac = jac.checkpoint()
+    per = condition_metrics(long, key, gold, dim)
     wide = per.groupBy().pivot("condition", ["real", "swap", "floor"]).agg(F.first("fve_nrm"))
     v = wide.select(
         F.col("real").alias("real_fve"), F.col("swap").alias("swap_fve"),
