@@ -768,3 +768,56 @@ SELECT round((SELECT avg(nrm) FROM nr), 6) AS norm_mean, round((SELECT stddev_sa
        round((SELECT quantile_cont(c, 0.05) FROM cm), 6) AS cos_mean_dir_p5,
        round((SELECT quantile_cont(c, 0.95) FROM cm), 6) AS cos_mean_dir_p95,
        round((SELECT c FROM cr), 6) AS cos_random_mean"""
+
+# --- evaluations specified by the plan ------------------------------------------
+
+PRED = f"""{ACT},
+truth AS (SELECT row_idx, label, {score_bin_sql('fraud_score')} AS score_bin FROM act),
+tr AS (SELECT * FROM act WHERE row_idx % 5 <> 0),
+maj AS (SELECT label AS majority_label FROM (SELECT label, count(*) AS c FROM tr GROUP BY label)
+        ORDER BY c DESC, label LIMIT 1),
+mean AS (SELECT avg(fraud_score) AS ms FROM tr),
+sh AS (SELECT row_idx, ((row_idx * 37 + 5) % 101) / 100.0 AS s FROM act),
+pred AS (
+  SELECT 'shifted' AS system, row_idx, {score_bin_sql('s')} AS pred_bin, CAST(s >= 0.5 AS INTEGER) AS pred_label FROM sh
+  UNION ALL
+  SELECT 'majority', row_idx, {score_bin_sql('ms')}, majority_label FROM act, maj, mean),
+acc AS (
+  SELECT system, 'score_bucket' AS task, count(*) AS n, avg(CAST(pred_bin = score_bin AS DOUBLE)) AS accuracy
+  FROM pred JOIN truth USING (row_idx) GROUP BY system
+  UNION ALL
+  SELECT system, 'label', count(*), avg(CAST(pred_label = label AS DOUBLE))
+  FROM pred JOIN truth USING (row_idx) GROUP BY system)"""
+
+ORACLES["accuracy_by_system"] = f"""
+WITH {PRED}
+SELECT system, task, n, round(accuracy, 6) AS accuracy FROM acc"""
+
+ORACLES["comparison_table"] = f"""
+WITH {PRED}
+SELECT system, round(max(accuracy) FILTER (WHERE task = 'score_bucket'), 6) AS score_bucket,
+       round(max(accuracy) FILTER (WHERE task = 'label'), 6) AS label
+FROM acc GROUP BY system"""
+
+ORACLES["model_error_slice"] = f"""
+WITH {ACT}
+SELECT label, {score_bin_sql('fraud_score')} AS score_bin, count(*) AS n FROM act
+WHERE ({score_bin_sql('fraud_score')} >= 3 AND label = 0) OR ({score_bin_sql('fraud_score')} <= 1 AND label = 1)
+GROUP BY ALL"""
+
+_CLAIMS = [("amount", r"Amount: \$([0-9.]+)", "amt", 0.005),
+           ("hour", r"Time: ([0-9]{2}):xx", "hour_of_day", 0.0),
+           ("velocity_1h", r"Card velocity: ([0-9]+) txn in past 1h", "velocity_1h", 0.0),
+           ("velocity_24h", r"Card velocity: ([0-9]+) txn in past 24h", "velocity_24h", 0.0)]
+
+ORACLES["claim_precision"] = f"""
+WITH {TXN}, {causal_cte('txn')},
+cp AS (SELECT txn_id, merchant, category, amt, hour_of_day, day_of_week, velocity_1h, velocity_24h,
+              amt_zscore, card_tenure_days, CAST(NULL AS DOUBLE) AS geo_distance_km,
+              CAST(NULL AS DOUBLE) AS age_at_txn, CAST(NULL AS DOUBLE) AS fraud_score FROM feat),
+r AS (SELECT txn_id, {RENDER_CP_SQL} AS rendered FROM cp),
+cl AS ({' UNION ALL '.join(f"SELECT txn_id, '{k}' AS kind, regexp_extract(rendered, '{p}', 1) AS v FROM r" for k, p, _, _ in _CLAIMS)}),
+tv AS ({' UNION ALL '.join(f"SELECT txn_id, '{k}' AS kind, CAST({c} AS DOUBLE) AS tv, {t} AS tol FROM feat" for k, _, c, t in _CLAIMS)})
+SELECT kind, count(*) AS n_claims,
+       round(avg(CAST(abs(CAST(v AS DOUBLE) - tv) <= tol + 1e-9 AS DOUBLE)), 6) AS precision
+FROM cl JOIN tv USING (txn_id, kind) WHERE v <> '' GROUP BY kind"""

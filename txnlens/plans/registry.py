@@ -687,3 +687,73 @@ def q_mlp_scores(spark, sf_dir):
     return out.select("txn_id", r6("fraud_score").alias("fraud_score"),
                       F.size("activation_vector").alias("dim"),
                       r6(V.vec_norm("activation_vector")).alias("activation_norm"))
+
+
+# --- evaluations specified by the plan -------------------------------------------------
+
+import numpy as np  # noqa: E402
+
+from txnlens.operators import evals as EV  # noqa: E402
+
+
+def predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(truth, predictions): two systems guess each vector's score bucket and
+    label -- 'shifted' from a shifted score, 'majority' from the training
+    majority label and mean score."""
+    a = T.act(spark, sf_dir)
+    truth = a.select("row_idx", "label", S.score_bin("fraud_score").alias("score_bin"))
+    base = EV.majority_baseline(a.where(F.pmod(F.col("row_idx"), F.lit(5)) != 0), "label",
+                                "fraud_score").first()
+    shifted = F.pmod(F.col("row_idx") * 37 + 5, F.lit(101)) / F.lit(100.0)
+    p1 = a.select(F.lit("shifted").alias("system"), "row_idx",
+                  S.score_bin(shifted).alias("pred_bin"), (shifted >= 0.5).cast("int").alias("pred_label"))
+    p2 = a.select(F.lit("majority").alias("system"), "row_idx",
+                  S.score_bin(F.lit(float(base["mean_score"]))).alias("pred_bin"),
+                  F.lit(int(base["majority_label"])).alias("pred_label"))
+    return truth, p1.unionByName(p2)
+
+
+@query("accuracy_by_system")
+def q_accuracy_by_system(spark, sf_dir):
+    truth, pred = predictions(spark, sf_dir)
+    acc = EV.accuracy_by_system(pred, truth, "row_idx", {"score_bucket": ("pred_bin", "score_bin"),
+                                                         "label": ("pred_label", "label")})
+    return acc.select("system", "task", "n", r6("accuracy").alias("accuracy"))
+
+
+@query("comparison_table")
+def q_comparison_table(spark, sf_dir):
+    truth, pred = predictions(spark, sf_dir)
+    acc = EV.accuracy_by_system(pred, truth, "row_idx", {"score_bucket": ("pred_bin", "score_bin"),
+                                                         "label": ("pred_label", "label")})
+    t = EV.comparison_table(acc, ["score_bucket", "label"])
+    return t.select("system", r6("score_bucket").alias("score_bucket"), r6("label").alias("label"))
+
+
+@query("model_error_slice")
+def q_model_error_slice(spark, sf_dir):
+    return EV.model_error_slice(T.act(spark, sf_dir), "fraud_score", "label")
+
+
+@query("claim_precision")
+def q_claim_precision(spark, sf_dir):
+    """Claims read back from the rendered card-present text, checked against
+    the features they were rendered from."""
+    df = causal_features(T.txn(spark, sf_dir))
+    txt = df.select("txn_id", R.render(df, "sparkov").alias("rendered"))
+    claims = EV.claims_from_text(txt, "rendered", "txn_id")
+    return EV.claim_precision(claims, df, "txn_id").select("kind", "n_claims",
+                                                            r6("precision").alias("precision"))
+
+
+@query("steering_sweep")
+def q_steering_sweep(spark, sf_dir):
+    """Steer vectors along the class-mean difference and a seeded random
+    direction; score by cosine with the class-mean difference."""
+    a = T.act(spark, sf_dir)
+    means = {r["label"]: r["mean_vector"] for r in M.vector_mean(a, "activation_vector", by=["label"]).collect()}
+    delta = (np.asarray(means[1]) - np.asarray(means[0])).tolist()
+    rnd = np.random.default_rng(0).normal(size=len(delta)).tolist()
+    s = EV.steering_sweep(a, "activation_vector", {"class_mean": delta, "random": rnd},
+                          [-1.0, -0.5, 0.0, 0.5, 1.0], delta)
+    return s.select("direction", "alpha", "n", r6("mean_score").alias("mean_score"))
