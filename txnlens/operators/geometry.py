@@ -204,3 +204,20 @@ def norm_check(df: DataFrame, vec: str) -> DataFrame:
     n = V.vec_norm(vec)
     return df.agg(F.avg(n).alias("norm_mean"), F.stddev_pop(n).alias("norm_std"),
                   F.count(F.lit(1)).alias("n"))
+
+
+def pc_correlations(df: DataFrame, vec: str, k: int, targets: list[str]) -> DataFrame:
+    """Per principal component: Pearson correlation of its projection with
+    each target column (MLlib PCA projection, then one aggregate)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    x = df.withColumn("features", array_to_vector(V.as_double(vec)))
+    model = PCA(k=k, inputCol="features", outputCol="pc").fit(x)
+    p = model.transform(x).withColumn("pc", vector_to_array("pc"))
+    aggs = [F.corr(F.col("pc")[i], F.col(t).cast("double")).alias(f"{i}|{t}")
+            for i in range(k) for t in targets]
+    row = p.agg(*aggs).first()
+    spark = df.sparkSession
+    return spark.createDataFrame(
+        [(i, t, row[f"{i}|{t}"]) for i in range(k) for t in targets],
+        "component int, target string, corr double")

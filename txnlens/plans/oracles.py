@@ -821,3 +821,10 @@ tv AS ({' UNION ALL '.join(f"SELECT txn_id, '{k}' AS kind, CAST({c} AS DOUBLE) A
 SELECT kind, count(*) AS n_claims,
        round(avg(CAST(abs(CAST(v AS DOUBLE) - tv) <= tol + 1e-9 AS DOUBLE)), 6) AS precision
 FROM cl JOIN tv USING (txn_id, kind) WHERE v <> '' GROUP BY kind"""
+
+ORACLES["holdout_overlap"] = f"""
+WITH {ACT},
+hold AS (SELECT row_idx FROM act ORDER BY {md5_order(5, 'row_idx')} LIMIT 100),
+pool AS (SELECT * FROM act WHERE row_idx NOT IN (SELECT row_idx FROM hold)),
+train AS (SELECT row_idx FROM pool ORDER BY {md5_order(6, 'row_idx')} LIMIT 200)
+SELECT CAST(count(*) AS BIGINT) AS n_overlap FROM train WHERE row_idx IN (SELECT row_idx FROM hold)"""

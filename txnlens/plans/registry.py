@@ -757,3 +757,28 @@ def q_steering_sweep(spark, sf_dir):
     s = EV.steering_sweep(a, "activation_vector", {"class_mean": delta, "random": rnd},
                           [-1.0, -0.5, 0.0, 0.5, 1.0], delta)
     return s.select("direction", "alpha", "n", r6("mean_score").alias("mean_score"))
+
+
+@query("holdout_overlap")
+def q_holdout_overlap(spark, sf_dir):
+    """Train / holdout guard: the training draw comes from the pool only, so
+    its overlap with the holdout must be 0."""
+    pool, hold = SM.carve_holdout(T.act(spark, sf_dir), "row_idx", 100, seed=5)
+    train = SM.exact_sample(pool, "row_idx", 200, seed=6)
+    return J.overlap_count(train, hold, "row_idx").select(F.col("n_overlap").cast("bigint"))
+
+
+@query("features_json")
+def q_features_json(spark, sf_dir):
+    """Per row of the stratified sample: its features (weight included, score
+    excluded) as JSON."""
+    s = SM.stratified_sample(T.act(spark, sf_dir).drop("class_id"), "row_idx", n=100,
+                             natural_frac=0.2, seed=3)
+    return s.select("row_idx", R.features_json(s).alias("features_json"))
+
+
+@query("pc_correlations")
+def q_pc_correlations(spark, sf_dir):
+    """Linear read-out per principal component: correlation of each of the
+    top 8 components with the label and with the score."""
+    return G.pc_correlations(T.act(spark, sf_dir), "activation_vector", 8, ["label", "fraud_score"])
