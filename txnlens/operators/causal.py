@@ -75,8 +75,11 @@ def _zscore(a: Column, n: Column, mean: Column, m2: Column) -> Column:
 def _by_window(df: DataFrame, card: str, ts: str, amount: str, key: str) -> DataFrame:
     c, t, a = F.col(card), F.col(ts), F.col(amount).cast("double")
     # A null card is routed to a group of its own (keyed by the row id) so it
-    # sees no history, instead of pooling every null into one group.
-    seg = [c, F.when(c.isNull(), F.col(key))]
+    # sees no history, instead of pooling every null into one group. The
+    # segment key is one column, so every window below shares one
+    # partitioning: one exchange and one sort for all of them.
+    x = df.withColumn("_nk", F.when(c.isNull(), F.col(key)))
+    seg = [c, F.col("_nk")]
     ordered = Window.partitionBy(*seg).orderBy(t, F.col(key))
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     by_time = Window.partitionBy(*seg).orderBy(t)
@@ -89,11 +92,11 @@ def _by_window(df: DataFrame, card: str, ts: str, amount: str, key: str) -> Data
     mean = F.avg(a).over(before)
     m2 = F.var_pop(a).over(before) * n
     first = F.min(t).over(Window.partitionBy(*seg))
-    return (df
-            .withColumn("velocity_1h", (earlier - older_1h).cast("bigint"))
-            .withColumn("velocity_24h", (earlier - older_24h).cast("bigint"))
-            .withColumn("amt_zscore", _zscore(a, n, mean, m2))
-            .withColumn("card_tenure_days", (t - first) / F.lit(float(DAY_SECONDS))))
+    return (x.select("*", (earlier - older_1h).cast("bigint").alias("velocity_1h"),
+                     (earlier - older_24h).cast("bigint").alias("velocity_24h"),
+                     _zscore(a, n, mean, m2).alias("amt_zscore"),
+                     ((t - first) / F.lit(float(DAY_SECONDS))).alias("card_tenure_days"))
+            .drop("_nk"))
 
 
 def causal_feature_table(df: DataFrame, card: str = "card_id", ts: str = "ts_sec",
