@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions import vectors as V
-from txnlens.operators.ordering import global_rank, prefix_sums
+from txnlens.operators.ordering import prefix_sums, rank_table
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
@@ -68,17 +68,17 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
     torch default). ``lower``: name -> q taking the value at
     ``floor(q * (n - 1))`` (torch ``median`` is the lower middle)."""
     lower = lower or {}
+    # Only the values at given positions are needed and tied values are equal,
+    # so the order need not be total: rank the order columns themselves (no
+    # nondeterministic tie-breaker, no join back to the rows).
     order = list(by) + [value] + ([key] if key else [])
-    base = df.select(*by, value, *([key] if key else [])).where(F.col(value).isNotNull())
-    if not key:
-        base = base.withColumn("_tie", F.monotonically_increasing_id())
-        order = order + ["_tie"]
+    base = df.select(*order).where(F.col(value).isNotNull())
     if by:
-        r = global_rank(base, order, rank_col="_g")
+        r = rank_table(base, order, rank_col="_g")
         start = r.groupBy(*by).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
         r = r.join(start, on=list(by), how="inner")
     else:
-        r = global_rank(base, order, rank_col="_g", total_col="_n").withColumn("_s", F.lit(0))
+        r = rank_table(base, order, rank_col="_g", total_col="_n").withColumn("_s", F.lit(0))
     r = r.withColumn("_i", F.col("_g") - F.col("_s"))
     pos = {}
     for name, q in qs.items():
