@@ -49,3 +49,25 @@ def test_projection_norm(spark):
     p = G.project(a, "activation_vector", w, None, 3.0)
     r = G.norm_check(p, "projected").first()
     assert r["norm_mean"] == pytest.approx(3.0, rel=1e-6)
+
+
+def test_wide_paths_match(spark, monkeypatch):
+    from txnlens.operators import metrics as M
+    a = T.recon(spark, SF01)
+    narrow = M.fve(a, "pred_vector", "activation_vector", by=["label"]).collect()
+    mean_n = M.vector_mean(a, "activation_vector", by=["label"]).collect()
+    monkeypatch.setattr(M, "WIDE_AGG_MAX_DIM", 8)
+    wide = M.fve(a, "pred_vector", "activation_vector", by=["label"]).collect()
+    mean_w = M.vector_mean(a, "activation_vector", by=["label"]).collect()
+    key = lambda r: r["label"]
+    for x, y in zip(sorted(narrow, key=key), sorted(wide, key=key)):
+        assert x.fve_nrm == pytest.approx(y.fve_nrm, rel=1e-9)
+    for x, y in zip(sorted(mean_n, key=key), sorted(mean_w, key=key)):
+        assert np.allclose(x.mean_vector, y.mean_vector)
+    w = G.pca_components(T.act(spark, SF01), "activation_vector", 4)
+    p1 = G.project(T.act(spark, SF01), "activation_vector", w, None, 3.0)
+    monkeypatch.setattr(G, "INLINE_MAX_COEFS", 1)
+    p2 = G.project(T.act(spark, SF01), "activation_vector", w, None, 3.0)
+    d1 = {r.row_idx: r.projected for r in p1.collect()}
+    d2 = {r.row_idx: r.projected for r in p2.collect()}
+    assert all(np.allclose(d1[k], d2[k]) for k in d1)

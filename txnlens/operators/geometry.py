@@ -185,12 +185,20 @@ def pca_components(df: DataFrame, vec: str, k: int) -> np.ndarray:
     return model.pc.toArray().T
 
 
+# Up to this many coefficients W is inlined as literals; above, rows go
+# through a numpy matmul with W broadcast once per executor.
+INLINE_MAX_COEFS = 16_384
+
+
 def project(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray | None, scale: float,
             out: str = "projected") -> DataFrame:
     """``normalize_to(W v + b, scale)``: an affine map with its output held at
-    a fixed L2 norm. W is k x d and small (a proven bound), so it is inlined
-    as literal coefficients: each output element is a dot product in the JVM."""
+    a fixed L2 norm. A small W is inlined as literal coefficients (each output
+    element is a JVM dot product); a large one is broadcast and applied per
+    Arrow batch with numpy."""
     b = np.zeros(w.shape[0]) if b is None else b
+    if w.size > INLINE_MAX_COEFS:
+        return _project_batched(df, vec, w, b, scale, out)
     v = V.as_double(vec)
     rows = []
     for r in range(w.shape[0]):
@@ -221,3 +229,23 @@ def pc_correlations(df: DataFrame, vec: str, k: int, targets: list[str]) -> Data
     return spark.createDataFrame(
         [(i, t, row[f"{i}|{t}"]) for i in range(k) for t in targets],
         "component int, target string, corr double")
+
+
+def _project_batched(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray, scale: float,
+                     out: str) -> DataFrame:
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    bc = df.sparkSession.sparkContext.broadcast((w.astype(np.float64), b.astype(np.float64)))
+    schema = StructType(df.schema.fields + [StructField(out, ArrayType(DoubleType()))])
+
+    def run(it):
+        ww, bb = bc.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+            y = x @ ww.T + bb
+            y = y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-8) * scale
+            pdf[out] = list(y)
+            yield pdf
+
+    return df.mapInPandas(run, schema)

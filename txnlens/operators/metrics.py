@@ -22,12 +22,24 @@ def vector_dim(df: DataFrame, vec: str) -> int:
     return int(r["d"])
 
 
+# Up to this many dimensions an element-wise mean is one aggregate with d
+# columns; wider vectors go through posexplode + groupBy(position).
+WIDE_AGG_MAX_DIM = 512
+
+
 def vector_mean(df: DataFrame, vec: str, by: list[str] = (), dim: int | None = None,
                 out: str = "mean_vector") -> DataFrame:
-    """Element-wise mean per group: one aggregate with ``d`` partial sums, no
-    explode."""
+    """Element-wise mean per group: one aggregate with ``d`` partial sums (no
+    explode) for moderate d; a positional explode for very wide vectors."""
     d = dim or vector_dim(df, vec)
     v = V.as_double(vec)
+    if d > WIDE_AGG_MAX_DIM:
+        e = df.select(*by, F.posexplode(v).alias("_i", "_x"))
+        m = e.groupBy(*by, "_i").agg(F.avg("_x").alias("_m"))
+        arr = m.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_s"))
+        n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        j = arr.join(n, list(by)) if by else merge_rows(arr, n)
+        return j.select(*by, "n", F.transform("_s", lambda x: x["_m"]).alias(out))
     g = df.groupBy(*by).agg(*[F.avg(F.element_at(v, i + 1)).alias(f"_m{i}") for i in range(d)],
                             F.count(F.lit(1)).alias("n"))
     return g.select(*by, "n", F.array(*[F.col(f"_m{i}") for i in range(d)]).alias(out))
@@ -50,9 +62,10 @@ def fve(df: DataFrame, pred: str, gold: str, by: list[str] = (), dim: int | None
     x = df.select(*by, V.row_mse_nrm(pred, gold).alias("_mse"), gn.alias("_g"))
     g = x.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_mse").alias("mse_nrm"),
-        F.avg(V.vec_sum(F.transform("_g", lambda t: t * t))).alias("_g2"),
-        *[F.avg(F.element_at("_g", i + 1)).alias(f"_mu{i}") for i in range(d)])
-    mu2 = sum((F.col(f"_mu{i}") * F.col(f"_mu{i}") for i in range(d)), F.lit(0.0))
+        F.avg(V.vec_sum(F.transform("_g", lambda t: t * t))).alias("_g2"))
+    mu = vector_mean(x, "_g", by=list(by), dim=d, out="_mu").drop("n")
+    g = g.join(mu, list(by)) if by else merge_rows(g, mu)
+    mu2 = V.vec_sum(F.transform("_mu", lambda t: t * t))
     den = (F.col("_g2") - mu2) / F.lit(float(d))
     ok = (den != 0) & (F.col("n") > min_rows)
     return g.select(*by, "n", "mse_nrm",
