@@ -81,3 +81,34 @@ def test_step_metrics_stream(spark, tmp_path):
     got = {r.step: r for r in spark.sql("select * from k3_out").collect()}
     assert got[1].n == 2 and got[2].n == 1
     assert got[1].mean_explanation_chars == 2.0
+
+
+def test_stream_equals_batch_on_events(spark, tmp_path):
+    from conftest import SF001
+    from txnlens.sources import tables as T
+    txn = T.txn(spark, SF001).select("txn_id", "card_id", "ts_sec", "amt")
+    batch = {r.txn_id: r for r in causal_features(txn).collect()}
+    rows = sorted((tuple(r) for r in txn.collect()), key=lambda r: (r[2], r[0]))
+    k = len(rows) // 5
+    src = tmp_path / "ev"
+    rnd = random.Random(0)
+    for i in range(5):
+        chunk = rows[i * k:(i + 1) * k] if i < 4 else rows[4 * k:]
+        rnd.shuffle(chunk)
+        _write(spark, chunk, str(src / f"p{i}"))
+    sdf = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true") \
+        .option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = (stream_causal_features(sdf, delay="1 hour").writeStream.format("memory")
+         .queryName("k1_events").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    _write(spark, [(10 ** 9, 10 ** 9, rows[-1][2] + 10 ** 6, 0.0)], str(src / "p9"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r.txn_id: r for r in spark.sql("select * from k1_events").collect()}
+    assert set(batch) <= set(got)
+    for key, b in batch.items():
+        g = got[key]
+        assert (g.velocity_1h, g.velocity_24h) == (b.velocity_1h, b.velocity_24h)
+        assert g.amt_zscore == pytest.approx(b.amt_zscore, rel=1e-9, abs=1e-9)
+        assert g.card_tenure_days == pytest.approx(b.card_tenure_days)
