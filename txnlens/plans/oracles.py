@@ -828,3 +828,35 @@ hold AS (SELECT row_idx FROM act ORDER BY {md5_order(5, 'row_idx')} LIMIT 100),
 pool AS (SELECT * FROM act WHERE row_idx NOT IN (SELECT row_idx FROM hold)),
 train AS (SELECT row_idx FROM pool ORDER BY {md5_order(6, 'row_idx')} LIMIT 200)
 SELECT CAST(count(*) AS BIGINT) AS n_overlap FROM train WHERE row_idx IN (SELECT row_idx FROM hold)"""
+
+_NUM_EXPR = {"amt": "CAST(amt AS DOUBLE)", "hour_of_day": "CAST(hour_of_day AS DOUBLE)",
+             "day_of_week": "CAST(day_of_week AS DOUBLE)", "amt_zscore": "c_amt_zscore",
+             "velocity_1h": "c_velocity_1h", "velocity_24h": "c_velocity_24h",
+             "card_tenure_days": "card_tenure_days"}
+
+
+def _scaled_raw(c: str, expr: str) -> str:
+    s = f"(SELECT {{}} FROM stats WHERE col = '{c}')"
+    filled = f"coalesce({expr}, {s.format('median')})"
+    centred = f"CAST(CAST(CAST({filled} AS FLOAT) AS DOUBLE) - {s.format('mean')} AS FLOAT)"
+    return f"CAST(CAST(CAST({centred} AS DOUBLE) / {s.format('scale')} AS FLOAT) AS DOUBLE) AS {c}"
+
+
+ORACLES["attribution_text"] = f"""
+WITH {PREP},
+applied AS (SELECT txn_id, train_split, is_fraud, {', '.join(_scaled_raw(c, e) for c, e in _NUM_EXPR.items())}
+            FROM clipped),
+w AS (SELECT {', '.join(f"corr({c}, CAST(is_fraud AS DOUBLE)) AS {c}" for c in _NUM_EXPR)}
+      FROM applied WHERE train_split = 'train'),
+longa AS ({' UNION ALL '.join(f"SELECT a.txn_id, '{c}' AS name, a.{c} * w.{c} AS v FROM applied a, w" for c in _NUM_EXPR)}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY abs(v) DESC, v DESC, name DESC) AS r
+           FROM longa WHERE v IS NOT NULL AND NOT isnan(v))
+SELECT txn_id, string_agg(printf('  %s: %+.3f', name, v), chr(10) ORDER BY r) AS attributions
+FROM ranked WHERE r <= 5 GROUP BY txn_id"""
+
+ORACLES["distribution_block"] = f"""
+WITH {ACT}, {RECON}, {NRM}
+SELECT label, count(*) AS n, round(avg(cos), 6) AS mean, round(quantile_cont(cos, 0.5), 6) AS median,
+       round(quantile_cont(cos, 0.05), 6) AS p5, round(quantile_cont(cos, 0.95), 6) AS p95,
+       round(stddev_pop(cos), 6) AS std
+FROM nrm GROUP BY label"""

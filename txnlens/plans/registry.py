@@ -782,3 +782,29 @@ def q_pc_correlations(spark, sf_dir):
     """Linear read-out per principal component: correlation of each of the
     top 8 components with the label and with the score."""
     return G.pc_correlations(T.act(spark, sf_dir), "activation_vector", 8, ["label", "fraud_score"])
+
+
+@query("attribution_text")
+def q_attribution_text(spark, sf_dir):
+    """Top-5 attribution lines from a linear scorer whose weights are the
+    train-split correlations of each scaled numeric with the label: the
+    gradient x input of its logit is ``w_c * x_c``."""
+    df, vocab, stats = _fit(spark, sf_dir)
+    x = P.apply_preprocessor(df, vocab, stats)
+    train = x.where(F.col("train_split") == "train")
+    # one coefficient per numeric feature: a bounded one-row result
+    w = train.agg(*[F.corr(F.col(c + "_scaled").cast("double"), F.col("is_fraud").cast("double"))
+                    .alias(c) for c in PREP_NUMS]).first()
+    attr = x.select("txn_id", *[(F.col(c + "_scaled").cast("double") * F.lit(w[c])).alias(c + "_attr")
+                                for c in PREP_NUMS if w[c] is not None])
+    return attr.select("txn_id", R.top_attributions(attr, PREP_NUMS, k=5).alias("attributions"))
+
+
+@query("distribution_block")
+def q_distribution_block(spark, sf_dir):
+    """Distribution of the per-row cosine between gold and reconstructed
+    vectors, per label: mean, interpolated median, p5, p95, population std, n."""
+    r = T.recon(spark, sf_dir).select("row_idx", "label",
+                                      V.cosine("pred_vector", "activation_vector").alias("cos"))
+    b = M.distribution_block(r, "cos", by=["label"], key="row_idx")
+    return b.select("label", "n", *[r6(c).alias(c) for c in ["mean", "median", "p5", "p95", "std"]])
