@@ -431,7 +431,7 @@ SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 20"""
 
 CELLS = f"""cells AS (
   SELECT *, CAST(label AS VARCHAR) || '|' || CAST({score_bin_sql('fraud_score')} AS VARCHAR) AS cell FROM act),
-smp AS (SELECT * FROM cells WHERE fraud_score >= 0.5 OR row_idx % 5 = 0),
+smp AS (SELECT * FROM cells WHERE fraud_score >= 0.5 OR label = 1),
 nat AS (SELECT cell, count(*) AS n_population, count(*) / sum(count(*)) OVER () AS p_nat FROM cells GROUP BY cell),
 ps AS (SELECT cell, count(*) AS n_sample, count(*) / sum(count(*)) OVER () AS p_smp FROM smp GROUP BY cell),
 w AS (
@@ -442,7 +442,8 @@ wn AS (SELECT cell, n_population, n_sample,
 
 ORACLES["importance_weights"] = f"""
 WITH {ACT}, {CELLS}
-SELECT cell, n_population, n_sample, round(weight, 6) AS weight FROM wn"""
+SELECT nat.cell, nat.n_population, coalesce(wn.n_sample, 0) AS n_sample, round(wn.weight, 6) AS weight
+FROM nat LEFT JOIN wn USING (cell)"""
 
 ORACLES["weighted_metric"] = f"""
 WITH {ACT}, {CELLS}
@@ -553,7 +554,7 @@ WHERE r = 1"""
 
 JOURNAL = """jr AS (
   SELECT doc_id AS row_idx, text AS summary, 0 AS seq FROM documents
-  UNION ALL SELECT doc_id, text || ' (rerun)', 1 FROM documents WHERE doc_id % 10 = 0),
+  UNION ALL SELECT doc_id, text || ' (rerun)', 1 FROM documents WHERE lang = 'de'),
 latest AS (SELECT row_idx, summary FROM (
   SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY seq DESC) AS r FROM jr) WHERE r = 1),
 nb AS (SELECT * FROM latest WHERE length(regexp_replace(summary, '^\\s+|\\s+$', '', 'g')) > 0)"""
@@ -568,7 +569,7 @@ ORACLES["pending_work"] = f"""
 WITH {ACT},
 smp AS (SELECT row_idx FROM act ORDER BY {md5_order(9, 'row_idx')} LIMIT 300),
 done AS (SELECT doc_id AS row_idx FROM documents
-         WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AND doc_id % 3 <> 0)
+         WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AND lang <> 'fr')
 SELECT row_idx FROM smp WHERE row_idx NOT IN (SELECT row_idx FROM done)"""
 
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -773,7 +774,7 @@ SELECT round((SELECT avg(nrm) FROM nr), 6) AS norm_mean, round((SELECT stddev_sa
 
 PRED = f"""{ACT},
 truth AS (SELECT row_idx, label, {score_bin_sql('fraud_score')} AS score_bin FROM act),
-tr AS (SELECT * FROM act WHERE row_idx % 5 <> 0),
+tr AS (SELECT * FROM act),
 maj AS (SELECT label AS majority_label FROM (SELECT label, count(*) AS c FROM tr GROUP BY label)
         ORDER BY c DESC, label LIMIT 1),
 mean AS (SELECT avg(fraud_score) AS ms FROM tr),

@@ -248,15 +248,15 @@ def q_head_rows(spark, sf_dir):
 
 
 def biased_sample(a: DataFrame) -> DataFrame:
-    """Rows that survived a score-biased selection (stand-in for the rows whose
-    summaries were generated)."""
-    return a.where((F.col("fraud_score") >= 0.5) | (F.pmod(F.col("row_idx"), F.lit(5)) == 0))
+    """Rows that survived a selection biased toward high scores and positives
+    (stand-in for the rows whose summaries were generated)."""
+    return a.where((F.col("fraud_score") >= 0.5) | (F.col("label") == 1))
 
 
 @query("importance_weights")
 def q_importance_weights(spark, sf_dir):
     a = T.act(spark, sf_dir).withColumn("cell", S.cell_key("label", "fraud_score"))
-    w = SM.importance_weights(biased_sample(a), a, "cell")
+    w = SM.cell_report(biased_sample(a), a, "cell")
     return w.select("cell", "n_population", "n_sample", r6("weight").alias("weight"))
 
 
@@ -374,12 +374,13 @@ def q_latest_by_key(spark, sf_dir):
 
 
 def journal_records(spark, sf_dir) -> DataFrame:
-    """Journal of summaries keyed by row: every document is a record, and every
-    tenth document was re-run later (seq 1) with a new text."""
+    """Journal of summaries keyed by row: every document is a record, and the
+    German ones were re-run later (seq 1) with a new text."""
     d = T.read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("row_idx"), F.col("text").alias("summary"), F.lit(0).alias("seq"))
-    rerun = (d.where(F.pmod(F.col("row_idx"), F.lit(10)) == 0)
-             .select("row_idx", F.concat("summary", F.lit(" (rerun)")).alias("summary"),
+        F.col("doc_id").alias("row_idx"), F.col("text").alias("summary"), "lang",
+        F.lit(0).alias("seq"))
+    rerun = (d.where(F.col("lang") == "de")
+             .select("row_idx", F.concat("summary", F.lit(" (rerun)")).alias("summary"), "lang",
                      F.lit(1).alias("seq")))
     return d.unionByName(rerun)
 
@@ -388,7 +389,8 @@ def journal_records(spark, sf_dir) -> DataFrame:
 def q_journal_pairs(spark, sf_dir):
     """Latest non-blank summary per row joined to its vector (null when the
     row has none)."""
-    jr = J.non_blank(J.latest_by_key(journal_records(spark, sf_dir), "row_idx", "seq"), "summary")
+    jr = J.non_blank(J.latest_by_key(journal_records(spark, sf_dir).drop("lang"), "row_idx", "seq"),
+                     "summary")
     pairs = J.attach_vectors(jr, T.act(spark, sf_dir), "row_idx")
     return pairs.select("row_idx", F.col("activation_vector").isNotNull().alias("has_vector"),
                         "label", "fraud_score", F.length("summary").alias("summary_chars"),
@@ -398,8 +400,8 @@ def q_journal_pairs(spark, sf_dir):
 @query("pending_work")
 def q_pending_work(spark, sf_dir):
     smp = SM.exact_sample(T.act(spark, sf_dir), "row_idx", 300, seed=9)
-    done = J.non_blank(journal_records(spark, sf_dir), "summary").where(
-        F.pmod(F.col("row_idx"), F.lit(3)) != 0)
+    # the French summaries have not been generated yet
+    done = J.non_blank(journal_records(spark, sf_dir), "summary").where(F.col("lang") != "fr")
     return J.pending(smp, done, "row_idx").select("row_idx")
 
 
@@ -702,8 +704,7 @@ def predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     majority label and mean score."""
     a = T.act(spark, sf_dir)
     truth = a.select("row_idx", "label", S.score_bin("fraud_score").alias("score_bin"))
-    base = EV.majority_baseline(a.where(F.pmod(F.col("row_idx"), F.lit(5)) != 0), "label",
-                                "fraud_score").first()
+    base = EV.majority_baseline(a, "label", "fraud_score").first()
     shifted = F.pmod(F.col("row_idx") * 37 + 5, F.lit(101)) / F.lit(100.0)
     p1 = a.select(F.lit("shifted").alias("system"), "row_idx",
                   S.score_bin(shifted).alias("pred_bin"), (shifted >= 0.5).cast("int").alias("pred_label"))
