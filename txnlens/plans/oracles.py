@@ -655,8 +655,8 @@ RT = f"""{ACT}, {RECON},
 rt AS (
   SELECT r.*, CASE WHEN starts_with(s, '<explanation>') THEN s
                    ELSE '<explanation>' || chr(10) || s || chr(10) || '</explanation>' END AS wrapped
-  FROM recon r LEFT JOIN (SELECT doc_id AS row_idx, {STRIP.format(x="coalesce(text, '')")} AS s FROM documents) d
-       USING (row_idx)),
+  FROM (SELECT r0.*, {STRIP.format(x="coalesce(d.text, '')")} AS s
+        FROM recon r0 LEFT JOIN documents d ON d.doc_id = r0.row_idx) r),
 rt2 AS (SELECT *, CASE WHEN row_idx % 4 = 0 THEN regexp_replace(wrapped, '\\n</explanation>$', '') ELSE wrapped END AS raw FROM rt),
 rt3 AS (SELECT *, CASE
       WHEN regexp_matches(raw, '(?s)<explanation>\\s*(.*?)\\s*</explanation>')
