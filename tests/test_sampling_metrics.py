@@ -84,3 +84,19 @@ def test_quantiles_match_numpy(spark):
     assert q.p10 == pytest.approx(np.percentile(vals, 10))
     assert q.p90 == pytest.approx(np.percentile(vals, 90))
     assert q.med == s[(len(s) - 1) // 2]
+
+
+def test_prefilter_matches_full_order(spark, monkeypatch):
+    a = T.act(spark, SF01)
+    full = [r.row_idx for r in a.withColumn("_h", SM.seeded_hash(4, "row_idx"))
+            .orderBy("_h", "row_idx").limit(37).collect()]
+    got = [r.row_idx for r in SM.exact_sample(a, "row_idx", 37, 4).collect()]
+    assert sorted(got) == sorted(full)
+    # force the rank path and the short-cell fallback
+    monkeypatch.setattr(SM, "TOP_N_LIMIT", 1)
+    got2 = [r.row_idx for r in SM.exact_sample(a, "row_idx", 37, 4).collect()]
+    assert sorted(got2) == sorted(full)
+    base = SM.stratified_sample(a, "row_idx", n=80, seed=2).collect()
+    monkeypatch.setattr(SM, "_threshold", lambda n, pool: 0.0 if n < pool else 1.0)
+    forced = SM.stratified_sample(a, "row_idx", n=80, seed=2).collect()
+    assert sorted(r.row_idx for r in base) == sorted(r.row_idx for r in forced)
