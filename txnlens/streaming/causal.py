@@ -26,38 +26,37 @@ from txnlens.operators.causal import DAY_SECONDS, HOUR_SECONDS, Z_EPS
 
 OUTPUT_SCHEMA = ("txn_id long, card_id long, ts_sec long, velocity_1h long, velocity_24h long, "
                  "amt_zscore double, card_tenure_days double")
-STATE_SCHEMA = "first long, n long, mean double, m2 double, times array<long>, buf array<string>"
+# History of the last 24 h is kept as distinct seconds with cumulative counts:
+# at most 86,401 entries per card, however many transactions the card makes.
+STATE_SCHEMA = ("first long, n long, mean double, m2 double, secs array<long>, cum array<long>, "
+                "buf array<string>")
 
 
 def _step(key, pdf_iter, state):
     import pandas as pd
 
     if state.exists:
-        first, n, mean, m2, times, buf = state.get
-        times, buf = list(times), [json.loads(b) for b in buf]
+        first, n, mean, m2, secs, cum, buf = state.get
+        secs, cum, buf = list(secs), list(cum), [json.loads(b) for b in buf]
     else:
-        first, n, mean, m2, times, buf = None, 0, 0.0, 0.0, [], []
+        first, n, mean, m2, secs, cum, buf = None, 0, 0.0, 0.0, [], [], []
     wm_ms = state.getCurrentWatermarkMs()
     for pdf in pdf_iter:
-        # A new row older than the watermark is late: dropped, as Spark does.
+        # A new row at or below the watermark is late: dropped, as Spark does.
         buf.extend([[int(t), int(i), float(a)] for t, i, a in
                     zip(pdf["ts_sec"], pdf["txn_id"], pdf["amt"])
                     if not (wm_ms and wm_ms > 0 and int(t) * 1000 <= wm_ms)])
-    # Spark drops rows at or below the watermark, so those seconds are final.
-    ready_upto = wm_ms // 1000 if wm_ms and wm_ms > 0 else None
     buf.sort()
-    out = []
-    keep = []
+    out, keep = [], []
+    total = cum[-1] if cum else 0
     for t, i, a in buf:
-        if ready_upto is not None and t * 1000 <= wm_ms:
-            lo1 = bisect.bisect_left(times, t - HOUR_SECONDS)
-            lo24 = bisect.bisect_left(times, t - DAY_SECONDS)
-            v1 = len(times) - lo1
-            v24 = len(times) - lo24
-            if n >= 2:
-                z = (a - mean) / ((m2 / n) ** 0.5 + Z_EPS)
-            else:
-                z = 0.0
+        # Spark drops rows at or below the watermark, so those seconds are final.
+        if wm_ms and wm_ms > 0 and t * 1000 <= wm_ms:
+            lo1 = bisect.bisect_left(secs, t - HOUR_SECONDS)
+            lo24 = bisect.bisect_left(secs, t - DAY_SECONDS)
+            v1 = total - (cum[lo1 - 1] if lo1 > 0 else 0)
+            v24 = total - (cum[lo24 - 1] if lo24 > 0 else 0)
+            z = (a - mean) / ((m2 / n) ** 0.5 + Z_EPS) if n >= 2 else 0.0
             ten = (t - first) / float(DAY_SECONDS) if first is not None else 0.0
             out.append((i, key[0], t, v1, v24, z, ten))
             first = t if first is None else first
@@ -65,12 +64,21 @@ def _step(key, pdf_iter, state):
             d = a - mean
             mean += d / n
             m2 += d * (a - mean)
-            times.append(t)
-            # keep only what a later row's 24 h window can still reach
-            times = times[bisect.bisect_left(times, t - DAY_SECONDS):]
+            total += 1
+            if secs and secs[-1] == t:
+                cum[-1] = total
+            else:
+                secs.append(t)
+                cum.append(total)
         else:
             keep.append([t, i, a])
-    state.update((first, n, mean, m2, times, [json.dumps(b) for b in keep]))
+    if secs:
+        # drop seconds no later row's 24 h window can reach
+        k = bisect.bisect_left(secs, secs[-1] - DAY_SECONDS)
+        if k > 0:
+            base = cum[k - 1]
+            secs, cum = secs[k:], [c - base for c in cum[k:]]
+    state.update((first, n, mean, m2, secs, cum, [json.dumps(b) for b in keep]))
     if keep:
         # wake up once the watermark passes the oldest buffered second
         state.setTimeoutTimestamp(max(keep[0][0] * 1000 + 1000, (wm_ms or 0) + 1))
