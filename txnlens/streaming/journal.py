@@ -72,3 +72,9 @@ def stream_step_metrics(spark: SparkSession, src_dir: str) -> DataFrame:
     JSON are skipped)."""
     sdf = spark.readStream.schema(SAMPLE_SCHEMA).option("mode", "DROPMALFORMED").json(src_dir)
     return step_metrics(sdf.where(F.col("step").isNotNull()))
+
+
+def append_records(df: DataFrame, path: str) -> None:
+    """Append finished records to the journal folder as JSON lines (each call
+    adds files; readers keep the last ``seq`` per key)."""
+    df.select(*[c.split()[0] for c in JOURNAL_SCHEMA.split(", ")]).write.mode("append").json(path)
