@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def class_balance(df: DataFrame, split: str = "train_split", label: str = "is_fraud") -> DataFrame:
-    """``(split, n, n_fraud, pct_fraud)``; ``pct_fraud`` is null for an empty
-    split instead of a division error."""
+def class_balance(df: DataFrame, split: str = "train_split", label: str = "is_fraud",
+                  extra=()) -> DataFrame:
+    """``(split, n, n_fraud, pct_fraud, *extra)``; ``pct_fraud`` is null for
+    an empty split instead of a division error. ``extra`` aggregates are
+    computed in the same pass."""
     g = df.groupBy(split).agg(F.count(F.lit(1)).alias("n"),
-                              F.sum(F.col(label).cast("bigint")).alias("n_fraud"))
+                              F.sum(F.col(label).cast("bigint")).alias("n_fraud"), *extra)
     return g.withColumn("pct_fraud", F.when(F.col("n") > 0,
                                             F.lit(100.0) * F.col("n_fraud") / F.col("n")))
 
