@@ -18,11 +18,22 @@ def _executed(df) -> str:
 def test_rank_shares_one_range_exchange(spark):
     # input comes out of a shuffle (window), the case where two independently
     # sampled range exchanges could disagree
-    df = time_split(causal_features(T.txn(spark, SF01), strategy="window"))
-    agg = df.groupBy("train_split").count()
+    from txnlens.operators.ordering import rank_table
+    src = causal_features(T.txn(spark, SF01), strategy="window")
+    r = rank_table(src.where(F.col("velocity_24h") >= 0), ["ts_sec", "txn_id"], rank_col="_r")
+    agg = r.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_r").alias("d"),
+                F.min("_r").alias("lo"), F.max("_r").alias("hi"))
     plan = _executed(agg)
     assert "ReusedExchange" in plan
-    got = {r.train_split: r["count"] for r in agg.collect()}
+    row = agg.first()
+    assert (row.n, row.d, row.lo, row.hi) == (10000, 10000, 0, 9999)
+
+
+def test_time_split_never_shuffles_rows(spark):
+    df = time_split(T.txn(spark, SF01))
+    final = _executed(df.select("txn_id", "train_split")).split("== Initial Plan ==")[0]
+    assert "Exchange" not in final
+    got = {r.train_split: r["count"] for r in df.groupBy("train_split").count().collect()}
     assert got == {"train": 8000, "val": 1000, "test": 1000}
 
 

@@ -12,7 +12,7 @@ Used by the time split, the derangement and rank-based statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PART_SHIFT = 33  # monotonically_increasing_id = partition << 33 | offset
@@ -71,17 +71,32 @@ def time_split(df: DataFrame, ts: str = "ts_sec", key: str = "txn_id",
                split_col: str = "train_split") -> DataFrame:
     """Ordinal time split: in ``(ts, key)`` order the first
     ``int(n * (1 - val - test))`` rows are train, up to ``int(n * (1 - test))``
-    val, the rest test. Equal timestamps may straddle a boundary."""
+    val, the rest test. Equal timestamps may straddle a boundary.
+
+    Only the two boundary rows matter, so the narrow ``(ts, key)`` projection
+    is ranked, the two boundary keys (a proven bound: 2 rows) are collected,
+    and every row is labelled by comparing its key with them: the wide table
+    is never shuffled or joined. Rows with a null time or key sort last."""
     train_frac = 1.0 - val_frac - test_frac
     keep_frac = 1.0 - test_frac
-    r = global_rank(df, [ts, key], rank_col="_pos", total_col="_n")
+    r = rank_table(df, [ts, key], rank_col="_pos", total_col="_n")
     train_end = F.floor(F.col("_n") * F.lit(train_frac))
     val_end = F.floor(F.col("_n") * F.lit(keep_frac))
-    return (r.withColumn(split_col,
-                         F.when(F.col("_pos") < train_end, F.lit("train"))
-                         .when(F.col("_pos") < val_end, F.lit("val"))
-                         .otherwise(F.lit("test")))
-            .drop("_pos", "_n"))
+    marks = r.where((F.col("_pos") == train_end) | (F.col("_pos") == val_end)).select(
+        ts, key, (F.col("_pos") == train_end).alias("_is_train_end"),
+        (F.col("_pos") == val_end).alias("_is_val_end")).collect()
+    b_train = next(((m[ts], m[key]) for m in marks if m["_is_train_end"]), None)
+    b_val = next(((m[ts], m[key]) for m in marks if m["_is_val_end"]), None)
+
+    def before(b) -> Column:
+        if b is None:                       # boundary past the end: every row is before it
+            return F.lit(True)
+        t, k = F.col(ts), F.col(key)
+        return (t < F.lit(b[0])) | ((t == F.lit(b[0])) & (k < F.lit(b[1])))
+
+    label = (F.when(before(b_train), F.lit("train"))
+             .when(before(b_val), F.lit("val")).otherwise(F.lit("test")))
+    return df.withColumn(split_col, F.coalesce(label, F.lit("test")))
 
 
 def split_sizes(n: int, val_frac: float = 0.1, test_frac: float = 0.1) -> tuple[int, int]:
