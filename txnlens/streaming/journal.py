@@ -40,12 +40,24 @@ def upsert_batches(table_dir: str):
     return run
 
 
+def _versions(spark: SparkSession, table_dir: str) -> list[int]:
+    """Committed version numbers under ``table_dir`` (any Hadoop filesystem)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name.split("=", 1)[1]))
+    return sorted(out)
+
+
 def latest_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    import os
-    if not os.path.isdir(table_dir):
-        return None
-    vs = sorted((int(d.split("=", 1)[1]) for d in os.listdir(table_dir) if d.startswith("v=")
-                 and os.path.exists(os.path.join(table_dir, d, "_SUCCESS"))))
+    vs = _versions(spark, table_dir)
     if not vs:
         return None
     return spark.read.parquet(journal_versions(table_dir).format(epoch=vs[-1]))
