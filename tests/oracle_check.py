@@ -92,7 +92,8 @@ def main(argv: list[str]) -> int:
     names = argv[2:]
     import __spark_entry__ as E
     from txnlens import get_spark
-    spark = get_spark("local[8]")
+    extra = {"spark.sql.session.timeZone": os.environ["CHECK_TZ"]} if os.environ.get("CHECK_TZ") else None
+    spark = get_spark("local[8]", extra=extra)
     con = duck(sf_dir)
     qs, ors = E.queries(), E.oracle_sql()
     bad = 0

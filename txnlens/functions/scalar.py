@@ -38,18 +38,42 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def offset_to_timestamp(seconds) -> Column:
-    """Reference epoch + an offset in seconds."""
-    return F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(REF_EPOCH))) + _c(seconds))
+    """Reference epoch + an offset in seconds, as a wall-clock TIMESTAMP_NTZ.
+    Built from whole days plus the seconds of the day, so no session time
+    zone (or its daylight-saving rules) enters the arithmetic."""
+    s = _c(seconds).cast("long")
+    day = F.date_add(F.to_date(F.lit(REF_EPOCH[:10])), F.floor(s / 86400).cast("int"))
+    sod = F.pmod(s, F.lit(86400))
+    return F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day),
+                                (sod / 3600).cast("int"), (F.pmod(sod, F.lit(3600)) / 60).cast("int"),
+                                F.pmod(sod, F.lit(60)).cast("decimal(8,6)"))
+
+
+def epoch_seconds(ts, ntz: bool = True) -> Column:
+    """Whole seconds since 1970. A wall-clock TIMESTAMP_NTZ (parquet written
+    without a zone) is read as UTC whatever the session zone; an instant
+    (TIMESTAMP) uses ``unix_seconds``."""
+    t = _c(ts)
+    if ntz:
+        # From calendar fields only: Spark's timestamp arithmetic on NTZ values
+        # still consults the session zone around daylight-saving changes.
+        days = F.datediff(t.cast("date"), F.to_date(F.lit(_EPOCH_NTZ[:10]))).cast("long")
+        return (days * 86400 + F.hour(t).cast("long") * 3600 + F.minute(t).cast("long") * 60
+                + F.second(t).cast("long"))
+    return F.unix_seconds(t)
 
 
 def hour_of_day(ts) -> Column:
-    return F.hour(_c(ts).cast("timestamp"))
+    return F.hour(_c(ts))
 
 
 def day_of_week(ts) -> Column:
     """Monday = 0 ... Sunday = 6 (Spark ``weekday``; ``dayofweek`` is Sunday = 1)."""
-    return F.weekday(_c(ts).cast("timestamp"))
+    return F.weekday(_c(ts).cast("date"))
 
 
 def age_years(ts, dob) -> Column:

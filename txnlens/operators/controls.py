@@ -19,6 +19,7 @@ from txnlens.functions import text as X
 from txnlens.functions import vectors as V
 from txnlens.operators import metrics as M
 from txnlens.operators.sampling import derange
+from txnlens.session import cut_lineage
 
 # Fixed values that must equal the reference.
 PASS_FLOOR_GAP = 0.05
@@ -77,9 +78,9 @@ def swap_control(df: DataFrame, key: str, gold: str, pred: str, text: str | None
     # Several aggregations read the long table and the Jaccard column: cut the
     # derangement / join lineage once (reliable checkpoint, shared folder).
     dim = M.vector_dim(df, gold)
-    long = long.checkpoint()
+    long = cut_lineage(long)
     if jac is not None:
-        jac = jac.checkpoint()
+        jac = cut_lineage(jac)
     per = condition_metrics(long, key, gold, dim)
     wide = per.groupBy().pivot("condition", ["real", "swap", "floor"]).agg(F.first("fve_nrm"))
     v = wide.select(

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.operators import metrics as M
+from txnlens.session import cut_lineage
 from txnlens.operators.balance import positive_weight
 from txnlens.operators.sampling import seeded_hash
 
@@ -47,7 +48,7 @@ def train_classifier(df: DataFrame, cat_ids: list[str], nums: list[str], label:
 
     # Several fits and evaluations read this table: materialise it once in the
     # shared checkpoint folder instead of re-running its lineage each time.
-    x = _assemble(df, cat_ids, nums).checkpoint()
+    x = cut_lineage(_assemble(df, cat_ids, nums))
     pw = positive_weight(x.where(F.col(split) == "train"), label).first()["pos_weight"]
     x = x.withColumn("_w", F.when(F.col(label) == 1, F.lit(float(pw))).otherwise(F.lit(1.0)))
     train = x.where(F.col(split) == "train")

@@ -13,6 +13,7 @@ from txnlens.functions.scalar import clip
 from txnlens.operators.balance import class_balance
 from txnlens.operators.causal import causal_features
 from txnlens.operators.ordering import time_split
+from txnlens.session import cut_lineage
 from txnlens.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,7 +103,7 @@ def q_offset_timestamps(spark, sf_dir):
     """Reference epoch + offset seconds -> timestamp, hour, Monday-0 weekday."""
     o = T.read_table(spark, sf_dir, "orders")
     ts = S.offset_to_timestamp(F.col("o_orderkey") * 3607)
-    return o.select(F.col("o_orderkey").alias("txn_id"), F.unix_seconds(ts).alias("ts_sec"),
+    return o.select(F.col("o_orderkey").alias("txn_id"), S.epoch_seconds(ts).alias("ts_sec"),
                     S.hour_of_day(ts).alias("hour_of_day"), S.day_of_week(ts).alias("day_of_week"))
 
 
@@ -318,10 +319,10 @@ def prep_input(spark, sf_dir) -> DataFrame:
     df = time_split(causal_features(T.txn(spark, sf_dir)))
     # The table feeds the fit (two parameter tables) and the apply: cut its
     # lineage once in the shared checkpoint folder.
-    return (df.withColumn("device", F.concat(F.lit("d"),
+    return cut_lineage(df.withColumn("device", F.concat(F.lit("d"),
                                              F.pmod(F.col("txn_id") * 13, F.lit(997)).cast("string")))
             .withColumn("amt", F.when(F.pmod(F.col("txn_id"), F.lit(50)) == 0, F.lit(None))
-                        .otherwise(F.col("amt")))).checkpoint()
+                        .otherwise(F.col("amt"))))
 
 
 def _fit(spark, sf_dir):
@@ -617,7 +618,7 @@ CLF_CATS = ["merchant", "device"]
 
 def _prepared(spark, sf_dir):
     df, vocab, stats = _fit(spark, sf_dir)
-    return P.apply_preprocessor(df, vocab, stats).checkpoint()
+    return cut_lineage(P.apply_preprocessor(df, vocab, stats))
 
 
 @query("classifier_eval")

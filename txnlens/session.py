@@ -64,3 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (ensured first,
+    since a caller's session may not have set one in its SparkContext)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlens.functions.scalar import (age_years, day_of_week, haversine_km, hour_of_day,
-                                      offset_to_timestamp)
+from txnlens.functions.scalar import (age_years, day_of_week, epoch_seconds, haversine_km,
+                                      hour_of_day, offset_to_timestamp)
 
 ECOM_SOURCE = "ieee-fraud-detection"
 CARD_PRESENT_SOURCE = "sparkov"
@@ -75,7 +75,7 @@ def load_ecom_csv(spark: SparkSession, txn_path: str, identity_path: str,
     ident = _csv(spark, identity_path, IDENTITY_SCHEMA)
     j = tx.join(ident, on="TransactionID", how="left")
     ts = offset_to_timestamp(F.col("TransactionDT"))
-    return (j.withColumn("timestamp", ts)
+    return (j.withColumn("timestamp", ts).withColumn("ts_sec", epoch_seconds(ts))
             .withColumn("hour_of_day", hour_of_day(ts)).withColumn("day_of_week", day_of_week(ts))
             .withColumnRenamed("isFraud", "is_fraud")
             .withColumn("dataset_source", F.lit(ECOM_SOURCE)))
@@ -83,13 +83,13 @@ def load_ecom_csv(spark: SparkSession, txn_path: str, identity_path: str,
 
 def load_card_present_csv(spark: SparkSession, raw_dir: str, limit: int | None = None) -> DataFrame:
     df = _capped(_csv(spark, raw_dir, CARD_PRESENT_SCHEMA, recursive=True), limit)
-    ts = F.to_timestamp("trans_date_trans_time")
+    ts = F.to_timestamp_ntz("trans_date_trans_time")
     dob = F.to_date("dob")
     return (df.withColumn("timestamp", ts)
             .withColumn("hour_of_day", hour_of_day(ts)).withColumn("day_of_week", day_of_week(ts))
             .withColumn("age_at_txn", age_years(ts, dob))
             .withColumn("geo_distance_km", haversine_km("lat", "long", "merch_lat", "merch_long"))
-            .withColumn("ts_sec", F.unix_seconds(ts))
+            .withColumn("ts_sec", epoch_seconds(ts))
             .withColumn("dataset_source", F.lit(CARD_PRESENT_SOURCE)))
 
 

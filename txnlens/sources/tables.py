@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnlens.functions.scalar import day_of_week, epoch_seconds, hour_of_day
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -22,15 +24,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def unix_sec(col: str) -> F.Column:
-    """Whole seconds since 1970 (parquet timestamps load as TIMESTAMP_NTZ)."""
-    return F.unix_seconds(F.col(col).cast("timestamp"))
+    """Whole seconds since 1970. Parquet timestamps load as TIMESTAMP_NTZ
+    (wall clock): read as UTC whatever the session time zone."""
+    return epoch_seconds(F.col(col))
 
 
 def with_time_parts(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """hour_of_day 0-23 and day_of_week with Monday = 0 (Spark ``weekday``)."""
-    t = F.col(ts).cast("timestamp")
-    return (df.withColumn("hour_of_day", F.hour(t))
-            .withColumn("day_of_week", F.weekday(t)))
+    """hour_of_day 0-23 and day_of_week with Monday = 0 (Spark ``weekday``),
+    from the wall-clock time."""
+    return (df.withColumn("hour_of_day", hour_of_day(ts))
+            .withColumn("day_of_week", day_of_week(ts)))
 
 
 # --- stand-in views ---------------------------------------------------------
@@ -42,7 +45,7 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = e.select(
         F.col("event_id").alias("txn_id"),
         F.col("user_id").alias("card_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
         unix_sec("ts").alias("ts_sec"),
         F.col("value").alias("amt"),
         F.concat(F.lit("merchant_"), F.get_json_object("props", "$.k")).alias("merchant"),
@@ -57,7 +60,7 @@ def txn_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = o.select(
         F.col("o_orderkey").alias("txn_id"),
         F.col("o_custkey").alias("card_id"),
-        F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.col("o_orderdate").alias("ts"),
         unix_sec("o_orderdate").alias("ts_sec"),
         F.col("o_totalprice").alias("amt"),
         (F.col("o_orderstatus") == "P").cast("int").alias("is_fraud"))
@@ -83,7 +86,7 @@ def ecom(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(F.pmod(ok, 4) == 3, "cuvox.de"))
     df = j.select(
         ok.alias("txn_id"), ck.alias("card_id"),
-        F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.col("o_orderdate").alias("ts"),
         unix_sec("o_orderdate").alias("ts_sec"),
         F.col("o_totalprice").alias("TransactionAmt"),
         F.substring("o_orderpriority", 3, 1).alias("ProductCD"),
