@@ -861,3 +861,38 @@ SELECT label, count(*) AS n, round(avg(cos), 6) AS mean, round(quantile_cont(cos
        round(quantile_cont(cos, 0.05), 6) AS p5, round(quantile_cont(cos, 0.95), 6) AS p95,
        round(stddev_pop(cos), 6) AS std
 FROM nrm GROUP BY label"""
+
+
+def _steering_sql() -> str:
+    from txnlens.plans.registry import STEER_ALPHAS, random_direction
+    d = 64
+    rnd = random_direction(d)
+    rlist = "[" + ", ".join(repr(x) for x in rnd) + "]"
+    alphas = ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in STEER_ALPHAS)
+    return f"""
+WITH {ACT},
+dims AS (SELECT label, unnest(range(1, len(activation_vector) + 1)) AS i,
+                unnest(CAST(activation_vector AS DOUBLE[])) AS v FROM act),
+m AS (SELECT label, i, avg(v) AS mv FROM dims GROUP BY label, i),
+delta AS (SELECT list(m1.mv - m0.mv ORDER BY m1.i) AS dl FROM m m1 JOIN m m0 ON m1.i = m0.i
+          WHERE m1.label = 1 AND m0.label = 0),
+dirs AS (SELECT 'class_mean' AS direction, dl AS u FROM delta
+         UNION ALL SELECT 'random', CAST({rlist} AS DOUBLE[])),
+dn AS (SELECT direction, list_transform(u, lambda x: x / ({_norm('u')} + 1e-12)) AS un FROM dirs),
+sd AS (SELECT list_transform(dl, lambda x: x / ({_norm('dl')} + 1e-12)) AS s FROM delta),
+al AS (SELECT * FROM (VALUES {alphas}) t(alpha)),
+st AS (
+  SELECT dn.direction, al.alpha,
+         list_transform(range(1, len(a.activation_vector) + 1),
+           lambda i: CAST(a.activation_vector[i] AS DOUBLE)
+             + al.alpha * {_norm('CAST(a.activation_vector AS DOUBLE[])')} * dn.un[i]) AS h2
+  FROM act a, dn, al),
+sc AS (
+  SELECT direction, alpha,
+         list_sum(list_transform(range(1, len(h2) + 1), lambda i: h2[i] * sd.s[i]))
+           / greatest({_norm('h2')} * {_norm('sd.s')}, 1e-8) AS score
+  FROM st, sd)
+SELECT direction, alpha, count(*) AS n, round(avg(score), 6) AS mean_score FROM sc GROUP BY direction, alpha"""
+
+
+ORACLES["steering_sweep"] = _steering_sql()

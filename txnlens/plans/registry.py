@@ -747,6 +747,15 @@ def q_claim_precision(spark, sf_dir):
                                                             r6("precision").alias("precision"))
 
 
+def random_direction(d: int, seed: int = 0) -> list[float]:
+    """Seeded random steering direction (values rounded to 12 places so the
+    SQL oracle can state them as literals)."""
+    return [round(float(x), 12) for x in np.random.default_rng(seed).normal(size=d)]
+
+
+STEER_ALPHAS = [-1.0, -0.5, 0.0, 0.5, 1.0]
+
+
 @query("steering_sweep")
 def q_steering_sweep(spark, sf_dir):
     """Steer vectors along the class-mean difference and a seeded random
@@ -754,9 +763,9 @@ def q_steering_sweep(spark, sf_dir):
     a = T.act(spark, sf_dir)
     means = {r["label"]: r["mean_vector"] for r in M.vector_mean(a, "activation_vector", by=["label"]).collect()}
     delta = (np.asarray(means[1]) - np.asarray(means[0])).tolist()
-    rnd = np.random.default_rng(0).normal(size=len(delta)).tolist()
+    rnd = random_direction(len(delta))
     s = EV.steering_sweep(a, "activation_vector", {"class_mean": delta, "random": rnd},
-                          [-1.0, -0.5, 0.0, 0.5, 1.0], delta)
+                          STEER_ALPHAS, delta)
     return s.select("direction", "alpha", "n", r6("mean_score").alias("mean_score"))
 
 
