@@ -896,3 +896,51 @@ SELECT direction, alpha, count(*) AS n, round(avg(score), 6) AS mean_score FROM
 
 
 ORACLES["steering_sweep"] = _steering_sql()
+
+
+def stratified_sql(n: int, natural_frac: float, seed: int) -> str:
+    """Stratified sample by its definition: natural part = the smallest
+    hashes overall; quotas water-filled over the sorted cells round by round
+    (a recursive CTE); per cell the smallest hashes of the remaining pool;
+    weights p_nat / p_smp over their mean."""
+    n_nat = int(round(n * natural_frac))
+    return f"""
+WITH RECURSIVE {ACT},
+cells AS (SELECT *, CAST(label AS VARCHAR) || '|' || CAST({score_bin_sql('fraud_score')} AS VARCHAR) AS cell,
+                 md5('{seed}:' || CAST(row_idx AS VARCHAR)) AS h FROM act),
+nsz AS (SELECT least({n}, count(*)) AS n FROM cells),
+nat AS (SELECT row_idx FROM cells ORDER BY h, row_idx LIMIT {n_nat}),
+pool AS (SELECT * FROM cells WHERE row_idx NOT IN (SELECT row_idx FROM nat)),
+pc AS (SELECT list(cell ORDER BY cell) AS cs, list(p ORDER BY cell) AS ps
+       FROM (SELECT cell, count(*) AS p FROM pool GROUP BY cell)),
+wf(r, rem, lefts, quotas) AS (
+  SELECT 0, (SELECT n FROM nsz) - {n_nat}, ps, list_transform(ps, lambda x: 0) FROM pc
+  UNION ALL
+  SELECT r + 1, rem - list_sum(takes),
+         list_transform(range(1, len(lefts) + 1), lambda i: lefts[i] - takes[i]),
+         list_transform(range(1, len(quotas) + 1), lambda i: quotas[i] + takes[i])
+  FROM (
+    SELECT r, rem, lefts, quotas,
+           list_transform(range(1, len(lefts) + 1), lambda i: greatest(0, least(
+             least(per, lefts[i]),
+             rem - coalesce(list_sum(list_transform(list_slice(lefts, 1, i - 1), lambda x: least(per, x))), 0)))) AS takes
+    FROM (SELECT *, greatest(1, rem // len(list_filter(lefts, lambda x: x > 0))) AS per FROM wf
+          WHERE rem > 0 AND len(list_filter(lefts, lambda x: x > 0)) > 0))),
+fq AS (SELECT unnest(pc.cs) AS cell, unnest(quotas) AS quota
+       FROM (SELECT quotas FROM wf ORDER BY r DESC LIMIT 1), pc),
+ranked AS (SELECT pool.*, row_number() OVER (PARTITION BY cell ORDER BY h, row_idx) AS k FROM pool),
+smp AS (SELECT ranked.* EXCLUDE (k) FROM ranked JOIN fq USING (cell) WHERE k <= quota
+        UNION ALL SELECT * FROM cells WHERE row_idx IN (SELECT row_idx FROM nat)),
+pn AS (SELECT cell, count(*) / sum(count(*)) OVER () AS p_nat FROM cells GROUP BY cell),
+ps2 AS (SELECT cell, count(*) AS k, count(*) / sum(count(*)) OVER () AS p_smp FROM smp GROUP BY cell),
+w AS (SELECT ps2.cell, coalesce(pn.p_nat, 0) / ps2.p_smp AS raw, ps2.k FROM ps2 LEFT JOIN pn USING (cell)),
+wn AS (SELECT cell, raw / (sum(raw * k) OVER () / sum(k) OVER ()) AS weight FROM w)
+SELECT row_idx, label, fraud_score, round(weight, 6) AS sample_weight FROM smp JOIN wn USING (cell)"""
+
+
+ORACLES["stratified_sample"] = stratified_sql(100, 0.2, 3)
+
+ORACLES["features_json"] = f"""
+WITH st AS ({stratified_sql(100, 0.2, 3)})
+SELECT row_idx, to_json(struct_pack(row_idx := row_idx, sample_weight := sample_weight))::VARCHAR AS features_json
+FROM st"""

@@ -784,6 +784,7 @@ def q_features_json(spark, sf_dir):
     excluded) as JSON."""
     s = SM.stratified_sample(T.act(spark, sf_dir).drop("class_id"), "row_idx", n=100,
                              natural_frac=0.2, seed=3)
+    s = s.withColumn("sample_weight", r6("sample_weight"))  # printed to 6 places
     return s.select("row_idx", R.features_json(s).alias("features_json"))
 
 
