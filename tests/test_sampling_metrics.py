@@ -100,3 +100,12 @@ def test_prefilter_matches_full_order(spark, monkeypatch):
     monkeypatch.setattr(SM, "_threshold", lambda n, pool: 0.0 if n < pool else 1.0)
     forced = SM.stratified_sample(a, "row_idx", n=80, seed=2).collect()
     assert sorted(r.row_idx for r in base) == sorted(r.row_idx for r in forced)
+
+
+def test_load_pairs(spark):
+    a = T.act(spark, SF01)
+    train, hold = SM.load_pairs(a, "row_idx", n=5000, fraction=0.3, seed=1, holdout=100)
+    assert hold.count() == 100
+    rows = train.collect()
+    assert len(rows) <= 4 * 400
+    assert not ({r.row_idx for r in rows} & {r.row_idx for r in hold.collect()})

@@ -6,10 +6,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnlens.functions.scalar import clip
+from txnlens.functions import render as R
+from txnlens.functions import scalar as S
+from txnlens.functions import text as X
+from txnlens.functions import vectors as V
+from txnlens.operators import controls as C
+from txnlens.operators import evals as EV
+from txnlens.operators import geometry as G
+from txnlens.operators import journal as J
+from txnlens.operators import metrics as M
+from txnlens.operators import models as MD
+from txnlens.operators import preprocess as P
+from txnlens.operators import rollouts as RO
+from txnlens.operators import sampling as SM
 from txnlens.operators.balance import class_balance
 from txnlens.operators.causal import causal_features
 from txnlens.operators.ordering import time_split
@@ -78,9 +92,6 @@ def q_split_report(spark, sf_dir):
 
 # --- ingest and scalar features ------------------------------------------------
 
-from txnlens.functions import scalar as S  # noqa: E402
-from txnlens.functions import text as X  # noqa: E402
-
 
 def ecom_features(df: DataFrame) -> DataFrame:
     """Email groups, email match and the source tag on e-commerce rows."""
@@ -140,7 +151,6 @@ def q_text_checks(spark, sf_dir):
 
 # --- rendering ---------------------------------------------------------------------
 
-from txnlens.functions import render as R  # noqa: E402
 
 _CP_CATS = ["misc_net", "grocery_pos", "travel", "kids_pets", "gas_transport"]
 
@@ -174,9 +184,6 @@ def q_render_ecom(spark, sf_dir):
 
 # --- vectors and metrics ----------------------------------------------------------
 
-from txnlens.functions import vectors as V  # noqa: E402
-from txnlens.operators import metrics as M  # noqa: E402
-
 
 def _round_vec(c) -> F.Column:
     return F.transform(c, lambda x: F.round(x.cast("double"), 6))
@@ -232,8 +239,6 @@ def q_auc_ap(spark, sf_dir):
 
 # --- sampling ------------------------------------------------------------------
 
-from txnlens.operators import sampling as SM  # noqa: E402
-
 
 @query("exact_sample")
 def q_exact_sample(spark, sf_dir):
@@ -306,7 +311,6 @@ def q_rollout_expand(spark, sf_dir):
 
 # --- preprocessing -------------------------------------------------------------------
 
-from txnlens.operators import preprocess as P  # noqa: E402
 
 PREP_CATS = ["merchant", "category", "device"]
 PREP_NUMS = ["amt", "hour_of_day", "day_of_week", "amt_zscore", "velocity_1h",
@@ -363,9 +367,6 @@ def q_positive_weight(spark, sf_dir):
 
 # --- journal, text, rollouts -------------------------------------------------------
 
-from txnlens.operators import journal as J  # noqa: E402
-from txnlens.operators import rollouts as RO  # noqa: E402
-
 
 @query("latest_by_key")
 def q_latest_by_key(spark, sf_dir):
@@ -479,9 +480,6 @@ def q_rollout_report(spark, sf_dir):
 
 # --- controls and geometry -------------------------------------------------------------
 
-from txnlens.operators import controls as C  # noqa: E402
-from txnlens.operators import geometry as G  # noqa: E402
-
 
 def roundtrip_input(spark, sf_dir) -> DataFrame:
     """Gold / reconstructed vectors with the generated text of each row (the
@@ -609,7 +607,6 @@ def q_embedding_space(spark, sf_dir):
 
 # --- models ---------------------------------------------------------------------------
 
-from txnlens.operators import models as MD  # noqa: E402
 
 # The category column is the fraud label's source in the stand-in, so the
 # classifier uses the other features.
@@ -693,10 +690,6 @@ def q_mlp_scores(spark, sf_dir):
 
 # --- evaluations specified by the plan -------------------------------------------------
 
-import numpy as np  # noqa: E402
-
-from txnlens.operators import evals as EV  # noqa: E402
-
 
 def predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(truth, predictions): two systems guess each vector's score bucket and
