@@ -525,7 +525,7 @@ def _scaled(c: str, expr: str) -> str:
     s = f"(SELECT {{}} FROM stats WHERE col = '{c}')"
     filled = f"coalesce({expr}, {s.format('median')})"
     centred = f"CAST(CAST(CAST({filled} AS FLOAT) AS DOUBLE) - {s.format('mean')} AS FLOAT)"
-    return f"round(CAST(CAST({centred} AS DOUBLE) / {s.format('scale')} AS FLOAT), 6) AS {c}_scaled"
+    return f"round(CAST(CAST(CAST({centred} AS DOUBLE) / {s.format('scale')} AS FLOAT) AS DOUBLE), 6) AS {c}_scaled"
 
 
 ORACLES["preprocess_apply"] = f"""

@@ -104,7 +104,8 @@ def ecom_features(df: DataFrame) -> DataFrame:
 @query("ecom_features")
 def q_ecom_features(spark, sf_dir):
     df = ecom_features(T.ecom(spark, sf_dir))
-    return df.select("txn_id", "card_id", "ts_sec", "hour_of_day", "day_of_week",
+    return df.select("txn_id", "card_id", "ts_sec", F.col("hour_of_day").cast("bigint").alias("hour_of_day"),
+                     F.col("day_of_week").cast("bigint").alias("day_of_week"),
                      "TransactionAmt", "p_email_group", "r_email_group", "email_match",
                      "dataset_source", "is_fraud")
 
@@ -115,7 +116,8 @@ def q_offset_timestamps(spark, sf_dir):
     o = T.read_table(spark, sf_dir, "orders")
     ts = S.offset_to_timestamp(F.col("o_orderkey") * 3607)
     return o.select(F.col("o_orderkey").alias("txn_id"), S.epoch_seconds(ts).alias("ts_sec"),
-                    S.hour_of_day(ts).alias("hour_of_day"), S.day_of_week(ts).alias("day_of_week"))
+                    S.hour_of_day(ts).cast("bigint").alias("hour_of_day"),
+                    S.day_of_week(ts).cast("bigint").alias("day_of_week"))
 
 
 def card_present_features(df: DataFrame) -> DataFrame:
@@ -394,7 +396,7 @@ def q_journal_pairs(spark, sf_dir):
                      "summary")
     pairs = J.attach_vectors(jr, T.act(spark, sf_dir), "row_idx")
     return pairs.select("row_idx", F.col("activation_vector").isNotNull().alias("has_vector"),
-                        "label", "fraud_score", F.length("summary").alias("summary_chars"),
+                        "label", "fraud_score", F.length("summary").cast("bigint").alias("summary_chars"),
                         F.md5("summary").alias("summary_md5"))
 
 
