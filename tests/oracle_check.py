@@ -52,6 +52,20 @@ def digest(cols: list[str], rows: list[tuple]) -> tuple[int, str]:
     return len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16]
 
 
+_FAMILY = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+           "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+           "array<double>": "DOUBLE[]", "array<float>": "FLOAT[]", "array<bigint>": "BIGINT[]",
+           "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]"}
+
+
+def type_mismatches(df, con, sql: str) -> list:
+    spark_t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rel = con.sql(sql)
+    duck_t = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [(c, t, duck_t.get(c)) for c, t in spark_t.items()
+            if _FAMILY.get(t, t.upper()) != duck_t.get(c)]
+
+
 def check(spark, con, sf_dir: str, name: str, qfn, sql: str | None) -> dict:
     t0 = time.time()
     df = qfn(spark, sf_dir)
@@ -69,6 +83,10 @@ def check(spark, con, sf_dir: str, name: str, qfn, sql: str | None) -> dict:
     if sorted(s_cols) != sorted(d_cols):
         out["status"] = f"COLUMNS {sorted(s_cols)} vs {sorted(d_cols)}"
         return out
+    bad_types = type_mismatches(df, con, sql)
+    if bad_types:
+        out["status"] = f"TYPES {bad_types}"
+        return out
     ns, hs = digest(s_cols, s_rows)
     nd, hd = digest(d_cols, d_rows)
     if ns != nd:
