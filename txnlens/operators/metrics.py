@@ -154,28 +154,36 @@ def _score_hist(df: DataFrame, score: str, label: str, weight: str | None) -> Da
         F.sum(F.when(F.col(label) == 1, 0.0).otherwise(w)).alias("neg"))
 
 
-def auc_roc(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
-    """Area under ROC with tied scores counted half: for each distinct score,
-    positives there beat the negatives below it and tie with those at it."""
-    h = prefix_sums(_score_hist(df, score, label, weight), ["s"], ["pos", "neg"])
-    h = h.withColumn("_below", F.col("cum_neg") - F.col("neg"))
-    t = h.agg(F.sum(F.col("pos") * (F.col("_below") + F.lit(0.5) * F.col("neg"))).alias("u"),
+def auc_ap(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
+    """AUC-ROC (ties counted half) and step-wise average precision from ONE
+    prefix-sum pass over the distinct scores (ascending): counts at or above a
+    threshold are the totals minus the counts below it.
+
+    AUC = sum_s pos(s) (neg below s + neg(s) / 2) / (P N)
+    AP  = sum_s pos(s) TP(s) / (TP(s) + FP(s)) / P, TP / FP at score >= s
+    (not the trapezoid MLlib reports). AP ignores weights."""
+    h = prefix_sums(_score_hist(df, score, label, weight), ["s"], ["pos", "neg"], totals=True)
+    below_neg = F.col("cum_neg") - F.col("neg")
+    tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
+    fp = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
+    t = h.agg(F.sum(F.col("pos") * (below_neg + F.lit(0.5) * F.col("neg"))).alias("u"),
+              F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp / (tp + fp))).alias("ap_u"),
               F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return t.select(F.when((F.col("p") > 0) & (F.col("q") > 0),
                            F.col("u") / (F.col("p") * F.col("q"))).alias("auc_roc"),
+                    F.when(F.col("p") > 0, F.coalesce(F.col("ap_u"), F.lit(0.0)) / F.col("p"))
+                    .alias("average_precision"),
                     F.col("p").alias("n_pos"), F.col("q").alias("n_neg"))
 
 
+def auc_roc(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
+    """Area under ROC with tied scores counted half."""
+    return auc_ap(df, score, label, weight).select("auc_roc", "n_pos", "n_neg")
+
+
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Step-wise AP ``sum (R_n - R_(n-1)) P_n`` over distinct score thresholds
-    from high to low (not the trapezoid MLlib reports)."""
-    h = _score_hist(df, score, label, None).withColumn("_neg_s", -F.col("s"))
-    h = prefix_sums(h, ["_neg_s"], ["pos", "neg"])
-    t = h.agg(F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("cum_pos")
-                           / (F.col("cum_pos") + F.col("cum_neg")))).alias("u"),
-              F.sum("pos").alias("p"))
-    return t.select(F.when(F.col("p") > 0, F.coalesce(F.col("u"), F.lit(0.0)) / F.col("p"))
-                    .alias("average_precision"))
+    """Step-wise AP ``sum (R_n - R_(n-1)) P_n`` over distinct thresholds."""
+    return auc_ap(df, score, label).select("average_precision")
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str] = ()) -> DataFrame:

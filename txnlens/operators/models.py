@@ -64,8 +64,8 @@ def train_classifier(df: DataFrame, cat_ids: list[str], nums: list[str], label:
     reg, val_auc, model = best
     test = model.transform(x.where(F.col(split) == "test")).withColumn(
         "score", vector_to_array("probability")[1])
-    test_auc = M.auc_roc(test, "score", label).first()["auc_roc"]
-    test_ap = M.average_precision(test, "score", label).first()["average_precision"]
+    ev = M.auc_ap(test, "score", label).first()
+    test_auc, test_ap = ev["auc_roc"], ev["average_precision"]
     bar = AUC_BARS.get(source, 0.85)
     return {"reg_param": reg, "val_auc": val_auc, "test_auc": test_auc, "test_ap": test_ap,
             "pos_weight": float(pw), "auc_bar": bar,

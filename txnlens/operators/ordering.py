@@ -105,19 +105,24 @@ def split_sizes(n: int, val_frac: float = 0.1, test_frac: float = 0.1) -> tuple[
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
-                prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
+                prefix: str = "cum_", num_partitions: int | None = None,
+                totals: bool = False) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_cols`` order (a
     total order) across the whole table. Range partitions compute local running
-    sums; their totals (one row per partition) give the offsets, broadcast."""
+    sums; their totals (one row per partition) give the offsets, broadcast.
+    ``totals`` also attaches the grand totals as ``tot_<col>``."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(n, *order_cols).withColumn("_rp", F.spark_partition_id())
     w = Window.partitionBy("_rp").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = r.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in value_cols])
-    totals = r.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    part = r.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    # one row per partition: global windows here are bounded
     prev = Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_rp", *[F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0))
-                                     .alias(f"_o_{c}") for c in value_cols])
+    cols = [F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0)).alias(f"_o_{c}") for c in value_cols]
+    if totals:
+        cols += [F.sum(f"_t_{c}").over(Window.partitionBy()).alias(f"tot_{c}") for c in value_cols]
+    offsets = part.select("_rp", *cols)
     out = local.join(F.broadcast(offsets), on="_rp", how="inner")
     for c in value_cols:
         out = out.withColumn(prefix + c, F.col(f"_l_{c}") + F.col(f"_o_{c}"))

@@ -232,9 +232,7 @@ def scored(spark, sf_dir) -> DataFrame:
 @query("auc_ap")
 def q_auc_ap(spark, sf_dir):
     s = scored(spark, sf_dir)
-    auc = M.auc_roc(s, "score", "label")
-    ap = M.average_precision(s, "score", "label")
-    return M.merge_rows(auc, ap).select(r6("auc_roc").alias("auc_roc"),
+    return M.auc_ap(s, "score", "label").select(r6("auc_roc").alias("auc_roc"),
                                         r6("average_precision").alias("average_precision"),
                                         "n_pos", "n_neg")
 
