@@ -35,32 +35,42 @@ def verdict(real_fve: Column, swap_fve: Column, floor_fve: Column) -> Column:
             .when(gap_rs < FAIL_REAL_GAP, F.lit("FAIL")).otherwise(F.lit("AMBIGUOUS")))
 
 
-def mean_unit_vector(df: DataFrame, gold: str) -> list[float]:
+def mean_unit_vector(df: DataFrame, gold: str, dim: int | None = None) -> list[float]:
     """Mean of ``x / max(|x|, 1e-12)``: d numbers (a proven size bound)."""
     u = df.select(V.let(F.greatest(V.vec_norm(gold), F.lit(FLOOR_EPS)),
                         lambda n: F.transform(gold, lambda x: x.cast("double") / n)).alias("_u"))
-    return [float(x) for x in M.vector_mean(u, "_u").first()["mean_vector"]]
+    return [float(x) for x in M.vector_mean(u, "_u", dim=dim).first()["mean_vector"]]
 
 
-def swap_table(df: DataFrame, key: str, gold: str, pred: str, text: str | None,
+def swap_pairs(df: DataFrame, key: str, gold: str, pred: str, text: str | None,
                seed: int) -> DataFrame:
-    """Long table ``(condition, key, gold, pred[, text, partner_text])`` for
-    the real, swap and floor conditions."""
+    """One row per key: own gold and prediction, the deranged partner's
+    prediction, and (with texts) the token Jaccard of the two texts."""
     pairs = derange(df, key, seed, partner="_partner")
     partner = df.select(F.col(key).alias("_partner"), F.col(pred).alias("_ppred"),
                         *([F.col(text).alias("_ptext")] if text else []))
     sw = df.join(pairs.select(key, "_partner"), key).join(partner, "_partner")
-    mu = mean_unit_vector(df, gold)
-    mu_col = F.array(*[F.lit(x) for x in mu])
-    keep = [key, gold]
-    real = df.select(F.lit("real").alias("condition"), *keep, F.col(pred).alias("pred"))
-    swap = sw.select(F.lit("swap").alias("condition"), *keep, F.col("_ppred").alias("pred"))
-    floor = df.select(F.lit("floor").alias("condition"), *keep, mu_col.alias("pred"))
-    long = real.unionByName(swap).unionByName(floor)
+    cols = [key, gold, pred, "_ppred"]
     if text:
-        jac = sw.select(key, X.token_jaccard(text, "_ptext").alias("jaccard"))
-        return long, jac
-    return long, None
+        cols.append(X.token_jaccard(text, "_ptext").alias("jaccard"))
+    return sw.select(*cols)
+
+
+def swap_table(df: DataFrame, key: str, gold: str, pred: str, text: str | None,
+               seed: int, dim: int | None = None):
+    """(long table ``(condition, key, gold, pred)`` for the real, swap and
+    floor conditions, per-key Jaccard or None). The partner join runs once and
+    is checkpointed (narrow: vectors and one number), both outputs read it."""
+    sw = cut_lineage(swap_pairs(df, key, gold, pred, text, seed))
+    mu_col = F.array(*[F.lit(x) for x in mean_unit_vector(df, gold, dim)])
+    keep = [key, gold]
+    long = (sw.select(F.lit("real").alias("condition"), *keep, F.col(pred).alias("pred"))
+            .unionByName(sw.select(F.lit("swap").alias("condition"), *keep,
+                                   F.col("_ppred").alias("pred")))
+            .unionByName(sw.select(F.lit("floor").alias("condition"), *keep,
+                                   mu_col.alias("pred"))))
+    jac = sw.select(key, "jaccard") if text else None
+    return long, jac
 
 
 def condition_metrics(long: DataFrame, key: str, gold: str, dim: int | None = None) -> DataFrame:
@@ -74,13 +84,8 @@ def condition_metrics(long: DataFrame, key: str, gold: str, dim: int | None = No
 def swap_control(df: DataFrame, key: str, gold: str, pred: str, text: str | None = None,
                  seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(per-condition metrics, one-row verdict with gaps and text Jaccard)."""
-    long, jac = swap_table(df, key, gold, pred, text, seed)
-    # Several aggregations read the long table and the Jaccard column: cut the
-    # derangement / join lineage once (reliable checkpoint, shared folder).
     dim = M.vector_dim(df, gold)
-    long = cut_lineage(long)
-    if jac is not None:
-        jac = cut_lineage(jac)
+    long, jac = swap_table(df, key, gold, pred, text, seed, dim)
     per = condition_metrics(long, key, gold, dim)
     wide = per.groupBy().pivot("condition", ["real", "swap", "floor"]).agg(F.first("fve_nrm"))
     v = wide.select(
