@@ -87,3 +87,20 @@ def test_features_json(spark):
                                "merchant string, amt_attr double")
     js = df.select(R.features_json(df)).first()[0]
     assert js == '{"row_idx":1,"sample_weight":2.0,"merchant":null}'
+
+
+def test_prefix_sums_share_one_range_exchange(spark):
+    from txnlens.operators import metrics as M
+    from txnlens.plans.registry import scored
+    a = M.auc_ap(scored(spark, SF01), "score", "label")
+    plan = _executed(a)
+    assert "ReusedExchange" in plan
+
+
+def test_skew_path_shares_one_range_exchange(spark):
+    from txnlens.operators.causal import causal_feature_table
+    t = T.txn(spark, SF01)
+    shuffled = t.groupBy("txn_id").agg(F.first("card_id").alias("card_id"),
+                                       F.first("ts_sec").alias("ts_sec"), F.first("amt").alias("amt"))
+    plan = _executed(causal_feature_table(shuffled, num_partitions=8))
+    assert "ReusedExchange" in plan

@@ -108,12 +108,20 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
                 prefix: str = "cum_", num_partitions: int | None = None,
                 totals: bool = False) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_cols`` order (a
-    total order) across the whole table. Range partitions compute local running
-    sums; their totals (one row per partition) give the offsets, broadcast.
-    ``totals`` also attaches the grand totals as ``tot_<col>``."""
+    total order) across the whole table; output is ``order_cols``,
+    ``value_cols`` and the sums. Range partitions compute local running sums;
+    their totals (one row per partition) give the offsets, broadcast.
+    ``totals`` also attaches the grand totals as ``tot_<col>``.
+
+    Both branches read the same narrow projection, so they share ONE range
+    exchange (the partition ids of the running sums and of the totals must
+    come from the same bounds)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order_cols).withColumn("_rp", F.spark_partition_id())
+    keys = df.select(*order_cols, *value_cols)
+    for c in order_cols:
+        keys = keys.where(F.col(c).isNotNull())
+    r = keys.repartitionByRange(n, *order_cols).withColumn("_rp", F.spark_partition_id())
     w = Window.partitionBy("_rp").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = r.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in value_cols])
     part = r.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
