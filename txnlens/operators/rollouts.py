@@ -3,7 +3,7 @@ completion mask, per-token KL and the per-step report."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions import vectors as V
@@ -14,12 +14,14 @@ ADV_EPS = 1e-4
 
 def group_advantage(df: DataFrame, group: str, reward: str, out: str = "advantage") -> DataFrame:
     """``(r - mean_g) / (sample std_g + 1e-4)``; a group of one has no sample
-    std and gets null. Groups are the G rollouts of one prompt, so the window
-    holds G rows."""
-    w = Window.partitionBy(group)
-    sd = F.stddev_samp(reward).over(w)
-    return df.withColumn(out, F.when(sd.isNotNull(),
-                                     (F.col(reward) - F.avg(reward).over(w)) / (sd + F.lit(ADV_EPS))))
+    std and gets null. Group statistics are a partial aggregation joined back
+    on the group key, so even a very large group is never one task (AQE can
+    split a hot key in the join)."""
+    stats = df.groupBy(group).agg(F.avg(reward).alias("_gm"), F.stddev_samp(reward).alias("_gs"))
+    return (df.join(stats, group, "left")
+            .withColumn(out, F.when(F.col("_gs").isNotNull(),
+                                    (F.col(reward) - F.col("_gm")) / (F.col("_gs") + F.lit(ADV_EPS))))
+            .drop("_gm", "_gs"))
 
 
 def with_token_stats(df: DataFrame, ids: str, logp_policy: str, logp_ref: str, eos: int) -> DataFrame:
