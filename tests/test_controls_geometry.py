@@ -71,3 +71,21 @@ def test_wide_paths_match(spark, monkeypatch):
     d1 = {r.row_idx: r.projected for r in p1.collect()}
     d2 = {r.row_idx: r.projected for r in p2.collect()}
     assert all(np.allclose(d1[k], d2[k]) for k in d1)
+
+
+def test_mlp_gradient_matches_finite_differences():
+    from txnlens.operators import models as MD
+    rng = np.random.default_rng(3)
+    ws = [(rng.normal(size=(6, 5)), rng.normal(size=6)), (rng.normal(size=(4, 6)), rng.normal(size=4)),
+          (rng.normal(size=(1, 4)), rng.normal(size=1))]
+    x = rng.normal(size=(3, 5))
+    logit, cap, grad = MD.forward_backward(x, ws, capture=1, n_num=3)
+    assert cap.shape == (3, 4)
+    eps = 1e-6
+    for j in range(3):
+        xp, xm = x.copy(), x.copy()
+        xp[:, 2 + j] += eps
+        xm[:, 2 + j] -= eps
+        fd = (MD.forward_backward(xp, ws, 1, 3)[0] - MD.forward_backward(xm, ws, 1, 3)[0]) / (2 * eps)
+        assert np.allclose(grad[:, j], fd, atol=1e-5)
+    assert MD.embedding_dim(3) == 2 and MD.embedding_dim(10) == 5 and MD.embedding_dim(500) == 8

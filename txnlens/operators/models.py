@@ -106,10 +106,27 @@ def logistic_probe(df: DataFrame, vec: str, label: str, key: str, seed: int = 0,
 
 # --- small MLP forward pass ---------------------------------------------------------
 
+# Fixed values that must equal the reference: embedding width rule.
+EMBED_MAX, EMBED_MIN = 8, 2
+
+
+def embedding_dim(vocab_size: int) -> int:
+    """``min(8, max(2, vocab // 2))``."""
+    return min(EMBED_MAX, max(EMBED_MIN, vocab_size // 2))
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.erf, otypes=[np.float64])(x)
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
     """Exact (erf) GELU."""
-    erf = np.vectorize(math.erf, otypes=[np.float64])
-    return 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)))
+    return 0.5 * x * (1.0 + _erf(x / math.sqrt(2.0)))
+
+
+def gelu_grad(x: np.ndarray) -> np.ndarray:
+    """d GELU / dx = Phi(x) + x phi(x)."""
+    return 0.5 * (1.0 + _erf(x / math.sqrt(2.0))) + x * np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
 
 def weights_from_table(wt: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -126,33 +143,59 @@ def weights_from_table(wt: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def mlp_forward(df: DataFrame, inputs: str, weights: list[tuple[np.ndarray, np.ndarray]],
-                capture: int, key: str) -> DataFrame:
-    """Forward pass (GELU between layers, no dropout); returns ``key``,
-    ``fraud_score`` = sigmoid(logit) and the hidden layer ``capture`` as
-    ``activation_vector`` (float32 array). Weights travel with the function
-    (a small network); rows stream in Arrow batches."""
+def forward_backward(x: np.ndarray, weights, capture: int, n_num: int):
+    """Logit, captured hidden layer and d logit / d (last ``n_num`` inputs)."""
+    pre, h = [], x
+    cap = None
+    for i, (w, b) in enumerate(weights):
+        z = h @ w.T + b
+        pre.append(z)
+        h = gelu(z) if i < len(weights) - 1 else z
+        if i == capture:
+            cap = h
+    logit = h[:, 0]
+    g = np.tile(weights[-1][0][0], (x.shape[0], 1))          # d logit / d h_{L-1}
+    for i in range(len(weights) - 2, -1, -1):
+        g = (g * gelu_grad(pre[i])) @ weights[i][0]          # through GELU and layer i
+    return logit, cap, g[:, x.shape[1] - n_num:]
+
+
+def mlp_forward(df: DataFrame, key: str, nums: list[str], weights: list[tuple[np.ndarray, np.ndarray]],
+                capture: int, cat_ids: list[str] = (), embeddings: dict | None = None,
+                attributions: bool = False) -> DataFrame:
+    """Forward pass of the scoring network: categorical embeddings (one table
+    per column, looked up by id) concatenated before the scaled numerics, then
+    linear layers with exact GELU between them, no dropout. Returns ``key``,
+    ``fraud_score`` = sigmoid(logit), the hidden layer ``capture`` (after its
+    GELU) as ``activation_vector`` and, with ``attributions``, the gradient x
+    input of the logit for each numeric as ``<col>_attr``.
+
+    Weights and embedding tables are the size of the network (bounded) and are
+    broadcast once; rows stream through in Arrow batches (numpy matmuls)."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(weights)
+    embeddings = embeddings or {}
+    bc = spark.sparkContext.broadcast((weights, {c: np.asarray(e, dtype=np.float64)
+                                                  for c, e in embeddings.items()}))
+    cat_ids, nums = list(cat_ids), list(nums)
 
     def run(it):
         import pandas as pd
-        ws = bc.value
+        ws, embs = bc.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            h = np.stack(pdf[inputs].to_numpy()).astype(np.float64)
-            cap = None
-            for i, (w, b) in enumerate(ws):
-                h = h @ w.T + b
-                if i < len(ws) - 1:
-                    h = gelu(h)
-                if i == capture:
-                    cap = h.astype(np.float32)
-            logit = h[:, 0]
-            yield pd.DataFrame({key: pdf[key].to_numpy(),
-                                "fraud_score": 1.0 / (1.0 + np.exp(-logit)),
-                                "activation_vector": list(cap)})
+            parts = [embs[c][pdf[c].to_numpy().astype(np.int64)] for c in cat_ids]
+            xn = pdf[nums].to_numpy(dtype=np.float64)
+            x = np.concatenate(parts + [xn], axis=1) if parts else xn
+            logit, cap, grad = forward_backward(x, ws, capture, len(nums))
+            out = {key: pdf[key].to_numpy(), "fraud_score": 1.0 / (1.0 + np.exp(-logit)),
+                   "activation_vector": list(cap.astype(np.float32))}
+            if attributions:
+                for j, c in enumerate(nums):
+                    out[c + "_attr"] = grad[:, j] * xn[:, j]
+            yield pd.DataFrame(out)
 
     schema = f"{key} long, fraud_score double, activation_vector array<float>"
-    return df.select(key, inputs).mapInPandas(run, schema)
+    if attributions:
+        schema += "".join(f", {c}_attr double" for c in nums)
+    return df.select(key, *cat_ids, *nums).mapInPandas(run, schema)

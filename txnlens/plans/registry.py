@@ -676,16 +676,25 @@ def mlp_weight_table(spark, sizes: list[int], seed: int = 0) -> DataFrame:
 
 @query("mlp_scores")
 def q_mlp_scores(spark, sf_dir):
-    """Forward pass of a 7 -> 32 -> 16 -> 1 GELU network over every
-    preprocessed row, keeping the 16-d hidden layer as the activation vector."""
+    """Scoring network over every preprocessed row: embeddings of the
+    categorical ids (widths by the reference's rule) + 7 scaled numerics ->
+    32 -> 16 -> 1 with GELU; keeps the 16-d hidden layer and the
+    gradient x input attributions of the numerics."""
     x = _prepared(spark, sf_dir)
-    inp = x.select("txn_id", F.array(*[F.col(c + "_scaled").cast("double") for c in PREP_NUMS])
-                   .alias("inputs"))
-    ws = MD.weights_from_table(mlp_weight_table(spark, [len(PREP_NUMS), 32, 16, 1]))
-    out = MD.mlp_forward(inp, "inputs", ws, capture=1, key="txn_id")
+    cat_ids = [c + "_id" for c in CLF_CATS]
+    nums = [c + "_scaled" for c in PREP_NUMS]
+    sizes = {r["col"]: r["n"] for r in _fit(spark, sf_dir)[1].groupBy("col").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    rng = np.random.default_rng(0)
+    embs = {c + "_id": rng.normal(size=(sizes[c], MD.embedding_dim(sizes[c]))) for c in CLF_CATS}
+    d_in = sum(e.shape[1] for e in embs.values()) + len(nums)
+    ws = MD.weights_from_table(mlp_weight_table(spark, [d_in, 32, 16, 1]))
+    out = MD.mlp_forward(x, "txn_id", nums, ws, capture=1, cat_ids=cat_ids, embeddings=embs,
+                         attributions=True)
     return out.select("txn_id", r6("fraud_score").alias("fraud_score"),
                       F.size("activation_vector").alias("dim"),
-                      r6(V.vec_norm("activation_vector")).alias("activation_norm"))
+                      r6(V.vec_norm("activation_vector")).alias("activation_norm"),
+                      *[r6(c + "_attr").alias(c + "_attr") for c in nums])
 
 
 # --- evaluations specified by the plan -------------------------------------------------
