@@ -821,3 +821,15 @@ def q_distribution_block(spark, sf_dir):
                                       V.cosine("pred_vector", "activation_vector").alias("cos"))
     b = M.distribution_block(r, "cos", by=["label"], key="row_idx")
     return b.select("label", "n", *[r6(c).alias(c) for c in ["mean", "median", "p5", "p95", "std"]])
+
+
+@query("probe_ceiling")
+def q_probe_ceiling(spark, sf_dir):
+    """How much of each input feature a linear read-out recovers from the
+    scoring network's 16-d hidden layer (held-out R^2)."""
+    x = _prepared(spark, sf_dir)
+    nums = [c + "_scaled" for c in PREP_NUMS]
+    ws = MD.weights_from_table(mlp_weight_table(spark, [len(nums), 32, 16, 1]))
+    h = MD.mlp_forward(x, "txn_id", nums, ws, capture=1)
+    j = h.join(x.select("txn_id", *nums), "txn_id")
+    return MD.probe_ceiling(j, "activation_vector", nums, "txn_id")
