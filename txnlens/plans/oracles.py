@@ -944,3 +944,29 @@ ORACLES["features_json"] = f"""
 WITH st AS ({stratified_sql(100, 0.2, 3)})
 SELECT row_idx, to_json(struct_pack(row_idx := row_idx, sample_weight := sample_weight))::VARCHAR AS features_json
 FROM st"""
+
+
+def class_fraction_sql(n: int, fraction: float, seed: int) -> str:
+    """Class-fraction resample by its definition: negatives are the smallest
+    hashes (seed + 1); positives the smallest hashes (seed) when there are
+    enough of them, else draws with replacement d = 0..n_pos-1 picking the
+    positive of rank int(md5(seed:d:d)[:13], 16) mod P in key order."""
+    target = int(round(n * fraction))
+    return f"""
+WITH {ACT},
+c AS (SELECT CAST(sum(label) AS BIGINT) AS p, CAST(count(*) - sum(label) AS BIGINT) AS q FROM act),
+k AS (SELECT least({target}, 8 * p) AS n_pos, least({n} - least({target}, 8 * p), q) AS n_neg, p FROM c),
+neg AS (SELECT row_idx, CAST(0 AS BIGINT) AS draw, label FROM (
+          SELECT *, row_number() OVER (ORDER BY {md5_order(seed + 1, 'row_idx')}) AS r FROM act WHERE label = 0)
+        WHERE r <= (SELECT n_neg FROM k)),
+pos_plain AS (SELECT row_idx, CAST(0 AS BIGINT) AS draw, label FROM (
+          SELECT *, row_number() OVER (ORDER BY {md5_order(seed, 'row_idx')}) AS r FROM act WHERE label = 1)
+        WHERE r <= (SELECT n_pos FROM k) AND (SELECT n_pos <= p FROM k)),
+pidx AS (SELECT row_idx, label, row_number() OVER (ORDER BY row_idx) - 1 AS pi FROM act WHERE label = 1),
+draws AS (SELECT d AS draw, (('0x' || substr(md5('{seed}:d:' || CAST(d AS VARCHAR)), 1, 13))::BIGINT) % (SELECT p FROM k) AS pi
+          FROM range(0, (SELECT n_pos FROM k)) t(d) WHERE (SELECT n_pos > p FROM k)),
+pos_draw AS (SELECT pidx.row_idx, draws.draw, pidx.label FROM draws JOIN pidx USING (pi))
+SELECT * FROM neg UNION ALL SELECT * FROM pos_plain UNION ALL SELECT * FROM pos_draw"""
+
+
+ORACLES["class_fraction_resample"] = class_fraction_sql(200, 0.3, 5)
