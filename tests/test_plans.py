@@ -104,3 +104,16 @@ def test_skew_path_shares_one_range_exchange(spark):
                                        F.first("ts_sec").alias("ts_sec"), F.first("amt").alias("amt"))
     plan = _executed(causal_feature_table(shuffled, num_partitions=8))
     assert "ReusedExchange" in plan
+
+
+def test_pruning_and_pushdown(spark):
+    from txnlens.plans import inspect as PI
+    import __spark_entry__ as E
+    s = PI.summary(E.queries()["rollout_expand"](spark, SF01))
+    conv = [x for x in s["scans"] if "conv_id" in (x["read_schema"] or "")]
+    assert conv and "EqualTo(role,user)" in conv[0]["pushed_filters"]
+    # only the columns the query needs are read
+    assert "text" not in conv[0]["read_schema"]
+    s2 = PI.summary(E.queries()["causal_features"](spark, SF01))
+    assert s2["exchanges"]["single"] == 0
+    assert all("props" not in (x["read_schema"] or "") for x in s2["scans"])
