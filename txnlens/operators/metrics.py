@@ -51,21 +51,31 @@ def mse_nrm(df: DataFrame, pred: str, gold: str, by: list[str] = ()) -> DataFram
 
 
 def fve(df: DataFrame, pred: str, gold: str, by: list[str] = (), dim: int | None = None,
-        min_rows: int = 0) -> DataFrame:
+        min_rows: int = 0, rollup: bool = False) -> DataFrame:
     """Fraction of variance explained on metric-normalised vectors, per group.
 
     ``den = mean_rows |g|^2 / d - |mu|^2 / d`` with ``mu`` the (not
-    re-normalised) mean of the normalised gold vectors, so one pass suffices.
-    A zero denominator, or a group with ``n <= min_rows``, gives null."""
+    re-normalised) mean of the normalised gold vectors, so ONE aggregation
+    pass gives n, MSE and FVE (the d means are partial sums in the same
+    aggregate). ``rollup`` adds the overall line (group keys null) from the
+    same pass. A zero denominator, or a group with ``n <= min_rows``, gives
+    null."""
     d = dim or vector_dim(df, gold)
     gn = V.normalize_to(gold)
     x = df.select(*by, V.row_mse_nrm(pred, gold).alias("_mse"), gn.alias("_g"))
-    g = x.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_mse").alias("mse_nrm"),
-        F.avg(V.vec_sum(F.transform("_g", lambda t: t * t))).alias("_g2"))
-    mu = vector_mean(x, "_g", by=list(by), dim=d, out="_mu").drop("n")
-    g = g.join(mu, list(by)) if by else merge_rows(g, mu)
-    mu2 = V.vec_sum(F.transform("_mu", lambda t: t * t))
+    base = [F.count(F.lit(1)).alias("n"), F.avg("_mse").alias("mse_nrm"),
+            F.avg(V.vec_sum(F.transform("_g", lambda t: t * t))).alias("_g2")]
+    grouped = x.rollup(*by) if rollup else x.groupBy(*by)
+    if d <= WIDE_AGG_MAX_DIM:
+        g = grouped.agg(*base, *[F.avg(F.element_at("_g", i + 1)).alias(f"_mu{i}") for i in range(d)])
+        mu2 = sum((F.col(f"_mu{i}") * F.col(f"_mu{i}") for i in range(d)), F.lit(0.0))
+    else:
+        if rollup:
+            raise ValueError("rollup is only supported up to WIDE_AGG_MAX_DIM dimensions")
+        g = grouped.agg(*base)
+        mu = vector_mean(x, "_g", by=list(by), dim=d, out="_mu").drop("n")
+        g = g.join(mu, list(by)) if by else merge_rows(g, mu)
+        mu2 = V.vec_sum(F.transform("_mu", lambda t: t * t))
     den = (F.col("_g2") - mu2) / F.lit(float(d))
     ok = (den != 0) & (F.col("n") > min_rows)
     return g.select(*by, "n", "mse_nrm",
@@ -74,24 +84,29 @@ def fve(df: DataFrame, pred: str, gold: str, by: list[str] = (), dim: int | None
 
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
                     lower: dict[str, float] | None = None, by: list[str] = (),
-                    key: str | None = None) -> DataFrame:
+                    key: str | None = None, moments: bool = False) -> DataFrame:
     """Exact order statistics per group, computed from the distributed rank.
 
     ``qs``: name -> q with linear interpolation at ``q * (n - 1)`` (numpy /
     torch default). ``lower``: name -> q taking the value at
-    ``floor(q * (n - 1))`` (torch ``median`` is the lower middle)."""
+    ``floor(q * (n - 1))`` (torch ``median`` is the lower middle).
+    ``moments`` adds ``n``, ``mean`` and population ``std`` computed from the
+    same ranked rows (no second pass over the input)."""
     lower = lower or {}
     # Only the values at given positions are needed and tied values are equal,
     # so the order need not be total: rank the order columns themselves (no
     # nondeterministic tie-breaker, no join back to the rows).
     order = list(by) + [value] + ([key] if key else [])
     base = df.select(*order).where(F.col(value).isNotNull())
+    mom = [F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
+           F.stddev_pop(value).alias("std")] if moments else []
     if by:
         r = rank_table(base, order, rank_col="_g")
-        start = r.groupBy(*by).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
+        start = r.groupBy(*by).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"), *mom)
         r = r.join(start, on=list(by), how="inner")
     else:
         r = rank_table(base, order, rank_col="_g", total_col="_n").withColumn("_s", F.lit(0))
+        extra = r.agg(*mom) if moments else None
     r = r.withColumn("_i", F.col("_g") - F.col("_s"))
     pos = {}
     for name, q in qs.items():
@@ -106,6 +121,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
         v_hi = F.max(F.when(F.col("_i") == hi, F.col(value)))
         aggs += [v_lo.alias(f"_lo_{name}"), v_hi.alias(f"_hi_{name}"),
                  F.max(frac).alias(f"_f_{name}")]
+    if moments and by:
+        aggs += [F.first(c).alias(c) for c in ("n", "mean", "std")]
     # Only the rows at the needed positions survive the filter, so the final
     # aggregate sees at most 2 * len(qs) rows per group.
     need = None
@@ -115,7 +132,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
     g = r.where(need).groupBy(*by).agg(*aggs)
     outs = [F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))
             for n in pos]
-    return g.select(*by, *[o.alias(n) for o, n in zip(outs, pos)])
+    res = g.select(*by, *[o.alias(n) for o, n in zip(outs, pos)],
+                   *(["n", "mean", "std"] if moments and by else []))
+    if moments and not by:
+        res = merge_rows(res, extra)
+    return res
 
 
 def merge_rows(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -130,21 +151,18 @@ def merge_rows(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def cosine_summary(df: DataFrame, pred: str, gold: str, by: list[str] = (),
                    key: str | None = None) -> DataFrame:
-    """mean, lower median, p10, p90 of per-row cosine."""
+    """mean, lower median, p10, p90 of per-row cosine (one ranked pass)."""
     c = df.select(*by, *([key] if key else []), V.cosine(pred, gold).alias("cos"))
-    mean = c.groupBy(*by).agg(F.avg("cos").alias("cos_mean"), F.count(F.lit(1)).alias("n"))
-    qs = exact_quantiles(c, "cos", {"cos_p10": 0.1, "cos_p90": 0.9},
-                         lower={"cos_median": 0.5}, by=list(by), key=key)
-    return merge_rows(mean, qs, list(by))
+    q = exact_quantiles(c, "cos", {"cos_p10": 0.1, "cos_p90": 0.9},
+                        lower={"cos_median": 0.5}, by=list(by), key=key, moments=True)
+    return q.withColumnRenamed("mean", "cos_mean").drop("std")
 
 
 def distribution_block(df: DataFrame, value: str, by: list[str] = (),
                        key: str | None = None) -> DataFrame:
-    """mean, interpolated median, p5, p95, population std, n."""
-    m = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-                            F.count(value).alias("n"))
-    qs = exact_quantiles(df, value, {"median": 0.5, "p5": 0.05, "p95": 0.95}, by=list(by), key=key)
-    return merge_rows(m, qs, list(by))
+    """mean, interpolated median, p5, p95, population std, n (one ranked pass)."""
+    return exact_quantiles(df, value, {"median": 0.5, "p5": 0.05, "p95": 0.95}, by=list(by),
+                           key=key, moments=True)
 
 
 def _score_hist(df: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:

@@ -382,12 +382,12 @@ FROM m JOIN c USING (class_id) GROUP BY m.class_id, c.n"""
 
 ORACLES["fve_by_label"] = f"""
 WITH {ACT}, {RECON}, {NRM}, {ROWMSE},
-{fve_sql('CAST(label AS VARCHAR)')}
+nrm2 AS (SELECT * REPLACE (CAST(label AS VARCHAR) AS label) FROM nrm
+         UNION ALL SELECT * REPLACE ('all' AS label) FROM nrm),
+{fve_sql('label').replace('FROM nrm', 'FROM nrm2')}
 SELECT slice, n, round(num, 6) AS mse_nrm,
        round(CASE WHEN den <> 0 THEN 1 - num / den END, 6) AS fve_nrm
-FROM agg
-UNION ALL
-SELECT 'all', count(*), round(avg(mse), 6), NULL FROM rowmse"""
+FROM agg"""
 
 ORACLES["cosine_summary"] = f"""
 WITH {ACT}, {RECON}, {NRM}

@@ -206,14 +206,11 @@ def q_vector_mean(spark, sf_dir):
 
 @query("fve_by_label")
 def q_fve_by_label(spark, sf_dir):
-    """FVE / MSE per label slice and MSE overall (FVE null on the overall
-    line to keep one output shape)."""
+    """FVE / MSE per label slice and overall, from one rollup pass."""
     r = T.recon(spark, sf_dir).withColumn("slice", F.col("label").cast("string"))
-    per = M.fve(r, "pred_vector", "activation_vector", by=["slice"])
-    overall = M.mse_nrm(r, "pred_vector", "activation_vector").select(
-        F.lit("all").alias("slice"), "n", "mse_nrm", F.lit(None).cast("double").alias("fve_nrm"))
-    return per.unionByName(overall).select("slice", "n", r6("mse_nrm").alias("mse_nrm"),
-                                           r6("fve_nrm").alias("fve_nrm"))
+    per = M.fve(r, "pred_vector", "activation_vector", by=["slice"], rollup=True)
+    return per.select(F.coalesce("slice", F.lit("all")).alias("slice"), "n",
+                      r6("mse_nrm").alias("mse_nrm"), r6("fve_nrm").alias("fve_nrm"))
 
 
 @query("cosine_summary")
