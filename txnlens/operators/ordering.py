@@ -77,16 +77,13 @@ def time_split(df: DataFrame, ts: str = "ts_sec", key: str = "txn_id",
     is ranked, the two boundary keys (a proven bound: 2 rows) are collected,
     and every row is labelled by comparing its key with them: the wide table
     is never shuffled or joined. Rows with a null time or key sort last."""
-    train_frac = 1.0 - val_frac - test_frac
-    keep_frac = 1.0 - test_frac
-    r = rank_table(df, [ts, key], rank_col="_pos", total_col="_n")
-    train_end = F.floor(F.col("_n") * F.lit(train_frac))
-    val_end = F.floor(F.col("_n") * F.lit(keep_frac))
-    marks = r.where((F.col("_pos") == train_end) | (F.col("_pos") == val_end)).select(
-        ts, key, (F.col("_pos") == train_end).alias("_is_train_end"),
-        (F.col("_pos") == val_end).alias("_is_val_end")).collect()
-    b_train = next(((m[ts], m[key]) for m in marks if m["_is_train_end"]), None)
-    b_val = next(((m[ts], m[key]) for m in marks if m["_is_val_end"]), None)
+    # n counts every row (a missing time sorts last), and the two positions
+    # are computed exactly as the reference does, in Python integers.
+    train_end, val_end = split_sizes(df.count(), val_frac, test_frac)
+    r = rank_table(df, [ts, key], rank_col="_pos")
+    marks = {int(m["_pos"]): (m[ts], m[key]) for m in
+             r.where(F.col("_pos").isin(train_end, val_end)).select("_pos", ts, key).collect()}
+    b_train, b_val = marks.get(train_end), marks.get(val_end)
 
     def before(b) -> Column:
         if b is None:                       # boundary past the end: every row is before it
