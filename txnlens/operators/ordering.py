@@ -17,6 +17,18 @@ from pyspark.sql import functions as F
 
 _PART_SHIFT = 33  # monotonically_increasing_id = partition << 33 | offset
 
+# Narrow (key) rows per range partition when the row count is known.
+ROWS_PER_RANGE_PARTITION = 1_000_000
+
+
+def partitions_for(spark, rows: int | None) -> int:
+    """Range partitions for a narrow table: the configured shuffle partitions,
+    or fewer when the row count is known to be small."""
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is None:
+        return conf
+    return max(1, min(conf, -(-rows // ROWS_PER_RANGE_PARTITION)))
+
 
 def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
                 total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
@@ -79,8 +91,10 @@ def time_split(df: DataFrame, ts: str = "ts_sec", key: str = "txn_id",
     is never shuffled or joined. Rows with a null time or key sort last."""
     # n counts every row (a missing time sorts last), and the two positions
     # are computed exactly as the reference does, in Python integers.
-    train_end, val_end = split_sizes(df.count(), val_frac, test_frac)
-    r = rank_table(df, [ts, key], rank_col="_pos")
+    n_rows = df.count()
+    train_end, val_end = split_sizes(n_rows, val_frac, test_frac)
+    r = rank_table(df, [ts, key], rank_col="_pos",
+                   num_partitions=partitions_for(df.sparkSession, n_rows))
     marks = {int(m["_pos"]): (m[ts], m[key]) for m in
              r.where(F.col("_pos").isin(train_end, val_end)).select("_pos", ts, key).collect()}
     b_train, b_val = marks.get(train_end), marks.get(val_end)
