@@ -45,11 +45,17 @@ FEATURE_COLS = ["velocity_1h", "velocity_24h", "amt_zscore", "card_tenure_days"]
 DEFAULT_MAX_CARD_ROWS = 2_000_000
 
 
-def largest_group_rows(df: DataFrame, key: str) -> int:
-    """Rows in the largest non-null group (one partial aggregate + a max)."""
+def group_size_stats(df: DataFrame, key: str) -> tuple[int, int]:
+    """(rows in the largest non-null group, rows with a non-null key): one
+    partial aggregate per key, then a max and a sum."""
     r = (df.where(F.col(key).isNotNull()).groupBy(key).count()
-         .agg(F.max("count").alias("m")).first())
-    return int(r["m"] or 0)
+         .agg(F.max("count").alias("m"), F.sum("count").alias("t")).first())
+    return int(r["m"] or 0), int(r["t"] or 0)
+
+
+def largest_group_rows(df: DataFrame, key: str) -> int:
+    """Rows in the largest non-null group."""
+    return group_size_stats(df, key)[0]
 
 
 def causal_features(df: DataFrame, card: str = "card_id", ts: str = "ts_sec",
@@ -58,7 +64,12 @@ def causal_features(df: DataFrame, card: str = "card_id", ts: str = "ts_sec",
                     num_partitions: int | None = None) -> DataFrame:
     """Add the four causal features to ``df`` (``key`` must be unique)."""
     if strategy == "auto":
-        strategy = "window" if largest_group_rows(df, card) <= max_card_rows else "skew"
+        largest, rows = group_size_stats(df, card)
+        strategy = "window" if largest <= max_card_rows else "skew"
+        if num_partitions is None:
+            # the skew path ranges 3 narrow rows (row + 2 probes) per input row
+            from txnlens.operators.ordering import partitions_for
+            num_partitions = partitions_for(df.sparkSession, 3 * rows)
     if strategy == "window":
         return _by_window(df, card, ts, amount, key)
     if strategy == "skew":
