@@ -63,9 +63,10 @@ def causal_features(df: DataFrame, card: str = "card_id", ts: str = "ts_sec",
                     max_card_rows: int = DEFAULT_MAX_CARD_ROWS,
                     num_partitions: int | None = None) -> DataFrame:
     """Add the four causal features to ``df`` (``key`` must be unique)."""
-    if strategy == "auto":
+    if strategy == "auto" or (strategy == "skew" and num_partitions is None):
         largest, rows = group_size_stats(df, card)
-        strategy = "window" if largest <= max_card_rows else "skew"
+        if strategy == "auto":
+            strategy = "window" if largest <= max_card_rows else "skew"
         if num_partitions is None:
             # the skew path ranges 3 narrow rows (row + 2 probes) per input row
             from txnlens.operators.ordering import partitions_for
