@@ -62,8 +62,11 @@ def q_causal_features(spark, sf_dir):
 
 @query("causal_features_skew")
 def q_causal_features_skew(spark, sf_dir):
-    """Same-second ties per card; forced through the skew-safe strategy."""
-    return causal_features(T.txn_ties(spark, sf_dir), strategy="skew").select(*_feature_cols())
+    """Same-second ties per card; forced through the skew-safe strategy with 8
+    range partitions, so cards split across partitions and their carries are
+    exercised even on small tables."""
+    return causal_features(T.txn_ties(spark, sf_dir), strategy="skew",
+                           num_partitions=8).select(*_feature_cols())
 
 
 @query("time_split")
