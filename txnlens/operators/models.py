@@ -89,13 +89,18 @@ def logistic_probe(df: DataFrame, vec: str, label: str, key: str, seed: int = 0,
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from txnlens.operators.sampling import exact_sample
 
-    smp = exact_sample(df, key, max_rows, seed).withColumn("_h", seeded_hash(seed, key))
+    from txnlens.operators.sampling import nth_key
+
+    smp = exact_sample(df, key, max_rows, seed)
     n = smp.count()
     split = int(0.8 * n)
-    from txnlens.operators.ordering import global_rank
-    r = global_rank(smp, ["_h", key], rank_col="_r")
-    x = r.withColumn("features", array_to_vector(F.transform(vec, lambda v: v.cast("double"))))
-    train, test = x.where(F.col("_r") < split), x.where(F.col("_r") >= split)
+    # the first 80 % in hash order: everything up to the split-th key
+    b = nth_key(smp, key, split, seed)
+    h = seeded_hash(seed, key)
+    in_train = (h < F.lit(b[0])) | ((h == F.lit(b[0])) & (F.col(key) <= F.lit(b[1]))) if b \
+        else F.lit(False)
+    x = smp.withColumn("features", array_to_vector(F.transform(vec, lambda v: v.cast("double"))))
+    train, test = x.where(in_train), x.where(~in_train)
     model = LogisticRegression(featuresCol="features", labelCol=label,
                                regParam=1.0 / (c_reg * max(split, 1)), elasticNetParam=0.0,
                                standardization=False, maxIter=500).fit(train)

@@ -1,13 +1,17 @@
 """Exact global ordering without a single-task window.
 
-``global_rank`` gives every row its 0-based position in a total order. Rows are
+``rank_table`` gives every row its 0-based position in a total order. Rows are
 range-partitioned on the order keys and sorted inside each partition; a row's
 position inside its partition comes from ``monotonically_increasing_id`` taken
 right after that sort (it encodes partition index and offset), and the
 partition offsets come from per-partition counts -- a table with one row per
 partition, the only thing that is ever put in one place.
 
-Used by the time split, the derangement and rank-based statistics.
+Most users of an order need only a few positions (split boundaries, the n-th
+hash of a sample, quantile positions): they rank the narrow key projection,
+collect or filter those positions, and never join ranks back to wide rows.
+``global_rank`` (ranks joined back) is for when every row needs its rank.
+``prefix_sums`` gives running sums the same way.
 """
 
 from __future__ import annotations
