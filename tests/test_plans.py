@@ -117,3 +117,18 @@ def test_pruning_and_pushdown(spark):
     s2 = PI.summary(E.queries()["causal_features"](spark, SF01))
     assert s2["exchanges"]["single"] == 0
     assert all("props" not in (x["read_schema"] or "") for x in s2["scans"])
+
+
+def test_select_positions_matches_rank(spark):
+    from txnlens.operators.ordering import rank_table, select_positions
+    base = T.txn(spark, SF01).select("ts_sec", "txn_id")
+    # a timestamp holding a third of the rows forces refinement on the id
+    hot = base.withColumn("ts_sec", F.when(F.pmod(F.col("txn_id"), F.lit(3)) == 0,
+                                           F.lit(1704100000)).otherwise(F.col("ts_sec")))
+    for df in (base, hot):
+        ranks = {r._r: (r.ts_sec, r.txn_id) for r in
+                 rank_table(df, ["ts_sec", "txn_id"], rank_col="_r").collect()}
+        pos = [0, 1, 4321, 8000, 9000, 9999, 10000]
+        got = select_positions(df, ["ts_sec", "txn_id"], pos, band_max=50, buckets=8)
+        for p in pos:
+            assert got[p] == ranks.get(p), p

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PART_SHIFT = 33  # monotonically_increasing_id = partition << 33 | offset
 
@@ -97,10 +98,16 @@ def time_split(df: DataFrame, ts: str = "ts_sec", key: str = "txn_id",
     # are computed exactly as the reference does, in Python integers.
     n_rows = df.count()
     train_end, val_end = split_sizes(n_rows, val_frac, test_frac)
-    r = rank_table(df, [ts, key], rank_col="_pos",
-                   num_partitions=partitions_for(df.sparkSession, n_rows))
-    marks = {int(m["_pos"]): (m[ts], m[key]) for m in
-             r.where(F.col("_pos").isin(train_end, val_end)).select("_pos", ts, key).collect()}
+    int_keys = all(isinstance(df.schema[c].dataType, (T.LongType, T.IntegerType, T.ShortType))
+                   for c in (ts, key))
+    if int_keys:
+        # exact selection by histogram passes: no row-level shuffle at all
+        marks = select_positions(df, [ts, key], [train_end, val_end])
+    else:
+        r = rank_table(df, [ts, key], rank_col="_pos",
+                       num_partitions=partitions_for(df.sparkSession, n_rows))
+        marks = {int(m["_pos"]): (m[ts], m[key]) for m in
+                 r.where(F.col("_pos").isin(train_end, val_end)).select("_pos", ts, key).collect()}
     b_train, b_val = marks.get(train_end), marks.get(val_end)
 
     def before(b) -> Column:
@@ -150,3 +157,71 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     for c in value_cols:
         out = out.withColumn(prefix + c, F.col(f"_l_{c}") + F.col(f"_o_{c}"))
     return out.drop("_rp", *[f"_l_{c}" for c in value_cols], *[f"_o_{c}" for c in value_cols])
+
+
+# Exact selection: a band of at most this many keys is ranked directly.
+SELECT_BAND_MAX = 2_000_000
+SELECT_BUCKETS = 4096
+
+
+def select_positions(df: DataFrame, cols: list[str], positions: list[int],
+                     band_max: int = SELECT_BAND_MAX, buckets: int = SELECT_BUCKETS) -> dict:
+    """Keys at given 0-based positions of the ``cols`` order (integral
+    columns, non-null rows), without sorting the table.
+
+    Histogram selection: each pass is a filtered scan of the key columns and
+    a partial aggregate into at most ``buckets`` equal-width buckets (the only
+    thing collected); the bucket holding the target narrows the value range.
+    When one value of a column remains (e.g. a timestamp holding a third of
+    the rows) the next column is refined within it. A band of at most
+    ``band_max`` keys is ranked exactly with ``rank_table``. Returns
+    ``{position: tuple of key values or None}``."""
+    base = df.select(*cols)
+    for c in cols:
+        base = base.where(F.col(c).isNotNull())
+    n = base.count()
+    out: dict = {}
+    for p in positions:
+        if p < 0 or p >= n:
+            out[p] = None
+            continue
+        fixed: list = []
+        below = 0
+        band = base
+        size = n
+        i = 0
+        r = band.agg(F.min(cols[0]).alias("lo"), F.max(cols[0]).alias("hi")).first()
+        lo, hi = int(r["lo"]), int(r["hi"])
+        while True:
+            if size <= band_max:
+                got = (rank_table(band, cols, rank_col="_r",
+                                  num_partitions=partitions_for(df.sparkSession, size))
+                       .where(F.col("_r") == p - below).first())
+                out[p] = tuple(got[c] for c in cols)
+                break
+            if lo == hi:                      # one value left: refine the next column
+                fixed.append(lo)
+                band = band.where(F.col(cols[i]) == F.lit(lo))
+                i += 1
+                if i == len(cols):            # all key columns equal: any row is the answer
+                    out[p] = tuple(fixed)
+                    break
+                r = band.agg(F.min(cols[i]).alias("lo"), F.max(cols[i]).alias("hi")).first()
+                lo, hi = int(r["lo"]), int(r["hi"])
+                continue
+            step = max(1, -(-(hi - lo + 1) // buckets))
+            col = F.col(cols[i])
+            cur = band.where(col.between(lo, hi))
+            hist = sorted((int(h["b"]), int(h["c"])) for h in cur.groupBy(
+                F.floor((col - F.lit(lo)) / F.lit(step)).cast("long").alias("b")).agg(
+                F.count(F.lit(1)).alias("c")).collect())
+            cum = 0
+            for b, c in hist:
+                if below + cum + c > p:
+                    break
+                cum += c
+            below += cum
+            lo, hi = lo + b * step, min(hi, lo + (b + 1) * step - 1)
+            band = cur.where(col.between(lo, hi))
+            size = c
+    return out
