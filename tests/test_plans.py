@@ -1,5 +1,6 @@
 """Plan shape checks and scale-path equivalence."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
@@ -132,3 +133,22 @@ def test_select_positions_matches_rank(spark):
         got = select_positions(df, ["ts_sec", "txn_id"], pos, band_max=50, buckets=8)
         for p in pos:
             assert got[p] == ranks.get(p), p
+
+
+def test_select_quantiles_matches_numpy(spark):
+    import numpy as np
+    from txnlens.operators import ordering as O
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.normal(size=3001)] + \
+           [("b", float(v)) for v in rng.integers(0, 5, size=2000)] + [("c", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    a = np.array([v for g, v in rows if g == "a" and v == v])
+    b = np.array([v for g, v in rows if g == "b"])
+    res = O.select_quantiles(df, "g", "x", {"m": 0.5, "p9": 0.9})
+    assert res["a"]["m"] == pytest.approx(np.percentile(a, 50))
+    assert res["a"]["p9"] == pytest.approx(np.percentile(a, 90))
+    assert res["b"]["m"] == pytest.approx(np.percentile(b, 50))
+    vals = O.select_values(df, "g", "x", {"a": [0, 1500, 3000], "b": [999]}, buckets=4, final=5)
+    s = np.sort(a)
+    assert [vals[("a", p)] for p in (0, 1500, 3000)] == [s[0], s[1500], s[3000]]
+    assert vals[("b", 999)] == np.sort(b)[999]

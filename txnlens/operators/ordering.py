@@ -225,3 +225,118 @@ def select_positions(df: DataFrame, cols: list[str], positions: list[int],
             band = cur.where(col.between(lo, hi))
             size = c
     return out
+
+
+# A band of at most this many values is ranked and read exactly.
+SELECT_VALUES_FINAL = 50_000
+
+
+class SelectionFallback(Exception):
+    """Raised when histogram selection cannot proceed (non-finite values or
+    too many passes); callers use the distributed rank instead."""
+
+
+def select_values(df: DataFrame, group: str, value: str, positions: dict,
+                  buckets: int = SELECT_BUCKETS, final: int = SELECT_VALUES_FINAL,
+                  max_passes: int = 64) -> dict:
+    """Values at 0-based positions of the ascending order of ``value`` within
+    each group (nulls and NaN excluded), for all groups at once and without
+    sorting the table. ``positions``: group -> list of positions.
+
+    Each pass is ONE aggregation over the rows still in some group's band,
+    into at most ``buckets`` equal-width buckets per group (count, min, max --
+    collected: groups x buckets rows). Bucketing is monotone in the value, so
+    the bucket holding a target is exactly the value range [its min, its max].
+    A band with a single value answers at once (ties); a band of at most
+    ``final`` values is ranked and the one position read. Returns
+    {(group, position): value}."""
+    spark = df.sparkSession
+    base = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x")).where(
+        F.col("_x").isNotNull() & ~F.isnan("_x"))
+    stats = {r["_g"]: (int(r["n"]), r["lo"], r["hi"]) for r in base.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()}
+    out: dict = {}
+    # one search per (group, position): [lo, hi] value band, rows below it, band size
+    todo = {}
+    for g, ps in positions.items():
+        n, lo, hi = stats.get(g, (0, None, None))
+        for p in ps:
+            if p < 0 or p >= n:
+                out[(g, p)] = None
+            else:
+                todo[(g, p)] = [lo, hi, 0, n]
+    import math
+    if any(not (math.isfinite(v[0]) and math.isfinite(v[1])) for v in todo.values()):
+        raise SelectionFallback("non-finite values")
+    passes = 0
+    while todo:
+        passes += 1
+        if passes > max_passes:
+            raise SelectionFallback("too many passes")
+        for k, (lo, hi, below, size) in list(todo.items()):
+            if lo == hi:
+                out[k] = lo
+                del todo[k]
+        small = {k: v for k, v in todo.items() if v[3] <= final}
+        for (g, p), (lo, hi, below, size) in small.items():
+            # a small band: rank it (distributed) and read the one position
+            band = base.where((F.col("_g") == F.lit(g)) & F.col("_x").between(lo, hi))
+            r = (rank_table(band, ["_x"], rank_col="_r",
+                            num_partitions=partitions_for(spark, size))
+                 .where(F.col("_r") == p - below).first())
+            out[(g, p)] = r["_x"]
+            del todo[(g, p)]
+        if not todo:
+            break
+        # one histogram pass for every open search (searches of a group share
+        # its band when they coincide; distinct bands are bucketed separately)
+        keys = list(todo)
+        sid = {k: i for i, k in enumerate(keys)}
+        # a row may sit in several searches' bands: emit one entry per search
+        entries = F.filter(F.array(*[
+            F.when((F.col("_g") == F.lit(k[0])) & F.col("_x").between(todo[k][0], todo[k][1]),
+                   F.struct(F.lit(sid[k]).alias("s"),
+                            F.least(F.floor((F.col("_x") - F.lit(todo[k][0]))
+                                            / F.lit((todo[k][1] - todo[k][0]) / buckets)),
+                                    F.lit(buckets - 1)).cast("long").alias("b")))
+            for k in keys]), lambda e: e.isNotNull())
+        hist = (base.select("_x", F.explode(entries).alias("e"))
+                .groupBy("e.s", "e.b").agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"),
+                                           F.max("_x").alias("mx")).collect())
+        per: dict = {}
+        for r in hist:
+            per.setdefault(int(r["s"]), []).append((int(r["b"]), int(r["c"]), r["mn"], r["mx"]))
+        for k in keys:
+            lo, hi, below, size = todo[k]
+            p = k[1]
+            cum = 0
+            for b, c, mn, mx in sorted(per.get(sid[k], [])):
+                if below + cum + c > p:
+                    todo[k] = [mn, mx, below + cum, c]
+                    break
+                cum += c
+    return out
+
+
+def select_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float]) -> dict:
+    """{group: {name: value}} with linear interpolation at ``q * (n - 1)``
+    (numpy default), from :func:`select_values`; ``n`` excludes nulls/NaN."""
+    base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ns = {r[group]: int(r["n"]) for r in base.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    need = {}
+    for g, n in ns.items():
+        ps = set()
+        for q in qs.values():
+            x = q * (n - 1)
+            ps.update({int(x // 1), int(-(-x // 1))})
+        need[g] = sorted(ps)
+    got = select_values(base, group, value, need)
+    out = {}
+    for g, n in ns.items():
+        out[g] = {}
+        for name, q in qs.items():
+            x = q * (n - 1)
+            lo, hi = int(x // 1), int(-(-x // 1))
+            a, b = got[(g, lo)], got[(g, hi)]
+            out[g][name] = a + (x - lo) * (b - a)
+    return out

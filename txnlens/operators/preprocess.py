@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.scalar import NUMERIC_CLIP, clip_named
 from txnlens.operators.metrics import exact_quantiles
-from txnlens.operators.ordering import rank_table
+from txnlens.operators.ordering import SelectionFallback, rank_table, select_quantiles
 
 # Fixed values that must equal the reference.
 CAT_VOCAB_CAP = 200
@@ -67,9 +67,16 @@ def _long_nums(df: DataFrame, nums: list[str]) -> DataFrame:
 
 def fit_num_stats(df: DataFrame, nums: list[str]) -> DataFrame:
     long = _long_nums(df, nums)
-    med = exact_quantiles(long.where(~F.isnan("x")), "x", {"median": 0.5}, by=["col"])
-    # Columns that are all null still get a row (median null -> fill is null).
-    med = long.select("col").distinct().join(med, "col", "left")
+    spark = df.sparkSession
+    try:
+        # exact interpolated medians by histogram selection: no sort of the values
+        got = select_quantiles(long, "col", "x", {"median": 0.5})
+        med = spark.createDataFrame([(c, got.get(c, {}).get("median")) for c in nums],
+                                    "col string, median double")
+    except SelectionFallback:
+        med = exact_quantiles(long.where(~F.isnan("x")), "x", {"median": 0.5}, by=["col"])
+        # Columns that are all null still get a row (median null -> fill is null).
+        med = long.select("col").distinct().join(med, "col", "left")
     filled = long.join(F.broadcast(med), "col").withColumn(
         "f", F.when(F.col("x").isNull() | F.isnan("x"), F.col("median")).otherwise(F.col("x")))
     st = filled.groupBy("col").agg(F.avg("f").alias("mean"), F.stddev_pop("f").alias("std"))
