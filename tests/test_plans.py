@@ -152,3 +152,15 @@ def test_select_quantiles_matches_numpy(spark):
     s = np.sort(a)
     assert [vals[("a", p)] for p in (0, 1500, 3000)] == [s[0], s[1500], s[3000]]
     assert vals[("b", 999)] == np.sort(b)[999]
+
+
+def test_num_stats_selection_path_matches_rank_path(spark, monkeypatch):
+    from txnlens.operators import preprocess as P
+    from txnlens.plans.registry import PREP_NUMS, prep_input
+    train = prep_input(spark, SF01).where(F.col("train_split") == "train")
+    small = {r.col: r for r in P.fit_num_stats(train, PREP_NUMS).collect()}
+    monkeypatch.setattr(P, "SELECT_BAND_MAX", 0)        # force histogram selection
+    big = {r.col: r for r in P.fit_num_stats(train, PREP_NUMS).collect()}
+    for c in PREP_NUMS:
+        assert big[c].median == pytest.approx(small[c].median, rel=1e-12, abs=1e-12)
+        assert big[c].std == pytest.approx(small[c].std, rel=1e-9)

@@ -179,19 +179,27 @@ def select_positions(df: DataFrame, cols: list[str], positions: list[int],
     base = df.select(*cols)
     for c in cols:
         base = base.where(F.col(c).isNotNull())
-    n = base.count()
+    st = base.agg(F.count(F.lit(1)).alias("n"), F.min(cols[0]).alias("lo"),
+                  F.max(cols[0]).alias("hi")).first()
+    n = int(st["n"])
     out: dict = {}
+    want = [p for p in positions if 0 <= p < n]
     for p in positions:
-        if p < 0 or p >= n:
+        if p not in want:
             out[p] = None
-            continue
+    if want and n <= band_max:
+        # small table: one exact rank answers every position
+        r = rank_table(base, cols, rank_col="_r", num_partitions=partitions_for(df.sparkSession, n))
+        for m in r.where(F.col("_r").isin(want)).collect():     # len(positions) rows
+            out[int(m["_r"])] = tuple(m[c] for c in cols)
+        return out
+    for p in want:
         fixed: list = []
         below = 0
         band = base
         size = n
         i = 0
-        r = band.agg(F.min(cols[0]).alias("lo"), F.max(cols[0]).alias("hi")).first()
-        lo, hi = int(r["lo"]), int(r["hi"])
+        lo, hi = int(st["lo"]), int(st["hi"])
         while True:
             if size <= band_max:
                 got = (rank_table(band, cols, rank_col="_r",
@@ -236,9 +244,17 @@ class SelectionFallback(Exception):
     too many passes); callers use the distributed rank instead."""
 
 
+def group_value_stats(df: DataFrame, group: str, value: str) -> dict:
+    """{group: (n, min, max)} of the non-null, non-NaN values (one aggregate)."""
+    x = F.col(value).cast("double")
+    return {r["_g"]: (int(r["n"]), r["lo"], r["hi"]) for r in
+            df.where(x.isNotNull() & ~F.isnan(x)).groupBy(F.col(group).alias("_g")).agg(
+                F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()}
+
+
 def select_values(df: DataFrame, group: str, value: str, positions: dict,
                   buckets: int = SELECT_BUCKETS, final: int = SELECT_VALUES_FINAL,
-                  max_passes: int = 64) -> dict:
+                  max_passes: int = 64, stats: dict | None = None) -> dict:
     """Values at 0-based positions of the ascending order of ``value`` within
     each group (nulls and NaN excluded), for all groups at once and without
     sorting the table. ``positions``: group -> list of positions.
@@ -253,8 +269,8 @@ def select_values(df: DataFrame, group: str, value: str, positions: dict,
     spark = df.sparkSession
     base = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x"))
-    stats = {r["_g"]: (int(r["n"]), r["lo"], r["hi"]) for r in base.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()}
+    if stats is None:
+        stats = group_value_stats(df, group, value)
     out: dict = {}
     # one search per (group, position): [lo, hi] value band, rows below it, band size
     todo = {}
@@ -278,14 +294,26 @@ def select_values(df: DataFrame, group: str, value: str, positions: dict,
                 out[k] = lo
                 del todo[k]
         small = {k: v for k, v in todo.items() if v[3] <= final}
-        for (g, p), (lo, hi, below, size) in small.items():
-            # a small band: rank it (distributed) and read the one position
-            band = base.where((F.col("_g") == F.lit(g)) & F.col("_x").between(lo, hi))
-            r = (rank_table(band, ["_x"], rank_col="_r",
-                            num_partitions=partitions_for(spark, size))
-                 .where(F.col("_r") == p - below).first())
-            out[(g, p)] = r["_x"]
-            del todo[(g, p)]
+        if small:
+            # all small bands at once: one entry per (search, row in its band),
+            # ranked by (search, value) in one job; each search reads one rank
+            ks = list(small)
+            entries = F.filter(F.array(*[
+                F.when((F.col("_g") == F.lit(k[0])) & F.col("_x").between(small[k][0], small[k][1]),
+                       F.lit(i)) for i, k in enumerate(ks)]), lambda e: e.isNotNull())
+            rows = base.select("_x", F.explode(entries).alias("_s"))
+            total = sum(v[3] for v in small.values())
+            r = rank_table(rows, ["_s", "_x"], rank_col="_r",
+                           num_partitions=partitions_for(spark, total))
+            start = r.groupBy("_s").agg(F.min("_r").alias("_o"))
+            want = spark.createDataFrame([(i, int(k[1] - small[k][2])) for i, k in enumerate(ks)],
+                                         "_s int, _w long")
+            hits = (r.join(F.broadcast(start), "_s").join(F.broadcast(want), "_s")
+                    .where(F.col("_r") - F.col("_o") == F.col("_w")).select("_s", "_x").collect())
+            for h in hits:                                     # one row per search
+                out[ks[int(h["_s"])]] = h["_x"]
+            for k in ks:
+                del todo[k]
         if not todo:
             break
         # one histogram pass for every open search (searches of a group share
@@ -318,11 +346,14 @@ def select_values(df: DataFrame, group: str, value: str, positions: dict,
     return out
 
 
-def select_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float]) -> dict:
+def select_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float],
+                     stats: dict | None = None) -> dict:
     """{group: {name: value}} with linear interpolation at ``q * (n - 1)``
     (numpy default), from :func:`select_values`; ``n`` excludes nulls/NaN."""
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    ns = {r[group]: int(r["n"]) for r in base.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if stats is None:
+        stats = group_value_stats(df, group, value)
+    ns = {g: v[0] for g, v in stats.items()}
     need = {}
     for g, n in ns.items():
         ps = set()
@@ -330,7 +361,7 @@ def select_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float]
             x = q * (n - 1)
             ps.update({int(x // 1), int(-(-x // 1))})
         need[g] = sorted(ps)
-    got = select_values(base, group, value, need)
+    got = select_values(base, group, value, need, stats=stats)
     out = {}
     for g, n in ns.items():
         out[g] = {}

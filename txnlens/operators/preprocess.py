@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.scalar import NUMERIC_CLIP, clip_named
 from txnlens.operators.metrics import exact_quantiles
-from txnlens.operators.ordering import SelectionFallback, rank_table, select_quantiles
+from txnlens.operators.ordering import (SELECT_BAND_MAX, SelectionFallback, group_value_stats,
+                                        rank_table, select_quantiles)
 
 # Fixed values that must equal the reference.
 CAT_VOCAB_CAP = 200
@@ -68,9 +69,12 @@ def _long_nums(df: DataFrame, nums: list[str]) -> DataFrame:
 def fit_num_stats(df: DataFrame, nums: list[str]) -> DataFrame:
     long = _long_nums(df, nums)
     spark = df.sparkSession
+    stats = group_value_stats(long, "col", "x")          # one row per column
     try:
+        if sum(v[0] for v in stats.values()) <= SELECT_BAND_MAX:
+            raise SelectionFallback("small: one exact rank is cheaper")
         # exact interpolated medians by histogram selection: no sort of the values
-        got = select_quantiles(long, "col", "x", {"median": 0.5})
+        got = select_quantiles(long, "col", "x", {"median": 0.5}, stats=stats)
         med = spark.createDataFrame([(c, got.get(c, {}).get("median")) for c in nums],
                                     "col string, median double")
     except SelectionFallback:
