@@ -970,3 +970,12 @@ SELECT * FROM neg UNION ALL SELECT * FROM pos_plain UNION ALL SELECT * FROM pos_
 
 
 ORACLES["class_fraction_resample"] = class_fraction_sql(200, 0.3, 5)
+
+
+HOT = """hot AS (SELECT * REPLACE (CASE WHEN txn_id % 3 = 0 THEN -1 ELSE card_id END AS card_id) FROM txn)"""
+
+ORACLES["causal_features_hot_card"] = f"""
+WITH {TXN}, {HOT}, {causal_cte('hot')}
+SELECT txn_id, card_id, ts_sec, velocity_1h, velocity_24h,
+       round(amt_zscore, 6) AS amt_zscore, card_tenure_days
+FROM feat"""
