@@ -164,3 +164,19 @@ def test_num_stats_selection_path_matches_rank_path(spark, monkeypatch):
     for c in PREP_NUMS:
         assert big[c].median == pytest.approx(small[c].median, rel=1e-12, abs=1e-12)
         assert big[c].std == pytest.approx(small[c].std, rel=1e-9)
+
+
+def test_without_exchange_reuse(spark):
+    from txnlens.operators.ordering import rank_table
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        src = causal_features(T.txn(spark, SF01), strategy="window").where(F.col("velocity_1h") >= 0)
+        r = rank_table(src, ["ts_sec", "txn_id"], rank_col="_r")
+        row = r.agg(F.countDistinct("_r").alias("d"), F.max("_r").alias("hi")).first()
+        assert (row.d, row.hi) == (10000, 9999)
+        a = {x.txn_id: x.velocity_24h for x in causal_features(T.txn(spark, SF01), strategy="skew",
+                                                                num_partitions=8).collect()}
+        b = {x.txn_id: x.velocity_24h for x in causal_features(T.txn(spark, SF01), strategy="window").collect()}
+        assert a == b
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")

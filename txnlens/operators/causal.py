@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnlens.operators.ordering import shared_exchange
+
 # Fixed values that must equal the reference: window edges in seconds, the
 # z-score epsilon, seconds per day.
 HOUR_SECONDS = 3600
@@ -137,9 +139,10 @@ def causal_feature_table(df: DataFrame, card: str = "card_id", ts: str = "ts_sec
                        none.alias("_a")),
               F.struct((F.col("_t") - (DAY_SECONDS + 1)).alias("_x"), F.lit(2).alias("_kind"),
                        none.alias("_a")))).alias("e"))
-          .select("_c", "_k", "e._x", "e._kind", "e._a")
-          .repartitionByRange(n_parts, "_c", "_x", "_kind", "_k")
-          .withColumn("_p", F.spark_partition_id()))
+          .select("_c", "_k", "e._x", "e._kind", "e._a"))
+    # one range exchange read by the fragment windows and the carry table
+    ev = shared_exchange(ev.repartitionByRange(n_parts, "_c", "_x", "_kind", "_k")
+                         .withColumn("_p", F.spark_partition_id()))
 
     is_data = F.col("_kind") == 0
     data_x = F.when(is_data, F.col("_x"))

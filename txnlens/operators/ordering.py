@@ -26,6 +26,19 @@ _PART_SHIFT = 33  # monotonically_increasing_id = partition << 33 | offset
 ROWS_PER_RANGE_PARTITION = 1_000_000
 
 
+def shared_exchange(df: DataFrame) -> DataFrame:
+    """A range-partitioned table whose partition ids are read by two
+    consumers. Spark's range partitioner seeds its sampling with the RDD id,
+    so two separately computed exchanges choose different bounds even on the
+    same input: the consumers must share ONE exchange. Spark reuses identical
+    exchanges; if exchange reuse is switched off, the partitioned table (with
+    its partition ids as columns) is checkpointed instead."""
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
+        from txnlens.session import cut_lineage
+        return cut_lineage(df)
+    return df
+
+
 def partitions_for(spark, rows: int | None) -> int:
     """Range partitions for a narrow table: the configured shuffle partitions,
     or fewer when the row count is known to be small."""
@@ -56,10 +69,10 @@ def rank_table(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Both consumers (per-partition counts, per-row offsets) must read ONE
-    # range exchange: two separately sampled exchanges over a shuffled input
-    # may pick different bounds. The explicit null filter keeps the two
-    # subplans identical (the join would otherwise push inferred filters into
-    # one of them only), so the exchange is reused; a test asserts the reuse.
+    # range exchange: two separately computed exchanges pick different bounds
+    # (the sampler is seeded by the RDD id). The explicit null filter keeps the
+    # two subplans identical (the join would otherwise push inferred filters
+    # into one of them only), so the exchange is reused; a test asserts it.
     keys = df.select(*order_cols)
     for c in order_cols:
         keys = keys.where(F.col(c).isNotNull())
@@ -68,6 +81,7 @@ def rank_table(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_rp", F.shiftright("_mid", _PART_SHIFT)))
+    ranked = shared_exchange(ranked)
     counts = ranked.groupBy("_rp").agg(F.count(F.lit(1)).alias("_rn"))
     # One row per partition: a global window over it is bounded.
     w = Window.orderBy("_rp")
@@ -143,7 +157,8 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     keys = df.select(*order_cols, *value_cols)
     for c in order_cols:
         keys = keys.where(F.col(c).isNotNull())
-    r = keys.repartitionByRange(n, *order_cols).withColumn("_rp", F.spark_partition_id())
+    r = shared_exchange(keys.repartitionByRange(n, *order_cols)
+                        .withColumn("_rp", F.spark_partition_id()))
     w = Window.partitionBy("_rp").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = r.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in value_cols])
     part = r.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
