@@ -56,9 +56,8 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
 
     The rank is computed on the projection of ``order_cols`` alone, so the
     per-partition counts and the per-row offsets read one shared range
-    exchange (identical subplans are reused); two separately sampled range
-    exchanges over a shuffled input could disagree on their bounds. The ranks
-    are then joined back on the order columns."""
+    exchange (see :func:`shared_exchange`). The ranks are then joined back on
+    the order columns."""
     ranks = rank_table(df, order_cols, rank_col, total_col, num_partitions)
     return df.join(ranks, on=list(order_cols), how="inner")
 
