@@ -54,3 +54,40 @@ def test_sinks_roundtrip(spark, tmp_path):
     I.write_report(spark.createDataFrame([("auc", 0.5)], "metric string, value double"), rep)
     files = [f for f in os.listdir(rep) if f.endswith(".json")]
     assert json.loads(open(os.path.join(rep, files[0])).read()) == {"metric": "auc", "value": 0.5}
+
+
+def test_cap_across_files_in_name_order(spark, tmp_path):
+    hdr = ("trans_date_trans_time,cc_num,merchant,category,amt,gender,city,state,zip,lat,long,"
+           "city_pop,job,dob,merch_lat,merch_long,is_fraud\n")
+    row = "2020-01-0{d} 10:00:00,1,{m},travel,1.0,F,c,s,1,40.0,-70.0,5,j,1990-01-01,40.0,-70.0,0\n"
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "b.csv").write_text(hdr + row.format(d=3, m="b1") + row.format(d=4, m="b2"))
+    (raw / "a.csv").write_text(hdr + row.format(d=1, m="a1") + row.format(d=2, m="a2"))
+    got = sorted(r.merchant for r in I.load_card_present_csv(spark, str(raw), limit=3).collect())
+    assert got == ["a1", "a2", "b1"]
+
+
+def test_journal_append_and_read(spark, tmp_path):
+    from txnlens.operators.journal import latest_by_key
+    from txnlens.streaming.journal import append_records, read_journal
+    path = str(tmp_path / "journal")
+    schema = "row_idx long, summary string, features_json string, fraud_score double, label int, seq long"
+    append_records(spark.createDataFrame([(1, "- a", None, 0.5, 0, 0), (2, "- b", None, 0.1, 0, 0)], schema), path)
+    append_records(spark.createDataFrame([(1, "- a2", None, 0.5, 0, 1)], schema), path)
+    with open(os.path.join(path, "zz-garbage.json"), "w") as f:
+        f.write("not json\n\n")
+    recs = read_journal(spark, path)
+    assert recs.count() == 3
+    last = {r.row_idx: r.summary for r in latest_by_key(recs, "row_idx", "seq").collect()}
+    assert last == {1: "- a2", 2: "- b"}
+
+
+def test_split_partition_pruning(spark, tmp_path):
+    from txnlens.operators.ordering import time_split
+    out = str(tmp_path / "split")
+    I.write_table(time_split(T.txn(spark, SF001)), out)
+    back = spark.read.parquet(out).where(F.col("train_split") == "val")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(train_split" in plan and "val" in plan
+    assert back.count() == 100
