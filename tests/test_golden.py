@@ -151,3 +151,12 @@ def test_completion_mask_and_mse(spark):
     r = v.select(V.row_mse_nrm("a", "b"), V.row_mse_nrm("a", "c")).first()
     assert r[0] == pytest.approx(2.0, abs=1e-6) and r[1] == pytest.approx(4.0, abs=1e-6)
     assert math.isclose(v.select(V.cosine("a", "c")).first()[0], -1.0)
+
+
+@pytest.mark.parametrize("d,plus", [(0, False), (1, True), (2, False), (3, True)])
+def test_fixed_matches_python(spark, d, plus):
+    vals = [0.125, 0.375, 2.5, 3.5, 0.15, 0.35, 1e7, -0.04, -0.0, 0.0, 102.5, -2.5, 99999.995, 12 / 7]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(R.fixed(F.col("x"), d, plus=plus)).collect()]
+    spec = f"{{:{'+' if plus else ''}.{d}f}}"
+    assert got == [spec.format(v) for v in vals]
