@@ -94,7 +94,7 @@ ECOM = """ecom AS (
               WHEN 3 THEN 'cuvox.de' END AS R_emaildomain,
          CASE o.o_orderkey % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' END AS DeviceType,
          CASE o.o_orderkey % 5 WHEN 0 THEN 'iOS' WHEN 1 THEN 'Windows' WHEN 2 THEN 'missing' END AS DeviceInfo,
-         CAST(CAST(floor(o.o_totalprice) AS BIGINT) % 997 - 100 AS DOUBLE) AS dist1, CAST(c.c_nationkey AS DOUBLE) AS addr1,
+         CAST(c.c_acctbal AS DOUBLE) AS dist1, CAST(c.c_nationkey AS DOUBLE) AS addr1,
          CAST(n.n_regionkey AS DOUBLE) AS addr2,
          CAST(o.o_orderstatus = 'P' AS INTEGER) AS is_fraud,
          hour(o.o_orderdate) AS hour_of_day, isodow(o.o_orderdate) - 1 AS day_of_week
