@@ -979,3 +979,33 @@ WITH {TXN}, {HOT}, {causal_cte('hot')}
 SELECT txn_id, card_id, ts_sec, velocity_1h, velocity_24h,
        round(amt_zscore, 6) AS amt_zscore, card_tenure_days
 FROM feat"""
+
+
+def _prompt_sql() -> str:
+    from txnlens.functions.render import USER_TEMPLATE
+    tmpl = USER_TEMPLATE.replace("'", "''")
+    nums = list(_NUM_EXPR)
+    logit = " + ".join(f"a.{c} * w.{c}" for c in nums)
+    return f"""
+WITH {PREP},
+applied AS (SELECT txn_id, train_split, is_fraud, {', '.join(_scaled_raw(c, e) for c, e in _NUM_EXPR.items())}
+            FROM clipped),
+w AS (SELECT {', '.join(f"corr({c}, CAST(is_fraud AS DOUBLE)) AS {c}" for c in nums)}
+      FROM applied WHERE train_split = 'train'),
+longa AS ({' UNION ALL '.join(f"SELECT a.txn_id, '{c}' AS name, a.{c} * w.{c} AS v FROM applied a, w" for c in nums)}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY abs(v) DESC, v DESC, name DESC) AS r
+           FROM longa WHERE v IS NOT NULL AND NOT isnan(v)),
+att AS (SELECT txn_id, string_agg(printf('  %s: %+.3f', name, v), chr(10) ORDER BY r) AS attributions
+        FROM ranked WHERE r <= 8 GROUP BY txn_id),
+sc AS (SELECT a.txn_id, 1.0 / (1.0 + exp(-({logit}))) AS fraud_score FROM applied a, w),
+cp AS (SELECT p.txn_id, p.merchant, p.category, p.amt, p.hour_of_day, p.day_of_week, p.velocity_1h,
+              p.velocity_24h, p.amt_zscore, p.card_tenure_days, CAST(NULL AS DOUBLE) AS geo_distance_km,
+              CAST(NULL AS DOUBLE) AS age_at_txn, sc.fraud_score
+       FROM prep p JOIN sc USING (txn_id)),
+rd AS (SELECT txn_id, fraud_score, {RENDER_CP_SQL} AS rendered FROM cp)
+SELECT rd.txn_id, printf('{tmpl}', printf('%.3f', coalesce(rd.fraud_score, 0.0)), rd.rendered,
+                         coalesce(att.attributions, '(attributions not available)')) AS prompt
+FROM rd LEFT JOIN att USING (txn_id)"""
+
+
+ORACLES["prompt_text"] = _prompt_sql()

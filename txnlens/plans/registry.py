@@ -850,3 +850,27 @@ def q_probe_ceiling(spark, sf_dir):
     h = MD.mlp_forward(x, "txn_id", nums, ws, capture=1)
     j = h.join(x.select("txn_id", *nums), "txn_id")
     return MD.probe_ceiling(j, "activation_vector", nums, "txn_id")
+
+
+@query("prompt_text")
+def q_prompt_text(spark, sf_dir):
+    """The generation prompt per row: the score of the correlation-weighted
+    linear scorer (logistic of sum w_c x_c), the row rendered as English and
+    its top-8 attribution lines."""
+    df, vocab, stats = _fit(spark, sf_dir)
+    x = P.apply_preprocessor(df, vocab, stats)
+    train = x.where(F.col("train_split") == "train")
+    w = train.agg(*[F.corr(F.col(c + "_scaled").cast("double"), F.col("is_fraud").cast("double"))
+                    .alias(c) for c in PREP_NUMS]).first()
+    used = [c for c in PREP_NUMS if w[c] is not None]
+    terms = [F.col(c + "_scaled").cast("double") * F.lit(w[c]) for c in used]
+    logit = terms[0]
+    for t in terms[1:]:
+        logit = logit + t
+    y = x.select("*", *[t.alias(c + "_attr") for t, c in zip(terms, used)],
+                 S.logistic(logit).alias("fraud_score"))
+    rendered = R.render(y.select("merchant", "category", "amt", "hour_of_day", "day_of_week",
+                                 "velocity_1h", "velocity_24h", "amt_zscore", "card_tenure_days",
+                                 "fraud_score"), "sparkov")
+    text = R.top_attributions(y, PREP_NUMS, k=8)
+    return y.select("txn_id", R.prompt_text(F.col("fraud_score"), rendered, text).alias("prompt"))
