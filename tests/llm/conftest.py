@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return SF
+
+
+@pytest.fixture(scope="session")
+def rows(sf):
+    """The text tables as lists of dicts."""
+    import pyarrow.parquet as pq
+    return lambda name: pq.read_table(f"{sf}/{name}.parquet").to_pylist()

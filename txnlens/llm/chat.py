@@ -65,7 +65,7 @@ class Template:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.decoder = StreamDecoder({i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}, False)
 
     def segments(self, roles: list[str], texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """For each turn (lengths of its segments, its ids): control, text, control,
@@ -82,8 +82,7 @@ class Template:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        dec = StreamDecoder(self.tokens, False)
-        return dec.feed(ids) + dec.end()
+        return self.decoder.feed(ids) + self.decoder.end()
 
     def rendered(self, ids: list[int]) -> str:
         """The formatted string of a stretch of ids."""

@@ -7,7 +7,7 @@ node whose children are many and rare becomes variable: its children are one
 wildcard. Every node has its labelled block and allow counts; a node whose block
 share does not differ from its siblings' (two-proportion test) is merged with
 them, that is, judged by its parent; any other has its own purity, smoothed by
-its parent's. A template with purity of at least one half is rejected.
+its parent's. A template with more than REJECT is rejected.
 
 All steps are joins and aggregations. The first aggregation, by host and
 generalised path, leaves a row a template, so that a host with a third of all
@@ -29,6 +29,8 @@ LEVELS = 4
 CHILDREN, FEW = 20, 4
 #: Weight of the parent's purity; chi-square of one degree at 5 %.
 SMOOTH, DIFFERS = 4.0, 3.841
+#: Templates with more labelled block than this, after smoothing, are rejected: an unlabelled host is not blocked for a small majority elsewhere.
+REJECT = 0.6
 #: A path ends here; no path holds this.
 NONE = "?"
 
@@ -84,14 +86,14 @@ def judged(df: DataFrame, id_column: str = "page_id", rules=RULES) -> DataFrame:
         counts = tree.groupBy(*own).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
         both = counts.withColumn("root", F.lit(0)).join(node, key) if k == 0 else counts.join(node, key)
         n, m = F.col("b") + F.col("a"), F.col("pb") + F.col("pa") - F.col("b") - F.col("a")
-        pooled = F.col("pb") / (F.col("pb") + F.col("pa"))
-        gap = F.col("b") / n - (F.col("pb") - F.col("b")) / m
-        differs = (n > 0) & (m > 0) & (F.col("pb") > 0) & (F.col("pa") > 0) & (gap * gap >= DIFFERS * pooled * (1 - pooled) * (1 / n + 1 / m))
-        alone = (n > 0) & (m == 0)  # an only child is its parent
-        purity = F.when(F.coalesce(differs & ~alone, F.lit(False)), (F.col("b") + SMOOTH * F.col("pp")) / (n + SMOOTH)).otherwise(F.col("pp"))
+        pooled = F.try_divide(F.col("pb"), F.col("pb") + F.col("pa"))
+        gap = F.try_divide(F.col("b"), n) - F.try_divide(F.col("pb") - F.col("b"), m)
+        differs = (n > 0) & (m > 0) & (F.col("pb") > 0) & (F.col("pa") > 0) & (gap * gap >= DIFFERS * pooled * (1 - pooled) * (F.try_divide(F.lit(1), n) + F.try_divide(F.lit(1), m)))
+        purity = F.when(F.coalesce(differs, F.lit(False)),  # an only child has no siblings to differ from
+                         (F.col("b") + SMOOTH * F.col("pp")) / (n + SMOOTH)).otherwise(F.col("pp"))
         node = both.select(*own, F.col("b").alias("pb"), F.col("a").alias("pa"), purity.alias("pp"))
         key = own
-    verdicts = leaves.join(node.select(*names, F.when(F.col("pp") > 0.5, "block").otherwise("allow").alias("learned")), names).select("host", *level, "learned")
+    verdicts = leaves.join(node.select(*names, F.when(F.col("pp") > REJECT, "block").otherwise("allow").alias("learned")), names).select("host", *level, "learned")
     out = pages.join(verdicts, ["host", *level], "left")
     return out.select(id_column, "host", "path", "rule", F.coalesce("says", "learned").alias("verdict"))
 
@@ -111,7 +113,7 @@ def oracle(rules=RULES) -> str:
       SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{high}', '{low}'), '') AS host,
              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     ruled AS (SELECT *, {rule} AS rule, {says} AS says, {parts} AS p FROM parsed),
-    paged AS (SELECT page_id, host, path, rule, says, {split} FROM ruled),
+    paged AS MATERIALIZED (SELECT page_id, host, path, rule, says, {split} FROM ruled),
     w0 AS (SELECT host, {", ".join(level)}, count(*) AS n, count(*) FILTER (WHERE says = 'block') AS b, count(*) FILTER (WHERE says = 'allow') AS a
            FROM paged GROUP BY ALL)"""
     for k in range(LEVELS):
@@ -139,5 +141,5 @@ def oracle(rules=RULES) -> str:
         key = own
     on = ", ".join(["host", *level])
     return sql + f""",
-    learned AS (SELECT {on}, CASE WHEN pp > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM w{LEVELS} JOIN n{len(names)} USING ({", ".join(names)}))
+    learned AS MATERIALIZED (SELECT {on}, CASE WHEN pp > {REJECT} THEN 'block' ELSE 'allow' END AS verdict FROM w{LEVELS} JOIN n{len(names)} USING ({", ".join(names)}))
     SELECT page_id, host, path, rule, coalesce(says, verdict) AS verdict FROM paged LEFT JOIN learned USING ({on})"""
