@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import map_rows
+from .common import map_rows, named, with_text
 
 #: Characters of a text that are handled at once.
 PIECE_CHARS = 1 << 16
@@ -299,7 +299,6 @@ def bpe_digest(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), te
                 ids_hex.append(of_ids.hexdigest())
                 text_hex.append(of_text.hexdigest())
             out = [b.column(k) for k in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(out, [*b.schema.names[: len(keep)], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_rows(df, [*keep, text_column], f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return named(with_text(df, keep, text_column, "n_tokens long, ids_sha256 string, decoded_sha256 string", run), keep)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -48,6 +49,24 @@ def map_rows(df: DataFrame, columns: list[str], schema: str,
     return df.select(*columns).mapInArrow(fn, schema)
 
 
+def with_text(df: DataFrame, keep: tuple[str, ...], text_column: str, results: str,
+              fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` over the ``keep`` columns, by place, and the text behind them;
+    ``fn`` returns the kept columns and then ``results``. The kept columns are
+    k0, k1, ... in the output, so they clash with nothing; see :func:`named`."""
+    kinds = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_column).alias("t"))
+    return source.mapInArrow(fn, ", ".join([*kinds, results]))
+
+
+def named(out: DataFrame, keep: tuple[str, ...], results: bool = True) -> DataFrame:
+    """The kept columns under their own names and, with ``results``, the others;
+    a kept column that has a result's name gives way to it."""
+    own = out.columns[len(keep):] if results else []
+    taken = {c.lower() for c in own}
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c.lower() not in taken], *own)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of bytes other than ASCII space and tab to carriage
     return; ``bytes.split`` separates at exactly these."""
@@ -79,5 +98,4 @@ def mix64(x: np.ndarray, seed: int) -> np.ndarray:
 
 def crc_mod(column: str, modulus: int):
     """crc32 of the column's decimal text, modulo ``modulus``; null stays null."""
-    from pyspark.sql import functions as F
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, steps
+from .common import map_rows, named, steps, with_text
 
 WINDOW = 13
 #: Words of the benchmark that one broadcast holds.
@@ -245,8 +245,11 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, on
     """Per document: the ``keep`` columns, n_words, n_hit, n_items, items_sha256
     and contaminated. One pass without an exchange while the benchmark is one
     block."""
+    return named(_hits(df, benchmark, window, one_in, keep, block_words), keep)
+
+
+def _hits(df: DataFrame, benchmark: DataFrame, window: int, one_in: int, keep: tuple[str, ...], block_words: int) -> DataFrame:
     blocks = list(benchmark_blocks(benchmark, window, block_words=block_words))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     result = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     shared = [df.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
@@ -271,9 +274,9 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, on
                 columns = list(zip(*rows)) or [()] * 5
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], *[pa.array(c, t) for c, t in zip(columns, types)]],
-                                                 [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                                                 [*part.schema.names[: len(keep)], "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return df.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, {result}")
+    return with_text(df, keep, "text", result, run)
 
 
 def longest_matches(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -297,4 +300,5 @@ def longest_matches(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    return benchmark_hits(df, benchmark, keep=tuple(df.columns)).where(~F.col("contaminated")).select(*df.columns)
+    keep = tuple(df.columns)
+    return named(_hits(df, benchmark, WINDOW, ONE_IN, keep, BLOCK_WORDS).where(~F.col("contaminated")), keep, results=False)

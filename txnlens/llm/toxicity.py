@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows
+from .common import crc_mod, named, with_text
 
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 16_000_000
 WINDOW, STRIDE = 32, 16
@@ -312,8 +312,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_toxicity(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, ``score`` and ``predicted`` of every row's whole text."""
+    return named(_scored(df, model, keep), keep)
+
+
+def _scored(df: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = shared.value
@@ -322,11 +325,12 @@ def score_toxicity(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 score = own.document_scores(b.column(len(keep)).to_pylist(), memo)
-                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(keep))], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(keep))], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names[: len(keep)], "score", "predicted"])
 
-    return df.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return with_text(df, keep, "text", "score double, predicted int", run)
 
 
 def without_toxic(df: DataFrame, model: Model) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    return score_toxicity(df, model, tuple(df.columns)).where("predicted = 0").select(*df.columns)
+    keep = tuple(df.columns)
+    return named(_scored(df, model, keep).where("predicted = 0"), keep, results=False)
