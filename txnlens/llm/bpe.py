@@ -34,9 +34,11 @@ from .common import map_rows, named, with_text
 PIECE_CHARS = 1 << 16
 #: Entries of each memo; a full one is emptied.
 CHUNK_MEMO, WORD_MEMO, PAIR_MEMO = 300_000, 200_000, 500_000
-#: str.split() separates at these too, the vocabulary's pattern does not.
+#: str.split() and \s separate at these too, the vocabularies' patterns do not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(r"[^\S\x1c-\x1f]+")
+_CUT = re.compile(r"(?<=[\S\x1c-\x1f])[^\S\x1c-\x1f]")
+_LED = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -154,6 +156,8 @@ class StreamEncoder:
             spec = json.load(f)
         model = spec["model"]
         self.tokenizer = Tokenizer.from_file(path)
+        #: The word pattern drops white space; otherwise a word may start with it.
+        self.drops = not any(w[:1] in (" ", "Ġ") for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b"))
         self.merges = Merges(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self._special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -172,10 +176,11 @@ class StreamEncoder:
         return ids
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run without white space. The word pattern never joins across
-        white space and no canonical composition does, so runs are independent."""
+        """Ids of a run that ends where white space begins. No word of the pattern goes
+        on into white space behind it, and no canonical composition does, so runs
+        are independent."""
         tokenizer = self.tokenizer
-        parts = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk))
+        parts = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk) if tokenizer.normalizer else chunk)
         ids = tuple(chain.from_iterable(self.word(w) for w, _ in parts))
         if len(chunk) <= 64:
             if len(self._chunks) >= CHUNK_MEMO:
@@ -184,10 +189,10 @@ class StreamEncoder:
         return ids
 
     def pieces(self, text: str) -> Iterator[str]:
-        """Cut at white space about every PIECE_CHARS characters."""
+        """Cut where white space begins, about every PIECE_CHARS characters."""
         at = 0
         while len(text) - at > PIECE_CHARS:
-            space = _SPACES.search(text, at + PIECE_CHARS)
+            space = _CUT.search(text, at + PIECE_CHARS)
             if not space:
                 break
             yield text[at: space.start()]
@@ -202,7 +207,7 @@ class StreamEncoder:
                 yield [self.special[part]]
                 continue
             for piece in self.pieces(part):
-                runs = [r for r in _SPACES.split(piece) if r] if _NOT_SPACE.search(piece) else piece.split()
+                runs = _LED.findall(piece) if not self.drops else [r for r in _SPACES.split(piece) if r] if _NOT_SPACE.search(piece) else piece.split()
                 ids: list[int] = []
                 for run in runs:
                     ids += known(run) or self.chunk(run)
