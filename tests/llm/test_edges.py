@@ -106,7 +106,7 @@ def test_topk(spark):
     rng = np.random.default_rng(6)
     v = {k: rng.normal(size=5).tolist() for k in range(70)}
     v |= {k: [1.0, 2.0, 0.5, -1.0, 0.25] for k in range(100, 140)}  # ties: smaller ids win
-    rows = list(v.items()) + [(200, None), (201, [1.0, None, 1, 1, 1]), (202, [float("nan"), 1, 1, 1, 1]), (203, [float("inf"), 1, 1, 1, 1]), (204, []), (None, v[0]), (0, [1.0, 2.0])]
+    rows = list(v.items()) + [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0]), (202, [float("nan"), 1.0, 1.0, 1.0, 1.0]), (203, [float("inf"), 1.0, 1.0, 1.0, 1.0]), (204, []), (None, v[0]), (0, [1.0, 2.0])]
     rows = [r for r in rows if r != (0, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, score int, rank int")
     for block, pivot in ((2048, 4096), (16, 20)):
@@ -205,7 +205,7 @@ def test_urls(spark, ):
 
 def test_url_templates_learn(spark):
     """A path that rules block on its host is blocked where no rule says so."""
-    rows = [(k, f"http://h{k % 3}.example.com/{'de' if k % 2 else 'en'}/{k}") for k in range(90)]
+    rows = [(k, f"http://h{k % 3}.example.com/{'de' if k % 2 else 'en'}/{k}") for k in range(900)]
     got = {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), rules=(("example.com", "/de/1", "block"), ("example.com", "/en/1", "allow"))).collect()}
     assert got[21] == "block" and got[20] == "allow"
 
@@ -268,7 +268,7 @@ def test_toxicity(docs, none, spark):
     assert len(out) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     assert toxicity.score_toxicity(none, model).count() == 0
     empty = toxicity.fitted(none, labels.limit(0))
-    assert {r.score for r in toxicity.score_toxicity(docs, empty).collect()} == {0.0} or empty.pool.any() is np.False_
+    assert {r.score for r in toxicity.score_toxicity(docs, empty).collect()} == {0.0}
     assert toxicity.without_toxic(docs, empty).columns == docs.columns
 
 

@@ -12,8 +12,8 @@ with the least hashes of their ids, and at most SAMPLE_CHARS characters of them
 (about 1 MB) go to the tasks as a broadcast.
 
 Defined results: null and empty texts, and texts without letters or digits, have
-no windows and get the labelled share of toxic documents; without labelled rows
-every score is 0.
+no windows and get the labelled share of toxic documents; if the labels are all
+alike, every text gets their share; without labelled rows every score is 0.
 """
 
 from __future__ import annotations
@@ -209,12 +209,14 @@ class Network:
 @dataclass
 class Model:
     network: Network
-    #: Constant, weight of the highest and of the mean window logit.
-    pool: np.ndarray
+    #: Constant, weight of the highest and of the mean window logit; None: nothing to learn from.
+    pool: np.ndarray | None
     #: Share of toxic documents in the sample.
     base: float
 
     def document_scores(self, texts: list[str | None], memo: ProjectedWords | None = None) -> np.ndarray:
+        if self.pool is None:
+            return np.full(len(texts), self.base)
         memo = memo or ProjectedWords(self.network)
         top, mean, some = document_logits(self.network, [model_words(t) for t in texts], memo)
         return np.where(some, sigmoid(self.pool[0] + self.pool[1] * top + self.pool[2] * mean), self.base)
@@ -277,8 +279,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     words = [model_words(t) for t in texts]
     part = np.arange(len(texts)) % 5 == 0
     fit = [k for k in range(len(texts)) if words[k] and (not part[k] or len(texts) < 100)]
-    if not fit or labels.min() == labels.max():
-        return Model(network, np.zeros(3), float(labels.mean()) if len(labels) else 0.0)
+    if not fit or not len(labels) or labels.min() == labels.max():
+        return Model(network, None, float(labels.mean()) if len(labels) else 0.0)
     network.fit([words[k] for k in fit], labels[fit], epochs)
     rest = [k for k in range(len(texts)) if words[k] and (part[k] or len(texts) < 100)]
     top, mean, _ = document_logits(network, [words[k] for k in rest], ProjectedWords(network))

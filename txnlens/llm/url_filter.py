@@ -105,7 +105,6 @@ def oracle(rules=RULES) -> str:
         fits = f"((host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{start}'))"
         rule, says = f"CASE WHEN {fits} THEN '{own}{start}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
     low, high = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    level = [f"s{k}" for k in range(1, LEVELS + 1)]
     parts = "string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/')"
     split = ", ".join([f"CASE WHEN len(p) >= {k + 1} THEN p[{k + 1}] ELSE '{NONE}' END AS s{k + 1}" for k in range(LEVELS - 1)]
                       + [f"CASE WHEN len(p) >= {LEVELS} THEN array_to_string(p[{LEVELS}:], '/') ELSE '{NONE}' END AS s{LEVELS}"])
@@ -113,33 +112,25 @@ def oracle(rules=RULES) -> str:
       SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{high}', '{low}'), '') AS host,
              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     ruled AS (SELECT *, {rule} AS rule, {says} AS says, {parts} AS p FROM parsed),
-    paged AS MATERIALIZED (SELECT page_id, host, path, rule, says, {split} FROM ruled),
-    w0 AS (SELECT host, {", ".join(level)}, count(*) AS n, count(*) FILTER (WHERE says = 'block') AS b, count(*) FILTER (WHERE says = 'allow') AS a
-           FROM paged GROUP BY ALL)"""
+    w0 AS (SELECT page_id, host, path, rule, says, (says = 'block')::INTEGER AS b, (says = 'allow')::INTEGER AS a, {split} FROM ruled)"""
+    # every page carries its nodes; windows count them
+    above = ["host"]
     for k in range(LEVELS):
-        above, own = ["host", *[f"t{j + 1}" for j in range(k)]], level[k]
-        on = ", ".join(above)
+        own, on = f"s{k + 1}", ", ".join(above)
         sql += f""",
-    v{k} AS (SELECT {on}, TRUE AS variable FROM (SELECT {on}, {own}, sum(n) AS n FROM w{k} GROUP BY ALL) GROUP BY {on}
-             HAVING count(*) > {CHILDREN} AND sum(n) < {FEW} * count(*)),
-    w{k + 1} AS (SELECT w{k}.*, CASE WHEN variable THEN CASE WHEN {own} = '{NONE}' THEN '{NONE}' ELSE '*' END ELSE {own} END AS t{k + 1}
-                 FROM w{k} LEFT JOIN v{k} USING ({on}))"""
-    names = ["host", *[f"t{k + 1}" for k in range(LEVELS)]]
+    v{k} AS (SELECT *, count(DISTINCT {own}) OVER (PARTITION BY {on}) AS kinds, count(*) OVER (PARTITION BY {on}) AS urls FROM w{k}),
+    w{k + 1} AS (SELECT * EXCLUDE (kinds, urls), CASE WHEN kinds > {CHILDREN} AND urls < {FEW} * kinds AND {own} <> '{NONE}' THEN '*' ELSE {own} END AS t{k + 1} FROM v{k})"""
+        above.append(f"t{k + 1}")
+    total = "coalesce(sum(b) OVER (), 0) AS pb, coalesce(sum(a) OVER (), 0) AS pa"
     sql += f""",
-    tree AS (SELECT {", ".join(names)}, sum(b) AS b, sum(a) AS a FROM w{LEVELS} GROUP BY ALL),
-    n0 AS (SELECT 0 AS root, coalesce(sum(b), 0) AS pb, coalesce(sum(a), 0) AS pa,
-           (coalesce(sum(b), 0) + {SMOOTH} * 0.5) / (coalesce(sum(b), 0) + coalesce(sum(a), 0) + {SMOOTH}) AS pp FROM tree)"""
-    key = "root"
-    for k in range(len(names)):
-        own = ", ".join(names[: k + 1])
+    n0 AS (SELECT *, (pb + {SMOOTH} * 0.5) / (pb + pa + {SMOOTH}) AS pp FROM (SELECT *, {total} FROM w{LEVELS}))"""
+    for k in range(len(above)):
+        on = ", ".join(above[: k + 1])
         sql += f""",
-    c{k} AS (SELECT {own}, 0 AS root, sum(b) AS b, sum(a) AS a FROM tree GROUP BY {own}),
-    j{k} AS (SELECT {own}, b, a, pb, pa, pp, (b + a)::DOUBLE AS n, (pb + pa - b - a)::DOUBLE AS m FROM c{k} JOIN n{k} USING ({key})),
-    n{k + 1} AS (SELECT {own}, b AS pb, a AS pa, CASE WHEN n > 0 AND m > 0 AND pb > 0 AND pa > 0 THEN
-               CASE WHEN (b / n - (pb - b) / m) * (b / n - (pb - b) / m) >= {DIFFERS} * (pb::DOUBLE / (pb + pa)) * (1 - pb::DOUBLE / (pb + pa)) * (1 / n + 1 / m)
-               THEN (b + {SMOOTH} * pp) / (n + {SMOOTH}) ELSE pp END ELSE pp END AS pp FROM j{k})"""
-        key = own
-    on = ", ".join(["host", *level])
-    return sql + f""",
-    learned AS MATERIALIZED (SELECT {on}, CASE WHEN pp > {REJECT} THEN 'block' ELSE 'allow' END AS verdict FROM w{LEVELS} JOIN n{len(names)} USING ({", ".join(names)}))
-    SELECT page_id, host, path, rule, coalesce(says, verdict) AS verdict FROM paged LEFT JOIN learned USING ({on})"""
+    c{k} AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY {on}), 0) AS nb, coalesce(sum(a) OVER (PARTITION BY {on}), 0) AS na FROM n{k}),
+    j{k} AS (SELECT *, (nb + na)::DOUBLE AS n, (pb + pa - nb - na)::DOUBLE AS m FROM c{k}),
+    n{k + 1} AS (SELECT * EXCLUDE (pb, pa, pp, nb, na, n, m), nb AS pb, na AS pa, CASE WHEN n > 0 AND m > 0 AND pb > 0 AND pa > 0 THEN
+               CASE WHEN (nb / n - (pb - nb) / m) * (nb / n - (pb - nb) / m) >= {DIFFERS} * (pb::DOUBLE / (pb + pa)) * (1 - pb::DOUBLE / (pb + pa)) * (1 / n + 1 / m)
+               THEN (nb + {SMOOTH} * pp) / (n + {SMOOTH}) ELSE pp END ELSE pp END AS pp FROM j{k})"""
+    return sql + f"""
+    SELECT page_id, host, path, rule, coalesce(says, CASE WHEN pp > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict FROM n{len(above)}"""
