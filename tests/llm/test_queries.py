@@ -110,12 +110,16 @@ def test_decontam(spark, sf, rows):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(items), sha(",".join(sorted(map(str, items)))), len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
-def test_urls(spark, sf):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, sf, name):
+    """The query's rows and types equal its SQL's."""
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
-    want = con.execute(ORACLES["op7_urls"]).fetchall()
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(ORACLES[name]).fetchall()
     names = [d[0] for d in con.description]
-    mine = QUERIES["op7_urls"](spark, sf)
+    mine = QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(mine.columns)
     assert sorted(map(str, (tuple(r[n] for n in names) for r in mine.collect()))) == sorted(map(str, want))
 
 

@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -33,7 +34,7 @@ from .common import map_rows, named, with_text
 #: Characters of a text that are handled at once.
 PIECE_CHARS = 1 << 16
 #: Entries of each memo; a full one is emptied.
-CHUNK_MEMO, WORD_MEMO, PAIR_MEMO = 300_000, 200_000, 500_000
+CHUNK_MEMO, WORD_MEMO, PAIR_MEMO = 700_000, 500_000, 500_000
 #: str.split() and \s separate at these too, the vocabularies' patterns do not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(r"[^\S\x1c-\x1f]+")
@@ -161,6 +162,12 @@ class StreamEncoder:
         self.merges = Merges(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self._special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # the file's own word pattern, for runs on which its normaliser only lowers case
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self._pattern = regex.compile(split["pattern"]["Regex"]) if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") else None
+        self._odd = re.compile("[\u0130\u0250-\U0010FFFF]")
+        self._letters = byte_alphabet()
         self._words: dict[str, tuple[int, ...]] = {}
         self._chunks: dict[str, tuple[int, ...]] = {}
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -179,9 +186,13 @@ class StreamEncoder:
         """Ids of a run that ends where white space begins. No word of the pattern goes
         on into white space behind it, and no canonical composition does, so runs
         are independent."""
-        tokenizer = self.tokenizer
-        parts = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk) if tokenizer.normalizer else chunk)
-        ids = tuple(chain.from_iterable(self.word(w) for w, _ in parts))
+        if self._pattern and not self._odd.search(chunk):
+            letters = self._letters
+            parts = ["".join([letters[b] for b in w.encode()]) for w in self._pattern.findall(chunk.lower())]
+        else:
+            tokenizer = self.tokenizer
+            parts = [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk) if tokenizer.normalizer else chunk)]
+        ids = self.word(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(self.word, parts)))
         if len(chunk) <= 64:
             if len(self._chunks) >= CHUNK_MEMO:
                 self._chunks.clear()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_path
 
 #: A-Z to a-z, every other byte as it is.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -20,19 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share. It is
-    removed when the application ends."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: it is computed once,
     survives lost executors, and later plans start from a scan."""

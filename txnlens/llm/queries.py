@@ -11,12 +11,13 @@ from . import url_filter
 from .bpe import bpe_digest
 from .chat import assembled, read_back
 from .common import crc_mod, table
-from .decontam import benchmark_hits
+from .decontam import ONE_IN, WINDOW, benchmark_hits
 from .frames import token_files
 from .lm import lm_scores
-from .near_dup import near_duplicates
+from .near_dup import PERCENT, SHINGLE, near_duplicates
+from .oracles import all_oracles
 from .secret_scan import scan_secrets
-from .topk import top_k
+from .topk import K, SCALE, top_k
 from .toxicity import HELD_OUT, fitted, score_toxicity
 
 #: Folder of the public vocabulary files.
@@ -74,4 +75,4 @@ def op10_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_topk, op4_lm, op5_secrets, op6_decontam, op7_urls, op8_near_dup, op9_toxicity, op10_frames)}
-ORACLES = {"op7_urls": url_filter.oracle()}
+ORACLES = all_oracles(CONTROL_TEXT, K, SCALE, QUERY_STEP, WINDOW, ONE_IN, SHINGLE, PERCENT)
