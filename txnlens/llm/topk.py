@@ -187,7 +187,7 @@ def placed(vectors: DataFrame, pivots: dict[int, np.ndarray], blocks: dict[tuple
 def in_blocks(rows: DataFrame) -> DataFrame:
     """(dim, pivot, block): vectors of a pivot are dealt to blocks of about BLOCK."""
     sizes = rows.groupBy("dim", "pivot").agg(F.count("*").alias("size"))
-    return rows.join(F.broadcast(sizes), ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("int")).drop("size")
+    return rows.join(sizes, ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("int")).drop("size")
 
 
 def packed(rows: DataFrame) -> DataFrame:
