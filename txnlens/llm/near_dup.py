@@ -20,8 +20,8 @@ Work after the sketches, all of it joins and aggregations:
 3. pairs whose sketches agree on too few coordinates (five standard deviations
    below 0.75) are put aside; the others are confirmed on the full sets;
 4. confirmed links are contracted to components; buckets that still hold more
-   than one component compare their members across components, in blocks, by
-   sketch, and the pairs found are confirmed like the first.
+   than one component compare their members across components, in blocks, where
+   both sketches and full sets are at hand; only links come out.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
 nothing; rows that repeat a doc_id each keep their row and are grouped by their
@@ -46,8 +46,8 @@ PERCENT = 75
 #: Sketches of a pair at 0.75 agree on fewer coordinates with probability 3e-7.
 LEAST_AGREE = 71
 WORD_MEMO = 400_000
-#: Members of a bucket that one task compares with each other.
-BLOCK = 1024
+#: Members of a bucket, and shingles of them, that make a block; one task compares two blocks.
+BLOCK, BLOCK_VOLUME = 1024, 2_000_000
 #: Bytes of text of one numpy step.
 STEP_CHARS = 4 << 20
 
@@ -198,28 +198,45 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket, in different components, whose sketches agree
-    enough. ``rows``: band, bucket, id, component, sketch, size. Buckets are cut
-    into blocks of BLOCK members, and every two blocks of a bucket meet in one
-    task; only pairs that pass leave it."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    """Links (a, b) of one bucket between different components, confirmed on the
+    full sets. ``rows``: band, bucket, id, component, sketch, bands, text, blocks.
+    Buckets are cut into blocks, and every two blocks of a bucket meet in one
+    task. A pair is looked at in the first band that it shares; sketches tell
+    which pairs are worth their sets; components that a link joins there are one
+    from then on. Only links leave the task."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = placed.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch")
+        "band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch", "bands", "text")
 
-    def pairs(table: pa.Table) -> pa.Table:
-        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+    def links(table: pa.Table) -> pa.Table:
+        ids, comp, block = (table.column(c).to_numpy().copy() for c in ("id", "component", "block"))
         sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
+        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        band, crossing = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        elements, sizes = shingle_sets(table.column("text").to_pylist())
+        number = np.unique(elements, return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        mark = np.zeros(int(number.max()) + 1 if len(number) else 1, bool)
         a, b = [], []
         for k in range(len(ids)):
-            if (rest := np.flatnonzero((comp != comp[k]) & (ids > ids[k]))).size:
-                near = rest[(sk[rest] == sk[k]).sum(1) >= LEAST_AGREE]
-                a.append(np.full(len(near), ids[k]))
-                b.append(ids[near])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return meets.groupBy("band", "bucket", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+            rest = k + 1 + np.flatnonzero((comp[k + 1:] != comp[k]) & ((block[k + 1:] != block[k]) if crossing else True))
+            rest = rest[(sk[rest] == sk[k]).sum(1) >= LEAST_AGREE]
+            rest = rest[(bands[rest] == bands[k]).argmax(1) == band]
+            if not rest.size:
+                continue
+            own = number[ends[k] - sizes[k]: ends[k]]
+            mark[own] = True
+            spans = [number[ends[r] - sizes[r]: ends[r]] for r in rest]
+            both = np.add.reduceat(mark[np.concatenate(spans)].astype(np.int64), np.cumsum([0, *map(len, spans[:-1])]))
+            mark[own] = False
+            for r in rest[100 * both >= PERCENT * (len(own) + sizes[rest] - both)]:
+                if comp[r] != comp[k]:
+                    a.append(min(ids[k], ids[r]))
+                    b.append(max(ids[k], ids[r]))
+                    comp[comp == comp[r]] = comp[k]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return meets.groupBy("band", "bucket", "i", "j").applyInArrow(links, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -231,8 +248,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     # 1. one row a set
     classes = real.groupBy("set_key", "n_shingles").agg(F.min("id").alias("rep"))
     heads = real.join(classes.withColumnRenamed("rep", "id"), ["set_key", "n_shingles", "id"]).dropDuplicates(["id", "set_key"])
-    # an id that stands for several sets (repeated ids) is one document of each set: ids are told apart by their set
-    heads = written(heads.select("id", "sketch", "bands"), "heads")
+    heads = written(heads.select("id", "n_shingles", "sketch", "bands"), "heads")
     # 2. centres
     members = heads.select("id", F.posexplode("bands").alias("band", "bucket"))
     centre = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "bucket", "id").alias("h"), "id")).alias("c"), F.count("*").alias("size")).where("size > 1")
@@ -241,17 +257,18 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     # 3. by sketch, then on the full sets
     sk = lambda k: heads.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
     likely = pairs.join(sk("b"), "b").join(sk("a"), "a").where(agreement("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b")
-    texts = docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    links = written(confirmed(written(likely, "likely"), texts), "links")
+    texts = docs.join(shared.select("id").distinct(), "id", "left_semi").repartition("id").dropDuplicates(["id", "text"])
+    links = written(confirmed(likely, texts), "links")
     found = components(links)
     # 4. buckets that still hold several components
-    label = heads.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    label = heads.join(found, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
     labelled = shared.select("band", "bucket", "id").join(label, "id")
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rest = labelled.join(mixed.select("band", "bucket", "size"), ["band", "bucket"]).join(heads.select("id", "sketch"), "id")
-    more = written(across(rest).join(written(likely, "tried"), ["a", "b"], "left_anti"), "across")
+    mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n_shingles").alias("volume")).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("volume") / BLOCK_VOLUME)).cast("int")
+    rest = labelled.join(mixed.select("band", "bucket", blocks.alias("blocks")), ["band", "bucket"]).join(heads.select("id", "sketch", "bands"), "id").join(texts, "id")
+    more = written(across(rest), "across")
     if more.limit(1).count():
-        links = links.union(written(confirmed(more, texts), "links"))
+        links = links.union(more)
         found = components(links)
     # back to all rows
     lead = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("component"))
