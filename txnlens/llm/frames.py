@@ -17,6 +17,7 @@ Defined results: a null or empty text has only its end id; no rows, no files.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -25,20 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_path, written
+from ..session import shared_path
+from .common import steps, written
 
 #: Fixed values of the public zstd seekable format.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC, HAS_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 DOCS_PER_FILE = 8192
-MEMO = 400_000
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Entries of each memo; a full one is emptied.
+MEMO = 1_200_000
+#: Bytes of text that are encoded at once.
+STEP_CHARS = 8 << 20
 _SPACES = re.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -47,29 +53,81 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class RunEncoder:
-    """The tokenizers library, called once for each distinct run without white
-    space: the vocabulary's word pattern never crosses white space, so a text's
-    ids are its runs' ids in order."""
+    """The tokenizers library, called once for each distinct word. Texts are split
+    at white space by Arrow and their distinct runs looked up; a new run is split
+    into words by the vocabulary's own pattern, and new words go to the library
+    joined by blanks, where the end-of-word mark tells them apart. Runs for which
+    this could differ from the whole text's encoding (characters beyond U+024F,
+    special strings, other kinds of vocabulary) go to the library as they are: no
+    word crosses white space."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian integers of ``dtype``."""
-        runs = [[] if not t else [r for r in _SPACES.split(t) if r] if _NOT_SPACE.search(t) else t.split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({r for some in runs for r in some if r not in memo})
-        for at in range(0, len(new), 20_000):
-            some = new[at: at + 20_000]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.odd = regex.compile("|".join(["[\u0130\u0250-\U0010FFFF]", *(regex.escape(a["content"]) for a in spec.get("added_tokens", []))]))
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.pattern = regex.compile(split["pattern"]["Regex"]) if suffix and steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") else None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _add_words(self, words: set[str]) -> None:
+        if len(self.words) + len(words) > MEMO:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        for at in range(0, len(new), 1000):
+            some = new[at: at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids])
+            if len(cuts) != len(some):
+                raise ValueError("a word has no single end mark")
+            raw, width, last = ids.tobytes(), self.dtype.itemsize, 0
+            for w, end in zip(some, (cuts + 1).tolist()):
+                self.words[w] = raw[last * width: end * width]
+                last = end
+
+    def _add_runs(self, new: list[str]) -> None:
+        odd = new if self.pattern is None else [r for r in new if self.odd.search(r)]
+        plain = [] if self.pattern is None else [r for r in new if not self.odd.search(r)] if odd else new
+        split = [self.pattern.findall(r.lower()) for r in plain]
+        self._add_words({w for ws in split for w in ws})
+        words = self.words
+        for r, ws in zip(plain, split):
+            self.runs[r] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        for at in range(0, len(odd), 20_000):
+            some = odd[at: at + 20_000]
             for r, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[r] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([memo[r] for r in some]) for some in runs]
+                self.runs[r] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids. ``texts``: an Arrow string array; null is empty."""
+        texts = texts.fill_null("")
+        lists = pc.utf8_split_whitespace(texts)
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # Arrow splits at these too, the vocabulary does not
+            lists = pa.array([[r for r in _SPACES.split(t) if r] for t in texts.to_pylist()], pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.runs) + len(distinct) > MEMO:
+            self.runs.clear()
+        known = self.runs
+        if new := [r for r in distinct if r and r not in known]:
+            self._add_runs(new)
+        parts = [known[r] if r else b"" for r in distinct]
+        every = np.frombuffer(b"".join(parts), self.dtype)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        count = size[index]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = every[np.repeat((np.cumsum(size) - size)[index] - ends[:-1], count) + np.arange(ends[-1])]
+        return np.split(ids, ends[lists.offsets.to_numpy()[1:-1]]) if len(texts) else []
 
 
 @functools.cache
@@ -165,9 +223,8 @@ def write_frames(df: DataFrame, path: str, folder: str, end_id: int | None = Non
         tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         zstd = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                raws = [ids + tail for ids in enc.encode(part.column(1).to_pylist())]
+            for part in steps(b, 1, STEP_CHARS):
+                raws = [ids.tobytes() + tail for ids in enc.encode(part.column(1))]
                 keys = part.column(0)
                 shard = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
                 yield pa.RecordBatch.from_arrays([
