@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -21,6 +22,11 @@ TEXTS = [(1, "the cat sat on the mat and more words"), (1, "the cat sat on the m
 CLASH = "score double, predicted int, n_tokens int, id string, k0 string, t int, kept int, contaminated string, label int"
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "en", None, None, 0.5, 1, 2, "a", "b", 3, 4, "c", 5) for i, t in TEXTS]
@@ -334,8 +340,6 @@ def test_pipeline_stages(docs, none, spark, tmp_path, benchmark):
 
 def test_pipeline_equals_its_stages_by_hand(spark, sf):
     """run()'s rows against plain versions of every stage but the network."""
-    import pyarrow.parquet as pq
-    from test_queries import base_spans  # noqa: F401
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fitted(docs, labels)

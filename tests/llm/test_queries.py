@@ -8,12 +8,27 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from txnlens.llm.queries import CONTROL_TEXT, ORACLES, QUERIES, WORD_BPE
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def sf():
+    return SF
+
+
+@pytest.fixture(scope="module")
+def rows(sf):
+    """The text tables as lists of dicts."""
+    return lambda name: pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -149,7 +164,6 @@ def test_near_dup(spark, sf, rows):
 
 def test_toxicity(spark, rows):
     out, toxic = got(spark, "/root/testdata/sf0.1", "op9_toxicity", "doc_id"), {}
-    import pyarrow.parquet as pq
     for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist():
         toxic[r["doc_id"]] = r["toxic"]
     held = [(out[i]["score"], y) for i, y in toxic.items() if i in out and out[i]["held_out"]]
