@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 
+# Spark's tasks are the parallelism; the tokenizers library adds no threads to it.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: A-Z to a-z, every other byte as it is.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
