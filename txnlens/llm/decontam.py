@@ -14,8 +14,9 @@ The benchmark travels to the tasks in blocks of a bounded number of words; with
 more than one block, each block's hits are merged by document.
 
 Defined results: null or empty texts have no words and no hits; items without
-words are no windows; repeated items and repeated documents count each for
-themselves; a null item_id is listed as an empty string.
+words are no windows; rows that repeat an item_id are one item with the windows of
+all; repeated documents each have their row; a null item_id is listed as an empty
+string.
 """
 
 from __future__ import annotations
@@ -236,7 +237,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int, id_column: str = "item_i
         yield Block.of([tuple(r) for r in some.collect()], window)
 
 
-def _digest(ids: list) -> str:
+def _digest(ids: set) -> str:
     return hashlib.sha256(",".join(sorted("" if i is None else str(i) for i in ids)).encode()).hexdigest()
 
 
@@ -268,7 +269,7 @@ def _hits(df: DataFrame, benchmark: DataFrame, window: int, one_in: int, keep: t
                     else:
                         covered.update(*(range(a, e) for a, e in runs))
                         n_hit = len(covered)
-                    items = [s.block.ids[i] for s, h in zip(searchers, all_hits) for i in h.items[d]]
+                    items = {s.block.ids[i] for s, h in zip(searchers, all_hits) for i in h.items[d]}
                     n = int(all_hits[0].n_words[d])
                     rows.append((n, n_hit, len(items), _digest(items), n_hit > 0 and one_in * n_hit >= n))
                 columns = list(zip(*rows)) or [()] * 5
