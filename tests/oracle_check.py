@@ -114,7 +114,7 @@ def main(argv: list[str]) -> int:
     import __spark_entry__ as E
     from txnlens import get_spark
     extra = {"spark.sql.session.timeZone": os.environ["CHECK_TZ"]} if os.environ.get("CHECK_TZ") else None
-    spark = get_spark("local[8]", extra=extra)
+    spark = get_spark("local[8]", shuffle_partitions=8, extra=extra)
     con = duck(sf_dir)
     qs, ors = E.queries(), E.oracle_sql()
     bad = 0

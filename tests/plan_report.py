@@ -18,24 +18,28 @@ def main(argv: list[str]) -> None:
     import __spark_entry__ as E
     from txnlens import get_spark
     from txnlens.plans import inspect as PI
-    spark = get_spark("local[8]")
+    spark = get_spark("local[8]", shuffle_partitions=8)
     lines = ["# PLANS", "",
              f"Executed (AQE final) plans of the registered queries at `{sf_dir}`, generated by",
              "`tests/plan_report.py`. Columns: shuffles by kind (hash / range /",
              "single-partition), broadcasts, exchanges reused inside the plan, and per parquet",
-             "scan the columns read and filters pushed into it. Jobs that a query runs",
-             "before its final plan (size checks, boundary keys, checkpoints, fitted",
-             "parameters) are not part of this plan.", "",
-             "| query | hash | range | single | broadcast | reused | scans (columns read; pushed filters) |",
-             "|---|---|---|---|---|---|---|"]
+             "scan the columns read and filters pushed into it. `jobs before` counts the Spark",
+             "jobs that a query runs before its final plan (size checks, boundary keys,",
+             "checkpoints, fitted parameters, streams); they are not part of this plan.", "",
+             "| query | jobs before | hash | range | single | broadcast | reused | scans (columns read; pushed filters) |",
+             "|---|---|---|---|---|---|---|---|"]
+    sc = spark.sparkContext
     for name, fn in E.queries().items():
-        s = PI.summary(fn(spark, sf_dir))
+        sc.setJobGroup(name, name)
+        df = fn(spark, sf_dir)
+        before = len(sc.statusTracker().getJobIdsForGroup(name))
+        s = PI.summary(df)
         x = s["exchanges"]
-        sc = "<br>".join(
+        scans = "<br>".join(
             f"{(v['read_schema'] or '').replace('struct<', '').rstrip('>')}"
             + (f"; {v['pushed_filters']}" if v["pushed_filters"] else "") for v in s["scans"])
-        lines.append(f"| `{name}` | {x['hash']} | {x['range']} | {x['single']} | {x['broadcast']} | "
-                     f"{x['reused']} | {sc.replace('|', '/')} |")
+        lines.append(f"| `{name}` | {before} | {x['hash']} | {x['range']} | {x['single']} | {x['broadcast']} | "
+                     f"{x['reused']} | {scans.replace('|', '/')} |")
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
         f.write("\n".join(lines) + "\n")
 

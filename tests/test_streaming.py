@@ -71,6 +71,48 @@ def test_journal_stream_upsert(spark, tmp_path):
     assert read_journal(spark, str(src)).count() == 3
 
 
+def test_journal_survives_a_new_checkpoint(spark, tmp_path):
+    """Epochs start again with a new checkpoint; nothing that was written is lost,
+    a record without seq counts, and compaction changes no answer."""
+    from txnlens.streaming.journal import compact
+    table = str(tmp_path / "done")
+    for k, recs in enumerate([[{"row_idx": 1, "summary": "a", "seq": 0}, {"row_idx": 2, "summary": "b"}], [{"row_idx": 3, "summary": "c", "seq": 5}]]):
+        src = tmp_path / f"src{k}"
+        src.mkdir()
+        (src / "r.jsonl").write_text("\n".join(map(json.dumps, recs)) + "\n")
+        q = stream_journal(spark, str(src), table, str(tmp_path / f"ck{k}"))
+        q.processAllAvailable()
+        q.stop()
+    want = {1: "a", 2: "b", 3: "c"}
+    for _ in range(3):
+        assert {r.row_idx: r.summary for r in latest_table(spark, table).collect()} == want
+        compact(spark, table)
+
+
+def test_stream_nulls_equal_batch(spark, tmp_path):
+    """Null amounts, a null time, a null id and text card numbers."""
+    base = 1_700_000_000
+    rows = [(1, "4x", base, 10.0), (2, "4x", base + 10, 12.0), (3, "4x", base + 20, None), (4, "4x", base + 30, 30.0),
+            (5, "4x", None, 1.0), (None, "4x", base + 40, 8.0), (7, None, base, 1.0)]
+    schema = "txn_id long, card_id string, ts_sec long, amt double"
+    batch = {r.txn_id: r for r in causal_features(spark.createDataFrame(rows, schema), strategy="window").collect()}
+    src = str(tmp_path / "src")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src + "/a")
+    sdf = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+    q = (stream_causal_features(sdf).writeStream.format("memory").queryName("k1_nulls").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    spark.createDataFrame([(99, "z", base + 10 ** 6, 1.0)], schema).coalesce(1).write.parquet(src + "/b")
+    q.processAllAvailable()
+    q.stop()
+    got = {r.txn_id: r for r in spark.sql("select * from k1_nulls").collect()}
+    for k, b in batch.items():
+        g = got[k]
+        assert (g.velocity_1h, g.velocity_24h) == (b.velocity_1h, b.velocity_24h), k
+        assert g.amt_zscore == (None if b.amt_zscore is None else pytest.approx(b.amt_zscore, rel=1e-9)), k
+        assert g.card_tenure_days == pytest.approx(b.card_tenure_days)
+
+
 def test_step_metrics_stream(spark, tmp_path):
     src = tmp_path / "samples"
     src.mkdir()

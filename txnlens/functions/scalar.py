@@ -151,9 +151,10 @@ def cell_key(label, score, n_bins: int = 5) -> Column:
 
 def is_missing(x, dtype: str = "string") -> Column:
     """Null, NaN, or text that is one of nan/none/missing/__missing__/'' after
-    lower + trim."""
+    lower + strip (all white space, as Python strips)."""
     x = _c(x)
     cond = x.isNull()
     if dtype in ("double", "float"):
         cond = cond | F.isnan(x)
-    return cond | F.lower(F.trim(x.cast("string"))).isin(MISSING_TEXT)
+    from txnlens.functions.text import strip_ws
+    return cond | F.lower(strip_ws(x.cast("string"))).isin(MISSING_TEXT)

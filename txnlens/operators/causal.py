@@ -9,7 +9,8 @@ For each row, only rows of the same card that come EARLIER in processing order
   amounts, 0.0 when fewer than two earlier rows exist.
 * ``card_tenure_days``: ``(t - first t of the card) / 86400``.
 
-A row with a null card is its own history: all four features are zero.
+A row with a null card, or without a time, has no place in any history: all
+four features are zero, and no other row sees it.
 
 Two physical strategies compute the same table:
 
@@ -92,7 +93,7 @@ def _by_window(df: DataFrame, card: str, ts: str, amount: str, key: str) -> Data
     # sees no history, instead of pooling every null into one group. The
     # segment key is one column, so every window below shares one
     # partitioning: one exchange and one sort for all of them.
-    x = df.withColumn("_nk", F.when(c.isNull(), F.col(key)))
+    x = df.withColumn("_nk", F.when(c.isNull() | t.isNull(), F.col(key)))
     seg = [c, F.col("_nk")]
     ordered = Window.partitionBy(*seg).orderBy(t, F.col(key))
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -106,10 +107,11 @@ def _by_window(df: DataFrame, card: str, ts: str, amount: str, key: str) -> Data
     mean = F.avg(a).over(before)
     m2 = F.var_pop(a).over(before) * n
     first = F.min(t).over(Window.partitionBy(*seg))
-    return (x.select("*", (earlier - older_1h).cast("bigint").alias("velocity_1h"),
-                     (earlier - older_24h).cast("bigint").alias("velocity_24h"),
-                     _zscore(a, n, mean, m2).alias("amt_zscore"),
-                     ((t - first) / F.lit(float(DAY_SECONDS))).alias("card_tenure_days"))
+    timed = lambda x, zero: F.when(t.isNotNull(), x).otherwise(F.lit(zero))
+    return (x.select("*", timed((earlier - older_1h).cast("bigint"), 0).cast("bigint").alias("velocity_1h"),
+                     timed((earlier - older_24h).cast("bigint"), 0).cast("bigint").alias("velocity_24h"),
+                     timed(_zscore(a, n, mean, m2), 0.0).alias("amt_zscore"),
+                     timed((t - first) / F.lit(float(DAY_SECONDS)), 0.0).alias("card_tenure_days"))
             .drop("_nk"))
 
 
@@ -123,7 +125,8 @@ def causal_feature_table(df: DataFrame, card: str = "card_id", ts: str = "ts_sec
     base = df.select(F.col(card).alias("_c"), F.col(ts).cast("bigint").alias("_t"),
                      F.col(key).alias("_k"), F.col(amount).cast("double").alias("_a"))
 
-    nulls = (base.where(F.col("_c").isNull())
+    placeless = F.col("_c").isNull() | F.col("_t").isNull()
+    nulls = (base.where(placeless)
              .select(F.col("_k"), F.lit(0).cast("bigint").alias("velocity_1h"),
                      F.lit(0).cast("bigint").alias("velocity_24h"),
                      F.lit(0.0).alias("amt_zscore"), F.lit(0.0).alias("card_tenure_days")))
@@ -132,7 +135,7 @@ def causal_feature_table(df: DataFrame, card: str = "card_id", ts: str = "ts_sec
     # t-86401. Data sorts before probes at equal time, so the running count of
     # data rows seen at a probe is "card rows with ts <= probe time".
     none = F.lit(None).cast("double")
-    ev = (base.where(F.col("_c").isNotNull())
+    ev = (base.where(~placeless)
           .select("_c", "_k", F.explode(F.array(
               F.struct(F.col("_t").alias("_x"), F.lit(0).alias("_kind"), F.col("_a").alias("_a")),
               F.struct((F.col("_t") - (HOUR_SECONDS + 1)).alias("_x"), F.lit(1).alias("_kind"),
@@ -161,53 +164,59 @@ def causal_feature_table(df: DataFrame, card: str = "card_id", ts: str = "ts_sec
     # Last fragment of each partition, and its first card: <= 1 row per partition.
     frags = ev.groupBy("_p", "_c").agg(
         F.count(data_x).alias("n"), F.count("_a").alias("na"),
-        F.sum("_a").alias("s"), (F.var_pop("_a") * F.count("_a")).alias("m2"),
+        F.avg("_a").alias("mean"), (F.var_pop("_a") * F.count("_a")).alias("m2"),
         F.min(data_x).alias("first"))
     bounds = frags.groupBy("_p").agg(
         F.min("_c").alias("first_c"), F.max("_c").alias("last_c"),
-        F.max_by(F.struct("n", "na", "s", "m2", "first"), "_c").alias("last"))
+        F.max_by(F.struct("n", "na", "mean", "m2", "first"), "_c").alias("last"))
     # Running totals over the partitions that end with the same card. A
     # partition's carry is the running total of the partition just before it,
-    # when that one ends with the partition's first card. Sums of squares are
-    # combined as sum(m2 + s^2/n) so fragments merge exactly in real arithmetic.
+    # when that one ends with the partition's first card. Moments are taken
+    # about the card's first fragment mean, not about zero: the squares then
+    # measure the spread of the amounts, and a constant or nearly constant
+    # history loses nothing to cancellation.
     run = Window.partitionBy("last_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    q = F.when(F.col("last.na") > 0,
-               F.col("last.m2") + F.col("last.s") * F.col("last.s") / F.col("last.na")
-               ).otherwise(F.lit(0.0))
+    ref = F.first(F.col("last.mean"), ignorenulls=True).over(
+        Window.partitionBy("last_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    bounds = bounds.withColumn("ref", ref)
+    off = F.coalesce(F.col("last.mean") - F.col("ref"), F.lit(0.0))
+    q = F.coalesce(F.col("last.m2"), F.lit(0.0)) + F.col("last.na") * off * off
     cum = bounds.select(
         "_p", "first_c", "last_c",
         F.sum("last.n").over(run).alias("cn"), F.sum("last.na").over(run).alias("cna"),
-        F.sum(F.coalesce(F.col("last.s"), F.lit(0.0))).over(run).alias("cs"),
+        F.sum(F.col("last.na") * off).over(run).alias("cs"), "ref",
         F.sum(q).over(run).alias("cq"), F.min("last.first").over(run).alias("cfirst"))
     # Bounded by the partition count, so a global order here is cheap.
     prev_p = Window.orderBy("_p")
     carry = (cum.select(
         "_p", "first_c",
-        F.lag(F.struct("last_c", "cn", "cna", "cs", "cq", "cfirst")).over(prev_p).alias("pv"))
+        F.lag(F.struct("last_c", "cn", "cna", "cs", "cq", "ref", "cfirst")).over(prev_p).alias("pv"))
         .where(F.col("pv.last_c") == F.col("first_c"))
         .select("_p", F.col("first_c").alias("_c"), F.col("pv.cn").alias("_cn"),
                 F.col("pv.cna").alias("_cna"), F.col("pv.cs").alias("_cs"),
-                F.col("pv.cq").alias("_cq"), F.col("pv.cfirst").alias("_cfirst")))
+                F.col("pv.cq").alias("_cq"), F.coalesce("pv.ref", F.lit(0.0)).alias("_ref"),
+                F.col("pv.cfirst").alias("_cfirst")))
 
     j = local.join(F.broadcast(carry), on=["_p", "_c"], how="left")
     cn = F.coalesce(F.col("_cn"), F.lit(0))
     cna = F.coalesce(F.col("_cna"), F.lit(0)).cast("double")
-    cs = F.coalesce(F.col("_cs"), F.lit(0.0))
-    c_mean = cs / cna
-    c_m2 = F.coalesce(F.col("_cq"), F.lit(0.0)) - cs * cs / cna
+    # everything below is relative to the carry's reference value
+    cs, at = F.coalesce(F.col("_cs"), F.lit(0.0)), F.coalesce(F.col("_ref"), F.lit(0.0))
+    c_mean = F.try_divide(cs, cna)
+    c_m2 = F.greatest(F.coalesce(F.col("_cq"), F.lit(0.0)) - F.try_divide(cs * cs, cna), F.lit(0.0))
     nl = F.col("_n_l").cast("double")
-    ml = F.coalesce(F.col("_mean_l"), F.lit(0.0))
+    ml = F.coalesce(F.col("_mean_l") - at, F.lit(0.0))
     m2l = F.coalesce(F.col("_m2_l"), F.lit(0.0))
     n_all = nl + cna
-    mean_all = F.when(cna == 0, ml).when(nl == 0, c_mean).otherwise((nl * ml + cs) / n_all)
+    mean_all = F.when(cna == 0, ml).when(nl == 0, c_mean).otherwise(F.try_divide(nl * ml + cs, n_all))
     m2_all = (F.when(cna == 0, m2l).when(nl == 0, c_m2)
-              .otherwise(m2l + c_m2 + (nl * cna / n_all) * (ml - c_mean) * (ml - c_mean)))
+              .otherwise(m2l + c_m2 + F.try_divide(nl * cna, n_all) * (ml - c_mean) * (ml - c_mean)))
     seen = F.col("_cnt_l") + cn
     first = F.least(F.col("_cfirst"), F.col("_first_l"))
 
     per = j.select(
         "_k", "_kind", seen.alias("seen"),
-        F.when(is_data, _zscore(F.col("_a"), n_all, mean_all, m2_all)).alias("z"),
+        F.when(is_data, _zscore(F.col("_a") - at, n_all, mean_all, m2_all)).alias("z"),
         F.when(is_data, (F.col("_x") - first) / F.lit(float(DAY_SECONDS))).alias("ten"))
     feats = per.groupBy("_k").agg(
         F.max(F.when(is_data, F.col("seen"))).alias("_rn"),

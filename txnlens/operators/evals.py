@@ -55,8 +55,11 @@ CLAIM_PATTERNS = {
     "hour": (r"Time: ([0-9]{2}):xx", "hour_of_day"),
     "velocity_1h": (r"Card velocity: ([0-9]+) txn in past 1h", "velocity_1h"),
     "velocity_24h": (r"Card velocity: ([0-9]+) txn in past 24h", "velocity_24h"),
+    "zscore": (r"z=([+-][0-9.]+) ", "amt_zscore"),
+    "tenure": (r"Card tenure: ([0-9]+) day", "card_tenure_days"),
 }
-CLAIM_TOLERANCE = {"amount": 0.005}
+# Half a unit of the last place that is printed.
+CLAIM_TOLERANCE = {"amount": 0.005, "zscore": 0.05, "tenure": 0.5}
 
 
 def claims_from_text(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -13,8 +13,9 @@ statistics of pair cosines (median, p5, p95, Spearman) need the pairs
 themselves and are not produced.
 
 Partial moments are computed per partition with numpy (``mapInPandas``, Arrow
-batches, one BLAS product per batch) and summed by a tiny aggregation; only
-d x d numbers reach the driver, where eigenvalues are taken.
+batches, one BLAS product per batch) and travel as packed blocks of matrix rows,
+which are added where they meet; a d x d matrix reaches the driver only where
+its eigenvalues are taken.
 """
 
 from __future__ import annotations
@@ -27,62 +28,89 @@ from pyspark.sql import functions as F
 
 from txnlens.functions import vectors as V
 
-_MOMENT_SCHEMA = "name string, i int, j int, v double"
-
-
-def moment_sums(df: DataFrame, cols: list[str], cross: list[tuple[str, str]] = ()) -> dict:
-    """Sums over rows: ``n``, ``S[c]`` (d), ``G[c]`` = sum c c' (d x d),
-    ``C[a,b]`` = sum a b', ``sq[c]`` = sum |c|^2, ``q4[c]`` = sum |c|^4 and
-    ``ab[a,b]`` = sum |a|^2 |b|^2."""
+_BLOCK_SCHEMA = "name string, block int, cells binary"
+#: Matrix rows that travel as one packed cell.
+BLOCK_ROWS = 256
+
+
+def _add_blocks(it, blocks_of):
+    """Running sums of packed blocks: a task holds one array per block, whatever
+    the number of rows or partitions."""
+    import pandas as pd
+    acc: dict = {}
+    for pdf in it:
+        for key, arr in blocks_of(pdf):
+            if key in acc:
+                acc[key] += arr.reshape(-1)
+            else:
+                acc[key] = arr.reshape(-1).copy()
+    if acc:
+        yield pd.DataFrame({"name": [k[0] for k in acc], "block": [k[1] for k in acc],
+                            "cells": [a.tobytes() for a in acc.values()]})
+
+
+def moment_sums(df: DataFrame, cols: list[str], cross: list[tuple[str, str]] = (),
+                matrices: bool = True) -> dict:
+    """Sums over rows: ``n``, ``S[c]`` (d), ``sq[c]`` = sum |c|^2, ``q4[c]`` =
+    sum |c|^4, ``ab[a,b]`` = sum |a|^2 |b|^2 and, of ``G[c]`` = sum c c' and
+    ``C[a,b]`` = sum a b', the squared Frobenius norms ``G2[c]``, ``C2[a,b]``;
+    with ``matrices`` the d x d matrices too.
+
+    A task emits each matrix as packed blocks of rows, the blocks are added where
+    they meet, and norms are taken there; only matrices that are asked for reach
+    the driver."""
     cross = list(cross)
 
-    def part(it):
-        import pandas as pd
-        acc: dict = {}
-
-        def add(key, arr):
-            acc[key] = acc.get(key, 0) + arr
-
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            mats = {c: np.stack(pdf[c].to_numpy()).astype(np.float64) for c in cols}
-            add(("n",), np.array([[float(len(pdf))]]))
-            for c, m in mats.items():
-                sq = np.einsum("ij,ij->i", m, m)
-                add(("S", c), m.sum(axis=0)[None, :])
-                add(("G", c), m.T @ m)
-                add(("sq", c), np.array([[sq.sum()]]))
-                add(("q4", c), np.array([[(sq * sq).sum()]]))
-            for a, b in cross:
-                add(("C", a, b), mats[a].T @ mats[b])
-                add(("ab", a, b), np.array([[(np.einsum("ij,ij->i", mats[a], mats[a])
-                                              * np.einsum("ij,ij->i", mats[b], mats[b])).sum()]]))
-        rows = []
-        for key, m in acc.items():
-            name = "|".join(key)
-            ii, jj = np.nonzero(np.ones_like(m, dtype=bool))
-            rows.append(pd.DataFrame({"name": name, "i": ii.astype("int32"),
-                                      "j": jj.astype("int32"), "v": m[ii, jj]}))
-        if rows:
-            yield pd.concat(rows, ignore_index=True)
+    def products(pdf):
+        if len(pdf) == 0:
+            return
+        mats = {c: np.stack(pdf[c].to_numpy()).astype(np.float64) for c in cols}
+        sq = {c: np.einsum("ij,ij->i", m, m) for c, m in mats.items()}
+        yield ("n", 0), np.array([float(len(pdf))])
+        for c, m in mats.items():
+            yield (f"S|{c}", 0), m.sum(axis=0)
+            yield (f"sq|{c}", 0), np.array([sq[c].sum()])
+            yield (f"q4|{c}", 0), np.array([(sq[c] * sq[c]).sum()])
+        for a, b in cross:
+            yield (f"ab|{a}|{b}", 0), np.array([(sq[a] * sq[b]).sum()])
+        for name, left, right in [(f"G|{c}", c, c) for c in cols] + [(f"C|{a}|{b}", a, b) for a, b in cross]:
+            for k in range(0, mats[left].shape[1], BLOCK_ROWS):
+                yield (name, k // BLOCK_ROWS), mats[left][:, k:k + BLOCK_ROWS].T @ mats[right]
+
+    def unpacked(pdf):
+        for name, block, cells in zip(pdf["name"], pdf["block"], pdf["cells"]):
+            x = np.frombuffer(cells, np.float64)
+            yield (name, int(block)), x
+
+    def partial(it):
+        yield from _add_blocks(it, products)
+
+    def total(it):
+        for pdf in _add_blocks(it, unpacked):
+            for name, out in (("G|", "G2|"), ("C|", "C2|")):
+                own = pdf[pdf["name"].str.startswith(name)]
+                if len(own):
+                    square = [(np.frombuffer(c, np.float64) ** 2).sum() for c in own["cells"]]
+                    yield own.assign(name=out + own["name"].str[2:], cells=[np.array([x]).tobytes() for x in square])
+            yield pdf if matrices else pdf[~pdf["name"].str.match("[GC][|]")]
 
     src = df.select(*[V.as_double(c).alias(c) for c in cols])
-    parts = src.mapInPandas(part, _MOMENT_SCHEMA)
-    tot = parts.groupBy("name", "i", "j").agg(F.sum("v").alias("v")).collect()  # d x d bounded
-    shapes: dict = {}
-    for r in tot:
-        shapes[r["name"]] = (max(shapes.get(r["name"], (0, 0))[0], r["i"] + 1),
-                             max(shapes.get(r["name"], (0, 0))[1], r["j"] + 1))
-    out = {k: np.zeros(s) for k, s in shapes.items()}
-    for r in tot:
-        out[r["name"]][r["i"], r["j"]] = r["v"]
-    res: dict = {"n": int(round(out.pop("n", np.zeros((1, 1)))[0, 0]))}
-    for k, m in out.items():
-        parts_ = k.split("|")
-        kind, key = parts_[0], tuple(parts_[1:]) if len(parts_) > 2 else parts_[1]
-        val = m[0] if kind == "S" else (m[0, 0] if kind in ("sq", "q4", "ab") else m)
-        res.setdefault(kind, {})[key] = val
+    got = (src.mapInPandas(partial, _BLOCK_SCHEMA).repartition("name", "block")
+           .mapInPandas(total, _BLOCK_SCHEMA).collect())
+    parts: dict = {}
+    for r in got:
+        parts.setdefault(r["name"], {})[r["block"]] = np.frombuffer(r["cells"], np.float64)
+    res: dict = {"n": int(round(float(parts.pop("n", {0: [0.0]})[0][0])))}
+    width = {c: len(parts[f"S|{c}"][0]) for c in cols if f"S|{c}" in parts}
+    for name, blocks in parts.items():
+        kind, *key = name.split("|")
+        if kind == "S":
+            val = blocks[0]
+        elif kind in ("G", "C"):
+            val = np.concatenate([blocks[k] for k in sorted(blocks)]).reshape(-1, width[key[-1]])
+        else:
+            val = float(sum(b[0] for b in blocks.values()))
+        res.setdefault(kind, {})[tuple(key) if len(key) > 1 else key[0]] = val
     return res
 
 
@@ -91,7 +119,7 @@ def pair_cosine_stats(m: dict, u: str) -> dict:
     n_pairs = n * (n - 1) // 2
     s = m["S"][u]
     s1 = (float(s @ s) - m["sq"][u]) / 2.0
-    s2 = (float(np.sum(m["G"][u] ** 2)) - m["q4"][u]) / 2.0
+    s2 = (m["G2"][u] - m["q4"][u]) / 2.0
     mean = s1 / n_pairs if n_pairs else None
     var = s2 / n_pairs - mean * mean if n_pairs else None
     return {"n_pairs": n_pairs, "mean": mean,
@@ -104,7 +132,7 @@ def pair_cosine_pearson(m: dict, u: str, v: str) -> float | None:
     n_pairs = a["n_pairs"]
     if not n_pairs or not a["std"] or not b["std"]:
         return None
-    sab = (float(np.sum(m["C"][(u, v)] ** 2)) - m["ab"][(u, v)]) / 2.0
+    sab = (m["C2"][(u, v)] - m["ab"][(u, v)]) / 2.0
     cov = sab / n_pairs - a["mean"] * b["mean"]
     return cov / (a["std"] * b["std"])
 
@@ -117,31 +145,34 @@ def unit_columns(df: DataFrame, cols: dict[str, str]) -> DataFrame:
 def pairwise_report(df: DataFrame, vin: str, vout: str) -> dict:
     """Pair-cosine mean / std of both sets and their Pearson correlation."""
     u = unit_columns(df, {"u": vin, "w": vout})
-    m = moment_sums(u, ["u", "w"], cross=[("u", "w")])
+    m = moment_sums(u, ["u", "w"], cross=[("u", "w")], matrices=False)
     a, b = pair_cosine_stats(m, "u"), pair_cosine_stats(m, "w")
     return {"n_pairs": a["n_pairs"], "in_mean": a["mean"], "in_std": a["std"],
             "out_mean": b["mean"], "out_std": b["std"],
             "pearson_r": pair_cosine_pearson(m, "u", "w")}
 
 
+def energy_count(shares: np.ndarray, part: float) -> int | None:
+    """How many leading shares it takes to reach ``part``; None if all do not."""
+    reached = np.flatnonzero(np.add.accumulate(shares) >= part)
+    return None if reached.size == 0 else int(reached[0]) + 1
+
+
 def spectrum_report(eig: np.ndarray, shape: tuple[int, int]) -> dict:
     """Uncentered singular spectrum from the eigenvalues of X'X: components
     for 90 / 99 % of energy, entropy effective rank, top-20 and last-5
     singular values."""
-    var = np.clip(np.sort(eig)[::-1], 0.0, None)[: min(shape)]
-    s = np.sqrt(var)
-    total = var.sum()
-    cum = np.cumsum(var) / total
-    p = var / total
-    p = p[p > 0]
-    return {
-        "n_components_90": int(np.searchsorted(cum, 0.90) + 1),
-        "n_components_99": int(np.searchsorted(cum, 0.99) + 1),
-        "effective_rank": float(np.exp(-np.sum(p * np.log(p)))),
-        "singular_values_top20": [float(x) for x in s[:20]],
-        "singular_values_tail5": [float(x) for x in s[-5:]],
-        "rows": int(shape[0]), "dims": int(shape[1]), "nominal_max_rank": int(min(shape)),
-    }
+    rank = min(shape)
+    energy = np.maximum(eig, 0.0)
+    energy = energy[np.argsort(-energy, kind="stable")][:rank]
+    shares = energy / energy.sum()
+    live = shares[shares > 0]
+    entropy = float(-(live * np.log(live)).sum())
+    singular = np.sqrt(energy).tolist()
+    report = {f"n_components_{pct}": energy_count(shares, pct / 100) or rank for pct in (90, 99)}
+    report.update(effective_rank=math.exp(entropy), singular_values_top20=singular[:20], singular_values_tail5=singular[-5:],
+                  rows=int(shape[0]), dims=int(shape[1]), nominal_max_rank=int(rank))
+    return report
 
 
 def effective_rank(df: DataFrame, vec: str) -> dict:
@@ -163,17 +194,11 @@ def pca_spectrum(df: DataFrame, vec: str, k: int = 50, normalize: bool = True) -
     d = len(x.first()["features"])
     kk = max(1, min(k, n - 1, d))
     model = PCA(k=kk, inputCol="features", outputCol="pc").fit(x)
-    ratios = [float(r) for r in model.explainedVariance.toArray()]
-    cum = np.cumsum(ratios)
-
-    def first(t):
-        idx = np.where(cum >= t)[0]
-        return int(idx[0] + 1) if len(idx) else kk
-
-    c99 = first(0.99)
-    return {"n_components": kk, "components_90pct": first(0.90), "components_95pct": first(0.95),
-            "components_99pct": c99, "low_rank_note": c99 <= 5, "n_dims": d, "n_samples": n,
-            "explained_variance_ratio": ratios}
+    ratios = model.explainedVariance.toArray()
+    need = {pct: energy_count(ratios, pct / 100) or kk for pct in (90, 95, 99)}
+    report = {f"components_{pct}pct": k for pct, k in need.items()}
+    return {**report, "n_components": kk, "low_rank_note": need[99] <= 5, "n_dims": d, "n_samples": n,
+            "explained_variance_ratio": ratios.tolist()}
 
 
 def pca_components(df: DataFrame, vec: str, k: int) -> np.ndarray:

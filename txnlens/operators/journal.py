@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from txnlens.functions.text import strip_ws
 
 
-def latest_by_key(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """Last record per key by ``seq``: ``max_by`` partial aggregation, so no
-    sort and no group is gathered whole (each task keeps one record per key)."""
+def latest_by_key(df: DataFrame, key: str, seq: str, then: list[str] = ()) -> DataFrame:
+    """Last record per key by ``seq``, equal ones by the ``then`` columns: a
+    partial aggregation, each task keeps one record per key before the exchange.
+    (The record is a struct with texts, so Spark sorts the rows of a task by key
+    to aggregate them.) A record without ``seq`` comes before all with one."""
     others = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_r"))
+    lowest = F.struct(F.col(seq).isNotNull().alias("has"), F.col(seq).alias("seq"), *[F.col(c) for c in then])
+    return (df.groupBy(key).agg(F.max_by(F.struct(*others), lowest).alias("_r"))
             .select(key, "_r.*"))
 
 

@@ -38,27 +38,38 @@ def vector_mean(df: DataFrame, vec: str, by: list[str] = (), dim: int | None = N
         m = e.groupBy(*by, "_i").agg(F.avg("_x").alias("_m"))
         arr = m.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_s"))
         n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        j = arr.join(n, list(by)) if by else merge_rows(arr, n)
+        j = null_safe_join(arr, n, list(by)) if by else merge_rows(arr, n)
         return j.select(*by, "n", F.transform("_s", lambda x: x["_m"]).alias(out))
     g = df.groupBy(*by).agg(*[F.avg(F.element_at(v, i + 1)).alias(f"_m{i}") for i in range(d)],
                             F.count(F.lit(1)).alias("n"))
     return g.select(*by, "n", F.array(*[F.col(f"_m{i}") for i in range(d)]).alias(out))
 
 
+def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key, as grouping has it."""
+    named = b.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in b.columns])
+    on = None
+    for c in keys:
+        cond = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        on = cond if on is None else on & cond
+    return a.join(named, on).drop(*[f"_k_{c}" for c in keys])
+
+
 def mse_nrm(df: DataFrame, pred: str, gold: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(V.row_mse_nrm(pred, gold)).alias("mse_nrm"),
                                F.count(F.lit(1)).alias("n"))
 
 
 def fve(df: DataFrame, pred: str, gold: str, by: list[str] = (), dim: int | None = None,
-        min_rows: int = 0, rollup: bool = False) -> DataFrame:
+        min_rows: int = 0, rollup: bool = False, wide_dim: int | None = None) -> DataFrame:
     """Fraction of variance explained on metric-normalised vectors, per group.
 
     ``den = mean_rows |g|^2 / d - |mu|^2 / d`` with ``mu`` the (not
     re-normalised) mean of the normalised gold vectors, so ONE aggregation
     pass gives n, MSE and FVE (the d means are partial sums in the same
     aggregate). ``rollup`` adds the overall line (group keys null) from the
-    same pass. A zero denominator, or a group with ``n <= min_rows``, gives
+    same pass. Beyond ``wide_dim`` dimensions the means are taken per position
+    instead; the rows are the same. A zero denominator, or a group with ``n <= min_rows``, gives
     null."""
     d = dim or vector_dim(df, gold)
     gn = V.normalize_to(gold)
@@ -66,16 +77,23 @@ def fve(df: DataFrame, pred: str, gold: str, by: list[str] = (), dim: int | None
     base = [F.count(F.lit(1)).alias("n"), F.avg("_mse").alias("mse_nrm"),
             F.avg(V.vec_sum(F.transform("_g", lambda t: t * t))).alias("_g2")]
     grouped = x.rollup(*by) if rollup else x.groupBy(*by)
-    if d <= WIDE_AGG_MAX_DIM:
+    if d <= (WIDE_AGG_MAX_DIM if wide_dim is None else wide_dim):
         g = grouped.agg(*base, *[F.avg(F.element_at("_g", i + 1)).alias(f"_mu{i}") for i in range(d)])
         mu2 = sum((F.col(f"_mu{i}") * F.col(f"_mu{i}") for i in range(d)), F.lit(0.0))
     else:
-        if rollup:
-            raise ValueError("rollup is only supported up to WIDE_AGG_MAX_DIM dimensions")
-        g = grouped.agg(*base)
-        mu = vector_mean(x, "_g", by=list(by), dim=d, out="_mu").drop("n")
-        g = g.join(mu, list(by)) if by else merge_rows(g, mu)
-        mu2 = V.vec_sum(F.transform("_mu", lambda t: t * t))
+        # per position, with the same grouping sets
+        sets = [list(by)[:k] for k in range(len(by), -1, -1)] if rollup else [list(by)]
+        e = x.select(*by, F.posexplode("_g").alias("_i", "_x"))
+        squares = []
+        for k, keys in enumerate(sets):
+            m = e.groupBy(*keys, "_i").agg(F.avg("_x").alias("_m")).groupBy(*keys).agg(F.sum(F.col("_m") * F.col("_m")).alias("_mu2"))
+            own = x.groupBy(*keys).agg(*base)
+            one = null_safe_join(own, m, keys) if keys else merge_rows(own, m)
+            squares.append(one.select(*[(F.col(c) if c in keys else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in by], "n", "mse_nrm", "_g2", "_mu2"))
+        g = squares[0]
+        for one in squares[1:]:
+            g = g.unionByName(one)
+        mu2 = F.col("_mu2")
     den = (F.col("_g2") - mu2) / F.lit(float(d))
     ok = (den != 0) & (F.col("n") > min_rows)
     return g.select(*by, "n", "mse_nrm",
@@ -91,7 +109,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
     torch default). ``lower``: name -> q taking the value at
     ``floor(q * (n - 1))`` (torch ``median`` is the lower middle).
     ``moments`` adds ``n``, ``mean`` and population ``std`` computed from the
-    same ranked rows (no second pass over the input)."""
+    same ranked rows (no second pass over the input). A null group or key is
+    kept; rows without a value are left out."""
     lower = lower or {}
     # Only the values at given positions are needed and tied values are equal,
     # so the order need not be total: rank the order columns themselves (no
@@ -101,11 +120,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
     mom = [F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
            F.stddev_pop(value).alias("std")] if moments else []
     if by:
-        r = rank_table(base, order, rank_col="_g")
+        r = rank_table(base, order, rank_col="_g", nullable=[*by, *([key] if key else [])])
         start = r.groupBy(*by).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"), *mom)
-        r = r.join(start, on=list(by), how="inner")
+        r = null_safe_join(r, start, list(by))
     else:
-        r = rank_table(base, order, rank_col="_g", total_col="_n").withColumn("_s", F.lit(0))
+        r = rank_table(base, order, rank_col="_g", total_col="_n", nullable=[key] if key else []).withColumn("_s", F.lit(0))
         extra = r.agg(*mom) if moments else None
     r = r.withColumn("_i", F.col("_g") - F.col("_s"))
     pos = {}
@@ -179,7 +198,9 @@ def auc_ap(df: DataFrame, score: str, label: str, weight: str | None = None) ->
 
     AUC = sum_s pos(s) (neg below s + neg(s) / 2) / (P N)
     AP  = sum_s pos(s) TP(s) / (TP(s) + FP(s)) / P, TP / FP at score >= s
-    (not the trapezoid MLlib reports). AP ignores weights."""
+    (not the trapezoid MLlib reports). AP ignores weights. A null score is below
+    every other: such a row is counted and found last."""
+    df = df.withColumn(score, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
     h = prefix_sums(_score_hist(df, score, label, weight), ["s"], ["pos", "neg"], totals=True)
     below_neg = F.col("cum_neg") - F.col("neg")
     tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")

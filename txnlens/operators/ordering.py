@@ -40,12 +40,11 @@ def shared_exchange(df: DataFrame) -> DataFrame:
 
 
 def partitions_for(spark, rows: int | None) -> int:
-    """Range partitions for a narrow table: the configured shuffle partitions,
-    or fewer when the row count is known to be small."""
-    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Range partitions for a narrow table: by its row count where that is known,
+    else the configured shuffle partitions."""
     if rows is None:
-        return conf
-    return max(1, min(conf, -(-rows // ROWS_PER_RANGE_PARTITION)))
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // ROWS_PER_RANGE_PARTITION))
 
 
 def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
@@ -63,8 +62,10 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
 
 
 def rank_table(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
-               total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """``(order_cols..., rank_col[, total_col])`` for every row of ``df``."""
+               total_col: str | None = None, num_partitions: int | None = None,
+               nullable: list[str] = ()) -> DataFrame:
+    """``(order_cols..., rank_col[, total_col])`` for every row of ``df`` without
+    nulls in the order columns; a null in a ``nullable`` one sorts first."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Both consumers (per-partition counts, per-row offsets) must read ONE
@@ -74,7 +75,8 @@ def rank_table(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
     # into one of them only), so the exchange is reused; a test asserts it.
     keys = df.select(*order_cols)
     for c in order_cols:
-        keys = keys.where(F.col(c).isNotNull())
+        if c not in nullable:
+            keys = keys.where(F.col(c).isNotNull())
     ranked = (keys
               .repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
@@ -153,17 +155,30 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     come from the same bounds)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(*order_cols, *value_cols)
+    keys = df.select(*order_cols, *[F.col(c).cast("double").alias(c) for c in value_cols])
     for c in order_cols:
         keys = keys.where(F.col(c).isNotNull())
-    r = shared_exchange(keys.repartitionByRange(n, *order_cols)
-                        .withColumn("_rp", F.spark_partition_id()))
-    w = Window.partitionBy("_rp").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = r.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in value_cols])
-    part = r.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    sorted_keys = keys.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn("_rp", F.spark_partition_id())
+
+    def running(batches):
+        import numpy as np
+        import pyarrow as pa
+        carry = dict.fromkeys(value_cols, 0.0)
+        for b in batches:
+            sums = []
+            for c in value_cols:
+                own = np.cumsum(np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False))) + carry[c]
+                carry[c] = float(own[-1]) if len(own) else carry[c]
+                sums.append(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*b.columns, *sums], [*b.schema.names, *[f"_l_{c}" for c in value_cols]])
+
+    # the sums run through each sorted range as it lies: no exchange after the range one
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_keys.schema] + [f"`_l_{c}` double" for c in value_cols]
+    local = shared_exchange(sorted_keys.mapInArrow(running, ", ".join(kinds)))
+    part = local.groupBy("_rp").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     # one row per partition: global windows here are bounded
     prev = Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0)).alias(f"_o_{c}") for c in value_cols]
+    cols = [F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0.0)).alias(f"_o_{c}") for c in value_cols]
     if totals:
         cols += [F.sum(f"_t_{c}").over(Window.partitionBy()).alias(f"tot_{c}") for c in value_cols]
     offsets = part.select("_rp", *cols)

@@ -108,12 +108,15 @@ def apply_preprocessor(df: DataFrame, cat_vocab: DataFrame, num_stats: DataFrame
         if r["in_top"]:
             tops.setdefault(r["col"], []).append(r["value"])
     out = df
+    spark = df.sparkSession
     for c, ids in by_col.items():
-        v = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-        if capped[c]:
-            v = F.when(v.isin(tops.get(c, [])), v).otherwise(F.lit(RARE))
-        m = F.create_map(*[F.lit(x) for kv in sorted(ids.items()) for x in kv])
-        out = out.withColumn(c + cat_suffix, F.coalesce(F.element_at(m, v), F.lit(ids[UNKNOWN])))
+        # the value -> id table has at most cap + 3 rows: a hash lookup by broadcast
+        known = set(tops.get(c, [])) if capped[c] else set(ids)
+        table = spark.createDataFrame([(v, ids[v]) for v in sorted(known)], "_value string, _id int")
+        value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+        names = out.columns
+        out = (out.withColumn("_value", value).join(F.broadcast(table), "_value", "left")
+               .select(*names, F.coalesce("_id", F.lit(ids[RARE if capped[c] else UNKNOWN])).alias(c + cat_suffix)))
     for r in stats:
         c = r["col"]
         x = clip_named(c)

@@ -464,7 +464,7 @@ r AS (SELECT row_idx, row_number() OVER (ORDER BY {md5_order(11, 'row_idx')}) -
 SELECT a.row_idx, b.row_idx AS partner, a.n AS n_rows FROM r a JOIN r b ON b.rk = (a.rk + 1) % a.n"""
 
 ORACLES["rollout_expand"] = """
-SELECT conv_id, turn, unnest(range(0, 4)) AS rollout_id FROM conversations WHERE role = 'user'"""
+SELECT conv_id, turn, unnest(range(0, 4)) AS rollout_id FROM conversations"""
 
 # --- preprocessing -------------------------------------------------------------
 
@@ -575,7 +575,7 @@ SELECT row_idx FROM smp WHERE row_idx NOT IN (SELECT row_idx FROM done)"""
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 EXPL = f"""ex0 AS (
-  SELECT conv_id, turn, {STRIP.format(x='text')} AS s FROM conversations WHERE role = 'assistant'),
+  SELECT conv_id, turn, {STRIP.format(x='text')} AS s FROM conversations),
 ex1 AS (
   SELECT conv_id, turn,
          CASE WHEN starts_with(s, '<explanation>') THEN s
@@ -773,21 +773,25 @@ SELECT round((SELECT avg(nrm) FROM nr), 6) AS norm_mean, round((SELECT stddev_sa
 # --- evaluations specified by the plan ------------------------------------------
 
 PRED = f"""{ACT},
-truth AS (SELECT row_idx, label, {score_bin_sql('fraud_score')} AS score_bin FROM act),
+truth AS (SELECT row_idx, label, {score_bin_sql('fraud_score')} AS score_bin, class_id FROM act),
+cmaj AS (SELECT class_id AS common FROM (SELECT class_id, count(*) AS c FROM act GROUP BY class_id) ORDER BY c DESC, class_id LIMIT 1),
 tr AS (SELECT * FROM act),
 maj AS (SELECT label AS majority_label FROM (SELECT label, count(*) AS c FROM tr GROUP BY label)
         ORDER BY c DESC, label LIMIT 1),
 mean AS (SELECT avg(fraud_score) AS ms FROM tr),
 sh AS (SELECT row_idx, ((row_idx * 37 + 5) % 101) / 100.0 AS s FROM act),
 pred AS (
-  SELECT 'shifted' AS system, row_idx, {score_bin_sql('s')} AS pred_bin, CAST(s >= 0.5 AS INTEGER) AS pred_label FROM sh
+  SELECT 'shifted' AS system, row_idx, {score_bin_sql('s')} AS pred_bin, CAST(s >= 0.5 AS INTEGER) AS pred_label, (row_idx * 7 + 3) % 10 AS pred_class FROM sh
   UNION ALL
-  SELECT 'majority', row_idx, {score_bin_sql('ms')}, majority_label FROM act, maj, mean),
+  SELECT 'majority', row_idx, {score_bin_sql('ms')}, majority_label, common FROM act, maj, mean, cmaj),
 acc AS (
   SELECT system, 'score_bucket' AS task, count(*) AS n, avg(CAST(pred_bin = score_bin AS DOUBLE)) AS accuracy
   FROM pred JOIN truth USING (row_idx) GROUP BY system
   UNION ALL
   SELECT system, 'label', count(*), avg(CAST(pred_label = label AS DOUBLE))
+  FROM pred JOIN truth USING (row_idx) GROUP BY system
+  UNION ALL
+  SELECT system, 'masked_feature', count(*), avg(CAST(pred_class = class_id AS DOUBLE))
   FROM pred JOIN truth USING (row_idx) GROUP BY system)"""
 
 ORACLES["accuracy_by_system"] = f"""
@@ -797,7 +801,8 @@ SELECT system, task, n, round(accuracy, 6) AS accuracy FROM acc"""
 ORACLES["comparison_table"] = f"""
 WITH {PRED}
 SELECT system, round(max(accuracy) FILTER (WHERE task = 'score_bucket'), 6) AS score_bucket,
-       round(max(accuracy) FILTER (WHERE task = 'label'), 6) AS label
+       round(max(accuracy) FILTER (WHERE task = 'label'), 6) AS label,
+       round(max(accuracy) FILTER (WHERE task = 'masked_feature'), 6) AS masked_feature
 FROM acc GROUP BY system"""
 
 ORACLES["model_error_slice"] = f"""
@@ -809,7 +814,9 @@ GROUP BY ALL"""
 _CLAIMS = [("amount", r"Amount: \$([0-9.]+)", "amt", 0.005),
            ("hour", r"Time: ([0-9]{2}):xx", "hour_of_day", 0.0),
            ("velocity_1h", r"Card velocity: ([0-9]+) txn in past 1h", "velocity_1h", 0.0),
-           ("velocity_24h", r"Card velocity: ([0-9]+) txn in past 24h", "velocity_24h", 0.0)]
+           ("velocity_24h", r"Card velocity: ([0-9]+) txn in past 24h", "velocity_24h", 0.0),
+           ("zscore", r"z=([+-][0-9.]+) ", "amt_zscore", 0.05),
+           ("tenure", r"Card tenure: ([0-9]+) day", "card_tenure_days", 0.5)]
 
 ORACLES["claim_precision"] = f"""
 WITH {TXN}, {causal_cte('txn')},
@@ -876,8 +883,11 @@ dims AS (SELECT label, unnest(range(1, len(activation_vector) + 1)) AS i,
 m AS (SELECT label, i, avg(v) AS mv FROM dims GROUP BY label, i),
 delta AS (SELECT list(m1.mv - m0.mv ORDER BY m1.i) AS dl FROM m m1 JOIN m m0 ON m1.i = m0.i
           WHERE m1.label = 1 AND m0.label = 0),
+sdims AS (SELECT unnest(range(1, len(activation_vector) + 1)) AS i, unnest(CAST(activation_vector AS DOUBLE[])) AS v,
+                 fraud_score AS s FROM act),
 dirs AS (SELECT 'class_mean' AS direction, dl AS u FROM delta
-         UNION ALL SELECT 'random', CAST({rlist} AS DOUBLE[])),
+         UNION ALL SELECT 'random', CAST({rlist} AS DOUBLE[])
+         UNION ALL SELECT 'probe', (SELECT list(c ORDER BY i) FROM (SELECT i, covar_pop(v, s) AS c FROM sdims GROUP BY i))),
 dn AS (SELECT direction, list_transform(u, lambda x: x / ({_norm('u')} + 1e-12)) AS un FROM dirs),
 sd AS (SELECT list_transform(dl, lambda x: x / ({_norm('dl')} + 1e-12)) AS s FROM delta),
 al AS (SELECT * FROM (VALUES {alphas}) t(alpha)),
@@ -971,6 +981,41 @@ SELECT * FROM neg UNION ALL SELECT * FROM pos_plain UNION ALL SELECT * FROM pos_
 
 ORACLES["class_fraction_resample"] = class_fraction_sql(200, 0.3, 5)
 
+_HOLD = f"hold AS (SELECT * FROM act0 ORDER BY {md5_order(5, 'row_idx')} LIMIT 100)"
+_POOL = f"""{ACT.replace('act AS (', 'act0 AS (', 1)}, {_HOLD},
+act AS (SELECT * FROM act0 WHERE row_idx NOT IN (SELECT row_idx FROM hold))"""
+ORACLES["load_pairs"] = f"""
+SELECT 'train' AS part, row_idx, draw, label FROM ({class_fraction_sql(200, 0.3, 5).replace(ACT, _POOL)})
+UNION ALL (WITH {ACT.replace('act AS (', 'act0 AS (', 1)}, {_HOLD}
+  SELECT 'holdout', row_idx, CAST(0 AS BIGINT), label FROM hold)"""
+
+ORACLES["stream_causal_features"] = ORACLES["causal_features"]
+
+ORACLES["stream_journal"] = """
+WITH j AS (SELECT doc_id AS row_idx, text AS summary, CAST(0 AS BIGINT) AS seq FROM documents
+           UNION ALL SELECT doc_id, text || ' (rerun)', 1 FROM documents WHERE lang = 'de')
+SELECT row_idx, seq, md5(summary) AS summary_md5 FROM j
+QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY seq DESC) = 1"""
+
+ORACLES["stream_step_metrics"] = f"""
+SELECT turn AS step, round(avg(-length(text) / 1000.0::DOUBLE), 6) AS mean_reward,
+       round(avg((conv_id % 7) / 8.0::DOUBLE), 6) AS mean_mse,
+       round(avg(length({STRIP.format(x='text')})), 6) AS mean_explanation_chars, count(*) AS n
+FROM conversations GROUP BY turn"""
+
+ORACLES["spectrum_energy"] = f"""
+WITH {ACT}, {RECON},
+v AS (SELECT row_idx, 'gold' AS vectors, g AS x FROM recon UNION ALL SELECT row_idx, 'reconstructed', p FROM recon),
+e AS (SELECT vectors, row_idx, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS a FROM v),
+g AS (SELECT p.vectors, p.i, q.i AS j, sum(p.a * q.a) AS s FROM e p JOIN e q USING (vectors, row_idx) GROUP BY ALL)
+SELECT vectors, (SELECT count(*) FROM recon) AS n, CAST(max(i) AS BIGINT) AS dims,
+       round(sum(s) FILTER (WHERE i = j), 4) AS energy, round(sum(s * s), 2) AS energy_squared
+FROM g GROUP BY vectors"""
+
+ORACLES["render_by_source"] = f"""
+SELECT 'sparkov' AS dataset_source, txn_id, rendered FROM ({ORACLES['render_card_present']})
+UNION ALL SELECT 'ieee-fraud-detection', txn_id, rendered FROM ({ORACLES['render_ecom']})"""
+
 
 HOT = """hot AS (SELECT * REPLACE (CASE WHEN txn_id % 3 = 0 THEN -1 ELSE card_id END AS card_id) FROM txn)"""
 
@@ -981,6 +1026,25 @@ SELECT txn_id, card_id, ts_sec, velocity_1h, velocity_24h,
 FROM feat"""
 
 
+_STEADY = """steady AS (SELECT * REPLACE (CASE WHEN card_id = -1 THEN 10002.5
+  + CASE WHEN txn_id % 7 = 0 THEN 0.0009765625 ELSE 0.0 END + CASE WHEN txn_id % 97 = 0 THEN 10.0 ELSE 0.0 END
+  ELSE 25.0 END::DOUBLE AS amt) FROM hot)"""
+
+ORACLES["causal_features_steady_card"] = f"""
+WITH {TXN}, {HOT}, {_STEADY}, {causal_cte('steady')}
+SELECT strategy, txn_id, velocity_1h, velocity_24h, round(amt_zscore, 2) AS amt_zscore
+FROM feat CROSS JOIN (VALUES ('window'), ('skew')) s(strategy)"""
+
+ORACLES["fve_null_slice"] = f"""
+WITH {ACT}, {RECON}, {NRM}, {ROWMSE},
+nrm2 AS (SELECT * REPLACE (CASE WHEN label = 1 THEN '1' ELSE 'none' END AS label) FROM nrm
+         UNION ALL SELECT * REPLACE ('all' AS label) FROM nrm),
+{fve_sql('label').replace('FROM nrm', 'FROM nrm2')}
+SELECT path, CASE WHEN slice = '1' THEN slice END AS slice, n, round(num, 6) AS mse_nrm,
+       round(CASE WHEN den <> 0 THEN 1 - num / den END, 6) AS fve_nrm
+FROM agg CROSS JOIN (VALUES ('narrow'), ('wide')) p(path)"""
+
+
 def _prompt_sql() -> str:
     from txnlens.functions.render import USER_TEMPLATE
     tmpl = USER_TEMPLATE.replace("'", "''")

@@ -27,7 +27,7 @@ from txnlens.operators import sampling as SM
 from txnlens.operators.balance import class_balance
 from txnlens.operators.causal import causal_features
 from txnlens.operators.ordering import time_split
-from txnlens.session import cut_lineage
+from txnlens.session import cut_lineage, shared_path
 from txnlens.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,24 @@ def q_causal_features_hot_card(spark, sf_dir):
                            num_partitions=8).select(*_feature_cols())
 
 
+def steady_card_txn(spark, sf_dir) -> DataFrame:
+    """The hot card with a steady amount, steps of 2^-10 and rare jumps of 10: sums
+    are exact, so any loss in merging its fragments shows."""
+    x = F.lit(10002.5) + F.when(F.pmod(F.col("txn_id"), F.lit(7)) == 0, F.lit(2.0 ** -10)).otherwise(F.lit(0.0)) \
+        + F.when(F.pmod(F.col("txn_id"), F.lit(97)) == 0, F.lit(10.0)).otherwise(F.lit(0.0))
+    return hot_card_txn(spark, sf_dir).withColumn("amt", F.when(F.col("card_id") == -1, x).otherwise(F.lit(25.0)))
+
+
+@query("causal_features_steady_card")
+def q_causal_features_steady_card(spark, sf_dir):
+    """Constant and nearly constant histories through both strategies."""
+    t = steady_card_txn(spark, sf_dir)
+    both = [causal_features(t, strategy=s, num_partitions=8).select(
+        F.lit(s).alias("strategy"), "txn_id", "velocity_1h", "velocity_24h",
+        F.round("amt_zscore", 2).alias("amt_zscore")) for s in ("window", "skew")]
+    return both[0].unionByName(both[1])
+
+
 @query("time_split")
 def q_time_split(spark, sf_dir):
     return time_split(T.txn(spark, sf_dir)).select("txn_id", "ts_sec", "train_split")
@@ -177,33 +195,51 @@ def q_text_checks(spark, sf_dir):
 _CP_CATS = ["misc_net", "grocery_pos", "travel", "kids_pets", "gas_transport"]
 
 
-@query("render_card_present")
-def q_render_card_present(spark, sf_dir):
-    """Card-present rows rendered as English. A few merchants are blanked and
+def card_present_frame(spark, sf_dir) -> DataFrame:
+    """Card-present rows with their features. A few merchants are blanked and
     a few categories mapped onto the category table so every branch runs."""
     df = card_present_features(T.with_geo(causal_features(T.txn(spark, sf_dir))))
     k9 = F.pmod(F.col("txn_id"), F.lit(9))
     cat = F.col("category")
     for i, name in reversed(list(enumerate(_CP_CATS))):
         cat = F.when(k9 == i, F.lit(name)).otherwise(cat)
-    df = (df.withColumn("merchant", F.when(F.pmod(F.col("txn_id"), F.lit(7)) == 3, F.lit(None))
-                        .otherwise(F.col("merchant")))
+    return (df.withColumn("merchant", F.when(F.pmod(F.col("txn_id"), F.lit(7)) == 3, F.lit(None))
+                          .otherwise(F.col("merchant")))
           .withColumn("category", cat)
           .withColumn("fraud_score", F.pmod(F.col("txn_id") * 37, F.lit(101)) / F.lit(100.0))
           .select("txn_id", "merchant", "category", "amt", "hour_of_day", "day_of_week",
                   "velocity_1h", "velocity_24h", "amt_zscore", "card_tenure_days",
                   "geo_distance_km", "age_at_txn", "fraud_score"))
+
+
+@query("render_card_present")
+def q_render_card_present(spark, sf_dir):
+    """Card-present rows rendered as English."""
+    df = card_present_frame(spark, sf_dir)
     return df.select("txn_id", R.render(df, "sparkov").alias("rendered"))
 
 
+def ecom_frame(spark, sf_dir) -> DataFrame:
+    e = T.ecom(spark, sf_dir).withColumn("amt", F.col("TransactionAmt"))
+    return ecom_features(causal_features(e))
+
+
 @query("render_ecom")
 def q_render_ecom(spark, sf_dir):
     """E-commerce rows (orders joined to their customer) rendered as English."""
-    e = T.ecom(spark, sf_dir).withColumn("amt", F.col("TransactionAmt"))
-    df = ecom_features(causal_features(e))
+    df = ecom_frame(spark, sf_dir)
     return df.select("txn_id", R.render(df, "ieee-fraud-detection").alias("rendered"))
 
 
+@query("render_by_source")
+def q_render_by_source(spark, sf_dir):
+    """Both kinds of rows in one table, each rendered by its own source column."""
+    parts = [f(spark, sf_dir).withColumn("dataset_source", F.lit(s)) for s, f in
+             (("sparkov", card_present_frame), ("ieee-fraud-detection", ecom_frame))]
+    df = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return df.select("dataset_source", "txn_id", R.render(df, F.col("dataset_source")).alias("rendered"))
+
+
 # --- vectors and metrics ----------------------------------------------------------
 
 
@@ -233,6 +269,17 @@ def q_fve_by_label(spark, sf_dir):
                       r6("mse_nrm").alias("mse_nrm"), r6("fve_nrm").alias("fve_nrm"))
 
 
+@query("fve_null_slice")
+def q_fve_null_slice(spark, sf_dir):
+    """FVE with a null slice, per slice and overall, through the one-aggregate path
+    and the per-position path of wide vectors: the same rows from both."""
+    r = T.recon(spark, sf_dir).withColumn("slice", F.when(F.col("label") == 1, F.lit("1")))
+    both = [M.fve(r, "pred_vector", "activation_vector", by=["slice"], rollup=True, wide_dim=d).select(
+        F.lit(path).alias("path"), "slice", "n", r6("mse_nrm").alias("mse_nrm"), r6("fve_nrm").alias("fve_nrm"))
+        for path, d in (("narrow", M.WIDE_AGG_MAX_DIM), ("wide", 1))]
+    return both[0].unionByName(both[1])
+
+
 @query("cosine_summary")
 def q_cosine_summary(spark, sf_dir):
     s = M.cosine_summary(T.recon(spark, sf_dir), "pred_vector", "activation_vector", key="row_idx")
@@ -315,6 +362,14 @@ def q_holdout_carve(spark, sf_dir):
             .unionByName(pool.select("row_idx", F.lit("pool").alias("part"))))
 
 
+@query("load_pairs")
+def q_load_pairs(spark, sf_dir):
+    """The holdout, carved first, and the class-fraction draw from the rest."""
+    train, hold = SM.load_pairs(T.act(spark, sf_dir), "row_idx", 200, 0.3, seed=5, holdout=100, label="label")
+    return (train.select(F.lit("train").alias("part"), "row_idx", "draw", "label")
+            .unionByName(hold.select(F.lit("holdout").alias("part"), "row_idx", F.lit(0).cast("long").alias("draw"), "label")))
+
+
 @query("derangement")
 def q_derangement(spark, sf_dir):
     return SM.derange(T.act(spark, sf_dir), "row_idx", seed=11)
@@ -322,7 +377,7 @@ def q_derangement(spark, sf_dir):
 
 @query("rollout_expand")
 def q_rollout_expand(spark, sf_dir):
-    c = T.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = T.read_table(spark, sf_dir, "conversations")
     return SM.expand(c, 4).select("conv_id", "turn", "rollout_id")
 
 
@@ -424,9 +479,9 @@ def q_pending_work(spark, sf_dir):
 
 
 def explanations(spark, sf_dir) -> DataFrame:
-    """Assistant turns wrapped in explanation tags; every third one lost its
+    """All turns wrapped in explanation tags; every third one lost its
     close tag (a truncated generation)."""
-    c = T.read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    c = T.read_table(spark, sf_dir, "conversations")
     wrapped = X.wrap_explanation("text")
     raw = F.when(F.pmod(F.col("turn"), F.lit(3)) == 0,
                  F.regexp_replace(wrapped, "\n</explanation>$", "")).otherwise(wrapped)
@@ -567,6 +622,20 @@ def q_effective_rank(spark, sf_dir):
                                 ("reconstructed", G.effective_rank(r, "pred_vector"))])
 
 
+@query("spectrum_energy")
+def q_spectrum_energy(spark, sf_dir):
+    """Both vector sets' spectra through sums that SQL knows: squared singular values
+    add up to the squared norms, their squares to the squared inner products."""
+    r = T.recon(spark, sf_dir)
+    rows = []
+    for name, vec in (("gold", "activation_vector"), ("reconstructed", "pred_vector")):
+        m = G.moment_sums(r, [vec])
+        eig = np.linalg.eigvalsh(m["G"][vec])
+        rows.append((name, m["n"], len(eig), float(eig.sum()), float((eig ** 2).sum())))
+    return spark.createDataFrame(rows, "vectors string, n long, dims long, energy double, energy_squared double").select(
+        "vectors", "n", "dims", F.round("energy", 4).alias("energy"), F.round("energy_squared", 2).alias("energy_squared"))
+
+
 @query("pca_spectrum")
 def q_pca_spectrum(spark, sf_dir):
     rep = G.pca_spectrum(T.act(spark, sf_dir), "activation_vector", k=50)
@@ -631,14 +700,15 @@ CLF_CATS = ["merchant", "device"]
 
 
 def _prepared(spark, sf_dir):
+    # prep_input is cut already; what follows is map-side work
     df, vocab, stats = _fit(spark, sf_dir)
-    return cut_lineage(P.apply_preprocessor(df, vocab, stats))
+    return P.apply_preprocessor(df, vocab, stats)
 
 
 @query("classifier_eval")
 def q_classifier_eval(spark, sf_dir):
     x = _prepared(spark, sf_dir)
-    rep = MD.train_classifier(x, [c + "_id" for c in CLF_CATS], [c + "_scaled" for c in PREP_NUMS])
+    rep = MD.train_classifier(x, [c + "_id" for c in CLF_CATS], [c + "_scaled" for c in PREP_NUMS], source="sparkov")
     return spark.createDataFrame(
         [(float(rep["reg_param"]), rep["val_auc"], rep["test_auc"], rep["test_ap"],
           rep["pos_weight"], rep["auc_bar"], rep["meets_bar"])],
@@ -677,14 +747,23 @@ def q_logistic_probe(spark, sf_dir):
                                  "probe_auc_roc double, n_probe_samples long, n_train long")
 
 
+def _md5_weight(prefix: str, half: float):
+    def weight(j):
+        name = F.concat_ws(":", F.lit(prefix), F.col("id").cast("string"), j.cast("string"))
+        return (SM.hash_fraction(F.md5(name)) * 2.0 - 1.0) * F.lit(half)
+
+    return weight
+
+
 def mlp_weight_table(spark, sizes: list[int], seed: int = 0) -> DataFrame:
-    """Seeded weight table ``(layer, row, w, b)`` standing in for a trained
-    checkpoint: N(0, 1/fan_in) weights, zero biases."""
+    """Weight table ``(layer, row, w, b)`` standing in for a trained checkpoint:
+    uniform weights of variance 1/fan_in, each from ``md5("seed:layer:row:col")``
+    (the same on any cluster, and in SQL), zero biases."""
     parts = []
     for k, (d_in, d_out) in enumerate(zip(sizes[:-1], sizes[1:])):
-        cols = [F.randn(seed * 1000 + k * 97 + j) / F.lit(d_in ** 0.5) for j in range(d_in)]
+        w = F.transform(F.sequence(F.lit(0), F.lit(d_in - 1)), _md5_weight(f"{seed}:{k}", (3.0 / d_in) ** 0.5))
         parts.append(spark.range(d_out).select(F.lit(k).alias("layer"), F.col("id").cast("int").alias("row"),
-                                               F.array(*cols).alias("w"), F.lit(0.0).alias("b")))
+                                               w.alias("w"), F.lit(0.0).alias("b")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -697,10 +776,11 @@ def q_mlp_scores(spark, sf_dir):
     categorical ids (widths by the reference's rule) + 7 scaled numerics ->
     32 -> 16 -> 1 with GELU; keeps the 16-d hidden layer and the
     gradient x input attributions of the numerics."""
-    x = _prepared(spark, sf_dir)
+    df, vocab, stats = _fit(spark, sf_dir)
+    x = P.apply_preprocessor(df, vocab, stats)
     cat_ids = [c + "_id" for c in CLF_CATS]
     nums = [c + "_scaled" for c in PREP_NUMS]
-    sizes = {r["col"]: r["n"] for r in _fit(spark, sf_dir)[1].groupBy("col").agg(
+    sizes = {r["col"]: r["n"] for r in vocab.groupBy("col").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     rng = np.random.default_rng(0)
     embs = {c + "_id": rng.normal(size=(sizes[c], MD.embedding_dim(sizes[c]))) for c in CLF_CATS}
@@ -714,6 +794,76 @@ def q_mlp_scores(spark, sf_dir):
                       *[r6(c + "_attr").alias(c + "_attr") for c in nums])
 
 
+# --- streams over files, run to the end of what is there -------------------------------
+
+
+def _drained(query) -> None:
+    """Wait until the stream has taken in all files, then stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+@query("stream_causal_features")
+def q_stream_causal_features(spark, sf_dir):
+    """The streaming causal features of all events, shuffled over several files;
+    one row far in the future lets the watermark pass them all."""
+    from txnlens.streaming.causal import stream_causal_features
+    src, out, ck = (shared_path(spark, n) for n in ("events-in", "events-out", "events-state"))
+    t = T.txn(spark, sf_dir).select("txn_id", "card_id", "ts_sec", "amt")
+    t.repartition(4, "txn_id").write.mode("append").parquet(src)
+
+    def drain():
+        sdf = spark.readStream.schema(t.schema).parquet(src)
+        _drained(stream_causal_features(sdf).writeStream.format("parquet").option("path", out)
+                 .option("checkpointLocation", ck).outputMode("append").start())
+
+    drain()
+    far = t.agg((F.max("ts_sec") + 10 ** 6).alias("ts_sec"))
+    last = far.select(F.lit(-2).alias("txn_id"), F.lit(-2).alias("card_id"), "ts_sec", F.lit(0.0).alias("amt"))
+    last.select(*[F.col(f.name).cast(f.dataType) for f in t.schema]).write.mode("append").parquet(src)
+    drain()
+    got = spark.read.parquet(out).where(F.col("txn_id") != -2)
+    return got.select("txn_id", "card_id", "ts_sec", "velocity_1h", "velocity_24h",
+                      r6("amt_zscore").alias("amt_zscore"), "card_tenure_days")
+
+
+@query("stream_journal")
+def q_stream_journal(spark, sf_dir):
+    """The journal of summaries as a stream of JSON lines; re-run records arrive in
+    a second stream with a checkpoint of its own. Last record of each key."""
+    from txnlens.streaming.journal import append_records, latest_table, stream_journal
+    table = shared_path(spark, "journal-table")
+    records = journal_records(spark, sf_dir).select(
+        "row_idx", "summary", F.lit(None).cast("string").alias("features_json"), F.lit(None).cast("double").alias("fraud_score"),
+        F.lit(None).cast("int").alias("label"), F.col("seq").cast("long").alias("seq"))
+    for seq in (0, 1):
+        src = shared_path(spark, "journal-in")
+        append_records(records.where(F.col("seq") == seq), src)
+        _drained(stream_journal(spark, src, table, shared_path(spark, "journal-state")))
+    return latest_table(spark, table).select("row_idx", "seq", F.md5("summary").alias("summary_md5"))
+
+
+@query("stream_step_metrics")
+def q_stream_step_metrics(spark, sf_dir):
+    """Per-step metrics of a stream of training samples: every conversation turn is
+    a sample of its step."""
+    from txnlens.streaming.journal import stream_step_metrics
+    src, out = shared_path(spark, "samples-in"), shared_path(spark, "samples-out")
+    c = T.read_table(spark, sf_dir, "conversations")
+    c.select(F.col("turn").cast("long").alias("step"), (-F.length("text") / F.lit(1000.0)).alias("reward"),
+             (F.pmod(F.col("conv_id"), F.lit(7)) / F.lit(8.0)).alias("mse"), X.wrap_explanation("text").alias("explanation")).write.json(src)
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(out)
+
+    _drained(stream_step_metrics(spark, src).writeStream.outputMode("complete").foreachBatch(keep)
+             .option("checkpointLocation", shared_path(spark, "samples-state")).start())
+    return spark.read.parquet(out).select("step", r6("mean_reward").alias("mean_reward"), r6("mean_mse").alias("mean_mse"),
+                                          r6("mean_explanation_chars").alias("mean_explanation_chars"), "n")
+
+
 # --- evaluations specified by the plan -------------------------------------------------
 
 
@@ -722,32 +872,37 @@ def predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     label -- 'shifted' from a shifted score, 'majority' from the training
     majority label and mean score."""
     a = T.act(spark, sf_dir)
-    truth = a.select("row_idx", "label", S.score_bin("fraud_score").alias("score_bin"))
+    truth = a.select("row_idx", "label", S.score_bin("fraud_score").alias("score_bin"), "class_id")
     base = EV.majority_baseline(a, "label", "fraud_score").first()
+    # a masked feature: the systems see the row without its class
+    common = EV.majority_baseline(a, "class_id", "fraud_score").first()["majority_label"]
     shifted = F.pmod(F.col("row_idx") * 37 + 5, F.lit(101)) / F.lit(100.0)
     p1 = a.select(F.lit("shifted").alias("system"), "row_idx",
-                  S.score_bin(shifted).alias("pred_bin"), (shifted >= 0.5).cast("int").alias("pred_label"))
+                  S.score_bin(shifted).alias("pred_bin"), (shifted >= 0.5).cast("int").alias("pred_label"),
+                  F.pmod(F.col("row_idx") * 7 + 3, F.lit(10)).cast("int").alias("pred_class"))
     p2 = a.select(F.lit("majority").alias("system"), "row_idx",
                   S.score_bin(F.lit(float(base["mean_score"]))).alias("pred_bin"),
-                  F.lit(int(base["majority_label"])).alias("pred_label"))
+                  F.lit(int(base["majority_label"])).alias("pred_label"), F.lit(int(common)).alias("pred_class"))
     return truth, p1.unionByName(p2)
 
 
+TASKS = {"score_bucket": ("pred_bin", "score_bin"), "label": ("pred_label", "label"),
+         "masked_feature": ("pred_class", "class_id")}
+
+
 @query("accuracy_by_system")
 def q_accuracy_by_system(spark, sf_dir):
     truth, pred = predictions(spark, sf_dir)
-    acc = EV.accuracy_by_system(pred, truth, "row_idx", {"score_bucket": ("pred_bin", "score_bin"),
-                                                         "label": ("pred_label", "label")})
+    acc = EV.accuracy_by_system(pred, truth, "row_idx", TASKS)
     return acc.select("system", "task", "n", r6("accuracy").alias("accuracy"))
 
 
 @query("comparison_table")
 def q_comparison_table(spark, sf_dir):
     truth, pred = predictions(spark, sf_dir)
-    acc = EV.accuracy_by_system(pred, truth, "row_idx", {"score_bucket": ("pred_bin", "score_bin"),
-                                                         "label": ("pred_label", "label")})
-    t = EV.comparison_table(acc, ["score_bucket", "label"])
-    return t.select("system", r6("score_bucket").alias("score_bucket"), r6("label").alias("label"))
+    acc = EV.accuracy_by_system(pred, truth, "row_idx", TASKS)
+    t = EV.comparison_table(acc, list(TASKS))
+    return t.select("system", *[r6(c).alias(c) for c in TASKS])
 
 
 @query("model_error_slice")
@@ -772,18 +927,21 @@ def random_direction(d: int, seed: int = 0) -> list[float]:
     return [round(float(x), 12) for x in np.random.default_rng(seed).normal(size=d)]
 
 
-STEER_ALPHAS = [-1.0, -0.5, 0.0, 0.5, 1.0]
+STEER_ALPHAS = [0.25, 0.5, 1.0, 2.0]
 
 
 @query("steering_sweep")
 def q_steering_sweep(spark, sf_dir):
-    """Steer vectors along the class-mean difference and a seeded random
-    direction; score by cosine with the class-mean difference."""
+    """Steer vectors along the class-mean difference, a seeded random direction and
+    a probe's: the covariance of the vectors with the score, which is the first
+    step of a linear read-out. Scored by cosine with the class-mean difference."""
     a = T.act(spark, sf_dir)
     means = {r["label"]: r["mean_vector"] for r in M.vector_mean(a, "activation_vector", by=["label"]).collect()}
     delta = (np.asarray(means[1]) - np.asarray(means[0])).tolist()
     rnd = random_direction(len(delta))
-    s = EV.steering_sweep(a, "activation_vector", {"class_mean": delta, "random": rnd},
+    x = a.select("fraud_score", F.transform("activation_vector", lambda v: v.cast("double")).alias("x"))
+    probe = list(x.agg(*[F.covar_pop(F.element_at("x", i + 1), F.col("fraud_score")).alias(f"c{i}") for i in range(len(delta))]).first())
+    s = EV.steering_sweep(a, "activation_vector", {"class_mean": delta, "random": rnd, "probe": probe},
                           STEER_ALPHAS, delta)
     return s.select("direction", "alpha", "n", r6("mean_score").alias("mean_score"))
 

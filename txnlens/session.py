@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,19 +20,20 @@ _DEFAULTS = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "txnlens", extra: dict | None = None) -> SparkSession:
     """Build (or fetch) a session with the settings the library assumes.
 
     On a cluster the master and memory come from spark-submit; here only the
-    semantic settings are pinned. ``shuffle_partitions`` should be sized so a
-    shuffle partition stays around 128-256 MB at the target scale.
+    semantic settings are pinned. ``shuffle_partitions`` is set only when given
+    (tests, the bench); otherwise the cluster's own setting holds.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     conf = dict(_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -66,6 +68,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, which driver and executors share;
+    it is removed when the application ends."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if "://" not in base and not base.startswith("file:"):
+        base = f"file://{base}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (ensured first,
     since a caller's session may not have set one in its SparkContext)."""

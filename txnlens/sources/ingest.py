@@ -1,6 +1,6 @@
 """Raw-file ingest and sinks.
 
-* ``load_ecom_csv`` (A1): transactions CSV with an explicit schema, optional
+* ``load_ecom_csv`` (A1): transactions CSV, columns by the header's names, optional
   cap on rows (taken in file order BEFORE the identity join), identity CSV read
   whole and left-joined on the transaction id, reference-epoch offsets turned
   into timestamps, time parts, renames, source tag.
@@ -49,31 +49,61 @@ CARD_PRESENT_SCHEMA = T.StructType([
 ])
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType, recursive: bool = False) -> DataFrame:
-    r = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-         .option("nullValue", "").option("emptyValue", None))
+def _headers(spark: SparkSession, path: str, recursive: bool) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header line, files in name order. Listing reads no content;
+    a header is one line of its file."""
+    r = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv" if recursive else "*")
     if recursive:
-        r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    return r.csv(path)
+        r = r.option("recursiveFileLookup", True)
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in r.load(path).select("path").orderBy("path").collect():
+        columns = tuple(spark.read.option("header", True).option("inferSchema", False).csv(row["path"]).columns)
+        out.setdefault(columns, []).append(row["path"])
+    return out
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType, recursive: bool = False) -> DataFrame:
+    """The columns of ``schema``, found by the names in each file's header: files
+    may order them differently and hold others, which are not kept. A missing one
+    raises; a value that cannot be read as its type is null. ``_at`` is the row's
+    place (file, split, offset)."""
+    found = _headers(spark, path, recursive)
+    if not found:
+        raise FileNotFoundError(f"no CSV files at {path}")
+    parts = []
+    for columns, files in found.items():
+        absent = [f.name for f in schema if f.name not in columns]
+        if absent:
+            raise ValueError(f"{files[0]}: missing column(s) {', '.join(absent)}")
+        as_read = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        raw = (spark.read.schema(as_read).option("header", True).option("mode", "PERMISSIVE")
+               .option("nullValue", "").option("emptyValue", None).csv(files))
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("pos"))
+        parts.append(raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema], place.alias("_at")))
+    df = parts[0]
+    for one in parts[1:]:
+        df = df.unionByName(one)
+    return df
 
 
 def _capped(df: DataFrame, limit: int | None) -> DataFrame:
     """First ``limit`` rows in file order: files by name, splits by byte
     offset, rows by their order inside the split (the id grows with it). Only
     when a cap is asked for is an order imposed; the cap is a bounded top-n."""
-    if limit is None:
-        return df
-    ordered = (df.withColumn("_file", F.col("_metadata.file_path"))
-               .withColumn("_start", F.col("_metadata.file_block_start"))
-               .withColumn("_pos", F.monotonically_increasing_id()))
-    return ordered.orderBy("_file", "_start", "_pos").limit(limit).drop("_file", "_start", "_pos")
+    return df.drop("_at") if limit is None else df.orderBy("_at").limit(limit).drop("_at")
 
 
 def load_ecom_csv(spark: SparkSession, txn_path: str, identity_path: str,
                   limit: int | None = None) -> DataFrame:
     tx = _capped(_csv(spark, txn_path, ECOM_TXN_SCHEMA), limit)
-    ident = _csv(spark, identity_path, IDENTITY_SCHEMA)
-    j = tx.join(ident, on="TransactionID", how="left")
+    return ecom_rows(tx, _csv(spark, identity_path, IDENTITY_SCHEMA).drop("_at"))
+
+
+def ecom_rows(tx: DataFrame, ident: DataFrame) -> DataFrame:
+    """Transactions with the kept columns, joined to identity and with times."""
+    tx = tx.select(*ECOM_TXN_SCHEMA.fieldNames())
+    j = tx.join(ident.select(*IDENTITY_SCHEMA.fieldNames()), on="TransactionID", how="left")
     ts = offset_to_timestamp(F.col("TransactionDT"))
     return (j.withColumn("timestamp", ts).withColumn("ts_sec", epoch_seconds(ts))
             .withColumn("hour_of_day", hour_of_day(ts)).withColumn("day_of_week", day_of_week(ts))
@@ -82,7 +112,12 @@ def load_ecom_csv(spark: SparkSession, txn_path: str, identity_path: str,
 
 
 def load_card_present_csv(spark: SparkSession, raw_dir: str, limit: int | None = None) -> DataFrame:
-    df = _capped(_csv(spark, raw_dir, CARD_PRESENT_SCHEMA, recursive=True), limit)
+    return card_present_rows(_capped(_csv(spark, raw_dir, CARD_PRESENT_SCHEMA, recursive=True), limit))
+
+
+def card_present_rows(df: DataFrame) -> DataFrame:
+    """Card-present rows with the kept columns, times, age and distance."""
+    df = df.select(*CARD_PRESENT_SCHEMA.fieldNames())
     ts = F.to_timestamp_ntz("trans_date_trans_time")
     dob = F.to_date("dob")
     return (df.withColumn("timestamp", ts)

@@ -24,7 +24,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from txnlens.operators.causal import DAY_SECONDS, HOUR_SECONDS, Z_EPS
 
-OUTPUT_SCHEMA = ("txn_id long, card_id long, ts_sec long, velocity_1h long, velocity_24h long, "
+#: Types of the row id and the card follow the input.
+OUTPUT_SCHEMA = ("txn_id {id}, card_id {card}, ts_sec long, velocity_1h long, velocity_24h long, "
                  "amt_zscore double, card_tenure_days double")
 # History of the last 24 h is kept as distinct seconds with cumulative counts:
 # at most 86,401 entries per card, however many transactions the card makes.
@@ -43,10 +44,11 @@ def _step(key, pdf_iter, state):
     wm_ms = state.getCurrentWatermarkMs()
     for pdf in pdf_iter:
         # A new row at or below the watermark is late: dropped, as Spark does.
-        buf.extend([[int(t), int(i), float(a)] for t, i, a in
-                    zip(pdf["ts_sec"], pdf["txn_id"], pdf["amt"])
+        # A missing amount or id is None, not NaN.
+        buf.extend([[int(t), None if pd.isna(i) else i if isinstance(i, str) else int(i), None if pd.isna(a) else float(a)]
+                    for t, i, a in zip(pdf["ts_sec"], pdf["txn_id"], pdf["amt"])
                     if not (wm_ms and wm_ms > 0 and int(t) * 1000 <= wm_ms)])
-    buf.sort()
+    buf.sort(key=lambda r: (r[0], r[1] is not None, 0 if r[1] is None else r[1]))
     out, keep = [], []
     total = cum[-1] if cum else 0
     for t, i, a in buf:
@@ -56,14 +58,15 @@ def _step(key, pdf_iter, state):
             lo24 = bisect.bisect_left(secs, t - DAY_SECONDS)
             v1 = total - (cum[lo1 - 1] if lo1 > 0 else 0)
             v24 = total - (cum[lo24 - 1] if lo24 > 0 else 0)
-            z = (a - mean) / ((m2 / n) ** 0.5 + Z_EPS) if n >= 2 else 0.0
+            z = 0.0 if n < 2 else None if a is None else (a - mean) / ((m2 / n) ** 0.5 + Z_EPS)
             ten = (t - first) / float(DAY_SECONDS) if first is not None else 0.0
             out.append((i, key[0], t, v1, v24, z, ten))
             first = t if first is None else first
-            n += 1
-            d = a - mean
-            mean += d / n
-            m2 += d * (a - mean)
+            if a is not None:
+                n += 1
+                d = a - mean
+                mean += d / n
+                m2 += d * (a - mean)
             total += 1
             if secs and secs[-1] == t:
                 cum[-1] = total
@@ -91,14 +94,17 @@ def stream_causal_features(sdf: DataFrame, delay: str = "1 hour", card: str = "c
                            ts: str = "ts_sec", amount: str = "amt", key: str = "txn_id") -> DataFrame:
     """Streaming DataFrame of causal features (append mode)."""
     base = sdf.select(F.col(key).alias("txn_id"), F.col(card).alias("card_id"),
-                      F.col(ts).cast("long").alias("ts_sec"), F.col(amount).cast("double").alias("amt"),
+                      F.col(ts).cast("long").alias("ts_sec"),
+                      F.col(amount).cast("double").alias("amt"),
                       F.timestamp_seconds(F.col(ts)).alias("event_time"))
-    known = (base.where(F.col("card_id").isNotNull()).withWatermark("event_time", delay)
+    placed = F.col("card_id").isNotNull() & F.col("ts_sec").isNotNull()
+    schema = OUTPUT_SCHEMA.format(id=base.schema["txn_id"].dataType.simpleString(), card=base.schema["card_id"].dataType.simpleString())
+    known = (base.where(placed).withWatermark("event_time", delay)
              .groupBy("card_id")
-             .applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+             .applyInPandasWithState(_step, schema, STATE_SCHEMA, "append",
                                      GroupStateTimeout.EventTimeTimeout))
-    # A null card has no history: zeros, without state.
-    nulls = base.where(F.col("card_id").isNull()).select(
+    # A null card or time has no history: zeros, without state.
+    nulls = base.where(~placed).select(
         "txn_id", "card_id", "ts_sec", F.lit(0).cast("long").alias("velocity_1h"),
         F.lit(0).cast("long").alias("velocity_24h"), F.lit(0.0).alias("amt_zscore"),
         F.lit(0.0).alias("card_tenure_days"))

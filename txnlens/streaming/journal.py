@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,59 +15,96 @@ JOURNAL_SCHEMA = "row_idx long, summary string, features_json string, fraud_scor
 SAMPLE_SCHEMA = "step long, reward double, mse double, explanation string"
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds where each record lies: file time and name, split."""
+    return df.select("*", F.col("_metadata.file_modification_time").alias("_time"),
+                     F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    """One column ``_at`` with the record's place and its offset in the split.
+    Records without ``seq`` are ordered by it."""
+    return df.withColumn("_at", F.struct("_time", "_file", "_start", F.monotonically_increasing_id().alias("_pos"))).drop("_time", "_file", "_start")
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """Batch read of JSONL records: malformed lines and records without a key
-    are skipped."""
-    df = (spark.read.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(path))
+    are skipped; ``_at`` is each record's place (for :func:`latest_records`)."""
+    df = _with_place(_placed(spark.read.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(path)))
     return df.where(F.col("row_idx").isNotNull())
 
 
-def journal_versions(table_dir: str) -> str:
-    return table_dir.rstrip("/") + "/v={epoch}"
+def latest_records(journal: DataFrame) -> DataFrame:
+    """The last record of each key: by ``seq``, and by place where that is absent."""
+    return latest_by_key(journal, "row_idx", "seq", ["_at"]).drop("_at")
+
+
+# The done table is a folder of generations. A generation is an optional base
+# (what a compaction wrote) and one folder for every batch appended since. A
+# batch writes its own records only; readers keep the last record of each key,
+# so a batch that is written twice changes nothing. Folder names do not depend
+# on the stream's epoch, which starts again with a new checkpoint.
+
+def _generations(spark: SparkSession, table_dir: str) -> list[int]:
+    """Committed generations, oldest first (any Hadoop filesystem)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+    numbers = sorted(int(n.split("-", 1)[1]) for n in names if n.startswith("gen-"))
+    done = lambda k: k == 0 or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/gen-{k}/base/_SUCCESS"))
+    return [k for k in numbers if done(k)]
+
+
+def _parts(spark: SparkSession, table_dir: str, generation: int) -> list[str]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/gen-{generation}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    success = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return [s.getPath().toString() for s in fs.listStatus(root) if success(s.getPath())]
 
 
-def upsert_batches(table_dir: str):
-    """``foreachBatch`` writer: merge the new records into the done table
-    (last ``seq`` per key wins) and write the result as a new version folder;
-    readers take the highest version. Rewrites of the same epoch after a
-    restart produce the same folder content (idempotent)."""
+def upsert_batches(table_dir: str, compact_after: int = 64):
+    """``foreachBatch`` writer: append the batch's records; after
+    ``compact_after`` batches, compact."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        latest = latest_table(spark, table_dir)
-        merged = batch if latest is None else latest.unionByName(batch)
-        out = latest_by_key(merged, "row_idx", "seq")
-        out.write.mode("overwrite").parquet(journal_versions(table_dir).format(epoch=epoch_id))
+        generation = (_generations(spark, table_dir) or [0])[-1]
+        _with_place(batch).write.parquet(f"{table_dir}/gen-{generation}/batch-{uuid.uuid4().hex}")
+        if len(_parts(spark, table_dir, generation)) > compact_after:
+            compact(spark, table_dir)
 
     return run
 
 
-def _versions(spark: SparkSession, table_dir: str) -> list[int]:
-    """Committed version numbers under ``table_dir`` (any Hadoop filesystem)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+def compact(spark: SparkSession, table_dir: str) -> None:
+    """Write the last records as the base of a new generation. The generation
+    before it stays for readers that have begun; older ones are removed."""
+    known = _generations(spark, table_dir)
+    if not known:
+        return
+    _latest(spark, table_dir, known[-1]).write.mode("overwrite").parquet(f"{table_dir}/gen-{known[-1] + 1}/base")
+    for old in known[:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/gen-{old}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _latest(spark: SparkSession, table_dir: str, generation: int) -> DataFrame | None:
+    parts = _parts(spark, table_dir, generation)
+    return latest_by_key(spark.read.parquet(*parts), "row_idx", "seq", ["_at"]) if parts else None
 
 
 def latest_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    vs = _versions(spark, table_dir)
-    if not vs:
-        return None
-    return spark.read.parquet(journal_versions(table_dir).format(epoch=vs[-1]))
+    """The done table: the last record of each key; None while there is none."""
+    known = _generations(spark, table_dir)
+    got = _latest(spark, table_dir, known[-1]) if known else None
+    return None if got is None else got.drop("_at")
 
 
 def stream_journal(spark: SparkSession, src_dir: str, table_dir: str, checkpoint: str):
     """Start the journal stream: new JSONL records -> upsert by key."""
-    sdf = spark.readStream.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(src_dir)
+    sdf = _placed(spark.readStream.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(src_dir))
     sdf = sdf.where(F.col("row_idx").isNotNull())
     return (sdf.writeStream.foreachBatch(upsert_batches(table_dir))
             .option("checkpointLocation", checkpoint).start())
