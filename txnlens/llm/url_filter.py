@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 LEVELS = 4
@@ -67,6 +69,7 @@ def judged(df: DataFrame, id_column: str = "page_id", rules=RULES) -> DataFrame:
     level = [f"s{k}" for k in range(1, LEVELS + 1)]
     pages = parsed.select("*", rule.alias("rule"), says.alias("says"), *[c.alias(s) for s, c in zip(level, segments(F.col("path")))])
     leaves = pages.groupBy("host", *level).agg(F.count("*").alias("n"), F.count_if(F.col("says") == "block").alias("b"), F.count_if(F.col("says") == "allow").alias("a"))
+    leaves = written(leaves, "leaves")  # each level reads the one before it twice
 
     # variable nodes become wildcards, from the root down
     for k in range(LEVELS):
@@ -74,8 +77,9 @@ def judged(df: DataFrame, id_column: str = "page_id", rules=RULES) -> DataFrame:
         children = leaves.groupBy(*above, own).agg(F.sum("n").alias("n")).groupBy(*above).agg(F.count("*").alias("kinds"), F.sum("n").alias("urls"))
         variable = children.where((F.col("kinds") > CHILDREN) & (F.col("urls") < FEW * F.col("kinds"))).select(*above, F.lit(True).alias("variable"))
         leaves = leaves.join(variable, above, "left").withColumn(f"t{k + 1}", F.when(F.col("variable"), F.when(F.col(own) == NONE, NONE).otherwise("*")).otherwise(F.col(own))).drop("variable")
+        leaves = written(leaves, "leaves")
     names = ["host", *[f"t{k + 1}" for k in range(LEVELS)]]
-    tree = leaves.groupBy(*names).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    tree = written(leaves.groupBy(*names).agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "tree")
 
     # purity from the root down; siblings that do not differ share their parent's
     total = tree.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("pb"), F.coalesce(F.sum("a"), F.lit(0)).alias("pa"))
