@@ -35,6 +35,8 @@ SCALE = 64
 #: Rows of a block; rows for a pivot, up to so many pivots (a bounded sample of the rows).
 BLOCK, PER_PIVOT, PIVOTS = 2048, 4096, 256
 LEAF = 96
+#: Fills rows of ids.
+NO_ID = np.iinfo(np.int64).max
 
 
 class CoverTree:
@@ -81,7 +83,7 @@ class CoverTree:
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
         for k in range(len(self.centre)):
-            own = self.order[self.first[k]: self.last[k]]
+            own = self.order[self.first[k]: self.last[k]]  # a node that was merged away keeps a stretch, unused
             self.radius[k] = float(dist[self.centre[k], own].max())
             self.centre[k] = int(place[self.centre[k]])
 
@@ -97,10 +99,26 @@ class CoverTree:
         if level == len(below):
             self.order.append(centre)
         else:
-            self.children[k] = [self._node(c, level + 1, below) for c in below[level][centre]]
+            self.children[k] = self._grouped([self._node(c, level + 1, below) for c in below[level][centre]])
         self.last[k] = len(self.order)
         return k
 
+    def _grouped(self, kids: list[int]) -> list[int]:
+        """Neighbouring children that are small together become one node over their
+        points (which lie side by side), with its own covering radius: in many
+        dimensions a node has very many single points below it."""
+        out: list[int] = []
+        open_ = False
+        for c in kids:
+            n = (self.last[c] or len(self.order)) - self.first[c]
+            if open_ and n <= LEAF and self.last[c] - self.first[out[-1]] <= LEAF:
+                self.last[out[-1]] = self.last[c]
+                self.children[out[-1]] = []
+            else:
+                out.append(c)
+            open_ = n <= LEAF
+        return out
+
 
 class Best:
     """The k best (score, id) of each query so far."""
@@ -108,7 +126,7 @@ class Best:
     def __init__(self, n: int, k: int) -> None:
         self.k = k
         self.score = np.full((n, k), -np.inf)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.id = np.full((n, k), NO_ID)
 
     @property
     def worst(self) -> np.ndarray:
@@ -116,15 +134,20 @@ class Best:
 
     def add(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
         """``ids``: a row of ids (least first, then filled) for each candidate."""
-        for r in np.flatnonzero((scores >= self.worst[rows][:, None]).any(1)):
-            at = rows.start + r
-            pick = np.flatnonzero(scores[r] >= self.score[at, -1])
-            own = ids[pick]
-            real = own != np.iinfo(np.int64).max
-            s = np.concatenate([self.score[at], np.repeat(scores[r, pick], own.shape[1])[real.reshape(-1)]])
-            i = np.concatenate([self.id[at], own[real]])
-            order = np.lexsort((i, -s))[: self.k]
-            self.score[at], self.id[at] = s[order], i[order]
+        better = scores >= self.worst[rows][:, None]
+        hit = np.flatnonzero(better.any(1))
+        if not hit.size:
+            return
+        used = np.flatnonzero(better[hit].any(0))
+        which, place = np.nonzero(ids[used] != NO_ID)
+        at = rows.start + hit
+        score = np.concatenate([self.score[at], scores[np.ix_(hit, used[which])]], 1)
+        own = np.concatenate([self.id[at], np.broadcast_to(ids[used][which, place], (len(hit), len(which)))], 1)
+        # by id, then stably by falling score
+        by_id = np.argsort(own, axis=1, kind="stable")
+        score, own = np.take_along_axis(score, by_id, 1), np.take_along_axis(own, by_id, 1)
+        order = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+        self.score[at], self.id[at] = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
 
 
 def search(queries: CoverTree, tree: CoverTree, ids: np.ndarray, best: Best) -> None:
@@ -195,7 +218,7 @@ def packed(rows: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         x = np.stack([np.array(v, np.int64) for v in table.column("v").to_pylist()])
         ids = table.column("ids").to_pylist()
-        wide = np.full((len(ids), max(map(len, ids))), np.iinfo(np.int64).max)
+        wide = np.full((len(ids), max(map(len, ids))), NO_ID)
         for k, own in enumerate(ids):
             wide[k, : len(own)] = own
         centre = x.mean(0)
@@ -238,7 +261,7 @@ def met(pairs: DataFrame, keep: int) -> DataFrame:
                 if row["floor"] is not None:
                     best.score[:] = row["floor"] - 0.5  # scores are whole: nothing at the floor is lost
                 search(queries, candidates, ids, best)
-                real = best.id != np.iinfo(np.int64).max
+                real = best.id != NO_ID
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[:, 0], real.sum(1))), pa.array(best.id[real]), pa.array(best.score[real].astype(np.int64))], ["query", "id", "score"])
 
     sides = [f"{c}_{s}" for s in "qc" for c in ("dim", "pivot", "block", "n", "width", "x", "ids")]
