@@ -81,10 +81,20 @@ class Frequent:
 
     @classmethod
     def of(cls, counts: DataFrame, memo: int = MEMO, words: int = WORDS) -> Frequent:
-        n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-        top = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(memo).collect()]
-        end = sum(r["c"] for r in counts.where(F.length("token") == 0).collect())
-        top = [(END, end), *[t for t in top if t[0] != END]]
+        # the counts that so many tokens reach, from a histogram of at most 64 * 64 bars;
+        # then only those tokens come to the driver
+        bars = counts.groupBy(F.floor(F.log2("c") * 64).cast("int").alias("bar")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
+        n, v = sum(b["n"] for b in bars), sum(b["v"] for b in bars)
+        room, least = memo, None
+        for b in sorted(bars, key=lambda b: -b["bar"]):
+            room -= b["v"]
+            if room < 0:
+                break
+            least = b["bar"]
+        rows = counts.where((F.length("token") == 0) | (F.floor(F.log2("c") * 64) >= F.lit(least))).collect()
+        found = {bytes(r["token"]): r["c"] for r in rows}
+        end = found.pop(END, 0)
+        top = [(END, end), *sorted(found.items(), key=lambda t: (-t[1], t[0]))]
         return cls([t for t, _ in top], np.array([c for _, c in top], np.int64), min(words, len(top)), n, v)
 
 
