@@ -17,7 +17,6 @@ vocabulary file that occur in a text become their special ids, as the file says.
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
 import json
 import re
@@ -29,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import map_rows, named, with_text
+from .common import held, map_rows, named, with_text
 
 #: Characters of a text that are handled at once.
 PIECE_CHARS = 1 << 16
 #: Entries of each memo; a full one is emptied.
-CHUNK_MEMO, WORD_MEMO, PAIR_MEMO = 700_000, 500_000, 500_000
+CHUNK_MEMO, WORD_MEMO, PAIR_MEMO = 500_000, 300_000, 300_000
 #: str.split() and \s separate at these too, the vocabularies' patterns do not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(r"[^\S\x1c-\x1f]+")
@@ -262,10 +261,9 @@ class StreamDecoder:
         return text
 
 
-@functools.cache
 def encoder(path: str) -> StreamEncoder:
     """One per Python worker and file."""
-    return StreamEncoder(path)
+    return held(("bpe", path), lambda: StreamEncoder(path))
 
 
 def bpe_encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

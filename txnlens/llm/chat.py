@@ -28,7 +28,6 @@ first), equal turns by role and text; a null conv_id is a conversation.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import StreamDecoder
-from .common import steps
+from .common import held, in_batches, steps
 
 #: Control strings; their reserved ids follow the vocabulary in this order.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
@@ -110,9 +109,8 @@ class Template:
                 role = None
 
 
-@functools.cache
 def template(path: str) -> Template:
-    return Template(path)
+    return held(("chat", path), lambda: Template(path))
 
 
 def masks(lengths: list[list[int]], in_loss: list[bool]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +147,7 @@ def format_turns(df: DataFrame, path: str) -> DataFrame:
                                                  ["conv_id", "turn", "role", "text", "ids", "loss_from", "loss_to"])
 
     rows = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, loss_from int, loss_to int")
+    return in_batches(rows).mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, loss_from int, loss_to int")
 
 
 def in_order(turns: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, named, steps, with_text
+from .common import forget, map_rows, named, steps, with_text
 
 WINDOW = 13
 #: Words of the benchmark that one broadcast holds.
@@ -255,6 +255,7 @@ def _hits(df: DataFrame, benchmark: DataFrame, window: int, one_in: int, keep: t
     shared = [df.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         searchers = [Searcher(b.value) for b in shared]
         for b in batches:
             for part in steps(b, len(keep), SHARD_CHARS):
@@ -287,6 +288,7 @@ def longest_matches(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     shared = [df.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window)]
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         searchers = [Searcher(b.value) for b in shared]
         for b in batches:
             for part in steps(b, 1, SHARD_CHARS):

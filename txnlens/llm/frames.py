@@ -16,7 +16,6 @@ Defined results: a null or empty text has only its end id; no rows, no files.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import shared_path
-from .common import steps, written
+from .common import held, in_batches, steps, written
 
 #: Fixed values of the public zstd seekable format.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC, HAS_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -130,9 +129,8 @@ class RunEncoder:
         return np.split(ids, ends[lists.offsets.to_numpy()[1:-1]]) if len(texts) else []
 
 
-@functools.cache
 def run_encoder(path: str) -> RunEncoder:
-    return RunEncoder(path)
+    return held(("runs", path), lambda: RunEncoder(path))
 
 
 def wide(ids: bytes, dtype: np.dtype) -> bytes:
@@ -249,7 +247,7 @@ def write_frames(df: DataFrame, path: str, folder: str, end_id: int | None = Non
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": f"{folder}/part-{shard:06d}.ids.zst", "n_docs": len(out.keys), "n_tokens": sum(out.counts)}],
                                              pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    frames = df.select(F.col(key).cast("long").alias("key"), F.col(text_column).alias("text")).mapInArrow(
+    frames = in_batches(df).select(F.col(key).cast("long").alias("key"), F.col(text_column).alias("text")).mapInArrow(
         encode, "shard int, key long, n long, raw_size long, xxh long, frame binary")
     dealt = frames.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "xxh", "n")
     return written(dealt.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long"), "frame-files")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, steps, words_of, written
+from .common import forget, map_rows, steps, words_of, written
 
 END = b""
 #: Frequent tokens sent to the tasks; of these, the model's own words.
@@ -51,6 +51,7 @@ def held_out():
 def token_counts(train: DataFrame) -> DataFrame:
     """(token, c) over all whole texts, the end included."""
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         counts: Counter[bytes] = Counter()
 
         def out():

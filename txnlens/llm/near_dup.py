@@ -30,14 +30,13 @@ own text; a null doc_id is a document of its own, never linked.
 
 from __future__ import annotations
 
-import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, mix64, steps, words_of, written
+from .common import held, map_rows, mix64, steps, words_of, written
 
 SHINGLE, T, R = 5, 128, 4
 BANDS = T // R
@@ -45,7 +44,7 @@ BANDS = T // R
 PERCENT = 75
 #: Sketches of a pair at 0.75 agree on fewer coordinates with probability 3e-7.
 LEAST_AGREE = 71
-WORD_MEMO = 400_000
+WORD_MEMO = 300_000
 #: Members of a bucket, and shingles of them, that make a block; one task compares two blocks.
 BLOCK, BLOCK_VOLUME = 1024, 2_000_000
 #: Bytes of text of one numpy step.
@@ -62,9 +61,8 @@ class WordHashes(dict):
         return value
 
 
-@functools.cache
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return held(("words",), WordHashes)
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import forget, map_rows
 
 
 @dataclass(frozen=True)
@@ -324,6 +324,7 @@ def _by_text(df: DataFrame, columns: list[str], schema: str, rules: tuple[Rule,
     scan = scanner(rules).scan  # compiled once, on the driver; the table's size is fixed by the rules
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few_by_hash, written
 
 K = 20
 SCALE = 64
@@ -274,8 +274,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec_i
     rows, asked = whole_vectors(df, id_column, column, scale), whole_vectors(queries, id_column, column, scale)
     keep = k + 1
     vectors = written(distinct_vectors(rows, keep), "vectors")
-    sample = vectors.withColumn("dim", F.size("v")).orderBy(F.xxhash64("v")).limit(PIVOTS).collect()
     n = vectors.count()
+    sample = few_by_hash(vectors.withColumn("dim", F.size("v")), ["v"], PIVOTS, n).collect()
     few = max(1, min(PIVOTS, n // PER_PIVOT))
     pivots = {d: np.array([r["v"] for r in sample if r["dim"] == d][:few], float) for d in {r["dim"] for r in sample}}
     heads = distinct_vectors(asked, 1)
