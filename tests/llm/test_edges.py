@@ -282,7 +282,7 @@ def test_gradients_match_differences():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(2)
-    gates, ids = rng.normal(size=(7, 2, 3 * toxicity.HIDDEN)), rng.integers(0, 7, (5, 4))
+    gates, ids = tuple(rng.normal(size=(2, 7, 3 * toxicity.HIDDEN))), rng.integers(0, 7, (5, 4))
     mask = np.arange(5)[:, None] < np.array([5, 3, 1, 4])
     y, w = np.array([1.0, 0, 1, 0]), np.ones(4)
     g, dgates, _ = net.gradients(gates, ids, mask, y, w)

@@ -18,9 +18,9 @@ alike, every text gets their share; without labelled rows every score is 0.
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, named, with_text
+from .common import crc_mod, few_by_hash, held, mix64, named, with_text
 
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 16_000_000
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 12, 8, 8, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 5, 512, 0.01, 0.05, 17
 HELD_OUT = 5
-PROJECTED_WORDS = 100_000
+PROJECTED_WORDS = 250_000
 
 #: Letters and digits (A-Z lowered) and bytes beyond ASCII.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -46,15 +46,16 @@ def model_words(text: str | None) -> list[bytes]:
 
 
 def word_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's row; the trigram rows of all words, and whose they are."""
+    """Each word's row; the trigram rows of all words (of their first 64 bytes,
+    between marks), and whose they are, in order."""
     own = np.array([xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words], np.int64)
-    grams, owner = [], []
-    for k, w in enumerate(words):
-        padded = b"<" + w[:64] + b">"
-        some = {xxhash.xxh3_64_intdigest(padded[i: i + 3]) % GRAM_ROWS for i in range(len(padded) - 2)}
-        grams += some
-        owner += [k] * len(some)
-    return own, np.array(grams, np.int64), np.array(owner, np.int64)
+    text = np.frombuffer(b"".join([b"<" + w[:64] + b">" for w in words]), np.uint8).astype(np.uint64)
+    size = np.array([min(len(w), 64) for w in words], np.int64)  # as many trigrams as bytes
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(owner)) + 2 * owner
+    with np.errstate(over="ignore"):
+        grams = mix64(text[at] << np.uint64(16) | text[at + 1] << np.uint64(8) | text[at + 2], 3) % np.uint64(GRAM_ROWS)
+    return own, grams.astype(np.int64), owner
 
 
 def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +86,14 @@ class Network:
 
     def inputs(self, rows) -> np.ndarray:
         own, grams, owner = rows
-        mean = np.zeros((len(own), DIM), np.float32)
-        np.add.at(mean, owner, self.p["gram"][grams])
-        mean /= np.maximum(np.bincount(owner, minlength=len(own)), 1)[:, None]
+        first = np.searchsorted(owner, np.arange(len(own)))  # words are not empty
+        mean = np.add.reduceat(self.p["gram"][grams], first) / np.bincount(owner, minlength=len(own))[:, None].astype(np.float32)
         return np.concatenate([self.p["word"][own], mean], 1)
 
-    def project(self, rows) -> np.ndarray:
-        """Gate inputs of distinct words, both directions: (words, 2, 3 * HIDDEN)."""
-        return (self.inputs(rows) @ self.p["wx"] + self.p["bx"]).reshape(-1, 2, 3 * HIDDEN)
+    def project(self, rows) -> tuple[np.ndarray, np.ndarray]:
+        """Gate inputs of distinct words, a table for each direction."""
+        both = self.inputs(rows) @ self.p["wx"] + self.p["bx"]
+        return np.ascontiguousarray(both[:, : 3 * HIDDEN]), np.ascontiguousarray(both[:, 3 * HIDDEN:])
 
     def forward(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows; ``ids`` and ``mask`` are (WINDOW, windows). ``keep``:
@@ -100,19 +101,30 @@ class Network:
         steps, n = ids.shape
         u, h = self.p["u"], np.zeros((2, n, HIDDEN), np.float32)
         states = np.empty((steps, n, 2 * HIDDEN), np.float32)
-        kept = []
+        x = np.empty((2, n, 3 * HIDDEN), gates[0].dtype)
+        full, kept = mask.all(1), []
         for t in range(steps):
             back = steps - 1 - t
-            m = np.stack([mask[t], mask[back]])[:, :, None]
-            x = np.stack([gates[ids[t], 0], gates[ids[back], 1]])
+            np.take(gates[0], ids[t], axis=0, out=x[0], mode="clip")
+            np.take(gates[1], ids[back], axis=0, out=x[1], mode="clip")
             hu = h @ u
-            zr = sigmoid(x[:, :, : 2 * HIDDEN] + hu[:, :, : 2 * HIDDEN])
+            zr = x[:, :, : 2 * HIDDEN] + hu[:, :, : 2 * HIDDEN]
+            np.negative(zr, out=zr)
+            with np.errstate(over="ignore"):  # a gate that is shut
+                np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
-            cand = np.tanh(x[:, :, 2 * HIDDEN:] + r * hu[:, :, 2 * HIDDEN:])
-            new = h + m * (1 - z) * (cand - h)
+            cand = r * hu[:, :, 2 * HIDDEN:]
+            cand += x[:, :, 2 * HIDDEN:]
+            np.tanh(cand, out=cand)
+            change = (1 - z) * (cand - h)
+            if keep or not (full[t] and full[back]):
+                m = np.stack([mask[t], mask[back]])[:, :, None]
+                change *= m
             if keep:
                 kept.append((h, z, r, cand, hu[:, :, 2 * HIDDEN:], m))
-            h = new
+            h = h + change
             states[t, :, :HIDDEN] = h[0]
             states[back, :, HIDDEN:] = h[1]
         th = np.tanh(states @ self.p["a"])
@@ -156,7 +168,7 @@ class Network:
             moved[0, t], moved[1, back] = dx[0], dx[1]
         order = np.argsort(ids, axis=None, kind="stable")
         present, at = np.unique(ids.reshape(-1)[order], return_index=True)
-        dgates = np.zeros((len(gates), 2, 3 * HIDDEN), np.float32)
+        dgates = np.zeros((len(gates[0]), 2, 3 * HIDDEN), np.float32)
         for side in (0, 1):
             dgates[present, side] = np.add.reduceat(moved[side].reshape(-1, 3 * HIDDEN)[order], at)
         return g, dgates, loss
@@ -189,7 +201,8 @@ class Network:
                 pick = np.concatenate([np.arange(gram_start[d], gram_start[d + 1]) for d in distinct])
                 rows = (own[distinct], grams[pick], np.repeat(np.arange(len(distinct)), gram_start[distinct + 1] - gram_start[distinct]))
                 x = self.inputs(rows)
-                gates = (x @ self.p["wx"] + self.p["bx"]).reshape(-1, 2, 3 * HIDDEN)
+                both = x @ self.p["wx"] + self.p["bx"]
+                gates = both[:, : 3 * HIDDEN], both[:, 3 * HIDDEN:]
                 g, dgates, _ = self.gradients(gates, local, mask, labels[owner[some]].astype(np.float32), weights[some])
                 dgates = dgates.reshape(len(distinct), -1)
                 g["wx"], g["bx"] = x.T @ dgates, dgates.sum(0)
@@ -213,6 +226,8 @@ class Model:
     pool: np.ndarray | None
     #: Share of toxic documents in the sample.
     base: float
+    #: Tells models apart in a worker.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def document_scores(self, texts: list[str | None], memo: ProjectedWords | None = None) -> np.ndarray:
         if self.pool is None:
@@ -227,22 +242,25 @@ class ProjectedWords:
 
     def __init__(self, network: Network) -> None:
         self.network, self.index = network, {}
-        self.gates = np.zeros((0, 2, 3 * HIDDEN), np.float32)
+        self.gates = tuple(np.zeros((0, 3 * HIDDEN), np.float32) for _ in range(2))
 
     def ids(self, texts: list[list[bytes]]) -> np.ndarray:
         index = self.index
         new = list({w for t in texts for w in t if w not in index})
-        if len(index) + len(new) > PROJECTED_WORDS:
+        if index and len(index) + len(new) > PROJECTED_WORDS:
             index.clear()
             new = list({w for t in texts for w in t})
-            self.gates = self.gates[:0]
         if new:
-            index.update(zip(new, range(len(index), len(index) + len(new))))
-            self.gates = np.concatenate([self.gates, self.network.project(word_rows(new))])
+            n = len(index)
+            if n + len(new) > len(self.gates[0]):
+                self.gates = tuple(np.concatenate([g[:n], np.empty((n + 2 * len(new), 3 * HIDDEN), np.float32)]) for g in self.gates)
+            for table, more in zip(self.gates, self.network.project(word_rows(new))):
+                table[n: n + len(new)] = more
+            index.update(zip(new, range(n, n + len(new))))
         return np.array([index[w] for t in texts for w in t], np.int64)
 
 
-def document_logits(network: Network, texts: list[list[bytes]], memo: ProjectedWords, step: int = 8192):
+def document_logits(network: Network, texts: list[list[bytes]], memo: ProjectedWords, step: int = 1024):
     """Each text's highest and mean window logit, and whether it has windows."""
     lengths = np.array([len(t) for t in texts], np.int64)
     owner, first = windows(lengths)
@@ -290,8 +308,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``limit`` labelled rows that are not held out,
     by the hash of their ids. Conflicting labels of an id count as toxic."""
-    chosen = (labels.where(crc_mod("doc_id", HELD_OUT) != 0).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+    allowed = labels.where(crc_mod("doc_id", HELD_OUT) != 0).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = few_by_hash(allowed, ["doc_id"], limit, allowed.count())
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     sized = rows.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     take, total = [], 0
@@ -322,7 +340,7 @@ def _scored(df: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = shared.value
-        memo = ProjectedWords(own.network)
+        memo = held(("toxicity", own.key), lambda: ProjectedWords(own.network))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
