@@ -199,6 +199,34 @@ def test_decontam(docs, none, benchmark):
     assert "score" in decontam.decontaminated(docs, benchmark).columns
 
 
+@pytest.mark.parametrize("n_docs", [1, 2, 5])
+def test_decontam_shards_smaller_than_the_vocabulary(n_docs):
+    """Word numbers beyond the shard's length: window sets give the same hits."""
+    rng = random.Random(n_docs)
+    for _ in range(20):
+        items = [[f"w{rng.randrange(6000)}" for _ in range(rng.choice([4, 13, 20, 40]))] for _ in range(400)]
+        docs = []
+        for _ in range(n_docs):
+            doc = []
+            for _ in range(rng.randrange(1, 8)):
+                own, a = rng.choice(items), rng.randrange(20)
+                doc += [*own[a % len(own):], f"w{rng.randrange(6000)}", "other"] if rng.random() < 0.5 else own
+            docs.append(doc)
+        windows = {}
+        for i, w in enumerate(items):
+            for k in range(max(1, len(w) - 12)):
+                windows.setdefault(tuple(w[k: k + 13]), set()).add(i)
+        hits = decontam.Searcher(decontam.Block.of([(i, " ".join(w)) for i, w in enumerate(items)], 13)).search([" ".join(d) for d in docs])
+        for d, w in enumerate(docs):
+            hit, found = set(), set()
+            for n in (4, 13):
+                for k in range(len(w) - n + 1):
+                    if own := windows.get(tuple(w[k: k + n])):
+                        hit.update(range(k, k + n))
+                        found |= own
+            assert {k for a, b in hits.runs[d] for k in range(a, b)} == hit and set(hits.items[d]) == found
+
+
 def test_urls(spark, ):
     rows = [(1, None), (2, "no scheme"), (3, "http://"), (4, "HTTP://A.Example.NET/en/1?x#y"), (4, "HTTP://A.Example.NET/en/1?x#y"), (None, "http://b.org/fr/a/b/c/d/e"), (5, "x://c.com#f"), (6, "http://xexample.net/en/"), (7, "http://example.com/de/" + "9" * 100_000)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, host string")

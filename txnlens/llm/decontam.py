@@ -93,7 +93,7 @@ class Shard:
         rank[inside] = self.text[inside]
         h = 1
         while h < self.depth:
-            key = rank[inside] * (len(self.text) + 1) + rank[np.minimum(inside + h, len(self.text) - 1)] * (self.run[inside] > h)
+            key = rank[inside] * (rank.max() + 1) + rank[np.minimum(inside + h, len(self.text) - 1)] * (self.run[inside] > h)
             _, dense = np.unique(key, return_inverse=True)
             rank[inside] = dense + 1
             if dense.max() + 1 == len(inside):
