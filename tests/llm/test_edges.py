@@ -306,6 +306,15 @@ def test_toxicity(docs, none, spark):
     assert toxicity.without_toxic(docs, empty).columns == docs.columns
 
 
+def test_toxicity_sees_the_whole_of_a_run():
+    """Text without blanks is cut into words that together hold all its trigrams."""
+    for run in ("中文字詞" * 100, "ab" * 40, "x" * 64, "x" * 65, "é" * 33, "y"):
+        raw = run.encode()
+        words = toxicity.model_words(f"{run} end")
+        assert words[-1] == b"end" and all(0 < len(w) <= 64 for w in words)
+        assert {raw[k: k + 3] for k in range(len(raw) - 2)} == {w[k: k + 3] for w in words[:-1] for k in range(len(w) - 2)}
+
+
 def test_gradients_match_differences():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

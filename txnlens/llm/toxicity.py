@@ -37,20 +37,28 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 5, 512, 0.01, 0.05, 17
 HELD_OUT = 5
 PROJECTED_WORDS = 250_000
 
+#: Bytes of a word at most; text without blanks (Chinese, Thai) is one run.
+PIECE = 64
+
 #: Letters and digits (A-Z lowered) and bytes beyond ASCII.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def model_words(text: str | None) -> list[bytes]:
-    return text.encode().translate(_WORD).split() if text else []
+    """Runs of word bytes; a run of more than PIECE bytes is several words, each of
+    which begins with the last two bytes of the one before: no trigram is lost."""
+    words = text.encode().translate(_WORD).split() if text else []
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[at: at + PIECE] for w in words for at in range(0, max(1, len(w) - 2), PIECE - 2)]
 
 
 def word_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's row; the trigram rows of all words (of their first 64 bytes,
-    between marks), and whose they are, in order."""
+    """Each word's row; the trigram rows of all words (between marks), and whose
+    they are, in order."""
     own = np.array([xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words], np.int64)
-    text = np.frombuffer(b"".join([b"<" + w[:64] + b">" for w in words]), np.uint8).astype(np.uint64)
-    size = np.array([min(len(w), 64) for w in words], np.int64)  # as many trigrams as bytes
+    text = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64)
+    size = np.array([len(w) for w in words], np.int64)  # as many trigrams as bytes
     owner = np.repeat(np.arange(len(words)), size)
     at = np.arange(len(owner)) + 2 * owner
     with np.errstate(over="ignore"):
