@@ -306,6 +306,18 @@ def test_toxicity(docs, none, spark):
     assert toxicity.without_toxic(docs, empty).columns == docs.columns
 
 
+def test_toxicity_sample_passes_over_what_does_not_fit(spark):
+    """One long text does not cost the sample the texts behind it, wherever it is."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    usable = [k for k in range(12) if zlib.crc32(str(k).encode()) % toxicity.HELD_OUT]
+    for long in usable:
+        docs = spark.createDataFrame([(k, "w " * 900 if k == long else f"text {k}") for k in range(12)], "doc_id long, text string")
+        texts, y = toxicity.labelled_sample(docs, labels, chars=1000)
+        assert sorted(zip(texts, y.tolist())) == sorted((f"text {k}", float(k % 2)) for k in usable if k != long)
+    with pytest.raises(ValueError):
+        toxicity.labelled_sample(docs, labels, chars=3)
+
+
 def test_toxicity_sees_the_whole_of_a_run():
     """Text without blanks is cut into words that together hold all its trigrams."""
     for run in ("中文字詞" * 100, "ab" * 40, "x" * 64, "x" * 65, "é" * 33, "y"):

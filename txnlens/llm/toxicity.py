@@ -8,7 +8,8 @@ highest and its mean window logit.
 
 The fit uses a bounded sample of labelled rows: at most SAMPLE_DOCS documents
 with the least hashes of their ids, and at most SAMPLE_CHARS characters of them
-(whole texts). Inputs are the texts' words and characters alone. The parameters
+(whole texts; one that does not fit is passed over, and if all of a label's are,
+that is an error). Inputs are the texts' words and characters alone. The parameters
 (about 1 MB) go to the tasks as a broadcast.
 
 Defined results: null and empty texts, and texts without letters or digits, have
@@ -319,13 +320,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS
     allowed = labels.where(crc_mod("doc_id", HELD_OUT) != 0).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = few_by_hash(allowed, ["doc_id"], limit, allowed.count())
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    sized = rows.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    take, total = [], 0
+    sized = rows.select("doc_id", F.length("text").alias("n"), "toxic").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    take, total, seen = [], 0, set()
     for r in sized:
+        if total + r["n"] > chars:
+            continue
         total += r["n"]
-        if total > chars:
-            break
         take.append(r["doc_id"])
+        seen.add(r["toxic"])
+    if lost := {r["toxic"] for r in sized} - seen:
+        raise ValueError(f"no text labelled {sorted(lost)} fits into the sample of {chars} characters")
     if not take:
         return [], np.zeros(0)
     got = rows.where(F.col("doc_id").isin(take)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").dropDuplicates(["doc_id"]).collect() if len(take) < len(sized) else rows.collect()
