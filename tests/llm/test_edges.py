@@ -257,6 +257,18 @@ def test_near_dup(docs, none, spark):
     assert got == {**{10 + k: 10 for k in range(8)}, 3: 3, 4: 3, 5: 5}
 
 
+def test_near_dup_of_repeated_ids(spark):
+    """Rows of an id are grouped by their own texts; the pipeline keeps one row a group."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    a, b, c, d = map(text, "abcd")
+    rows = [(3, a), (5, a + " x"), (5, b), (9, b + " y"), (5, c), (7, d), (7, d), (7, "\t" + d), (8, d + " z"), (7, a), (3, a + " v"), (3, a + " v")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (5, 5, True), (7, 7, True), (7, 7, True), (7, 7, True), (8, 7, False), (7, 3, False), (3, 3, True), (3, 3, True)])
+    kept = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted((r.doc_id, r.text.split()[0]) for r in kept) == [(3, "a0"), (5, "b0"), (5, "c0"), (7, "d0")] and all(rows[r.n] == (r.doc_id, r.text) for r in kept)
+
+
 def test_near_dup_family_in_blocks(spark, monkeypatch):
     """A large family whose members differ among each other, in blocks of few."""
     monkeypatch.setattr(near_dup, "BLOCK", 8)

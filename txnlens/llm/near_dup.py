@@ -12,7 +12,8 @@ independent hash functions. R coordinates make a band; a pair at similarity
 
 Work after the sketches, all of it joins and aggregations:
 
-1. documents with equal sets are one class, stood for by its least id;
+1. documents with equal sets are one class, a node of the graph with a number of
+   its own, stood for by a row with its least id;
 2. each band has its buckets; in every bucket one member, picked by a hash of
    the bucket, is its centre, and all members are compared with that centre, not
    with each other. Different bands pick different centres, so the members of a
@@ -25,7 +26,8 @@ Work after the sketches, all of it joins and aggregations:
 
 Defined results: null, empty and blank texts have empty sets and are linked with
 nothing; rows that repeat a doc_id each keep their row and are grouped by their
-own text; a null doc_id is a document of its own, never linked.
+own text, so two groups that are not linked can have the same least id; a null
+doc_id is a document of its own, never linked.
 """
 
 from __future__ import annotations
@@ -114,9 +116,14 @@ def sketches(elements: np.ndarray, sizes: np.ndarray, t: int = T) -> np.ndarray:
         return (mix64(best, 5) & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(n, t)
 
 
+def text_key():
+    """Tells the texts of a repeated id apart."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def sketch_documents(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, n_shingles, set_key (128 bits of the whole set), sketch (binary, 16 bits
-    a coordinate) and bands (a 64-bit number each)."""
+    """id, text_key (a hash of the text), n_shingles, set_key (128 bits of the whole
+    set), sketch (binary, 16 bits a coordinate) and bands (a 64-bit number each)."""
     def run(batches):
         for whole in batches:
             for b in steps(whole, 1, STEP_CHARS):
@@ -132,11 +139,12 @@ def sketch_documents(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
                     bands = mix64(bands + np.arange(BANDS, dtype=np.uint64), 41)
                 low = sk.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array(sizes, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([s.tobytes() for s in low], pa.binary()),
+                    b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([s.tobytes() for s in low], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))],
-                    ["id", "n_shingles", "set_key", "sketch", "bands"])
+                    ["id", "text_key", "n_shingles", "set_key", "sketch", "bands"])
 
-    return map_rows(df.select(F.col(id_column).cast("long").alias("id"), "text"), ["id", "text"], "id long, n_shingles long, set_key binary, sketch binary, bands array<long>", run)
+    return map_rows(df.select(F.col(id_column).cast("long").alias("id"), "text", text_key()), ["id", "text", "text_key"],
+                    "id long, text_key long, n_shingles long, set_key binary, sketch binary, bands array<long>", run)
 
 
 def agreement(left: str, right: str):
@@ -240,22 +248,39 @@ def across(rows: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: id, n_shingles, component_id and kept (the row's id is the least
     reachable one)."""
-    docs = df.select(F.col(id_column).cast("long").alias("id"), "text")
+    out = grouped(df, id_column)
+    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, text_key, n): the row with the least id of every group, the least
+    text_key of its texts, and how many rows are equal to it in both. Rows without
+    words or id are not in it."""
+    rows = grouped(df, id_column).where("n_shingles > 0 AND id IS NOT NULL").groupBy("group", "id", "text_key").agg(F.count("*").alias("n"))
+    return rows.groupBy("group").agg(F.min(F.struct("id", "text_key", "n")).alias("least")).select("least.*")
+
+
+def grouped(df: DataFrame, id_column: str) -> DataFrame:
+    """Per row: id, text_key, n_shingles, group (the number of a node, null for rows
+    without words or id) and component_id (the least id of the group). Nodes are
+    classes, so rows that share an id but not a set are not linked by it."""
+    docs = df.select(F.col(id_column).cast("long").alias("doc"), "text", text_key())
     sketched = written(sketch_documents(df, id_column), "sketches")
     real = sketched.where("n_shingles > 0 AND id IS NOT NULL")
-    # 1. one row a set
-    classes = real.groupBy("set_key", "n_shingles").agg(F.min("id").alias("rep"))
-    heads = real.join(classes.withColumnRenamed("rep", "id"), ["set_key", "n_shingles", "id"]).dropDuplicates(["id", "set_key"])
-    heads = written(heads.select("id", "n_shingles", "sketch", "bands"), "heads")
+    # 1. one row a set; from here on an id is the number of a node, in the order of the least ids
+    classes = real.groupBy("set_key", "n_shingles").agg(F.min("id").alias("id"))
+    heads = real.join(classes, ["set_key", "n_shingles", "id"]).dropDuplicates(["id", "set_key", "n_shingles"]).withColumnRenamed("id", "doc")
+    heads = written(heads.orderBy("doc", "set_key").select(F.monotonically_increasing_id().alias("id"), "doc", "text_key", "set_key", "n_shingles", "sketch", "bands"), "heads")
     # 2. centres
-    members = heads.select("id", F.posexplode("bands").alias("band", "bucket"))
-    centre = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "bucket", "id").alias("h"), "id")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    members = heads.select("id", "doc", F.posexplode("bands").alias("band", "bucket"))
+    centre = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "bucket", "doc").alias("h"), "id")).alias("c"), F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(centre.select("band", "bucket", F.col("c.id").alias("centre"), "size"), ["band", "bucket"]), "buckets")
     pairs = shared.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     # 3. by sketch, then on the full sets
     sk = lambda k: heads.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
     likely = pairs.join(sk("b"), "b").join(sk("a"), "a").where(agreement("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b")
-    texts = docs.join(shared.select("id").distinct(), "id", "left_semi").repartition("id").dropDuplicates(["id", "text"])
+    places = heads.select("id", "doc", "text_key").join(shared.select("id").distinct(), "id", "left_semi")
+    texts = docs.join(places, ["doc", "text_key"]).select("id", "text").repartition("id").dropDuplicates(["id", "text"])
     links = written(confirmed(likely, texts), "links")
     found = components(links)
     # 4. buckets that still hold several components
@@ -269,7 +294,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
         links = links.union(more)
         found = components(links)
     # back to all rows
-    lead = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    least = found.join(heads.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("least"))
+    lead = heads.select("id", "doc", "set_key", "n_shingles").join(found.join(least, "component"), "id", "left").select(
+        "set_key", "n_shingles", F.coalesce("component", "id").alias("group"), F.coalesce("least", "doc").alias("least"))
     out = sketched.join(lead, ["set_key", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    real = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    return out.select("id", "text_key", "n_shingles", F.when(real, F.col("group")).alias("group"), F.when(real, F.col("least")).otherwise(F.col("id")).alias("component_id"))
