@@ -11,7 +11,8 @@ benchmark has, for as long as the shortest window; others are not indexed, which
 loses no match and keeps the arrays small.
 
 The benchmark travels to the tasks in blocks of a bounded number of words; with
-more than one block, each block's hits are merged by document.
+more than one block, each block's hits are merged by document. All blocks are on
+the driver and in each task at once: the whole benchmark has to fit there.
 
 Defined results: null or empty texts have no words and no hits; items without
 words are no windows; rows that repeat an item_id are one item with the windows of
@@ -227,8 +228,8 @@ class Searcher:
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, id_column: str = "item_id", block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_words`` words, one on the driver at
-    a time. Its size is looked at first; a usual benchmark is one block."""
+    """The benchmark in blocks of about ``block_words`` words; callers
+    hold them all. Its size is looked at first; a usual benchmark is one block."""
     rows = benchmark.select(F.col(id_column).alias("id"), "text")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (4 * block_words)))
