@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import pii, url_filter
 from .chat import CONTROLS, FRAMES
 from .secret_scan import BASE, EXTRA
 
@@ -100,6 +100,58 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id
 FROM c LEFT JOIN n USING (doc_id)"""
 
 
+def personal_data() -> str:
+    """As for secrets, a span's place is the length of all before it; then each kind's
+    check and the words around the span."""
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    luhn = lambda d: (f"list_sum(list_transform(range(length({d})), lambda k: list_extract([0, 2, 4, 6, 8, 1, 3, 5, 7, 9], CAST(substr({d}, length({d}) - k, 1) AS INTEGER) + 1) * (k % 2) "
+                      f"+ CAST(substr({d}, length({d}) - k, 1) AS INTEGER) * (1 - k % 2))) % 10 = 0")
+    # one character after the other; a letter counts for two digits
+    mod97 = lambda v: (f"list_reduce(list_prepend(0, list_transform(range(1, length({v}) + 1), lambda k: position(substr({v}[5:] || {v}[:4], k, 1) IN '0123456789{UPPER}') - 1)), "
+                       f"lambda acc, c: (acc * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97) = 1")
+    near = lambda at, which: f"substr(text, {at}, 1) {which}"
+    alnum = "SIMILAR TO '[A-Za-z0-9]'"
+    lone = f"NOT coalesce(a > 0 AND {near('a', alnum)}, false) AND NOT {near('b + 1', alnum)}"
+    account = "replace(x, ' ', '')"
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(x, '.'), lambda v: length(ltrim(v, '0')) > 3 OR coalesce(try_cast(ltrim(v, '0') AS INTEGER), 0) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn(digits)}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"length({account}) BETWEEN 15 AND 34 AND {lone} AND {mod97(account)}",
+        "ssn": f"x[1:3] NOT IN ('000', '666') AND x[1:3] < '900' AND x[5:6] <> '00' AND x[8:] <> '0000' AND {lone} "
+               f"AND NOT coalesce(a > 0 AND {near('a', chr(61))} '-', false) AND {near('b + 1', '<>')} '-'",
+        "local_phone": f"{lone} AND NOT contains(substr(text, greatest(a - 6, 0) + 1, least(a, 6)), '+')",
+        "card_part": f"length(x) BETWEEN 13 AND 19 AND {luhn('x')} AND (coalesce(a > 1 AND substr(text, a - 1, 2) SIMILAR TO '[0-9][ -]', false) "
+                     "OR substr(text, b + 1, 2) SIMILAR TO '[ -][0-9]')",
+    }
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, row, text, {order} AS o, '{kind}' AS kind, regexp_extract_all(text, '{pattern}', 0) AS m, string_split_regex(text, '{pattern}') AS p FROM d"""
+        for order, kind in enumerate(pii.KINDS) for pattern in [pii.PATTERNS[kind].replace("\\x20", " ")])
+    check = " ".join(f"WHEN {order} THEN {checks[kind]}" for order, kind in enumerate(pii.KINDS))
+    own = " ".join(f"WHEN {order} THEN {k.score}" for order, k in enumerate(pii.KINDS.values()))
+    words = " ".join(f"WHEN {order} THEN '{pii.context_pattern(k.words)}'" for order, k in enumerate(pii.KINDS.values()))
+    counts = ", ".join(f"count(o) FILTER (WHERE o = {order}) AS n_{kind}" for order, kind in enumerate(pii.BASE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+f AS ({found}),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM f),
+s AS (SELECT doc_id, row, text, o, kind, m[k] AS x,
+             CAST(coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+      FROM u),
+e AS (SELECT *, a + length(x) AS b FROM s),
+g AS (SELECT *, translate(substr(text, greatest(a - {pii.BEFORE}, 0) + 1, least(a, {pii.BEFORE})), '{UPPER}', '{LOWER}') AS before,
+             translate(substr(text, b + 1, {pii.AFTER}), '{UPPER}', '{LOWER}') AS after, CASE o {words} END AS words FROM e WHERE CASE o {check} END),
+t AS (SELECT doc_id, row, o, a, kind || ':' || a || ':' || b AS span,
+             least(greatest(CASE o {own} END + CASE WHEN regexp_matches(before, words) OR regexp_matches(after, words) THEN {pii.GAIN} ELSE 0 END
+                            - CASE WHEN regexp_matches(before, '{pii.context_pattern(pii.OTHERS)}') THEN {pii.LOSS} ELSE 0 END, 0), 100) AS score FROM g),
+v AS (SELECT * FROM t WHERE o < {len(pii.BASE)} OR score >= {pii.LEAST})
+SELECT d.doc_id, {counts},
+       sha256(coalesce(string_agg(span, ',' ORDER BY a, o) FILTER (WHERE o < {len(pii.BASE)}), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY a, o), '') AS spans, coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY a, o), '') AS scores
+FROM d LEFT JOIN v USING (row) GROUP BY d.row, d.doc_id"""
+
+
 def all_oracles(control_text: str, k: int, scale: int, step: int, window: int, one_in: int, shingle: int, percent: int) -> dict[str, str]:
     return {"op2_chat": chat(control_text), "op3_topk": top_k(k, scale, step), "op5_secrets": secrets(), "op6_decontam": decontam(window, one_in),
-            "op7_urls": url_filter.oracle(), "op8_near_dup": near_dup(shingle, percent)}
+            "op7_urls": url_filter.oracle(), "op8_near_dup": near_dup(shingle, percent), "op11_pii": personal_data()}

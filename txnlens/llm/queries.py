@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from .frames import token_files
 from .lm import lm_scores
 from .near_dup import PERCENT, SHINGLE, near_duplicates
 from .oracles import all_oracles
+from .pii import pii_digest
 from .secret_scan import scan_secrets
 from .topk import K, SCALE, top_k
 from .toxicity import HELD_OUT, fitted, score_toxicity
@@ -74,5 +75,9 @@ def op10_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), WORD_BPE, END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_topk, op4_lm, op5_secrets, op6_decontam, op7_urls, op8_near_dup, op9_toxicity, op10_frames)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_topk, op4_lm, op5_secrets, op6_decontam, op7_urls, op8_near_dup, op9_toxicity, op10_frames, op11_pii)}
 ORACLES = all_oracles(CONTROL_TEXT, K, SCALE, QUERY_STEP, WINDOW, ONE_IN, SHINGLE, PERCENT)
