@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pii, url_filter
+from . import pii, runs, url_filter
 from .chat import CONTROLS, FRAMES
 from .secret_scan import BASE, EXTRA
 
@@ -152,6 +152,36 @@ SELECT d.doc_id, {counts},
 FROM d LEFT JOIN v USING (row) GROUP BY d.row, d.doc_id"""
 
 
+def crc32(column: str) -> str:
+    """The checksum of a column's decimal text, bit by bit."""
+    bits = (f"flatten(list_transform(range(1, length(CAST({column} AS VARCHAR)) + 1), lambda k: list_transform(range(8), "
+            f"lambda b: CAST((ascii(substr(CAST({column} AS VARCHAR), CAST(k AS INTEGER), 1)) >> CAST(b AS INTEGER)) & 1 AS BIGINT))))")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT)"
+
+
+def periodic_runs(least_words: int, least_periods: int) -> str:
+    """Equal words q apart, for every q, are in stretches; a stretch that several q
+    share is a run of the smallest."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, CASE WHEN doc_id IS NULL THEN 1 ELSE {crc32('doc_id')} END AS h FROM documents),
+g AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+w AS (SELECT row, n, unnest(range(n)) AS i, unnest(CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END) AS word FROM p),
+e AS (SELECT x.row, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND {least_periods} * (y.i - x.i) <= x.n),
+f AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS stretch FROM e),
+r AS (SELECT row, start, length, min(q) AS period
+      FROM (SELECT row, q, min(i) AS start, count(*) + q AS length FROM f GROUP BY row, q, stretch HAVING count(*) + q >= greatest({least_words}, {least_periods} * q))
+      GROUP BY row, start, length),
+t AS (SELECT row, count(*) AS n_runs, max(struct_pack(length := length, start := -start, period := -period)) AS b,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY row),
+k AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept
+      FROM (SELECT row, i, word FROM w EXCEPT ALL SELECT DISTINCT w.row, i, word FROM w JOIN r ON w.row = r.row AND i >= start + period AND i < start + length) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -b.start AS start, b.length AS length, -b.period AS period, 1000 * b.length // -b.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (row) LEFT JOIN k USING (row)"""
+
+
 def all_oracles(control_text: str, k: int, scale: int, step: int, window: int, one_in: int, shingle: int, percent: int) -> dict[str, str]:
     return {"op2_chat": chat(control_text), "op3_topk": top_k(k, scale, step), "op5_secrets": secrets(), "op6_decontam": decontam(window, one_in),
-            "op7_urls": url_filter.oracle(), "op8_near_dup": near_dup(shingle, percent), "op11_pii": personal_data()}
+            "op7_urls": url_filter.oracle(), "op8_near_dup": near_dup(shingle, percent), "op11_pii": personal_data(),
+            "op12_runs": periodic_runs(runs.LEAST_WORDS, runs.LEAST_PERIODS)}
