@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import pii, runs, url_filter
 from .chat import CONTROLS, FRAMES
+from .prefix_trie import FAMILY, MOST_SHARED
 from .secret_scan import BASE, EXTRA
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -181,7 +182,30 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -b.start AS start, b.length AS len
 FROM d LEFT JOIN t USING (row) LEFT JOIN k USING (row)"""
 
 
+def prefix_trie(family: int, most: int) -> str:
+    """A prefix is the list of its turns; a node's subtree is found by the smallest
+    members of the nodes in it."""
+    return f"""
+WITH c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS r FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id, {crc32('conv_id')} % {most + 1} AS h, conv_id - conv_id % {family} AS base FROM c),
+b AS (SELECT i.conv_id, 0 AS kind, r, role, text FROM i JOIN c ON c.conv_id = base AND r < h
+      UNION ALL SELECT conv_id, 1, r, role, text FROM i JOIN c USING (conv_id) WHERE r >= h),
+l AS (SELECT conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY kind, r) FILTER (WHERE r IS NOT NULL), []) AS turns FROM i LEFT JOIN b USING (conv_id) GROUP BY conv_id),
+p AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM l),
+q AS (SELECT conv_id, depth, turns[1:depth] AS own, turns[1:depth - 1] AS parent, len(turns) = depth AS ends FROM p),
+n AS (SELECT depth, own, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM q GROUP BY depth, own),
+v AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(own[depth].text, '[^\\x20\\x09-\\x0D]+')) END AS value FROM n),
+k AS (SELECT depth - 1 AS depth, parent AS own, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (depth, own)),
+u AS (SELECT q.depth, q.own, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(value) AS BIGINT) AS saved_tokens
+      FROM m JOIN q ON q.conv_id = m.conv_id AND q.depth <= m.depth GROUP BY q.depth, q.own)
+SELECT m.conv_id, m.depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN u ON u.depth = m.depth AND u.own = m.own LEFT JOIN m o ON m.depth > 0 AND o.depth = m.depth - 1 AND o.own = m.parent"""
+
+
 def all_oracles(control_text: str, k: int, scale: int, step: int, window: int, one_in: int, shingle: int, percent: int) -> dict[str, str]:
     return {"op2_chat": chat(control_text), "op3_topk": top_k(k, scale, step), "op5_secrets": secrets(), "op6_decontam": decontam(window, one_in),
             "op7_urls": url_filter.oracle(), "op8_near_dup": near_dup(shingle, percent), "op11_pii": personal_data(),
-            "op12_runs": periodic_runs(runs.LEAST_WORDS, runs.LEAST_PERIODS)}
+            "op12_runs": periodic_runs(runs.LEAST_WORDS, runs.LEAST_PERIODS), "op13_prefix_trie": prefix_trie(FAMILY, MOST_SHARED)}

@@ -17,6 +17,7 @@ from .lm import lm_scores
 from .near_dup import PERCENT, SHINGLE, near_duplicates
 from .oracles import all_oracles
 from .pii import pii_digest
+from .prefix_trie import prefix_trie, ranked, respliced_rows
 from .runs import periodic_runs, run_digest, spliced
 from .secret_scan import scan_secrets
 from .topk import K, SCALE, top_k
@@ -84,5 +85,9 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(table(spark, sf_dir, "documents"), change=spliced))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_topk, op4_lm, op5_secrets, op6_decontam, op7_urls, op8_near_dup, op9_toxicity, op10_frames, op11_pii, op12_runs)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(respliced_rows(ranked(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_topk, op4_lm, op5_secrets, op6_decontam, op7_urls, op8_near_dup, op9_toxicity, op10_frames, op11_pii, op12_runs, op13_prefix_trie)}
 ORACLES = all_oracles(CONTROL_TEXT, K, SCALE, QUERY_STEP, WINDOW, ONE_IN, SHINGLE, PERCENT)
