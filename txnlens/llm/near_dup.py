@@ -14,15 +14,17 @@ Work after the sketches, all of it joins and aggregations:
 
 1. documents with equal sets are one class, a node of the graph with a number of
    its own, stood for by a row with its least id;
-2. each band has its buckets; in every bucket one member, picked by a hash of
-   the bucket, is its centre, and all members are compared with that centre, not
-   with each other. Different bands pick different centres, so the members of a
-   large family meet up to 32 of them;
+2. each band has its buckets; in every bucket one member is its centre, the first in
+   one random order of all nodes, and all members are compared with that centre, not
+   with each other. As the order is the same for all bands, the members of a large
+   family meet the same few centres again and again, which are few distinct pairs;
 3. pairs whose sketches agree on too few coordinates (five standard deviations
-   below 0.75) are put aside; the others are confirmed on the full sets;
-4. confirmed links are contracted to components; buckets that still hold more
-   than one component compare their members across components, in blocks, where
-   both sketches and full sets are at hand; only links come out.
+   below 0.75) are put aside; the others are confirmed on the full sets, and
+   confirmed links are contracted to components. A second round, for members that are
+   not in their centre's component, has another order in every bucket;
+4. buckets that still hold more than one component compare the members outside their
+   largest one with all others, in blocks: first on sketches alone, which names the
+   members that are worth their texts, then on the full sets; only links come out.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
 nothing; rows that repeat a doc_id each keep their row and are grouped by their
@@ -203,46 +205,81 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("id", "label")
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of one bucket between different components, confirmed on the
-    full sets. ``rows``: band, bucket, id, component, sketch, bands, text, blocks.
-    Buckets are cut into blocks, and every two blocks of a bucket meet in one
-    task. A pair is looked at in the first band that it shares; sketches tell
-    which pairs are worth their sets; components that a link joins there are one
-    from then on. Only links leave the task."""
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = placed.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch", "bands", "text")
+def meetings(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``rows`` (band, bucket, id, component, ...) of the ``mixed`` buckets (band,
+    bucket, largest, blocks), each once for every block of the other side that it
+    meets: members outside the largest component are in blocks of their own kind and
+    meet all blocks, so a bucket of n members with m outside is about
+    n + m * n / BLOCK rows. Adds i and j (the block of either side) and ``out``."""
+    placed = rows.join(mixed, ["band", "bucket"]).withColumn("out", F.col("component") != F.col("largest"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("out_blocks")).cast("int")
+    # side 0: outside members, to every block; side 1: every member, to every block of outside members
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.expr("sequence(0, blocks - 1)").alias("others")), F.struct(F.lit(1).alias("side"), F.expr("sequence(0, out_blocks - 1)").alias("others")))
+    both = placed.withColumn("own", own).withColumn("mine", mine).select("*", F.explode(sides).alias("s")).where("out OR s.side = 1")
+    return both.select("*", F.explode("s.others").alias("other")).select(
+        *rows.columns, F.col("s.side").alias("side"), F.when(F.col("s.side") == 0, F.col("mine")).otherwise(F.col("other")).alias("i"),
+        F.when(F.col("s.side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"))
+
+
+def near_in_block(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of one meeting: rows of side 0 and, for each, the rows of side 1 that are in
+    another component and agree with it on LEAST_AGREE coordinates. A pair is looked at
+    in the first band that it shares."""
+    comp, side = table.column("component").to_numpy(), table.column("side").to_numpy()
+    sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
+    bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+    band = table.column("band")[0].as_py()
+    outside, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    near = []
+    for k in outside:
+        to = rest[comp[rest] != comp[k]]
+        to = to[(sk[to] == sk[k]).sum(1) >= LEAST_AGREE]
+        near.append(to[(bands[to] == bands[k]).argmax(1) == band] if to.size else to)
+    return outside, near
+
+
+def across(rows: DataFrame, mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of the ``mixed`` buckets between different components, confirmed on
+    the full sets. ``rows``: band, bucket, id, component, sketch, bands. Sketches tell
+    which members are worth their texts; components that a link joins in a meeting are
+    one from then on. Only links leave it."""
+    place = ["band", "bucket", "i", "j"]
+    met = meetings(rows, mixed)
+
+    def worth(table: pa.Table) -> pa.Table:
+        outside, near = near_in_block(table)
+        used = [outside[[n.size > 0 for n in near]], *near] if near else []
+        keep = np.unique(np.concatenate(used)).astype(np.int64) if used else np.zeros(0, np.int64)
+        return table.select([*place, "id", "component", "sketch", "bands", "side"]).take(pa.array(keep))
 
     def links(table: pa.Table) -> pa.Table:
-        ids, comp, block = (table.column(c).to_numpy().copy() for c in ("id", "component", "block"))
-        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
-        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
-        band, crossing = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        outside, near = near_in_block(table)
+        ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy().copy()
         elements, sizes = shingle_sets(table.column("text").to_pylist())
         number = np.unique(elements, return_inverse=True)[1]
         ends = np.cumsum(sizes)
         mark = np.zeros(int(number.max()) + 1 if len(number) else 1, bool)
         a, b = [], []
-        for k in range(len(ids)):
-            rest = k + 1 + np.flatnonzero((comp[k + 1:] != comp[k]) & ((block[k + 1:] != block[k]) if crossing else True))
-            rest = rest[(sk[rest] == sk[k]).sum(1) >= LEAST_AGREE]
-            rest = rest[(bands[rest] == bands[k]).argmax(1) == band]
-            if not rest.size:
+        for k, to in zip(outside, near):
+            to = to[comp[to] != comp[k]]
+            if not to.size:
                 continue
             own = number[ends[k] - sizes[k]: ends[k]]
             mark[own] = True
-            spans = [number[ends[r] - sizes[r]: ends[r]] for r in rest]
+            spans = [number[ends[r] - sizes[r]: ends[r]] for r in to]
             both = np.add.reduceat(mark[np.concatenate(spans)].astype(np.int64), np.cumsum([0, *map(len, spans[:-1])]))
             mark[own] = False
-            for r in rest[100 * both >= PERCENT * (len(own) + sizes[rest] - both)]:
+            for r in to[100 * both >= PERCENT * (len(own) + sizes[to] - both)]:
                 if comp[r] != comp[k]:
                     a.append(min(ids[k], ids[r]))
                     b.append(max(ids[k], ids[r]))
                     comp[comp == comp[r]] = comp[k]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return meets.groupBy("band", "bucket", "i", "j").applyInArrow(links, "a long, b long").distinct()
+    schema = "band int, bucket long, i int, j int, id long, component long, sketch binary, bands array<long>, side int"
+    some = met.select(*place, "id", "component", "sketch", "bands", "side").groupBy(*place).applyInArrow(worth, schema)
+    return some.join(texts, "id").groupBy(*place).applyInArrow(links, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -260,6 +297,17 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return rows.groupBy("group").agg(F.min(F.struct("id", "text_key", "n")).alias("least")).select("least.*")
 
 
+def without_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row of each group, one with its least id, all its columns as they are; rows
+    that repeat an id go by their own texts. Rows without words or without an id stay."""
+    kept = written(one_of_each(docs, id_column).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("n").alias("_n")), "kept")
+    real = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col(id_column).isNotNull()
+    own = (F.col(id_column).cast("long") == F.col("_id")) & (text_key() == F.col("_key"))
+    single = docs.where(real).join(kept.where("_n = 1"), own, "left_semi")
+    repeated = docs.where(real).join(kept.where("_n > 1"), own).dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    return single.unionByName(repeated).unionByName(docs.where(~real))
+
+
 def grouped(df: DataFrame, id_column: str) -> DataFrame:
     """Per row: id, text_key, n_shingles, group (the number of a node, null for rows
     without words or id) and component_id (the least id of the group). Nodes are
@@ -267,29 +315,44 @@ def grouped(df: DataFrame, id_column: str) -> DataFrame:
     docs = df.select(F.col(id_column).cast("long").alias("doc"), "text", text_key())
     sketched = written(sketch_documents(df, id_column), "sketches")
     real = sketched.where("n_shingles > 0 AND id IS NOT NULL")
-    # 1. one row a set; from here on an id is the number of a node, in the order of the least ids
-    classes = real.groupBy("set_key", "n_shingles").agg(F.min("id").alias("id"))
-    heads = real.join(classes, ["set_key", "n_shingles", "id"]).dropDuplicates(["id", "set_key", "n_shingles"]).withColumnRenamed("id", "doc")
-    heads = written(heads.orderBy("doc", "set_key").select(F.monotonically_increasing_id().alias("id"), "doc", "text_key", "set_key", "n_shingles", "sketch", "bands"), "heads")
-    # 2. centres
-    members = heads.select("id", "doc", F.posexplode("bands").alias("band", "bucket"))
-    centre = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "bucket", "doc").alias("h"), "id")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    shared = written(members.join(centre.select("band", "bucket", F.col("c.id").alias("centre"), "size"), ["band", "bucket"]), "buckets")
-    pairs = shared.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    # 3. by sketch, then on the full sets
-    sk = lambda k: heads.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    likely = pairs.join(sk("b"), "b").join(sk("a"), "a").where(agreement("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b")
+    # 1. one row a set, whose sketch and bands are those of the class; from here on an id is the number of a node
+    heads = real.groupBy("set_key", "n_shingles").agg(F.min(F.struct("id", "text_key")).alias("least"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    heads = written(heads.select(F.monotonically_increasing_id().alias("id"), F.col("least.id").alias("doc"), F.col("least.text_key").alias("text_key"),
+                                 "set_key", "n_shingles", "sketch", "bands"), "heads")
+    # 2. buckets of several members
+    members = heads.select("id", F.posexplode("bands").alias("band", "bucket"))
+    sizes = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    shared = written(members.join(sizes.select("band", "bucket", F.col("c.id").alias("centre")), ["band", "bucket"]), "buckets")
     places = heads.select("id", "doc", "text_key").join(shared.select("id").distinct(), "id", "left_semi")
-    texts = docs.join(places, ["doc", "text_key"]).select("id", "text").repartition("id").dropDuplicates(["id", "text"])
-    links = written(confirmed(likely, texts), "links")
+    texts = written(docs.join(places, ["doc", "text_key"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    # 3. by sketch, then on the full sets; a second round for those that are not with their centre yet (two members have met)
+    sk = lambda k: heads.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        likely = ordered.join(sk("b"), "b").join(sk("a"), "a").where(agreement("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b")
+        return written(confirmed(likely, texts), "links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        label = heads.select("id", "n_shingles").join(components(links), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        return shared.select("band", "bucket", "id").join(label, "id")
+
+    links = linked(shared.where("id <> centre"))
+    first = written(labelled(links), "labelled")
+    other = first.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "bucket", "id").alias("h"), "id", "component")).alias("c"),
+                                                F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2")
+    again = first.join(other.select("band", "bucket", "c"), ["band", "bucket"]).where("component <> c.component").select("id", F.col("c.id").alias("centre"))
+    links = written(links.union(linked(again)), "links")
     found = components(links)
     # 4. buckets that still hold several components
-    label = heads.join(found, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    labelled = shared.select("band", "bucket", "id").join(label, "id")
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n_shingles").alias("volume")).where("lo < hi")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("volume") / BLOCK_VOLUME)).cast("int")
-    rest = labelled.join(mixed.select("band", "bucket", blocks.alias("blocks")), ["band", "bucket"]).join(heads.select("id", "sketch", "bands"), "id").join(texts, "id")
-    more = written(across(rest), "across")
+    label = written(labelled(links), "labelled")
+    of = label.groupBy("band", "bucket", "component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("volume"))
+    mixed = of.groupBy("band", "bucket").agg(F.max(F.struct("size", "volume", "component")).alias("top"), F.sum("size").alias("size"), F.sum("volume").alias("volume"),
+                                             F.count("*").alias("several")).where("several > 1 AND size > 2")
+    blocks = lambda n, v: F.greatest(F.ceil(n / BLOCK), F.ceil(v / BLOCK_VOLUME)).cast("int")
+    mixed = mixed.select("band", "bucket", F.col("top.component").alias("largest"), blocks(F.col("size"), F.col("volume")).alias("blocks"),
+                         blocks(F.col("size") - F.col("top.size"), F.col("volume") - F.col("top.volume")).alias("out_blocks"))
+    more = written(across(label.drop("n_shingles").join(heads.select("id", "sketch", "bands"), "id"), mixed, texts), "across")
     if more.limit(1).count():
         links = links.union(more)
         found = components(links)
