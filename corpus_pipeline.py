@@ -10,12 +10,11 @@ lost executor costs a stage's tasks at most, and the next stage starts from file
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from txnlens.llm.bpe import bpe_digest
 from txnlens.llm.common import table, written
 from txnlens.llm.decontam import decontaminated
-from txnlens.llm.near_dup import one_of_each, text_key
+from txnlens.llm.near_dup import without_copies
 from txnlens.llm.queries import WORD_BPE
 from txnlens.llm.secret_scan import redact_secrets
 from txnlens.llm.toxicity import fitted, without_toxic
@@ -30,13 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group, one with its least doc_id; rows that repeat a
     doc_id go by their own texts. Documents without words or without an id stay."""
-    kept = written(one_of_each(docs).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("n").alias("_n")), "kept")
-    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) | F.col("doc_id").isNull())
-    worded = docs.where(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull())
-    own = (F.col("doc_id").cast("long") == F.col("_id")) & (text_key() == F.col("_key"))
-    single = worded.join(kept.where("_n = 1"), own, "left_semi")
-    repeated = worded.join(kept.where("_n > 1"), own).dropDuplicates(["_id", "_key"]).select(*docs.columns)
-    return single.unionByName(repeated).unionByName(wordless)
+    return without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
