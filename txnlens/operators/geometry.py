@@ -8,9 +8,8 @@ never builds the n^2 pairs:
 * ``sum_{i<j} cos_ij^2 = (|U'U|_F^2 - sum |u|^4) / 2``
 * ``sum_{i<j} cos_ij cos'_ij = (|U'V|_F^2 - sum |u|^2 |v|^2) / 2``
 
-giving exact mean, population std and Pearson r of pair cosines. Order
-statistics of pair cosines (median, p5, p95, Spearman) need the pairs
-themselves and are not produced.
+giving exact mean, population std and Pearson r of pair cosines. Their order
+statistics (median, p5, p95, Spearman) are in ``pair_order``.
 
 Partial moments are computed per partition with numpy (``mapInPandas``, Arrow
 batches, one BLAS product per batch) and travel as packed blocks of matrix rows,

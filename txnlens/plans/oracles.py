@@ -748,6 +748,20 @@ SELECT count(*) AS n_pairs, round(avg(ci), 6) AS in_mean, round(stddev_pop(ci),
        round(avg(co), 6) AS out_mean, round(stddev_pop(co), 6) AS out_std, round(corr(ci, co), 6) AS pearson_r
 FROM pr"""
 
+ORACLES["pair_order_statistics"] = f"""
+WITH {ACT}, {RECON},
+u AS (SELECT row_idx, list_transform(g, lambda x: x / ({_norm('g')} + 1e-12)) AS a,
+             list_transform(p, lambda x: x / ({_norm('p')} + 1e-12)) AS b FROM recon),
+pr AS (SELECT round(ci_, 12) AS ci, round(co_, 12) AS co FROM (SELECT list_sum(list_transform(range(1, len(x.a) + 1), lambda i: x.a[i] * y.a[i])) AS ci_,
+              list_sum(list_transform(range(1, len(x.b) + 1), lambda i: x.b[i] * y.b[i])) AS co_
+       FROM u x JOIN u y ON x.row_idx < y.row_idx)),
+rk AS (SELECT *, rank() OVER (ORDER BY ci) + (count(*) OVER (PARTITION BY ci) - 1) / 2.0 AS ri,
+                 rank() OVER (ORDER BY co) + (count(*) OVER (PARTITION BY co) - 1) / 2.0 AS ro FROM pr)
+SELECT count(*) AS n_pairs,
+       {', '.join(f"round(quantile_cont({c}, {q}), 6) AS {side}_{name}" for side, c in (("in", "ci"), ("out", "co")) for name, q in (("median", 0.5), ("p5", 0.05), ("p95", 0.95)))},
+       round(corr(ri, ro), 6) AS spearman_r, CAST(0 AS DOUBLE) AS rank_resolution
+FROM rk"""
+
 ORACLES["embedding_space"] = f"""
 WITH {ACT}, {RECON},
 nr AS (SELECT {_norm('g')} AS nrm FROM recon),
@@ -759,8 +773,14 @@ cm AS (SELECT list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] / ({_
 un AS (SELECT row_idx, list_transform(p, lambda x: x / ({_norm('p')} + 1e-12)) AS up,
               list_transform(g, lambda x: x / ({_norm('g')} + 1e-12)) AS ug FROM recon),
 cr AS (SELECT avg(list_sum(list_transform(range(1, len(a.up) + 1), lambda i: a.up[i] * b.ug[i]))) AS c
-       FROM un a, un b)
-SELECT round((SELECT avg(nrm) FROM nr), 6) AS norm_mean, round((SELECT stddev_samp(nrm) FROM nr), 6) AS norm_std,
+       FROM un a, un b),
+rf AS (SELECT ug FROM un ORDER BY {md5_order(11, 'row_idx')} LIMIT 200),
+cf AS (SELECT list_sum(list_transform(range(1, len(a.up) + 1), lambda i: a.up[i] * b.ug[i])) AS c FROM un a, rf b)
+SELECT round((SELECT avg(c) FROM cf), 6) AS cos_reference_mean, round((SELECT stddev_pop(c) FROM cf), 6) AS cos_reference_std,
+       round((SELECT quantile_cont(c, 0.5) FROM cf), 6) AS cos_reference_median,
+       round((SELECT quantile_cont(c, 0.05) FROM cf), 6) AS cos_reference_p5,
+       round((SELECT quantile_cont(c, 0.95) FROM cf), 6) AS cos_reference_p95,
+       round((SELECT avg(nrm) FROM nr), 6) AS norm_mean, round((SELECT stddev_samp(nrm) FROM nr), 6) AS norm_std,
        round((SELECT quantile_disc(nrm, 0.5) FROM nr), 6) AS norm_median,
        round((SELECT quantile_cont(nrm, 0.05) FROM nr), 6) AS norm_p5,
        round((SELECT quantile_cont(nrm, 0.95) FROM nr), 6) AS norm_p95,

@@ -21,6 +21,7 @@ from txnlens.operators import geometry as G
 from txnlens.operators import journal as J
 from txnlens.operators import metrics as M
 from txnlens.operators import models as MD
+from txnlens.operators import pair_order as PO
 from txnlens.operators import preprocess as P
 from txnlens.operators import rollouts as RO
 from txnlens.operators import sampling as SM
@@ -606,6 +607,18 @@ def q_pairwise_geometry(spark, sf_dir):
                                       "out_mean double, out_std double, pearson_r double")
 
 
+PAIR_ORDER = ["in_median", "in_p5", "in_p95", "out_median", "out_p5", "out_p95", "spearman_r", "rank_resolution"]
+
+
+@query("pair_order_statistics")
+def q_pair_order_statistics(spark, sf_dir):
+    """Median, p5 and p95 of all pair cosines before and after reconstruction, and the
+    rank correlation of the two, from counted products (no pairs stored)."""
+    rep = PO.pair_order_report(T.recon(spark, sf_dir), "row_idx", "activation_vector", "pred_vector")
+    row = [(rep["n_pairs"], *(None if rep[k] is None else round(float(rep[k]), 6) for k in PAIR_ORDER))]
+    return spark.createDataFrame(row, "n_pairs long, " + ", ".join(f"{k} double" for k in PAIR_ORDER))
+
+
 def _spectrum_df(spark, rows: list[tuple[str, dict]]) -> DataFrame:
     return spark.createDataFrame(
         [(name, r["rows"], r["dims"], r["n_components_90"], r["n_components_99"],
@@ -664,10 +677,15 @@ def q_projection_geometry(spark, sf_dir):
         "out_effective_rank double, out_components_90 int, norm_mean double, norm_std double")
 
 
+#: Rows of the reference block, chosen by a hash of their id.
+REFERENCE_ROWS = 200
+
+
 @query("embedding_space")
 def q_embedding_space(spark, sf_dir):
     """Reconstructed vectors against the table of gold vectors: gold norm
-    statistics, cosine to the gold mean direction, mean cosine to gold rows."""
+    statistics, cosine to the gold mean direction, mean cosine to all gold rows, and
+    the distribution of the cosines to a block of reference rows."""
     r = T.recon(spark, sf_dir)
     e = r.select(V.vec_norm("activation_vector").alias("nrm"), "row_idx")
     nstats = M.merge_rows(
@@ -685,8 +703,11 @@ def q_embedding_space(spark, sf_dir):
     su = M.vector_mean(r.select(V.unit_geometry("pred_vector").alias("u")), "u").first()["mean_vector"]
     se = M.vector_mean(r.select(V.unit_geometry("activation_vector").alias("u")), "u").first()["mean_vector"]
     cos_rand = float(sum(a * b for a, b in zip(su, se)))
-    out = M.merge_rows(nstats, cstats).withColumn("cos_random_mean", F.lit(cos_rand))
-    cols = ["norm_mean", "norm_std", "norm_median", "norm_p5", "norm_p95", "cos_mean_dir_mean",
+    block = PO.reference_rows(r, "row_idx", "activation_vector", REFERENCE_ROWS, 11)
+    near = PO.reference_cosines(r, "pred_vector", block).ordered(list(PO.QUANTILES.values()))["cos"]
+    refs = PO.order_block(near, "cos_reference_")
+    out = M.merge_rows(nstats, cstats).withColumn("cos_random_mean", F.lit(cos_rand)).withColumns({k: F.lit(v) for k, v in refs.items()})
+    cols = [*refs, "norm_mean", "norm_std", "norm_median", "norm_p5", "norm_p95", "cos_mean_dir_mean",
             "cos_mean_dir_median", "cos_mean_dir_p5", "cos_mean_dir_p95", "cos_random_mean"]
     return out.select(*[r6(c).alias(c) for c in cols])
 
