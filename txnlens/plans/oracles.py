@@ -1023,6 +1023,9 @@ SELECT turn AS step, round(avg(-length(text) / 1000.0::DOUBLE), 6) AS mean_rewar
        round(avg(length({STRIP.format(x='text')})), 6) AS mean_explanation_chars, count(*) AS n
 FROM conversations GROUP BY turn"""
 
+ORACLES["tail_step_metrics"] = ORACLES["stream_step_metrics"]
+ORACLES["tail_journal"] = ORACLES["stream_journal"]
+
 ORACLES["spectrum_energy"] = f"""
 WITH {ACT}, {RECON},
 v AS (SELECT row_idx, 'gold' AS vectors, g AS x FROM recon UNION ALL SELECT row_idx, 'reconstructed', p FROM recon),

@@ -885,6 +885,45 @@ def q_stream_step_metrics(spark, sf_dir):
                                           r6("mean_explanation_chars").alias("mean_explanation_chars"), "n")
 
 
+@query("tail_step_metrics")
+def q_tail_step_metrics(spark, sf_dir):
+    """Per-step metrics of sample files that grow in place: every file is appended to
+    between two runs of one query, the first time with a line that is only half
+    written."""
+    from txnlens.streaming.journal import follow_step_metrics
+    from txnlens.streaming.tail import grow, record_line
+    src, out, ck = (shared_path(spark, f"tail-{k}") for k in ("in", "out", "state"))
+    c = T.read_table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").cast("long").alias("step"), (-F.length("text") / F.lit(1000.0)).alias("reward"),
+        (F.pmod(F.col("conv_id"), F.lit(7)) / F.lit(8.0)).alias("mse"), X.wrap_explanation("text").alias("explanation"),
+        F.pmod(F.col("conv_id"), F.lit(3)).cast("int").alias("stage"))
+    lines = c.withColumn("line", F.expr(record_line(["step", "reward", "mse", "explanation"])))
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(out)
+
+    for until in (0, 1, 2):
+        grow(lines, src, ["conv_id", "step"], "line", "stage", until, torn=40)
+        _drained(follow_step_metrics(spark, src).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", ck).start())
+    return spark.read.parquet(out).select("step", r6("mean_reward").alias("mean_reward"), r6("mean_mse").alias("mean_mse"),
+                                          r6("mean_explanation_chars").alias("mean_explanation_chars"), "n")
+
+
+@query("tail_journal")
+def q_tail_journal(spark, sf_dir):
+    """The journal in files that grow in place: re-run records are appended to the
+    files that the stream has read. Last record of each key."""
+    from txnlens.streaming.journal import follow_journal, latest_table
+    from txnlens.streaming.tail import grow, record_line
+    src, table, ck = (shared_path(spark, f"tail-journal-{k}") for k in ("in", "table", "state"))
+    records = journal_records(spark, sf_dir).select("row_idx", "summary", F.col("seq").cast("long").alias("seq"))
+    lines = records.withColumn("line", F.expr(record_line(["row_idx", "summary", "seq"])))
+    for seq in (0, 1):
+        grow(lines, src, ["row_idx"], "line", "seq", seq, torn=25)
+        _drained(follow_journal(spark, src, table, ck))
+    return latest_table(spark, table).select("row_idx", "seq", F.md5("summary").alias("summary_md5"))
+
+
 # --- evaluations specified by the plan -------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.text import parse_explanation
 from txnlens.operators.journal import latest_by_key
+from txnlens.streaming.tail import tail_json
 
 JOURNAL_SCHEMA = "row_idx long, summary string, features_json string, fraud_score double, label int, seq long"
 SAMPLE_SCHEMA = "step long, reward double, mse double, explanation string"
@@ -119,12 +120,28 @@ def step_metrics(sdf: DataFrame) -> DataFrame:
 
 
 def stream_step_metrics(spark: SparkSession, src_dir: str) -> DataFrame:
-    """Follow a growing folder of JSONL sample records (lines that are not
-    JSON are skipped)."""
+    """Follow a folder that new files of JSONL sample records are put into (lines
+    that are not JSON are skipped); :func:`follow_step_metrics` follows files that
+    grow."""
     sdf = spark.readStream.schema(SAMPLE_SCHEMA).option("mode", "DROPMALFORMED").json(src_dir)
     return step_metrics(sdf.where(F.col("step").isNotNull()))
 
 
+def follow_journal(spark: SparkSession, path: str, table_dir: str, checkpoint: str):
+    """As :func:`stream_journal`, but ``path`` is a file, or a folder of files, that
+    records are appended to; see :mod:`txnlens.streaming.tail`. Records without
+    ``seq`` are ordered by file and place."""
+    sdf = tail_json(spark, path, JOURNAL_SCHEMA, "row_idx").withColumn("_time", F.lit(0).cast("timestamp"))
+    return (sdf.writeStream.foreachBatch(upsert_batches(table_dir))
+            .option("checkpointLocation", checkpoint).start())
+
+
+def follow_step_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`stream_step_metrics`, for a file, or files, that samples are appended
+    to."""
+    return step_metrics(tail_json(spark, path, SAMPLE_SCHEMA, "step"))
+
+
 def append_records(df: DataFrame, path: str) -> None:
     """Append finished records to the journal folder as JSON lines (each call
     adds files; readers keep the last ``seq`` per key)."""
