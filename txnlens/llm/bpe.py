@@ -21,8 +21,9 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -49,7 +50,15 @@ def byte_alphabet() -> list[str]:
 
 
 class Merges:
-    """A merge list compiled for streaming. ``suffix`` marks a word's last symbol."""
+    """A merge list compiled for streaming. ``suffix`` marks a word's last symbol.
+
+    The tokens that end at a position come from an Aho-Corasick automaton over the
+    vocabulary, the longest first. Whether two tokens stay apart is read off their
+    merge trees: at any rank of the list only the last piece of the left token and the
+    first piece of the right one touch, and the pair is undone exactly if a merge of two
+    such pieces comes before either of them is merged into its own token. (Of equal
+    ranks the leftmost place goes first.) This needs merges whose parts are made by
+    earlier ones, as trained lists are; for others the merges are run."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "") -> None:
         self.vocab, self.suffix = vocab, suffix
@@ -60,7 +69,26 @@ class Merges:
             self.symbols[token] = len(token) - plain if suffix and token.endswith(suffix) and len(token) > plain else len(token)
         self.longest = max(self.symbols.values(), default=1)
         self.lookahead = self.sufficient_lookahead(merges)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        made = {}
+        for (x, y), k in self.ranks.items():
+            made[x + y] = min(made.get(x + y, k), k)
+        self.rising = all(made.get(x, -1) < k and made.get(y, -1) < k for (x, y), k in self.ranks.items())
+        #: Tokens by number, which pairs of them fit (number * count + number), each one's end pieces.
+        self.names = list(vocab)
+        self.ids = list(vocab.values())
+        self.sizes = [self.symbols[t] for t in self.names]
+        self._pairs: dict[int, bool] = {}
+        self._edges: dict[int, tuple[list, list] | None] = {}
+        self.automaton = ahocorasick.Automaton()
+        #: Numbers of the tokens that can end a word, by what they spell.
+        self.final: dict[str, int] = {}
+        for k, token in enumerate(self.names):
+            if token:
+                self.automaton.add_word(token, (len(token), k))
+                if not suffix or self.symbols[token] < len(token):
+                    self.final[token[: self.symbols[token]]] = k
+        if len(self.automaton):
+            self.automaton.make_automaton()
 
     def sufficient_lookahead(self, merges: list[tuple[str, str]]) -> int:
         """Symbols after a boundary that can still undo it: the longest chain of
@@ -77,74 +105,143 @@ class Merges:
         n = self.symbols[token]
         return [*token[: n - 1], token[n - 1:]]
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The merges in rank order, leftmost first: the plain definition, used on
-        pairs of tokens only."""
+    def merged(self, symbols: list[str], ends: tuple[list, list] | None = None) -> list[str]:
+        """The merges in rank order, leftmost first: the plain definition. ``ends``
+        takes, for the first and for the last piece, each piece with the rank that ends it."""
         ranks = self.ranks
         while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: (ranks.get((symbols[i], symbols[i + 1]), 1 << 60), i))
-            if (symbols[best], symbols[best + 1]) not in ranks:
+            near = [ranks.get(pair, 1 << 60) for pair in zip(symbols, symbols[1:])]
+            rank = min(near)
+            if rank == 1 << 60:
                 break
+            best = near.index(rank)
+            if ends and best == 0:
+                ends[0].append((symbols[0], rank))
+            if ends and best == len(symbols) - 2:
+                ends[1].append((symbols[-1], rank))
             symbols[best: best + 2] = [symbols[best] + symbols[best + 1]]
         return symbols
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the pair encodes to itself."""
-        key = (left, right)
-        if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= PAIR_MEMO:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(self.spelled(left) + self.spelled(right)) == [left, right]
-        return known
-
-    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Ids of one word, each emitted as soon as it is stable. ``symbols`` are
-        the word's characters; the last is marked here."""
-        vocab, fits, longest = self.vocab, self.fits, self.longest
-        text, last = "", [""]  # the buffered symbols; the token that ends at each position
-        coming = iter(symbols)
-        ahead = next(coming, None)
-        limit = self.lookahead + longest
-        while ahead is not None:
-            symbol, ahead = ahead, next(coming, None)
-            text += symbol
-            n, mark = len(text), "" if ahead is not None else self.suffix
-            for start in range(max(0, n - longest), n):
-                token = text[start:] + mark
-                if token in vocab and (not last[start] or fits(last[start], token)):
-                    last.append(token)
-                    break
-            else:  # no token spells it: symbols that the vocabulary lacks are left out, as the library does
-                last.append("")
-            if n >= limit and ahead is not None and (cut := self._stable(last)):
+    def edges(self, k: int) -> tuple[list, list] | None:
+        """The token's first and last pieces with the ranks that end them, from single
+        symbols to the token itself; None if its own symbols do not merge to it. Kept: at
+        most one entry a token of the vocabulary."""
+        if k not in self._edges:
+            token, ends = self.names[k], ([], [])
+            whole = self.merged(self.spelled(token), ends) == [token]
+            for side in ends:
+                side.append((token, 1 << 60))
+            self._edges[k] = ends if whole else None
+        return self._edges[k]
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the pair of tokens, by number, encodes to itself."""
+        if len(self._pairs) >= PAIR_MEMO:
+            self._pairs.clear()
+        names = self.names[left], self.names[right]
+        own = self._apart(left, right) if self.rising else self.merged(self.spelled(names[0]) + self.spelled(names[1])) == [*names]
+        self._pairs[left * len(self.names) + right] = own
+        return own
+
+    def _apart(self, left: int, right: int) -> bool:
+        a, b = self.edges(left), self.edges(right)
+        if a is None or b is None:
+            return False
+        last, first, i, j, ranks = a[1], b[0], 0, 0, self.ranks
+        while True:
+            (x, until_x), (y, until_y) = last[i], first[j]
+            rank = ranks.get((x, y))
+            if rank is not None and rank < until_x and rank <= until_y:
+                return False
+            if until_x == until_y == 1 << 60:
+                return True
+            if until_x <= until_y:
+                i += 1
+            else:
+                j += 1
+
+    def stream(self, symbols: str | Iterable[str]) -> Iterable[int]:
+        """Ids of one word, each as soon as it is stable. ``symbols`` are the word's
+        characters; the last is marked here. A longer word is read in blocks of the
+        longest token's length, and only what is not stable yet is held."""
+        if isinstance(symbols, str) and len(symbols) <= self.lookahead + self.longest:
+            last, n = [-1] * (len(symbols) + 1), len(symbols)
+            if n > bool(self.suffix):
+                self._fill(self.automaton.iter(symbols, 0, n - bool(self.suffix)), last, 0)
+            return self._ids(self._ended(last, symbols), n)
+        return self._streamed(iter(symbols))
+
+    def _streamed(self, symbols: Iterator[str]) -> Iterator[int]:
+        read = lambda: "".join(islice(symbols, self.longest))
+        block, after, found = read(), read(), None
+        last, gone, tail = [-1], 0, ""
+        while block:
+            last += [-1] * len(block)
+            own = block if after or not self.suffix else block[:-1]
+            if own:
+                if found is None:
+                    found = self.automaton.iter(own)
+                else:
+                    found.set(own)
+                self._fill(found, last, gone)
+            tail = (tail + block)[-self.longest:]
+            if after and len(last) > self.lookahead + self.longest and (cut := self._stable(last)):
                 yield from self._ids(last, cut)
-                text, last = text[cut:], self._rest(last, cut)
-        if len(last) > 1:
-            yield from self._ids(last, len(last) - 1)
+                last, gone = last[cut:], gone + cut
+            block, after = after, read()
+        yield from self._ids(self._ended(last, tail), len(last) - 1)
+
+    def _fill(self, found: Iterable[tuple[int, tuple[int, int]]], last: list[int], gone: int) -> None:
+        """Sets the token that ends at each position of the buffer ``last`` (-1: none),
+        in front of which ``gone`` symbols have left. ``found`` has the tokens that end
+        at each position, the longest first."""
+        known, fits, seen, edges, count = self._pairs.get, self.fits, self._edges.get, self.edges, len(self.names)
+        for k, (size, token) in found:
+            at = k + 1 - gone
+            if last[at] >= 0 or size > at:
+                continue  # a longer token ends here, or this one begins before the buffer
+            before = last[at - size]
+            if before < 0:
+                if seen(token) or edges(token):  # its own symbols merge to it
+                    last[at] = token
+            elif (fit := known(before * count + token)) or (fit is None and fits(before, token)):
+                last[at] = token
+
+    def _ended(self, last: list[int], tail: str) -> list[int]:
+        """Sets the token that ends the word; ``tail`` is the end of its symbols."""
+        n = len(last) - 1
+        if self.suffix and n:
+            for size in range(min(self.longest, n), 0, -1):
+                token, before = self.final.get(tail[len(tail) - size:]), last[n - size]
+                if token is not None and (self.edges(token) if before < 0 else self._pairs.get(before * len(self.names) + token) or self.fits(before, token)):
+                    last[n] = token
+                    break
+        return last
 
-    def _stable(self, last: list[str]) -> int:
+    def _stable(self, last: list[int]) -> int:
         """The last boundary that the chains of all positions near the end share."""
-        chains = []
-        for end in range(max(1, len(last) - self.longest), len(last)):
+        chains, n = [], len(last) - 1
+        for end in range(max(1, n + 1 - self.longest), n + 1):
             at, cuts = end, set()
             while at > 0:
-                at -= self.symbols.get(last[at], 1)
+                at -= self.sizes[last[at]] if last[at] >= 0 else 1
                 cuts.add(at)
             chains.append(cuts)
         return max(set.intersection(*chains), default=0)
 
-    def _rest(self, last: list[str], cut: int) -> list[str]:
-        """``last`` from a stable boundary on; its first entry keeps the token
-        before the boundary, as later tokens must fit it."""
-        return [last[cut], *last[cut + 1:]]
-
-    def _ids(self, last: list[str], end: int) -> list[int]:
-        out = []
+    def _ids(self, last: list[int], end: int) -> list[int]:
+        """The tokens of the chain that ends there. After a cut the first entry is the
+        token before the boundary, as later tokens must fit it; it is not of the chain."""
+        out, ids, sizes = [], self.ids, self.sizes
         while end > 0:
-            if token := last[end]:
-                out.append(self.vocab[token])
-            end -= self.symbols.get(token, 1)
-        return out[::-1]
+            token = last[end]
+            if token >= 0:
+                out.append(ids[token])
+                end -= sizes[token]
+            else:  # a symbol that no token spells is left out, as the library does
+                end -= 1
+        out.reverse()
+        return out
 
 
 class StreamEncoder:
@@ -166,7 +263,7 @@ class StreamEncoder:
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self._pattern = regex.compile(split["pattern"]["Regex"]) if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") else None
         self._odd = re.compile("[\u0130\u0250-\U0010FFFF]")
-        self._letters = byte_alphabet()
+        self._letters = dict(enumerate(byte_alphabet()))
         self._words: dict[str, tuple[int, ...]] = {}
         self._chunks: dict[str, tuple[int, ...]] = {}
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -187,7 +284,8 @@ class StreamEncoder:
         are independent."""
         if self._pattern and not self._odd.search(chunk):
             letters = self._letters
-            parts = ["".join([letters[b] for b in w.encode()]) for w in self._pattern.findall(chunk.lower())]
+            # printable ASCII stands for itself
+            parts = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in self._pattern.findall(chunk.lower())]
         else:
             tokenizer = self.tokenizer
             parts = [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk) if tokenizer.normalizer else chunk)]
