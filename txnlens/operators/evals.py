@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions import vectors as V
+from txnlens.operators.models import gelu
 from txnlens.functions.scalar import score_bin
 from txnlens.operators import metrics as M
 
@@ -103,3 +104,44 @@ def steering_sweep(df: DataFrame, vec: str, directions: dict[str, list[float]],
                  V.cosine(steered, sd_col).alias("score"))
     return s.groupBy("direction", "alpha").agg(F.avg("score").alias("mean_score"),
                                                F.count(F.lit(1)).alias("n"))
+
+
+def tail_scores(h: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The network's score from a captured hidden layer on: the layers behind it, GELU
+    between them, sigmoid of the logit."""
+    for k, (w, b) in enumerate(layers):
+        h = h @ w.T + b
+        if k < len(layers) - 1:
+            h = gelu(h)
+    return 0.5 * (1 + np.tanh(h[:, 0] / 2))
+
+
+def network_steering(df: DataFrame, vec: str, directions: dict[str, list[float]], alphas: list[float],
+                     layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """N7 through the network: ``h + alpha |h| D / |D|`` enters it again behind the
+    captured layer ``vec``. Per (direction, alpha): n, mean score, mean shift against
+    the score of ``h`` itself, and the share of rows whose score fell. Every Arrow
+    batch is moved along all directions as matrices; a task hands on one row a
+    (direction, alpha). Rows without a vector take no part."""
+    unit = {k: np.asarray(d, float) / (np.linalg.norm(d) + 1e-12) for k, d in directions.items()}
+    shared = df.sparkSession.sparkContext.broadcast((unit, layers))
+    width = len(next(iter(unit.values()))) if unit else 0
+
+    def run(batches):
+        import pandas as pd
+        unit, layers = shared.value
+        sums = {(k, a): np.zeros(4) for k in unit for a in alphas}
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                h = np.stack(pdf["h"].iloc[at: at + 4096].to_numpy())
+                own, norm = tail_scores(h, layers), np.linalg.norm(h, axis=1, keepdims=True)
+                for k, a in sums:
+                    s = tail_scores(h + a * norm * unit[k], layers)
+                    sums[k, a] += (len(h), s.sum(), (s - own).sum(), (s < own).sum())
+        yield pd.DataFrame([(k, float(a), *t) for (k, a), t in sums.items()], columns=["direction", "alpha", "n", "score", "shift", "fell"])
+
+    rows = df.where(F.col(vec).isNotNull() & (F.size(vec) == width)).select(V.as_double(vec).alias("h"))
+    sums = rows.mapInPandas(run, "direction string, alpha double, n double, score double, shift double, fell double")
+    total = sums.groupBy("direction", "alpha").agg(*[F.sum(c).alias(c) for c in ("n", "score", "shift", "fell")]).where("n > 0")
+    return total.select("direction", "alpha", F.col("n").cast("long").alias("n"), (F.col("score") / F.col("n")).alias("mean_score"),
+                        (F.col("shift") / F.col("n")).alias("mean_shift"), (F.col("fell") / F.col("n")).alias("share_lower"))

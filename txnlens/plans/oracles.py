@@ -928,6 +928,33 @@ SELECT direction, alpha, count(*) AS n, round(avg(score), 6) AS mean_score FROM
 ORACLES["steering_sweep"] = _steering_sql()
 
 
+def _steering_network_sql() -> str:
+    """Two layers with weights from md5; erf(x) = exp(-x^2) sum x^(2n+1) / gamma(n + 3/2)."""
+    from txnlens.plans.registry import STEER_HIDDEN
+    head = _steering_sql().split("sd AS (SELECT list_transform(dl")[0]
+    frac = lambda name, d: f"((('0x' || substr(md5({name}), 1, 13))::BIGINT / {float(16 ** 13)!r}) * 2.0 - 1.0) * {(3.0 / d) ** 0.5!r}"
+    erf = "(sign({x}) * exp(-(least(abs({x}), 6.0) ** 2)) * list_sum(list_transform(range(0, 120), lambda k: CASE WHEN {x} = 0 THEN 0 ELSE exp((2 * k + 1) * ln(least(abs({x}), 6.0)) - lgamma(k + 1.5)) END)))"
+    return head + f"""al AS (SELECT unnest([0.0, {', '.join(repr(x) for x in _alphas())}]::DOUBLE[]) AS alpha),
+w1 AS (SELECT r, list({frac("'0:0:' || r || ':' || j", 64)} ORDER BY j) AS w FROM range({STEER_HIDDEN}) a(r), range(64) b(j) GROUP BY r),
+w2 AS (SELECT j AS r, {frac("'0:1:0:' || j", STEER_HIDDEN)} AS v FROM range({STEER_HIDDEN}) b(j)),
+st AS (SELECT dn.direction, al.alpha, a.row_idx,
+              list_transform(range(1, len(a.activation_vector) + 1), lambda i: CAST(a.activation_vector[i] AS DOUBLE)
+                             + al.alpha * {_norm('CAST(a.activation_vector AS DOUBLE[])')} * dn.un[i]) AS h FROM act a, dn, al),
+z AS (SELECT direction, alpha, row_idx, v, list_sum(list_transform(range(1, 65), lambda i: h[i] * w[i])) AS z FROM st, w1 JOIN w2 USING (r)),
+e AS (SELECT direction, alpha, row_idx, 1 / (1 + exp(-sum(v * 0.5 * z * (1 + {erf.format(x='(z / sqrt(2.0))')})))) AS s FROM z GROUP BY direction, alpha, row_idx),
+d AS (SELECT e.*, o.s AS own FROM e JOIN e o ON o.direction = e.direction AND o.row_idx = e.row_idx AND o.alpha = 0)
+SELECT direction, alpha, count(*) AS n, round(avg(s), 6) AS mean_score, round(avg(s - own), 6) AS mean_shift,
+       round(avg(CASE WHEN s < own THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share_lower FROM d GROUP BY direction, alpha"""
+
+
+def _alphas() -> list[float]:
+    from txnlens.plans.registry import STEER_ALPHAS
+    return STEER_ALPHAS
+
+
+ORACLES["steering_network"] = _steering_network_sql()
+
+
 def stratified_sql(n: int, natural_frac: float, seed: int) -> str:
     """Stratified sample by its definition: natural part = the smallest
     hashes overall; quotas water-filled over the sorted cells round by round

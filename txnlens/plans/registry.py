@@ -21,6 +21,7 @@ from txnlens.operators import geometry as G
 from txnlens.operators import journal as J
 from txnlens.operators import metrics as M
 from txnlens.operators import models as MD
+from txnlens.operators import network as NW
 from txnlens.operators import pair_order as PO
 from txnlens.operators import preprocess as P
 from txnlens.operators import rollouts as RO
@@ -761,6 +762,21 @@ def q_attribution_prompts(spark, sf_dir):
                        R.prompt_text(F.col("fraud_score"), rendered, text).alias("prompt"))
 
 
+@query("network_fit")
+def q_network_fit(spark, sf_dir):
+    """The scoring network trained on the preprocessed rows: one row an epoch, and
+    the best epoch's weights scored on the test split."""
+    df, vocab, stats = _fit(spark, sf_dir)
+    x = P.apply_preprocessor(df, vocab, stats)
+    sizes = {f"{r['col']}_id": r["n"] for r in vocab.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect() if r["col"] in CLF_CATS}
+    nums = [c + "_scaled" for c in PREP_NUMS]
+    fit = NW.train_network(x, "txn_id", dict(sorted(sizes.items())), nums, "is_fraud", hidden=(32, 16), epochs=6, batches=2)
+    test = M.auc_ap(NW.scored(x.where("train_split = 'test'"), fit.network, nums, ["is_fraud"]), "score", "is_fraud").first()
+    rows = [(h["epoch"], h["loss"], h["val_auc"], h["epoch"] == fit.best_epoch) for h in fit.history]
+    out = spark.createDataFrame(rows, "epoch int, loss double, val_auc double, best boolean")
+    return out.withColumns({"test_auc": F.when(F.col("best"), F.lit(test["auc_roc"])), "test_ap": F.when(F.col("best"), F.lit(test["average_precision"]))})
+
+
 @query("logistic_probe")
 def q_logistic_probe(spark, sf_dir):
     rep = MD.logistic_probe(T.act(spark, sf_dir), "activation_vector", "label", "row_idx", seed=0)
@@ -1006,6 +1022,30 @@ def q_steering_sweep(spark, sf_dir):
     return s.select("direction", "alpha", "n", r6("mean_score").alias("mean_score"))
 
 
+def _steering_directions(a: DataFrame) -> dict[str, list[float]]:
+    """The class-mean difference, a seeded random direction and the covariance of the
+    vectors with the score."""
+    means = {r["label"]: r["mean_vector"] for r in M.vector_mean(a, "activation_vector", by=["label"]).collect()}
+    delta = (np.asarray(means[1]) - np.asarray(means[0])).tolist()
+    x = a.select("fraud_score", F.transform("activation_vector", lambda v: v.cast("double")).alias("x"))
+    probe = list(x.agg(*[F.covar_pop(F.element_at("x", i + 1), F.col("fraud_score")).alias(f"c{i}") for i in range(len(delta))]).first())
+    return {"class_mean": delta, "random": random_direction(len(delta)), "probe": probe}
+
+
+STEER_HIDDEN = 16
+
+
+@query("steering_network")
+def q_steering_network(spark, sf_dir):
+    """Steered vectors enter the network again behind the captured layer: mean score,
+    shift and share of lower scores for every direction and alpha, none included."""
+    a = T.act(spark, sf_dir)
+    directions = _steering_directions(a)
+    layers = MD.weights_from_table(mlp_weight_table(spark, [len(directions["random"]), STEER_HIDDEN, 1]))
+    s = EV.network_steering(a, "activation_vector", directions, [0.0, *STEER_ALPHAS], layers)
+    return s.select("direction", "alpha", "n", r6("mean_score").alias("mean_score"), r6("mean_shift").alias("mean_shift"), r6("share_lower").alias("share_lower"))
+
+
 @query("holdout_overlap")
 def q_holdout_overlap(spark, sf_dir):
     """Train / holdout guard: the training draw comes from the pool only, so
