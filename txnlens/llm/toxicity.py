@@ -314,28 +314,37 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     return Model(network, logistic(np.column_stack([np.ones(len(rest)), top, mean]), labels[rest].astype(float)), float(labels.mean()))
 
 
+#: Characters that a window of words needs at least.
+LEAST_CHARS = 64
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``limit`` labelled rows that are not held out,
-    by the hash of their ids. Conflicting labels of an id count as toxic."""
+    """Texts and labels of at most ``limit`` labelled ids that are not held out, by the
+    hash of their ids, and at most ``chars`` characters. Conflicting labels of an id
+    count as toxic; of the texts of a repeated id the shortest is taken, before
+    anything reaches the driver. Texts that do not fit are passed over; if none of a
+    label fits, the beginning of its shortest one stands for it."""
     allowed = labels.where(crc_mod("doc_id", HELD_OUT) != 0).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = few_by_hash(allowed, ["doc_id"], limit, allowed.count())
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    sized = rows.select("doc_id", F.length("text").alias("n"), "toxic").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    take, total, seen = [], 0, set()
+    one = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.length("text").alias("n"), "text")).alias("least"))
+    one = one.select("doc_id", "toxic", "least.n", "least.text")
+    sized = one.select("doc_id", "n", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    take, total = [], 0
     for r in sized:
-        if total + r["n"] > chars:
-            continue
-        total += r["n"]
-        take.append(r["doc_id"])
-        seen.add(r["toxic"])
-    if lost := {r["toxic"] for r in sized} - seen:
-        raise ValueError(f"no text labelled {sorted(lost)} fits into the sample of {chars} characters")
+        if total + r["n"] <= chars:
+            total += r["n"]
+            take.append(r)
+    lost = sorted({r["toxic"] for r in sized} - {r["toxic"] for r in take})
+    if lost and chars < LEAST_CHARS:
+        raise ValueError(f"a sample of {chars} characters does not hold a window")
+    for label in lost:
+        take.append(min((r for r in sized if r["toxic"] == label), key=lambda r: r["n"]))
     if not take:
         return [], np.zeros(0)
-    got = rows.where(F.col("doc_id").isin(take)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").dropDuplicates(["doc_id"]).collect() if len(take) < len(sized) else rows.collect()
-    by_id = {r["doc_id"]: r for r in sorted(got, key=lambda r: r["text"], reverse=True)}
-    kept = [by_id[i] for i in take if i in by_id]
-    return [r["text"] for r in kept], np.array([r["toxic"] for r in kept], float)
+    kept = one.where(F.col("doc_id").isin([r["doc_id"] for r in take])).select("doc_id", F.substring("text", 1, chars).alias("text"))
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    return [texts[r["doc_id"]] for r in take], np.array([r["toxic"] for r in take], float)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
