@@ -1123,3 +1123,41 @@ FROM rd LEFT JOIN att USING (txn_id)"""
 
 
 ORACLES["prompt_text"] = _prompt_sql()
+
+ORACLES["component_probes"] = f"""
+WITH {ACT},
+longa AS (SELECT row_idx, unnest(generate_series(0, len(activation_vector) - 1)) AS component, unnest(activation_vector)::DOUBLE AS x,
+                 label::DOUBLE AS label, fraud_score, CASE WHEN row_idx % 3 <> 0 THEN fraud_score END AS thinned FROM act),
+byt AS (SELECT row_idx % 5 = 0 AS held, component, x, u.feature, u.y
+        FROM longa, LATERAL (VALUES ('label', label), ('fraud_score', fraud_score), ('thinned', thinned)) u(feature, y) WHERE u.y IS NOT NULL),
+fit AS (SELECT feature, component, count(*) AS n_train, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2_train
+        FROM byt WHERE NOT held GROUP BY ALL),
+test AS (SELECT feature, component, count(*) AS n_test, 1 - sum((y - intercept - slope * x) ** 2) / (var_pop(y) * count(*)) AS r2_test
+         FROM byt JOIN fit USING (feature, component) WHERE held GROUP BY ALL)
+SELECT feature, CAST(component AS INTEGER) AS component, n_train, n_test, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+       round(r2_train, 6) AS r2_train, round(r2_test, 6) AS r2_test
+FROM fit JOIN test USING (feature, component)"""
+
+ORACLES["csv_ecom"] = """
+SELECT o_orderkey AS TransactionID, CAST(o_orderstatus = 'P' AS BIGINT) AS is_fraud, o_totalprice AS TransactionAmt,
+       substr(o_orderpriority, 3, 1) AS ProductCD, o_custkey AS card1, lower(o_orderpriority) AS card4,
+       CASE WHEN o_orderstatus = 'F' THEN 'debit' END AS card6, CAST(o_orderkey % 7 AS DOUBLE) AS addr1, CAST(NULL AS DOUBLE) AS addr2,
+       CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 8 END AS dist1, CASE WHEN o_orderkey % 2 = 0 THEN 'gmail.com' END AS P_emaildomain,
+       'a "quoted", b ' || o_orderkey AS R_emaildomain, CASE WHEN o_orderkey % 3 <> 2 THEN 'mobile' END AS DeviceType,
+       CASE WHEN o_orderkey % 3 <> 2 THEN 'dev ' || o_orderkey END AS DeviceInfo, epoch_us(o_orderdate) // 1000000 AS ts_sec,
+       'ieee-fraud-detection' AS dataset_source, hour(o_orderdate) AS hour_of_day, isodow(o_orderdate) - 1 AS day_of_week
+FROM orders"""
+
+ORACLES["csv_card_present"] = f"""
+WITH {TXN}
+SELECT txn_id, '4' || card_id AS cc_num, merchant, category, amt, CASE WHEN txn_id % 2 = 0 THEN 'F' END AS gender,
+       lpad(CAST(card_id AS VARCHAR), 5, '0') AS zip, 25.25 + CAST(card_id * 7 % 23 AS DOUBLE) AS lat, -119.5 + CAST(card_id * 11 % 50 AS DOUBLE) AS long,
+       25.25 + CAST(card_id * 7 % 23 AS DOUBLE) + CAST(txn_id % 21 - 10 AS DOUBLE) / 4 AS merch_lat,
+       -119.5 + CAST(card_id * 11 % 50 AS DOUBLE) + CAST(txn_id * 3 % 41 - 20 AS DOUBLE) / 2 AS merch_long, ts_sec,
+       CAST(is_fraud AS BIGINT) AS is_fraud, hour_of_day, day_of_week
+FROM txn"""
+
+ORACLES["committed_splits"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 8 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+       CASE WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS train_split
+FROM orders WHERE o_orderkey % 10 >= 8"""

@@ -24,6 +24,7 @@ from txnlens.operators import models as MD
 from txnlens.operators import network as NW
 from txnlens.operators import pair_order as PO
 from txnlens.operators import preprocess as P
+from txnlens.operators import probes as PB
 from txnlens.operators import rollouts as RO
 from txnlens.operators import sampling as SM
 from txnlens.operators.balance import class_balance
@@ -1110,6 +1111,88 @@ def q_probe_ceiling(spark, sf_dir):
     return MD.probe_ceiling(j, "activation_vector", nums, "txn_id")
 
 
+@query("component_probes")
+def q_component_probes(spark, sf_dir):
+    """Read-out of label, score and a target with nulls from every vector component
+    alone, fitted on four fifths of the rows and scored on the rest; one scan."""
+    a = T.act(spark, sf_dir).withColumn("thinned", F.when(F.pmod("row_idx", F.lit(3)) != 0, F.col("fraud_score")))
+    p = PB.component_probes(a, "activation_vector", ["label", "fraud_score", "thinned"], F.pmod("row_idx", F.lit(5)) == 0)
+    return p.select("feature", "component", "n_train", "n_test", r6("slope").alias("slope"), r6("intercept").alias("intercept"), r6("r2_train").alias("r2_train"), r6("r2_test").alias("r2_test"))
+
+
+# --- files: raw CSV in, committed tables out ---------------------------------------------
+
+def _csv_files(df: DataFrame, path: str, odd: F.Column) -> str:
+    """Two folders of CSV files: the columns as they are, and turned round behind one
+    more column, for the odd rows."""
+    df.where(~odd).write.option("header", True).csv(f"{path}/a")
+    df.where(odd).select(F.lit("x,y").alias("note"), *reversed(df.columns)).write.option("header", True).csv(f"{path}/b")
+    return path
+
+
+@query("csv_ecom")
+def q_csv_ecom(spark, sf_dir):
+    """Orders written as transaction and identity CSV files (two header layouts, one with
+    a column more) and read back by header name."""
+    from txnlens.sources import ingest as I
+    o, key = T.read_table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    tx = o.select(
+        key.alias("TransactionID"), (F.col("o_orderstatus") == "P").cast("int").alias("isFraud"),
+        (T.unix_sec("o_orderdate") - S.epoch_seconds(S.offset_to_timestamp(F.lit(0)))).alias("TransactionDT"), F.col("o_totalprice").alias("TransactionAmt"),
+        F.substring("o_orderpriority", 3, 1).alias("ProductCD"), F.col("o_custkey").alias("card1"), F.lower("o_orderpriority").alias("card4"),
+        F.when(F.col("o_orderstatus") == "F", "debit").alias("card6"), F.pmod(key, F.lit(7)).cast("double").alias("addr1"),
+        F.lit(None).cast("double").alias("addr2"), F.when(F.pmod(key, F.lit(4)) == 0, F.col("o_totalprice") / 8).alias("dist1"),
+        F.when(F.pmod(key, F.lit(2)) == 0, "gmail.com").alias("P_emaildomain"), F.concat(F.lit('a "quoted", b '), key).alias("R_emaildomain"))
+    ident = o.where(F.pmod(key, F.lit(3)) != 2).select(F.lit(1).alias("id_01"), F.concat(F.lit("dev "), key).alias("DeviceInfo"), F.lit("mobile").alias("DeviceType"), key.alias("TransactionID"))
+    odd = F.pmod("TransactionID", F.lit(2)) == 1
+    base = _csv_files(tx, shared_path(spark, "csv-tx"), odd)
+    back = I.load_ecom_csv(spark, f"{base}/*", f"{_csv_files(ident, shared_path(spark, 'csv-id'), odd)}/*")
+    return back.select("TransactionID", F.col("is_fraud").cast("bigint").alias("is_fraud"), "TransactionAmt", "ProductCD", "card1", "card4", "card6",
+                       "addr1", "addr2", "dist1", "P_emaildomain", "R_emaildomain", "DeviceType", "DeviceInfo", "ts_sec", "dataset_source",
+                       *[F.col(c).cast("bigint").alias(c) for c in ("hour_of_day", "day_of_week")])
+
+
+@query("csv_card_present")
+def q_csv_card_present(spark, sf_dir):
+    """Events written as card-present CSV files in nested folders and read back."""
+    from txnlens.sources import ingest as I
+    t = T.with_geo(T.txn(spark, sf_dir))
+    raw = t.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("trans_date_trans_time"), F.concat(F.lit("4"), "card_id").alias("cc_num"), "merchant", "category", "amt",
+        F.when(F.pmod("txn_id", F.lit(2)) == 0, "F").alias("gender"), F.lit("c").alias("city"), F.lit("s").alias("state"), F.lpad(F.col("card_id").cast("string"), 5, "0").alias("zip"),
+        "lat", "long", F.col("txn_id").alias("city_pop"), F.lit("j").alias("job"), F.date_format("dob", "yyyy-MM-dd").alias("dob"), "merch_lat", "merch_long", "is_fraud")
+    base = _csv_files(raw, shared_path(spark, "csv-cards"), F.pmod("city_pop", F.lit(2)) == 1)
+    back = I.load_card_present_csv(spark, base)
+    return back.select(F.col("city_pop").alias("txn_id"), "cc_num", "merchant", "category", "amt", "gender", "zip", "lat", "long", "merch_lat", "merch_long", "ts_sec",
+                       F.col("is_fraud").cast("bigint").alias("is_fraud"), *[F.col(c).cast("bigint").alias(c) for c in ("hour_of_day", "day_of_week")])
+
+
+@query("committed_splits")
+def q_committed_splits(spark, sf_dir):
+    """Orders committed by split; then the validation split again: an attempt that
+    dies half-way, the same run once more, and the run repeated after its commit. Read
+    back without the training split."""
+    from pyspark.errors import PySparkException
+    from txnlens.sources.versions import commit_table, read_committed
+    path, last = shared_path(spark, "committed"), F.pmod("o_orderkey", F.lit(10))
+    o = T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(last == 8, "val").when(last == 9, "test").otherwise("train").alias("train_split"))
+    commit_table(o, path, "first")
+
+    def again(factor: int, dies: bool = False) -> DataFrame:
+        price = F.col("o_totalprice") * factor
+        if dies:
+            price = F.when(F.pmod("o_orderkey", F.lit(20)) == 8, F.raise_error(F.lit("lost")).cast("double")).otherwise(price)
+        return o.where(F.col("train_split") == "val").withColumn("o_totalprice", price)
+
+    try:
+        commit_table(again(5, dies=True), path, "second")
+    except PySparkException:
+        pass
+    commit_table(again(2), path, "second")
+    commit_table(again(3), path, "second")
+    return read_committed(spark, path).where(F.col("train_split") != "train")
+
+
 @query("prompt_text")
 def q_prompt_text(spark, sf_dir):
     """The generation prompt per row: the score of the correlation-weighted

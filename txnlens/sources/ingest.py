@@ -13,6 +13,9 @@ Empty CSV fields are NULL (never NaN), so "missing" has one meaning.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,16 +52,50 @@ CARD_PRESENT_SCHEMA = T.StructType([
 ])
 
 
+#: Bytes read at a time while a header line has not ended.
+HEADER_CHUNK = 1 << 16
+
+
+def _first_line(path: str) -> list[str]:
+    """Names in the header of one file (compressed ones too); unnamed and repeated
+    columns are numbered."""
+    import csv
+
+    from pyarrow import fs
+    if path.startswith("file:") or "://" not in path:
+        store, inner = fs.LocalFileSystem(), re.sub("^file:(//)?", "", path)
+    else:
+        store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        inner = unquote(inner)
+    line = b""
+    with store.open_input_stream(inner) as f:
+        while b"\n" not in line:
+            more = f.read(HEADER_CHUNK)
+            if not more:
+                break
+            line += more
+    names = next(csv.reader([line.split(b"\n")[0].decode("utf-8-sig").rstrip("\r")]), [])
+    return [n if n and n not in names[:i] else f"_c{i}" for i, n in enumerate(names)]
+
+
 def _headers(spark: SparkSession, path: str, recursive: bool) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header line, files in name order. Listing reads no content;
-    a header is one line of its file."""
-    r = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv" if recursive else "*")
+    """Files by their header line, files in name order, from one job however many
+    files there are: tasks read the first line of their files. What comes back is the
+    paths, which the CSV reader takes as a list."""
+    r = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*" if recursive else "*")
     if recursive:
         r = r.option("recursiveFileLookup", True)
+
+    def heads(batches):
+        import pyarrow as pa
+        for b in batches:
+            paths = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([_first_line(p) for p in paths], pa.list_(pa.string()))], ["path", "names"])
+
     out: dict[tuple[str, ...], list[str]] = {}
-    for row in r.load(path).select("path").orderBy("path").collect():
-        columns = tuple(spark.read.option("header", True).option("inferSchema", False).csv(row["path"]).columns)
-        out.setdefault(columns, []).append(row["path"])
+    rows = r.load(path).where("length > 0").select("path").mapInArrow(heads, "path string, names array<string>").collect()
+    for row in sorted(rows, key=lambda r: r["path"]):
+        out.setdefault(tuple(row["names"]), []).append(row["path"])
     return out
 
 
