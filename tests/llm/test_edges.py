@@ -152,14 +152,16 @@ def test_lm(docs, none):
     assert lm.lm_scores(none).count() == 0
 
 
-def test_lm_is_normalised():
-    """Probabilities of the classes add up to one after any two words."""
+def test_lm_is_normalised(monkeypatch):
+    """Probabilities of the classes add up to one after any two words, however many
+    blocks they are in."""
     f = lm.Frequent([b"", b"a", b"b", b"c"], np.array([10, 30, 20, 5]), 4, 70, 9)
-    m = lm.Model(f)
-    m.train(np.array([0 * 25 + 1 * 5 + 2, 2 * 25 + 3 * 5 + 4, 1 * 25 + 1 * 5 + 0]), np.array([5.0, 7.0, 1.0]), np.random.default_rng(1), {n: np.zeros_like(x) for n, x in m.p.items()})
-    w2, w1 = np.repeat(np.arange(5), 5), np.tile(np.arange(5), 5)
-    logits = m.context(w2, w1) @ m.p["q"].T + m.p["b"]
-    assert np.allclose(np.exp(logits - m.log_z(w2, w1)[:, None]).sum(1), 1, atol=1e-5)
+    for block in (2, 3, 256):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        m = lm.Model(f)
+        m.train(np.array([0 * 25 + 1 * 5 + 2, 2 * 25 + 3 * 5 + 4, 1 * 25 + 1 * 5 + 0]), np.array([5.0, 7.0, 1.0]), np.random.default_rng(1), {n: np.zeros_like(x) for n, x in m.p.items()})
+        w2, w1, w = (x.reshape(-1) for x in np.meshgrid(*[np.arange(5)] * 3, indexing="ij"))
+        assert np.allclose(np.exp(m.log_prob(w2, w1, w)).reshape(25, 5).sum(1), 1, atol=1e-5)
 
 
 def test_secrets(docs, none):

@@ -4,19 +4,24 @@ Three passes over the texts, each a scan:
 
 1. token counts of the training texts (c, N, V), one aggregation by token;
 2. training: every task turns its training texts into counted (two words back,
-   one word back, word) triples over the model's words and runs NCE on all of
-   them in numpy minibatches; the tasks' parameters are averaged by their tokens;
-3. scoring: matrix products give each context's normaliser over the model's
-   words and the class of all others, so token log-probabilities are normalised;
-   a word of that class has its smoothed share of the class's count.
-
-The MEMO most frequent tokens and the parameters travel as broadcasts of bounded
-size. Rarer tokens of the scored texts meet their counts by a join on the token.
+   one word back, word) triples and runs NCE on all of them in numpy minibatches;
+   tasks send what they changed in the words they saw, which is averaged by word;
+3. scoring: batched matrix products give each context's two normalisers, over the
+   blocks of words and over the words of a block, so token log-probabilities are
+   normalised at a cost of the square root of the vocabulary.
+
+The model's words are all tokens that occur LEAST times in training, so they grow with
+the corpus, up to MEMO; with the other frequent tokens they travel as broadcasts of
+bounded size. All words that the model lacks are one class, and such a word has its
+smoothed share of the class's count. Rarer tokens of the scored texts meet their counts
+by a join on the token.
 
 Tokens are words (A-Z lowered) and an end, which is the empty token here.
 Defined results: null and empty texts are one end; a null doc_id counts as the
 empty text for the split; repeated rows are scored and counted each; without
-training rows every token has probability 1 / (0 + 0 + 1) in the base.
+training rows every token has probability 1 / (0 + 0 + 1) in the base. A very long text
+is a step of its own and is scored whole; columns other than doc_id and text are not
+read, so their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,14 +39,19 @@ from pyspark.sql import functions as F
 from .common import forget, map_rows, steps, words_of, written
 
 END = b""
-#: Frequent tokens sent to the tasks; of these, the model's own words.
-MEMO, WORDS = 1 << 16, 1000
-DIM, NOISE, NOISE_DRAWS, BATCH, RATE, EPOCHS, SEED = 16, 8, 64, 4096, 0.1, 2, 23
+#: Frequent tokens sent to the tasks at most; the model's own words occur so often.
+MEMO, LEAST = 1 << 16, 5
+#: Words of a block, by frequency; the blocks are the upper level of the normaliser.
+BLOCK = 256
+DIM, NOISE, BATCH, RATE, EPOCHS, SEED = 16, 6, 4096, 0.1, 1, 23
+#: A task's changes to a word weigh by its occurrences there and this part of the
+#: occurrences that the task's share of the corpus would have.
+SHARE = 1.0
 HELD_OUT, HELD_OUT_REST = 7, 2
 COUNTED = 400_000
 STEP_CHARS = 4 << 20
 #: Bytes of training text between two rounds of NCE in a task.
-TRAIN_CHARS = 32 << 20
+TRAIN_CHARS = 16 << 20
 
 
 def held_out():
@@ -81,84 +91,158 @@ class Frequent:
     v: int
 
     @classmethod
-    def of(cls, counts: DataFrame, memo: int = MEMO, words: int = WORDS) -> Frequent:
-        # the counts that so many tokens reach, from a histogram of at most 64 * 64 bars;
-        # then only those tokens come to the driver
-        bars = counts.groupBy(F.floor(F.log2("c") * 64).cast("int").alias("bar")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
+    def of(cls, counts: DataFrame, memo: int = MEMO, least: int = LEAST) -> Frequent:
+        """Whole bars of a histogram of counts from the top down; of the bar that does
+        not fit, the tokens with the least hashes. Only those tokens come to the driver:
+        the histograms have at most 64 * 64 bars and 4,096 buckets."""
+        bar, bucket = F.floor(F.log2("c") * 64).cast("int"), F.pmod(F.xxhash64("token"), F.lit(1 << 12)).cast("int")
+        bars = counts.groupBy(bar.alias("bar")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
         n, v = sum(b["n"] for b in bars), sum(b["v"] for b in bars)
-        room, least = memo, None
+        room, edge = memo, None
         for b in sorted(bars, key=lambda b: -b["bar"]):
-            room -= b["v"]
-            if room < 0:
+            if room < b["v"]:
+                edge = b["bar"]
                 break
-            least = b["bar"]
-        rows = counts.where((F.length("token") == 0) | (F.floor(F.log2("c") * 64) >= F.lit(least))).collect()
-        found = {bytes(r["token"]): r["c"] for r in rows}
+            room -= b["v"]
+        chosen = F.lit(True)
+        if edge is not None:
+            cut = 0
+            for r in counts.where(bar == edge).groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect():
+                room -= r["count"]
+                if room < 0:
+                    break
+                cut = r["bucket"] + 1
+            chosen = (bar > edge) | ((bar == edge) & (bucket < cut))
+        found = {bytes(r["token"]): r["c"] for r in counts.where((F.length("token") == 0) | chosen).collect()}
         end = found.pop(END, 0)
         top = [(END, end), *sorted(found.items(), key=lambda t: (-t[1], t[0]))]
-        return cls([t for t, _ in top], np.array([c for _, c in top], np.int64), min(words, len(top)), n, v)
+        return cls([t for t, _ in top], np.array([c for _, c in top], np.int64), 1 + sum(c >= least for _, c in top[1:]), n, v)
 
 
 class Model:
-    """Score of word w after (w2, w1): (k1 * R[w1] + k2 * R[w2]) . Q[w] + b[w]. Class
-    0 is every word that the model lacks; class i + 1 is frequent token i."""
+    """Class 0 is every word that the model lacks; class i + 1 is frequent token i. After
+    words (w2, w1), with h = k1 * R[w1] + k2 * R[w2], block j has score h . C[j] + d[j]
+    among the blocks, and class w has h . Q[w] + b[w] within its block."""
 
     def __init__(self, frequent: Frequent) -> None:
         self.size = k = frequent.words + 1
         own = frequent.counts[: frequent.words]
-        share = np.concatenate([[max(frequent.n - own.sum(), 0)], own]) + 1.0
-        self.noise = share / share.sum()
+        self.counts = np.concatenate([[max(frequent.n - own.sum(), 0)], own])
+        share = (self.counts + 1.0) / (self.counts + 1.0).sum()
+        self.starts = np.arange(0, k, BLOCK)
+        self.blocks = len(self.starts)
+        block_share = np.add.reduceat(share, self.starts)
+        #: running sums of the classes' shares, and every class's log share of its block
+        self.upto = np.concatenate([[0.0], np.cumsum(share)])
+        self.log_own = np.log(share) - np.log(np.repeat(block_share, np.diff([*self.starts, k])))
+        self.log_block = np.log(block_share)
         rng = np.random.default_rng(SEED)
-        self.p = {"r": rng.standard_normal((k, DIM)) * 0.1, "q": rng.standard_normal((k, DIM)) * 0.1, "b": np.log(self.noise), "k": np.ones((2, DIM)) * [[0.7], [0.3]]}
+        draw = lambda n: rng.standard_normal((n, DIM)) * 0.1
+        self.p = {"r": draw(k), "q": draw(k), "b": self.log_own.copy(), "c": draw(self.blocks), "d": self.log_block.copy(), "k": np.ones((2, DIM)) * [[0.7], [0.3]]}
+
+    def copy(self) -> Model:
+        other = Model.__new__(Model)
+        other.__dict__.update(self.__dict__, p={n: x.copy() for n, x in self.p.items()})
+        return other
 
     @property
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in self.p.values()])
+    def cells(self) -> np.ndarray:
+        """All parameters as rows of equal width: a word each, a block each, the mix."""
+        p = self.p
+        out = np.zeros((self.size + self.blocks + 1, 2 * DIM + 1))
+        out[: self.size] = np.concatenate([p["r"], p["q"], p["b"][:, None]], 1)
+        out[self.size: -1, : DIM + 1] = np.concatenate([p["c"], p["d"][:, None]], 1)
+        out[-1, : 2 * DIM] = p["k"].reshape(-1)
+        return out
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, x in self.p.items():
-            self.p[k] = flat[at: at + x.size].reshape(x.shape)
-            at += x.size
+    def load(self, cells: np.ndarray) -> None:
+        own, blocks = cells[: self.size], cells[self.size: -1]
+        self.p = {"r": own[:, :DIM].copy(), "q": own[:, DIM: 2 * DIM].copy(), "b": own[:, -1].copy(),
+                  "c": blocks[:, :DIM].copy(), "d": blocks[:, DIM].copy(), "k": cells[-1, : 2 * DIM].reshape(2, DIM).copy()}
 
     def context(self, w2: np.ndarray, w1: np.ndarray) -> np.ndarray:
         return self.p["r"][w1] * self.p["k"][0] + self.p["r"][w2] * self.p["k"][1]
 
-    def log_z(self, w2: np.ndarray, w1: np.ndarray) -> np.ndarray:
-        out = np.empty(len(w1))
-        q, b = self.p["q"].T.astype(np.float32), self.p["b"].astype(np.float32)
-        for at in range(0, len(w1), 4096):
-            s = self.context(w2[at: at + 4096], w1[at: at + 4096]).astype(np.float32) @ q + b
-            top = s.max(1)
-            out[at: at + 4096] = top + np.log(np.exp(s - top[:, None]).sum(1, dtype=np.float64))
-        return out
+    def log_prob(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of classes after two words."""
+        k = self.size
+        keys, where = np.unique((w * k + w1) * k + w2, return_inverse=True)
+        # by class, so that the rows of a block lie together
+        w, w1, w2 = keys // (k * k), keys // k % k, keys % k
+        out = np.empty(len(keys))
+        c, d = self.p["c"].T.astype(np.float32), self.p["d"].astype(np.float32)
+        ends = np.searchsorted(w, [*self.starts[1:], k])
+        at = 0
+        for j, end in enumerate(ends.tolist()):
+            lo = j * BLOCK
+            q, b = self.p["q"][lo: lo + BLOCK].T.astype(np.float32), self.p["b"][lo: lo + BLOCK].astype(np.float32)
+            while at < end:
+                s = slice(at, min(end, at + 4096))
+                h = self.context(w2[s], w1[s]).astype(np.float32)
+                out[s] = log_share(h @ c + d, j) + log_share(h @ q + b, w[s] - lo)
+                at = s.stop
+        return out[where]
 
     def train(self, triples: np.ndarray, counts: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
-        """NCE by Adagrad on counted triples (one number each). Noise words are
-        drawn once a minibatch and shared by its rows."""
+        """NCE by Adagrad on counted triples (one number each), for the block among all
+        blocks and for the word within its block, with noise from the shares of each."""
         k, p = self.size, self.p
-        log_noise = np.log(NOISE * self.noise)
-        by_word = lambda w, x: np.stack([np.bincount(w, x[:, d], minlength=k) for d in range(DIM)], 1)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        block_upto = np.concatenate([[0.0], np.cumsum(np.exp(self.log_block))])
         for _ in range(EPOCHS):
             order = rng.permutation(len(triples))
             for at in range(0, len(order), BATCH):
                 some = order[at: at + BATCH]
                 t, weight = triples[some], counts[some] / counts[some].sum()
                 w2, w1, w = t // (k * k), t // k % k, t % k
-                draws = rng.choice(k, NOISE_DRAWS, p=self.noise)
-                h = self.context(w2, w1)
-                up = weight * (1 - sigmoid((h * p["q"][w]).sum(1) + p["b"][w] - log_noise[w]))
-                down = sigmoid(h @ p["q"][draws].T + p["b"][draws] - log_noise[draws]) * (weight * NOISE / NOISE_DRAWS)[:, None]
-                dh = up[:, None] * p["q"][w] - down @ p["q"][draws]
-                g = {"q": by_word(w, up[:, None] * h), "b": np.bincount(w, up, minlength=k)}
-                np.subtract.at(g["q"], draws, down.T @ h)
-                np.subtract.at(g["b"], draws, down.sum(0))
-                g["r"] = by_word(w1, dh * p["k"][0]) + by_word(w2, dh * p["k"][1])
-                g["k"] = np.stack([(dh * p["r"][w1]).sum(0), (dh * p["r"][w2]).sum(0)])
-                for name, x in p.items():
-                    squares[name] += g[name] ** 2
-                    x += RATE * g[name] / (np.sqrt(squares[name]) + 1e-4)
+                block, h = w // BLOCK, self.context(w2, w1)
+                u = rng.random((2, len(some), NOISE))
+                other = np.searchsorted(block_upto, u[0] * block_upto[-1], "right") - 1
+                dh = self.step(h, block, np.minimum(other, self.blocks - 1), weight, "c", "d", self.log_block, squares)
+                lo = self.starts[block]
+                hi = np.minimum(lo + BLOCK, k)
+                noise = np.searchsorted(self.upto, self.upto[lo][:, None] + u[1] * (self.upto[hi] - self.upto[lo])[:, None], "right") - 1
+                dh += self.step(h, w, np.clip(noise, lo[:, None], hi[:, None] - 1), weight, "q", "b", self.log_own, squares)
+                mixed = np.stack([(dh * p["r"][w1]).sum(0), (dh * p["r"][w2]).sum(0)])
+                rows, g = summed(np.concatenate([w1, w2]), np.concatenate([dh * p["k"][0], dh * p["k"][1]]))
+                ascend(p["r"], squares["r"], rows, g)
+                ascend(p["k"], squares["k"], np.arange(2), mixed)
+
+    def step(self, h, target, noise, weight, out: str, bias: str, log_share_of, squares: dict) -> np.ndarray:
+        """One minibatch against its noise classes; the gradient for the contexts."""
+        q, b = self.p[out], self.p[bias]
+        log_noise = np.log(NOISE) + log_share_of
+        up = weight * (1 - sigmoid((h * q[target]).sum(1) + b[target] - log_noise[target]))
+        drawn = q[noise]
+        down = sigmoid(np.einsum("nd,nkd->nk", h, drawn) + b[noise] - log_noise[noise]) * weight[:, None]
+        dh = up[:, None] * q[target] - np.einsum("nk,nkd->nd", down, drawn)
+        push = np.concatenate([up, -down.reshape(-1)])
+        source = np.concatenate([h, np.repeat(h, NOISE, axis=0)])
+        rows, g = summed(np.concatenate([target, noise.reshape(-1)]), np.concatenate([source * push[:, None], push[:, None]], 1))
+        ascend(q, squares[out], rows, g[:, :-1])
+        ascend(b, squares[bias], rows, g[:, -1])
+        return dh
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def log_share(s: np.ndarray, own) -> np.ndarray:
+    """Log of the own class's part of each row's exponentials."""
+    s -= s.max(1, keepdims=True)
+    mine = s[np.arange(len(s)), own].astype(np.float64)
+    return mine - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+
+
+def summed(index: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices and their rows' sums."""
+    rows, where = np.unique(index, return_inverse=True)
+    return rows, np.stack([np.bincount(where, x[:, d], minlength=len(rows)) for d in range(x.shape[1])], 1)
+
+
+def ascend(x: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    squares[rows] += g ** 2
+    x[rows] += RATE * g / (np.sqrt(squares[rows]) + 1e-4)
 
 
 def classes(texts: list[str | None], index: dict[bytes, int], words: int) -> tuple[np.ndarray, ...]:
@@ -177,22 +261,24 @@ def classes(texts: list[str | None], index: dict[bytes, int], words: int) -> tup
 
 
 def trained(train: DataFrame, frequent: Frequent) -> Model:
-    """All training texts, each task from the same start; parameters are averaged,
-    weighted by tokens. What comes back is one number a parameter."""
+    """All training texts, each task from the same start. A task sends its changes to the
+    words that it saw, to the blocks and to the mix; a word's changes are averaged with
+    the weights of SHARE. What comes back is one row a word."""
     model = Model(frequent)
     if not frequent.n:
         return model
     index = {t: i for i, t in enumerate(frequent.tokens[: frequent.words])}
     shared = train.sparkSession.sparkContext.broadcast((model, index))
+    width = 2 * DIM + 1
 
     def run(batches: Iterator[pa.RecordBatch]):
         start, number = shared.value
-        own, k = Model.__new__(Model), start.size
-        own.size, own.noise, own.p = k, start.noise, {n: x.copy() for n, x in start.p.items()}
+        own, k = start.copy(), start.size
         squares = {n: np.zeros_like(x) for n, x in own.p.items()}
         rng = np.random.default_rng(SEED + TaskContext.get().partitionId())
+        seen = np.zeros(k)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        tokens = size = 0
+        size = 0
 
         def learn():
             keys, where = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
@@ -203,30 +289,48 @@ def trained(train: DataFrame, frequent: Frequent) -> Model:
             for b in steps(whole, 0, STEP_CHARS):
                 _, _, w, w1, w2, _ = classes(b.column(0).to_pylist(), number, len(number))
                 held.append(np.unique((w2 * k + w1) * k + w, return_counts=True))
-                tokens += len(w)
+                seen += np.bincount(w, minlength=k)
                 size += STEP_CHARS
                 if size >= TRAIN_CHARS:
                     learn()
                     size = 0
         if held:
             learn()
+        tokens = seen.sum()
         if tokens:
-            flat = own.flat
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], ["cell", "value", "weight"])
-
-    cells = map_rows(train, ["text"], "cell int, value double, weight double", run).groupBy("cell").agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
-    model.load(cells.sort_values("cell")["value"].to_numpy())
+            weight = np.concatenate([seen + SHARE * start.counts * (tokens / frequent_n), np.full(start.blocks + 1, tokens)])
+            some = np.flatnonzero(np.concatenate([seen, np.ones(start.blocks + 1)]))
+            change = (own.cells[some] - start.cells[some]).astype(np.float32)
+            for at in range(0, len(some), 4096):
+                x = change[at: at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(some[at: at + 4096], pa.int32()), pa.array(weight[some[at: at + 4096]]),
+                                                  pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width), pa.int32()), pa.array(x.reshape(-1)))], ["cell", "weight", "x"])
+
+    frequent_n = float(frequent.n)
+    moved = map_rows(train, ["text"], "cell int, weight double, x array<float>", run)
+    rows = moved.groupBy("cell").agg(F.array(*[F.sum(F.col("x")[i] * F.col("weight")) for i in range(width)]).alias("x")).toPandas()
+    if len(rows):
+        whole = np.concatenate([(1 + SHARE) * model.counts, np.full(model.blocks + 1, frequent_n)])
+        at = rows["cell"].to_numpy()
+        cells = model.cells
+        cells[at] += np.stack(rows["x"].to_numpy()) / np.maximum(whole[at], 1)[:, None]
+        model.load(cells)
     return model
 
 
+def fit_lm(docs: DataFrame) -> tuple[DataFrame, Frequent, Model]:
+    """Token counts, the frequent tokens and the model of the rows that are not held out."""
+    train = docs.where(~held_out()).select("text")
+    counts = written(token_counts(train), "token-counts")
+    frequent = Frequent.of(counts)
+    return counts, frequent, trained(train, frequent)
+
+
 def lm_scores(df: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for
     every whole text."""
     docs = df.select("doc_id", "text", held_out().alias("held_out"))
-    train = docs.where(~F.col("held_out")).select("text")
-    counts = written(token_counts(train), "token-counts")
-    frequent = Frequent.of(counts)
-    model = trained(train, frequent)
+    counts, frequent, model = fit_lm(df.select("doc_id", "text"))
     shared = df.sparkSession.sparkContext.broadcast((frequent, model))
     id_kind = df.schema["doc_id"].dataType.simpleString()
 
@@ -237,20 +341,12 @@ def lm_scores(df: DataFrame) -> DataFrame:
         own_n = int(top.counts[: top.words].sum())
         rest = np.log10(top.n - own_n + top.v - int((top.counts[: top.words] > 0).sum()) + 1)
         whole_log = np.log10(top.n + top.v + 1)
-        k = net.size
-        normal = np.full((k, k), np.nan)
         mark = TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in steps(whole, 1, STEP_CHARS):
                 tokens, found, w, w1, w2, sizes = classes(b.column(1).to_pylist(), index, top.words)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                pairs = np.unique(w2 * k + w1)
-                pairs = pairs[np.isnan(normal.reshape(-1)[pairs])]
-                normal.reshape(-1)[pairs] = net.log_z(pairs // k, pairs % k)
-                score = np.empty(len(w))
-                for at in range(0, len(w), 1 << 18):
-                    s = slice(at, at + (1 << 18))
-                    score[s] = (net.context(w2[s], w1[s]) * net.p["q"][w[s]]).sum(1) + net.p["b"][w[s]] - normal[w2[s], w1[s]]
+                score = net.log_prob(w2, w1, w)
                 score /= np.log(10)
                 memo = found >= 0
                 own_log = np.where(memo, logs[np.maximum(found, 0)], 0.0)
