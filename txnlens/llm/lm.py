@@ -43,7 +43,7 @@ END = b""
 MEMO, LEAST = 1 << 16, 5
 #: Words of a block, by frequency; the blocks are the upper level of the normaliser.
 BLOCK = 256
-DIM, NOISE, BATCH, RATE, EPOCHS, SEED = 16, 6, 4096, 0.1, 1, 23
+DIM, NOISE, NOISE_DRAWS, BATCH, RATE, EPOCHS, SEED = 16, 3, 32, 4096, 0.1, 1, 23
 #: A task's changes to a word weigh by its occurrences there and this part of the
 #: occurrences that the task's share of the corpus would have.
 SHARE = 1.0
@@ -195,18 +195,32 @@ class Model:
                 t, weight = triples[some], counts[some] / counts[some].sum()
                 w2, w1, w = t // (k * k), t // k % k, t % k
                 block, h = w // BLOCK, self.context(w2, w1)
-                u = rng.random((2, len(some), NOISE))
-                other = np.searchsorted(block_upto, u[0] * block_upto[-1], "right") - 1
-                dh = self.step(h, block, np.minimum(other, self.blocks - 1), weight, "c", "d", self.log_block, squares)
+                drawn = np.searchsorted(block_upto, rng.random(NOISE_DRAWS) * block_upto[-1], "right") - 1
+                dh = self.block_step(h, block, np.minimum(drawn, self.blocks - 1), weight, squares)
                 lo = self.starts[block]
                 hi = np.minimum(lo + BLOCK, k)
-                noise = np.searchsorted(self.upto, self.upto[lo][:, None] + u[1] * (self.upto[hi] - self.upto[lo])[:, None], "right") - 1
+                noise = np.searchsorted(self.upto, self.upto[lo][:, None] + rng.random((len(some), NOISE)) * (self.upto[hi] - self.upto[lo])[:, None], "right") - 1
                 dh += self.step(h, w, np.clip(noise, lo[:, None], hi[:, None] - 1), weight, "q", "b", self.log_own, squares)
                 mixed = np.stack([(dh * p["r"][w1]).sum(0), (dh * p["r"][w2]).sum(0)])
                 rows, g = summed(np.concatenate([w1, w2]), np.concatenate([dh * p["k"][0], dh * p["k"][1]]))
                 ascend(p["r"], squares["r"], rows, g)
                 ascend(p["k"], squares["k"], np.arange(2), mixed)
 
+    def block_step(self, h, target, drawn, weight, squares: dict) -> np.ndarray:
+        """The same among the blocks, with noise that the rows of a minibatch share."""
+        c, d = self.p["c"], self.p["d"]
+        log_noise = np.log(NOISE) + self.log_block
+        up = weight * (1 - sigmoid((h * c[target]).sum(1) + d[target] - log_noise[target]))
+        down = sigmoid(h @ c[drawn].T + d[drawn] - log_noise[drawn]) * (weight * NOISE / len(drawn))[:, None]
+        dh = up[:, None] * c[target] - down @ c[drawn]
+        own = np.zeros((self.blocks, len(h[0]) + 1))
+        rows, g = summed(target, np.concatenate([h * up[:, None], up[:, None]], 1))
+        own[rows] = g
+        np.subtract.at(own, drawn, np.concatenate([down.T @ h, down.sum(0)[:, None]], 1))
+        ascend(c, squares["c"], slice(None), own[:, :-1])
+        ascend(d, squares["d"], slice(None), own[:, -1])
+        return dh
+
     def step(self, h, target, noise, weight, out: str, bias: str, log_share_of, squares: dict) -> np.ndarray:
         """One minibatch against its noise classes; the gradient for the contexts."""
         q, b = self.p[out], self.p[bias]
@@ -240,7 +254,7 @@ def summed(index: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.stack([np.bincount(where, x[:, d], minlength=len(rows)) for d in range(x.shape[1])], 1)
 
 
-def ascend(x: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+def ascend(x: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
     squares[rows] += g ** 2
     x[rows] += RATE * g / (np.sqrt(squares[rows]) + 1e-4)
 
