@@ -156,6 +156,18 @@ def test_select_quantiles_matches_numpy(spark):
     assert vals[("b", 999)] == np.sort(b)[999]
 
 
+def test_searches_of_one_band_read_a_row_once(spark, monkeypatch):
+    from txnlens.operators import ordering as O
+    df = spark.createDataFrame([("a", float(v * 7 % 101)) for v in range(101)] + [("b", -1.5), ("b", None)], "g string, x double")
+    seen, ranked = [], O.rank_table
+    monkeypatch.setattr(O, "rank_table", lambda rows, *a, **k: seen.append(rows.count()) or ranked(rows, *a, **k))
+    vals = O.select_values(df, "g", "x", {"a": [50, 51], "b": [0]}, final=1000)
+    assert (vals[("a", 50)], vals[("a", 51)], vals[("b", 0)]) == (50.0, 51.0, -1.5)
+    assert seen == [101]
+    vals = O.select_values(df, "g", "x", {"a": list(range(101))}, buckets=5, final=1)  # bands part, pass by pass
+    assert [vals[("a", p)] for p in range(101)] == [float(p) for p in range(101)]
+
+
 def test_num_stats_selection_path_matches_rank_path(spark, monkeypatch):
     from txnlens.operators import preprocess as P
     from txnlens.plans.registry import PREP_NUMS, prep_input
