@@ -43,6 +43,18 @@ def test_gradient_matches_differences():
         assert g[k] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def test_one_erf_a_layer_and_all_rows_of_an_id(monkeypatch):
+    net = NW.Network.begun({"c": 4}, 1, (5, 4), 0)
+    ids, nums, y = {"c": np.array([0, 3, 3, 0, 3])}, np.linspace(-1, 1, 5)[:, None], np.array([0.0, 1, 1, 0, 0])
+    calls, erf = [], MD._erf
+    monkeypatch.setattr(MD, "_erf", lambda x: calls.append(x.shape) or erf(x))
+    whole = net.gradient(ids, nums, y, 2.0)[1]
+    assert calls == [(5, 5), (5, 4)]
+    single = sum(net.gradient({"c": ids["c"][k: k + 1]}, nums[k: k + 1], y[k: k + 1], 2.0)[1] for k in range(5))
+    assert np.abs(whole - single).max() < 1e-12
+    assert np.array_equal(MD.gelu_grad(nums), MD.gelu_both(nums)[1]) and np.allclose(MD.gelu(nums), MD.gelu_both(nums)[0], rtol=0, atol=1e-16)
+
+
 def test_loss_falls_and_the_network_learns(spark, rows):
     fit = NW.train_network(rows.repartition(4), "k", {"c": 3}, NUMS, "y", hidden=(16, 8), epochs=12, step=0.03, patience=12, decay=0.0)
     losses = [h["loss"] for h in fit.history]
