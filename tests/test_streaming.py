@@ -113,6 +113,35 @@ def test_stream_nulls_equal_batch(spark, tmp_path):
         assert g.card_tenure_days == pytest.approx(b.card_tenure_days)
 
 
+def test_many_cards_share_few_groups(spark, tmp_path):
+    """Cards dealt into three groups, over several batches, some rows late: every
+    card keeps a history and a buffer of its own."""
+    base, rnd = 1_700_000_000, random.Random(7)
+    rows = [(i, rnd.randrange(40), base + 600 * (i // 4) + rnd.randrange(600), None if i % 9 == 0 else rnd.randrange(1000) / 8) for i in range(800)]
+    batch = {r.txn_id: r for r in causal_features(spark.createDataFrame(rows, SCHEMA), strategy="window").collect()}
+    src = tmp_path / "src"
+    for k in range(4):
+        chunk = rows[200 * k: 200 * k + 200]
+        rnd.shuffle(chunk)
+        _write(spark, chunk + ([(5000, 3, base, 1.0)] if k == 3 else []), str(src / f"p{k}"))
+    sdf = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = (stream_causal_features(sdf, buckets=3).writeStream.format("memory").queryName("k1_groups").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    _write(spark, [(9999, 99, base + 10 ** 7, 1.0)], str(src / "p9"))
+    q.processAllAvailable()
+    states = max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+    q.stop()
+    assert states <= 3
+    got = {r.txn_id: r for r in spark.sql("select * from k1_groups").collect()}
+    assert set(batch) == set(got) - {9999}
+    for key, b in batch.items():
+        g = got[key]
+        assert (g.card_id, g.ts_sec, g.velocity_1h, g.velocity_24h) == (b.card_id, b.ts_sec, b.velocity_1h, b.velocity_24h)
+        assert g.amt_zscore == (None if b.amt_zscore is None else pytest.approx(b.amt_zscore, rel=1e-9, abs=1e-9))
+        assert g.card_tenure_days == pytest.approx(b.card_tenure_days)
+
+
 def test_step_metrics_stream(spark, tmp_path):
     src = tmp_path / "samples"
     src.mkdir()
