@@ -32,11 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_rows, steps, words_of, written
+from .common import forget, map_rows, steps, written
 
 END = b""
 #: Frequent tokens sent to the tasks at most; the model's own words occur so often.
@@ -50,6 +51,9 @@ SHARE = 1.0
 HELD_OUT, HELD_OUT_REST = 7, 2
 COUNTED = 400_000
 STEP_CHARS = 4 << 20
+#: Rows that numpy handles at once where a matrix of a few hundred kB, which stays in the
+#: cache, is worked on several times.
+ROWS = 512
 #: Bytes of training text between two rounds of NCE in a task.
 TRAIN_CHARS = 16 << 20
 
@@ -58,6 +62,21 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HELD_OUT == HELD_OUT_REST
 
 
+def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of the texts, the end first; every token's number in text
+    order, an end behind each text; the texts' token counts."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    owner = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+    flat = words.flatten()
+    # white space at either end of a text leaves an empty piece there
+    real = pc.greater(pc.binary_length(flat), 0)
+    found = flat.filter(real).dictionary_encode()
+    owner = owner[real.to_numpy(zero_copy_only=False)]
+    number = np.zeros(len(owner) + len(texts), np.int64)
+    number[np.arange(len(owner)) + owner] = found.indices.to_numpy() + 1
+    return [END, *found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()], number, np.bincount(owner, minlength=len(texts)) + 1
+
+
 def token_counts(train: DataFrame) -> DataFrame:
     """(token, c) over all whole texts, the end included."""
     def run(batches: Iterator[pa.RecordBatch]):
@@ -69,9 +88,9 @@ def token_counts(train: DataFrame) -> DataFrame:
 
         for whole in batches:
             for b in steps(whole, 0, STEP_CHARS):
-                for text in b.column(0).to_pylist():
-                    counts.update(words_of(text))
-                    counts[END] += 1
+                tokens, number, _ = tokens_of(b.column(0))
+                for t, n in zip(tokens, np.bincount(number, minlength=len(tokens)).tolist()):
+                    counts[t] += n
                 if len(counts) >= COUNTED:
                     yield out()
                     counts.clear()
@@ -164,23 +183,42 @@ class Model:
         return self.p["r"][w1] * self.p["k"][0] + self.p["r"][w2] * self.p["k"][1]
 
     def log_prob(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of classes after two words."""
+        """Natural log-probabilities of classes after two words. The normaliser of the
+        blocks is one a context, that of a block's words one a block and context."""
         k = self.size
-        keys, where = np.unique((w * k + w1) * k + w2, return_inverse=True)
-        # by class, so that the rows of a block lie together
-        w, w1, w2 = keys // (k * k), keys // k % k, keys % k
+        keys, where = np.unique((w // BLOCK * k * k + w1 * k + w2) * BLOCK + w % BLOCK, return_inverse=True)
+        # by block and context, so that the rows of either lie together
+        rows, inside = np.divmod(keys, BLOCK)
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        block, pairs = np.divmod(rows[first], k * k)
+        pairs, of = np.unique(pairs, return_inverse=True)
+        h = np.ones((len(pairs), DIM + 1), np.float32)
+        for at in range(0, len(pairs), ROWS):
+            some = pairs[at: at + ROWS]
+            h[at: at + ROWS, :-1] = self.context(some % k, some // k)
+        reach = float(np.sqrt(np.einsum("nd,nd->n", h, h).max(initial=0)))
+        heads, calm = scorer(self.p["c"], self.p["d"], reach)
+        over = np.empty(len(pairs), np.float32)
+        for at in range(0, len(pairs), ROWS):
+            over[at: at + ROWS] = log_sums(h[at: at + ROWS] @ heads, calm)
         out = np.empty(len(keys))
-        c, d = self.p["c"].T.astype(np.float32), self.p["d"].astype(np.float32)
-        ends = np.searchsorted(w, [*self.starts[1:], k])
+        ends = np.searchsorted(block, np.arange(1, self.blocks + 1))
+        first = np.append(first, len(keys))
         at = 0
         for j, end in enumerate(ends.tolist()):
+            if at == end:
+                continue
             lo = j * BLOCK
-            q, b = self.p["q"][lo: lo + BLOCK].T.astype(np.float32), self.p["b"][lo: lo + BLOCK].astype(np.float32)
+            tails, calm = scorer(self.p["q"][lo: lo + BLOCK], self.p["b"][lo: lo + BLOCK], reach)
             while at < end:
-                s = slice(at, min(end, at + 4096))
-                h = self.context(w2[s], w1[s]).astype(np.float32)
-                out[s] = log_share(h @ c + d, j) + log_share(h @ q + b, w[s] - lo)
-                at = s.stop
+                stop = min(end, at + ROWS)
+                mine = h.take(of[at: stop], 0)
+                scores = mine @ tails
+                s, times = slice(first[at], first[stop]), np.diff(first[at: stop + 1])
+                own = scores[np.repeat(np.arange(len(mine)), times), inside[s]].astype(np.float64)
+                whole = mine @ heads[:, j] - over.take(of[at: stop]).astype(np.float64) - log_sums(scores, calm)
+                out[s] = own + np.repeat(whole, times)
+                at = stop
         return out[where]
 
     def train(self, triples: np.ndarray, counts: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
@@ -188,90 +226,151 @@ class Model:
         blocks and for the word within its block, with noise from the shares of each."""
         k, p = self.size, self.p
         block_upto = np.concatenate([[0.0], np.cumsum(np.exp(self.log_block))])
+        noise_of = Noise(self)
         for _ in range(EPOCHS):
             order = rng.permutation(len(triples))
             for at in range(0, len(order), BATCH):
                 some = order[at: at + BATCH]
                 t, weight = triples[some], counts[some] / counts[some].sum()
                 w2, w1, w = t // (k * k), t // k % k, t % k
-                block, h = w // BLOCK, self.context(w2, w1)
+                back1, back2 = p["r"].take(w1, 0), p["r"].take(w2, 0)
+                block, h = w // BLOCK, back1 * p["k"][0] + back2 * p["k"][1]
                 drawn = np.searchsorted(block_upto, rng.random(NOISE_DRAWS) * block_upto[-1], "right") - 1
                 dh = self.block_step(h, block, np.minimum(drawn, self.blocks - 1), weight, squares)
-                lo = self.starts[block]
-                hi = np.minimum(lo + BLOCK, k)
-                noise = np.searchsorted(self.upto, self.upto[lo][:, None] + rng.random((len(some), NOISE)) * (self.upto[hi] - self.upto[lo])[:, None], "right") - 1
-                dh += self.step(h, w, np.clip(noise, lo[:, None], hi[:, None] - 1), weight, "q", "b", self.log_own, squares)
-                mixed = np.stack([(dh * p["r"][w1]).sum(0), (dh * p["r"][w2]).sum(0)])
-                rows, g = summed(np.concatenate([w1, w2]), np.concatenate([dh * p["k"][0], dh * p["k"][1]]))
-                ascend(p["r"], squares["r"], rows, g)
+                noise = noise_of(block, rng.random((len(some), NOISE)))
+                dh += self.step(h, w, noise, weight, "q", "b", self.log_own, squares)
+                mixed = np.stack([np.einsum("nd,nd->d", dh, back1), np.einsum("nd,nd->d", dh, back2)])
+                moves = p["k"].T[:, :, None] * np.ascontiguousarray(dh.T)[:, None]
+                rows, g = summed(np.concatenate([w1, w2]), moves.reshape(DIM, -1), k)
+                ascend(p["r"], squares["r"], rows, upright(g))
                 ascend(p["k"], squares["k"], np.arange(2), mixed)
 
     def block_step(self, h, target, drawn, weight, squares: dict) -> np.ndarray:
-        """The same among the blocks, with noise that the rows of a minibatch share."""
+        """The same among the blocks, with noise that the rows of a minibatch share; a
+        block that was drawn several times is scored once."""
         c, d = self.p["c"], self.p["d"]
-        log_noise = np.log(NOISE) + self.log_block
-        up = weight * (1 - sigmoid((h * c[target]).sum(1) + d[target] - log_noise[target]))
-        down = sigmoid(h @ c[drawn].T + d[drawn] - log_noise[drawn]) * (weight * NOISE / len(drawn))[:, None]
-        dh = up[:, None] * c[target] - down @ c[drawn]
-        own = np.zeros((self.blocks, len(h[0]) + 1))
-        rows, g = summed(target, np.concatenate([h * up[:, None], up[:, None]], 1))
-        own[rows] = g
-        np.subtract.at(own, drawn, np.concatenate([down.T @ h, down.sum(0)[:, None]], 1))
-        ascend(c, squares["c"], slice(None), own[:, :-1])
-        ascend(d, squares["d"], slice(None), own[:, -1])
+        free = d - np.log(NOISE) - self.log_block
+        own, (kinds, times) = c.take(target, 0), np.unique(drawn, return_counts=True)
+        up = weight * (1 - sigmoid(np.einsum("nd,nd->n", h, own) + free[target]))
+        down = sigmoid(h @ c[kinds].T + free[kinds]) * (weight[:, None] * (times * (NOISE / len(drawn))))
+        dh = up[:, None] * own - down @ c[kinds]
+        push = np.concatenate([np.ascontiguousarray(h.T) * up, up[None]])
+        *g, bias = (np.bincount(target, x, minlength=self.blocks) for x in push)
+        g = upright(g)
+        g[kinds] -= down.T @ h
+        bias[kinds] -= down.sum(0)
+        ascend(c, squares["c"], np.arange(self.blocks), g)
+        ascend(d, squares["d"], np.arange(self.blocks), bias)
         return dh
 
     def step(self, h, target, noise, weight, out: str, bias: str, log_share_of, squares: dict) -> np.ndarray:
         """One minibatch against its noise classes; the gradient for the contexts."""
         q, b = self.p[out], self.p[bias]
-        log_noise = np.log(NOISE) + log_share_of
-        up = weight * (1 - sigmoid((h * q[target]).sum(1) + b[target] - log_noise[target]))
-        drawn = q[noise]
-        down = sigmoid(np.einsum("nd,nkd->nk", h, drawn) + b[noise] - log_noise[noise]) * weight[:, None]
-        dh = up[:, None] * q[target] - np.einsum("nk,nkd->nd", down, drawn)
-        push = np.concatenate([up, -down.reshape(-1)])
-        source = np.concatenate([h, np.repeat(h, NOISE, axis=0)])
-        rows, g = summed(np.concatenate([target, noise.reshape(-1)]), np.concatenate([source * push[:, None], push[:, None]], 1))
-        ascend(q, squares[out], rows, g[:, :-1])
-        ascend(b, squares[bias], rows, g[:, -1])
+        free = lambda x: b.take(x) - np.log(NOISE) - log_share_of.take(x)
+        own, drawn = q.take(target, 0), q.take(noise, 0)
+        up = weight * (1 - sigmoid(np.einsum("nd,nd->n", h, own) + free(target)))
+        down = sigmoid(np.einsum("nd,nkd->nk", h, drawn) + free(noise)) * weight[:, None]
+        dh = up[:, None] * own - np.einsum("nk,nkd->nd", down, drawn)
+        push = np.concatenate([up[None], -down.T])
+        moves = np.empty((DIM + 1, *push.shape))
+        np.multiply(np.ascontiguousarray(h.T)[:, None], push, out=moves[:-1])
+        moves[-1] = push
+        rows, g = summed(np.concatenate([target[None], noise.T]).reshape(-1), moves.reshape(DIM + 1, -1), len(q))
+        ascend(q, squares[out], rows, upright(g[:-1]))
+        ascend(b, squares[bias], rows, g[-1])
         return dh
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
+class Noise:
+    """Classes of given blocks by their shares. A block's share is cut into as many equal
+    cells as it may have words; a table has the class where each cell begins, and the
+    classes behind it are tried one by one, the last few draws by binary search."""
 
-def log_share(s: np.ndarray, own) -> np.ndarray:
-    """Log of the own class's part of each row's exponentials."""
-    s -= s.max(1, keepdims=True)
-    mine = s[np.arange(len(s)), own].astype(np.float64)
-    return mine - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+    def __init__(self, model: Model) -> None:
+        self.lo, self.hi = model.starts, np.minimum(model.starts + BLOCK, model.size)
+        self.upto = np.concatenate([model.upto, [np.inf]])
+        self.begin, self.span = model.upto[self.lo], model.upto[self.hi] - model.upto[self.lo]
+        self.first = self.find(self.begin[:, None] + np.arange(BLOCK) / BLOCK * self.span[:, None]).reshape(-1)
 
+    def find(self, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.upto, x, "right") - 1
 
-def summed(index: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct indices and their rows' sums."""
-    rows, where = np.unique(index, return_inverse=True)
-    return rows, np.stack([np.bincount(where, x[:, d], minlength=len(rows)) for d in range(x.shape[1])], 1)
+    def __call__(self, block: np.ndarray, u: np.ndarray) -> np.ndarray:
+        x = (self.begin.take(block)[:, None] + u * self.span.take(block)[:, None]).reshape(-1)
+        out = self.first.take(((u * BLOCK).astype(np.int64) + (block * BLOCK)[:, None]).reshape(-1))
+        late = np.flatnonzero(self.upto.take(out + 1) <= x)
+        for _ in range(2):
+            out[late] += 1
+            late = late[self.upto.take(out[late] + 1) <= x[late]]
+        out[late] = self.find(x[late])
+        return np.clip(out.reshape(u.shape), self.lo.take(block)[:, None], self.hi.take(block)[:, None] - 1)
 
 
-def ascend(x: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
-    squares[rows] += g ** 2
-    x[rows] += RATE * g / (np.sqrt(squares[rows]) + 1e-4)
-
-
-def classes(texts: list[str | None], index: dict[bytes, int], words: int) -> tuple[np.ndarray, ...]:
-    """Flat arrays over all tokens of the texts: memo index or -1, class, class of
-    one back, class of two back (before a text: ends); and the texts' token counts."""
-    docs = [[*words_of(t), END] for t in texts]
-    sizes = np.array([len(d) for d in docs], np.int64)
-    found = np.array([index.get(w, -1) for d in docs for w in d], np.int64)
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    y = np.clip(x, -30, 30)
+    np.exp(np.negative(y, out=y), out=y)
+    y += 1
+    return np.reciprocal(y, out=y)
+
+
+def scorer(x: np.ndarray, bias: np.ndarray, reach: float) -> tuple[np.ndarray, bool]:
+    """The matrix that turns contexts with a 1 behind them into scores; and whether the
+    largest score of any context that is no longer than reach is a small number."""
+    calm = abs(bias.max()) + reach * np.sqrt((x ** 2).sum(1).max()) < 60
+    return np.concatenate([x, bias[:, None]], 1).T.astype(np.float32), bool(calm)
+
+
+def log_sums(s: np.ndarray, calm: bool) -> np.ndarray:
+    """Log of each row's sum of exponentials, in the place of the scores."""
+    if calm:
+        return np.log(np.exp(s, out=s).sum(1))
+    high = s.max(1)
+    s -= high[:, None]
+    return high + np.log(np.exp(s, out=s).sum(1))
+
+
+def summed(index: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct indices below size, and for each row of x the sums by index."""
+    met = np.zeros(size, bool)
+    met[index] = True
+    rows = np.flatnonzero(met)
+    number = np.empty(size, np.int64)
+    number[rows] = np.arange(len(rows))
+    where = number.take(index)
+    return rows, [np.bincount(where, y, minlength=len(rows)) for y in x]
+
+
+def upright(columns: list[np.ndarray]) -> np.ndarray:
+    return np.stack(columns, 1)
+
+
+def ascend(x: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    for at in range(0, len(rows), ROWS):
+        some, up = rows[at: at + ROWS], g[at: at + ROWS]
+        s = up * up
+        s += squares.take(some, 0)
+        squares[some] = s
+        np.sqrt(s, out=s)
+        s += 1e-4
+        np.divide(up, s, out=s)
+        s *= RATE
+        s += x.take(some, 0)
+        x[some] = s
+
+
+def classes(texts: pa.Array, index: dict[bytes, int], words: int) -> tuple[list[bytes] | np.ndarray, ...]:
+    """The distinct tokens; flat arrays over all tokens of the texts: number among the
+    distinct ones, memo index or -1, class, class of one back, class of two back (before a
+    text: ends); and the texts' token counts."""
+    tokens, number, sizes = tokens_of(texts)
+    found = np.array([index.get(t, -1) for t in tokens], np.int64)[number]
     kind = np.where((found >= 0) & (found < words), found + 1, 0)
     starts = np.cumsum(sizes) - sizes
     back1 = np.concatenate([[1], kind[:-1]])
     back2 = np.concatenate([[1, 1], kind[:-2]])[: len(kind)]
     back1[starts] = back2[starts] = 1
     back2[(starts + 1)[sizes > 1]] = 1
-    return docs, found, kind, back1, back2, sizes
+    return tokens, number, found, kind, back1, back2, sizes
 
 
 def trained(train: DataFrame, frequent: Frequent) -> Model:
@@ -301,7 +400,7 @@ def trained(train: DataFrame, frequent: Frequent) -> Model:
 
         for whole in batches:
             for b in steps(whole, 0, STEP_CHARS):
-                _, _, w, w1, w2, _ = classes(b.column(0).to_pylist(), number, len(number))
+                _, _, _, w, w1, w2, _ = classes(b.column(0), number, len(number))
                 held.append(np.unique((w2 * k + w1) * k + w, return_counts=True))
                 seen += np.bincount(w, minlength=k)
                 size += STEP_CHARS
@@ -358,7 +457,7 @@ def lm_scores(df: DataFrame) -> DataFrame:
         mark = TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in steps(whole, 1, STEP_CHARS):
-                tokens, found, w, w1, w2, sizes = classes(b.column(1).to_pylist(), index, top.words)
+                tokens, number, found, w, w1, w2, sizes = classes(b.column(1), index, top.words)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 score = net.log_prob(w2, w1, w)
                 score /= np.log(10)
@@ -371,11 +470,10 @@ def lm_scores(df: DataFrame) -> DataFrame:
                 mark += n
                 # a text's own row travels under a token that no text has, so that all rows go one way
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b" %d" % x for x in keys], pa.binary()), pa.array(np.zeros(n, np.int32)), b.column(0), b.column(2), pa.array(sizes), *per_doc], NAMES)
-                rare = [Counter(t for t, m in zip(d, memo[a: a + len(d)].tolist()) if not m) for d, a in zip(tokens, (np.cumsum(sizes) - sizes).tolist())]
-                m = [len(c) for c in rare]
-                total = sum(m)
-                spare = [pa.nulls(total, f) for f in (b.column(0).type, b.column(2).type, pa.int64(), pa.float64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, m)), pa.array([t for c in rare for t in c], pa.binary()), pa.array([x for c in rare for x in c.values()], pa.int32()), *spare], NAMES)
+                rare, times = np.unique(owner[~memo] * len(tokens) + number[~memo], return_counts=True)
+                of, which = np.divmod(rare, len(tokens))
+                spare = [pa.nulls(len(rare), f) for f in (b.column(0).type, b.column(2).type, pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(tokens, pa.binary()).take(pa.array(which)), pa.array(times.astype(np.int32)), *spare], NAMES)
 
     rows = map_rows(docs, ["doc_id", "text", "held_out"], f"key long, token binary, n int, doc_id {id_kind}, held_out boolean, n_tokens long, known double, base double, own double", run)
     met = rows.join(counts, "token", "left")
